@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontaminate, near_dedup
+import corpus_pipeline
+
+from . import decontaminate, language_id, mixing, near_dedup, token_store
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_mix_sources": mixing.op5_mix_sources,
+    "op6_token_store": token_store.op6_token_store,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op10_language_id": language_id.op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL}
