@@ -1,20 +1,24 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Method. Each distinct shingle set gets a signature of minwise values. A tree starts with all sets
-in one node and branches them by the value of a selected coordinate; nodes split further by
-coordinates that a hash of their path selects. Small nodes are compared exhaustively, a large
-node first compares its members with a few pivots, which joins the points that are similar to
-nearly all others at once. Independent trees are repeated for the target recall: a pair at the
-threshold meets in the first node of a tree with probability 0.85, and misses ten trees with
-less than 1e-8. Every link is confirmed on the full shingle sets before it counts; the signature
-only skips pairs that are five standard deviations below the threshold.
-
-Scale. Documents with equal sets are folded into one class first, by a digest. Only classes that
-share a node with another go further, and only their sets are gathered. The first trees' links
-are turned into components; later trees drop every node that lies in one component, so that a
-group of copies costs links in proportion to its size and not to its square. Nodes of more than
-`NODE_ROWS` classes or `NODE_BYTES` of sets are branched by Spark before any task takes them;
-what still is too large after `DEPTH` levels is cut in blocks, and each pair of blocks compared.
+in one node and branches them by the values of selected coordinates, two levels at once from the
+root; nodes split further by coordinates that a hash of their path selects. Small nodes are
+compared exhaustively, a large node first compares its members with a few pivots, which joins the
+points that are similar to nearly all others at once. Independent trees are repeated for the
+target recall: a pair at the threshold meets below a root with probability 0.72, and misses twelve
+trees with less than 1e-6. Nodes are walked twice. The first walk compares signatures only and
+splits every node into groups of sets that may be linked (pairs five standard deviations below the
+threshold are left out). The second walk compares the full shingle sets within these groups; only
+that makes a link.
+
+Scale. Documents with equal sets are folded into one class first, by a digest. Only classes with a
+similar signature go to the second walk, and only their sets are gathered; a group that several
+trees find alike is compared once. The first trees' links are turned into components; later trees
+drop every group that lies in one component, so that a group of copies costs links in proportion
+to its size and not to its square. Nodes too large for a task are branched by Spark before any
+task takes them; what still is too large after `DEPTH` levels is cut in blocks, and each pair of
+blocks compared. The ids of the gathered sets are broadcast up to `BROADCAST_ROWS` of them, and
+joined by a shuffle beyond.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with nothing,
 not even with each other. Rows with equal doc_id count as one vertex, whose links join. A null
@@ -36,9 +40,10 @@ from .components import connected_components
 from .scratch import drop, written
 
 SHINGLE, THRESHOLD = 5, 85
-COORDS, TREES, FIRST_TREES = 64, 10, 2
+COORDS, TREES, FIRST_TREES = 64, 12, 2
 LEAF, PIVOTS, DEPTH = 24, 4, 12
-NODE_ROWS, NODE_BYTES = 8_000, 48 << 20
+NODE_ROWS, NODE_BYTES = 20_000, 48 << 20
+BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
 _XOR = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64)
 _MUL = _rng.integers(0, 1 << 63, COORDS, dtype=np.uint64) | np.uint64(1)
@@ -77,8 +82,11 @@ def _features(batches):
             n.append(len(s))
             digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             sig = signature(s)
-            sigs.append(sig.tobytes() if len(s) else None)
-            roots.append(((np.arange(TREES, dtype=np.int64) << 32) | sig[:TREES].astype(np.int64)).tolist() if len(s) else None)
+            # 16 bits of each value are enough to compare; a root's key is made from two whole ones
+            sigs.append(sig.astype("<u2").tobytes() if len(s) else None)
+            two = sig[: 2 * TREES].astype(np.uint64)
+            keys = K.mix64((two[::2] << np.uint64(32) | two[1::2]) + np.arange(1, TREES + 1, dtype=np.uint64) * K._MULT[0])
+            roots.append(keys.view(np.int64).tolist() if len(s) else None)
         yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(roots, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "digest", "sig", "roots"])
 
 
@@ -100,25 +108,27 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 class _Node:
     """The members of one node in a task: branch, compare, and give the links that join components."""
 
-    def __init__(self, reps: list[int], sigs: list[bytes], sets: list[bytes], comps: list[int], seed: int):
+    def __init__(self, reps: list, sigs: list[bytes], sets: list[bytes] | None, comps: list, seed: int):
         self.reps, self.seed = reps, seed
-        self.sig = np.frombuffer(b"".join(sigs), np.uint32).reshape(-1, COORDS)
-        self.sets = [np.frombuffer(s, np.uint64) for s in sets]
-        self.n = np.array([len(s) for s in self.sets])
+        self.sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS)
+        self.sets = None if sets is None else [np.frombuffer(s, np.uint64) for s in sets]
+        self.n = None if sets is None else np.array([len(s) for s in self.sets])
         first: dict[int, int] = {}
         self.root = np.array([first.setdefault(c, i) for i, c in enumerate(comps)])
         self.links: list[tuple[int, int]] = []
 
     def compare(self, i: int, others: np.ndarray) -> None:
-        """Link i with those of others that are in another component and similar on full sets."""
+        """Link i with those of others that are in another component and similar (on full sets, where they are given)."""
         least = COORDS * (THRESHOLD / 100 - 5 * (0.85 * 0.15 / COORDS) ** 0.5)
         others = others[self.root[others] != self.root[i]]
         if not len(others):
             return
-        n, m = self.n[i], self.n[others]
-        near = (100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)) & ((self.sig[others] == self.sig[i]).sum(axis=1) >= least)
+        near = (self.sig[others] == self.sig[i]).sum(axis=1) >= least
+        if self.sets is not None:
+            n, m = self.n[i], self.n[others]
+            near &= 100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
         for j in others[near].tolist():
-            if self.root[j] != self.root[i] and linked(self.sets[i], self.sets[j]):
+            if self.root[j] != self.root[i] and (self.sets is None or linked(self.sets[i], self.sets[j])):
                 self.links.append((self.reps[i], self.reps[j]))
                 self.root[self.root == self.root[j]] = self.root[i]
 
@@ -149,38 +159,62 @@ class _Node:
         return self.links
 
 
-def _solve(batches):
-    """Links of each node. Rows come sorted by node, and a node lies in one partition."""
-    key, held = None, ([], [], [], [])
+def _walk(columns: tuple[str, ...], solve, schema: pa.Schema):
+    """solve(node, *columns) of each node with two members at least. Rows come sorted by node, and a node lies in one partition."""
 
-    def close():
-        return _Node(*held, seed=key & 0x7FFFFFFFFFFFFFFF).run() if len(held[0]) > 1 else []
+    def run(batches):
+        key, held = None, [[] for _ in columns]
 
-    def out(links):
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], names=["u", "v"])
+        def close():
+            return solve(key, *held) if len(held[0]) > 1 else []
 
-    for batch in batches:
-        links = []
-        cols = [batch.column(c).to_pylist() for c in ("node", "rep", "sig", "items", "comp")]
-        for node, *row in zip(*cols, strict=True):
-            if node != key:
-                links += close()
-                key, held = node, ([], [], [], [])
-            for k, x in enumerate(row):
-                held[k].append(x)
-        yield out(links)
-    yield out(close())
+        def out(rows):
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            rows = []
+            for node, *row in zip(*(batch.column(c).to_pylist() for c in ("node", *columns)), strict=True):
+                if node != key:
+                    rows += close()
+                    key, held = node, [[] for _ in columns]
+                for k, x in enumerate(row):
+                    held[k].append(x)
+            yield out(rows)
+        yield out(close())
+
+    return run
+
+
+def _similar(node: int, trees: list[int], digests: list[bytes], sigs: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """(tree, group, digest) of the classes that may be linked; equal groups of different trees get equal names."""
+    found = _Node(digests, sigs, None, digests, seed=node & 0x7FFFFFFFFFFFFFFF)
+    found.run()
+    groups: dict[int, list[int]] = {}
+    for i, r in enumerate(found.root.tolist()):
+        groups.setdefault(r, []).append(i)
+    out = []
+    for own in groups.values():
+        if len(own) > 1:
+            name = int.from_bytes(hashlib.blake2b(b"".join(sorted(digests[i] for i in own)), digest_size=8).digest(), "little", signed=True)
+            out += [(trees[i], name, digests[i]) for i in own]
+    return out
+
+
+def _verify(node: int, reps: list[int], sigs: list[bytes], sets: list[bytes], comps: list[int]) -> list[tuple[int, int]]:
+    return _Node(reps, sigs, sets, comps, seed=node & 0x7FFFFFFFFFFFFFFF).run()
 
 
 def _branch(members: DataFrame, sigs: DataFrame, level: int) -> DataFrame:
     """Members of large nodes, dealt to child nodes by the coordinate that each node's path selects."""
     coord = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(COORDS)).cast("int")
-    value = F.substring("sig", 1, 4 * COORDS).substr(coord * 4 + 1, F.lit(4))
-    return members.join(sigs, "digest").select(F.xxhash64("node", F.lit(level), value).alias("node"), "digest", "rep", "size")
+    value = F.substring(F.col("sig"), coord * 2 + 1, F.lit(2))
+    return members.join(sigs, "digest").withColumn("node", F.xxhash64("node", F.lit(level), value)).select(*members.columns)
 
 
 def _bounded(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """members(node, digest, rep, size) with nodes that one task can hold: large ones are branched, then cut in block pairs."""
+    """members(node, digest, size, ...) with nodes that one task can hold: large ones are branched, then cut in block pairs."""
+    columns = members.columns
+
     def sized(df):
         total = df.groupBy("node").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("rows > 1")
         return df.join(total, "node")
@@ -189,7 +223,7 @@ def _bounded(members: DataFrame, sigs: DataFrame) -> DataFrame:
     large = f"rows > {NODE_ROWS} or bytes > {NODE_BYTES}"
     now = sized(members)
     while True:
-        fits = now.where(f"not ({large})").drop("rows", "bytes")
+        fits = now.where(f"not ({large})").select(*columns)
         done = fits if done is None else done.unionByName(fits)
         rest = now.where(large)
         if rest.isEmpty():
@@ -198,46 +232,49 @@ def _bounded(members: DataFrame, sigs: DataFrame) -> DataFrame:
             parts = F.greatest(F.ceil(F.col("rows") * 2 / NODE_ROWS), F.ceil(F.col("bytes") * 2 / NODE_BYTES)).cast("int")
             block = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
             block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            return done.unionByName(block.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "digest", "rep", "size"))
-        now = sized(written(_branch(rest, sigs, level), "branch"))
+            return done.unionByName(block.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select(*columns))
+        now = sized(written(_branch(rest.select(*columns), sigs, level), "branch"))
         level += 1
 
 
-def _links(members: DataFrame, sets: DataFrame, partitions: int) -> DataFrame:
-    rows = members.join(sets, "digest").select("node", "rep", "sig", "items", "comp")
-    return rows.repartition(partitions, "node").sortWithinPartitions("node", "rep").mapInArrow(_solve, "u long, v long")
+def _by_node(rows: DataFrame, solve, columns: tuple[str, ...], schema: pa.Schema, ddl: str) -> DataFrame:
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("node", *columns).repartition(partitions, "node").sortWithinPartitions("node").mapInArrow(_walk(columns, solve, schema), ddl)
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; the mapping is over all pairs of rows."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = written(docs.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sig binary, roots array<long>"), "features")
     full = rows.where("digest is not null and doc_id is not null")
-    classes = written(full.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("sig").alias("sig"), F.min("roots").alias("roots"), F.max("n_shingles").alias("n")), "classes")
-    rooted = classes.select("digest", "rep", (F.col("n") * 8).alias("size"), F.explode("roots").alias("node"))
-    shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    members = written(rooted.join(shared, "node"), "members")
-    active = members.groupBy("rep").agg(F.first("digest").alias("any")).select("rep")
-    sets = docs.join(active, docs.doc_id == active.rep, "left_semi").mapInArrow(_sets, "digest binary, items binary")
-    sets = written(sets.dropDuplicates(["digest"]).join(classes.select("digest", "sig"), "digest"), "sets")
+    first = full.groupBy("digest").agg(F.min(F.struct("doc_id", "sig", "roots", "n_shingles")).alias("r"))
+    classes = written(first.select("digest", F.col("r.doc_id").alias("rep"), "r.sig", "r.roots", F.col("r.n_shingles").alias("n")), "classes")
     sigs = classes.select("digest", "sig")
+    # first walk: signatures
+    rooted = classes.select("digest", F.posexplode("roots").alias("tree", "node"))
+    shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
+    members = written(rooted.join(shared, "node").withColumn("size", F.lit(2 * COORDS)), "members")
+    near = _by_node(_bounded(members, sigs).join(sigs, "digest"), _similar, ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
+    groups = written(near.groupBy("node", "digest").agg(F.min("tree").alias("tree")).join(classes.select("digest", "rep", (F.col("n") * 8).alias("size")), "digest"), "groups")
+    # the sets of what is left
+    active = written(groups.select("rep").distinct(), "active")
+    wanted = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
+    sets = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").mapInArrow(_sets, "digest binary, items binary")
+    sets = written(sets.dropDuplicates(["digest"]).join(sigs, "digest"), "sets")
+    # second walk: full sets
     same_id = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     links = full.join(same_id, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comp = None
-    tree = F.shiftright("node", 32)
-    for some in (tree < FIRST_TREES, tree >= FIRST_TREES):
-        part = members.where(some)
+    for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
+        part = groups.where(some).drop("tree")
         if comp is None:
             part = part.withColumn("comp", F.col("rep"))
         else:
             part = part.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
             open_ = part.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("node")
             part = written(part.join(open_, "node", "left_semi"), "open")
-        nodes = _bounded(part.drop("comp"), sigs)
-        nodes = nodes.join(part.select("rep", "comp").distinct(), "rep")
-        links = written(links.unionByName(_links(nodes, sets, partitions)), "links")
+        pairs = _by_node(_bounded(part, sigs).join(sets, "digest"), _verify, ("rep", "sig", "items", "comp"), pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
+        links = written(links.unionByName(pairs), "links")
         comp = written(connected_components(links), "components")
     final = rows.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     final = final.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
