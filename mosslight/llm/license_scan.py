@@ -90,7 +90,7 @@ def known(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) ->
     if len(licenses) > KNOWN_ROWS:
         raise ValueError(f"{len(licenses)} known texts are too many to broadcast")
     rows = spark.createDataFrame(licenses, "license string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
+    return rows.select(F.unhex(F.sha2(canonical(F.col("text")), 256)).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

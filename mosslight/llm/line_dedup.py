@@ -93,7 +93,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, md5(text)) AS r, doc_id, string_split(text, chr(10)) AS u FROM documents),
-x AS (SELECT r, i, u[i] AS t, trim(regexp_replace(lower(u[i]), '[\s]+', ' ', 'g')) AS n, coalesce(list_sum(list_transform(u[1 : i - 1], z -> length(z) + 1)), 0) AS a FROM (SELECT r, u, unnest(range(1, len(u) + 1)) AS i FROM d)),
+x AS (SELECT r, i, u[i] AS t, trim(regexp_replace(lower(u[i]), '[\s]+', ' ', 'g')) AS n, coalesce(list_sum(list_transform(u[1 : i - 1], lambda z: length(z) + 1)), 0) AS a FROM (SELECT r, u, unnest(range(1, len(u) + 1)) AS i FROM d)),
 f AS (SELECT *, n <> '' AND row_number() OVER (PARTITION BY n ORDER BY r, i) > 1 AS gone FROM x)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
  coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(t) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,

@@ -41,7 +41,7 @@ from .scratch import drop, written
 
 SHINGLE, THRESHOLD = 5, 85
 COORDS, TREES, FIRST_TREES = 64, 12, 2
-LEAF, PIVOTS, DEPTH = 24, 4, 12
+LEAF, PIVOTS, DEPTH = 1024, 4, 12
 NODE_ROWS, NODE_BYTES = 20_000, 48 << 20
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, language_id, mixing, near_dedup, token_store
+from . import decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, nearest, substring_dedup, token_counts, token_store
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_token_counts": token_counts.op4_token_counts,
     "op5_mix_sources": mixing.op5_mix_sources,
     "op6_token_store": token_store.op6_token_store,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_nearest": nearest.op9_nearest,
     "op10_language_id": language_id.op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL}
+ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op8_line_dedup": line_dedup.OP8_SQL}

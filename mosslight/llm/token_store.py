@@ -18,19 +18,21 @@ Scale. Texts are encoded once. Only encoded ids are sorted, by ranges of doc_id.
 (at most one row per id of the vocabulary) and one number per shard meet in one place.
 
 Edge cases: a null or empty text is a document with the end id alone. Rows with equal doc_id stay
-rows of their own, next to each other, ordered by their ids. A null doc_id sorts first. An empty
+rows of their own, next to each other, in an order that their ids set. A null doc_id sorts first. An empty
 table gives an empty store. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,7 +42,7 @@ from .scratch import new_path, written
 
 MAX_BITS, LANE, SEGMENT = 18, 64, 1 << 17
 END_ID = 2
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 MAGIC = b"MTK1"
 DTYPE = np.dtype("<u4")
 
@@ -51,52 +53,127 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-_loaded: dict[str, tuple] = {}
+class UnitEncoder:
+    """Encodes parts of texts, each distinct one once, and keeps the ids of frequent ones.
 
+    The pre-tokenizer of this vocabulary never joins characters across white space (its pattern
+    has none, and neither composition nor lower-casing looks across it), so a text's ids are those
+    of the parts between spaces and line ends, in order. ASCII is looked up in lower case.
+    - A part of plain letters is one pre-token, whose last id is one that ends a word: many such
+      parts go to the library as one text with spaces, and its ids are cut after those that end words.
+    - Letters and then marks (no apostrophe) are two pre-tokens.
+    - All other parts go together with a special token between them, which splits a text before
+      anything else looks at it; parts that hold its beginning themselves go alone.
+    """
 
-def _encoder(path: str):
-    """The tokenizer and its cache of encoded units, once per Python worker."""
-    if path not in _loaded:
+    MARK = "<|endoftext|>"
+    MARKED = re.compile(r"([a-z]+)([!-&(-/:;=-@\[-`{-~]+)").fullmatch
+
+    def __init__(self, path: str, limit: int = CACHE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        _loaded[path] = (Tokenizer.from_file(path), {})
+        self.tok = Tokenizer.from_file(path)
+        size = self.tok.get_vocab_size()
+        self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.mark = self.tok.token_to_id(self.MARK)
+        self.closes = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.limit, self.now, self.before = limit, {"": b""}, {}
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def parts(self, text: str) -> list[str]:
+        text = text.replace("\n", " ")
+        return (text.lower() if text.isascii() and "<|" not in text else text).split(" ")
+
+    def learn(self, units: set[str]) -> None:
+        """Make sure that all units are known."""
+        if len(self.now) + len(units) > self.limit:
+            self.before, self.now = self.now, {"": b""}
+        now, before = self.now, self.before
+        plain, other, joined = set(), [], []
+        for u in units:
+            if u in now:
+                continue
+            if u in before:
+                now[u] = before[u]
+            elif u.isalpha() and (u.isascii() or max(u) < "\u0130"):
+                plain.add(u)
+            elif m := self.MARKED(u):
+                joined.append((u, *m.groups()))
+            else:
+                other.append(u)
+        for _, core, tail in joined:
+            if core not in now:
+                plain.add(core)
+            if tail not in now:
+                now[tail] = self._ids([tail])[0].tobytes()
+        self._learn([*plain], " ")
+        alone = [u for u in other if "<|" in u]
+        now.update(zip(alone, (x.tobytes() for x in self._ids(alone)), strict=True))
+        self._learn([u for u in other if "<|" not in u], self.MARK)
+        for u, core, tail in joined:
+            now[u] = now[core] + now[tail]
+
+    def _learn(self, units: list[str], between: str) -> None:
+        groups, width = [units[i : i + 512] for i in range(0, len(units), 512)], self.dtype.itemsize
+        for own, ids in zip(groups, self._ids([between.join(g) for g in groups]), strict=True):
+            raw = ids.tobytes()
+            if between == " ":
+                ends = np.flatnonzero(self.closes[ids]) + 1
+                starts = np.concatenate([[0], ends[:-1]])
+            else:
+                ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                starts = np.concatenate([[0], ends[:-1] + 1])
+            if len(ends) != len(own):
+                raise AssertionError("parts and ids don't match")
+            self.now.update(zip(own, (raw[x:y] for x, y in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)), strict=True))
+
+    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
+        parts = [self.parts(t) for t in texts]
+        found = [list(map(self.now.get, p)) for p in parts]
+        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
+        self.learn({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
+        end, known = np.array([end_id], self.dtype).tobytes(), self.now
+        for p, f, g in zip(parts, found, gaps, strict=True):
+            for i in g:
+                f[i] = known[p[i]]
+            f.append(end)
+        return [b"".join(f) for f in found]
+
+
+_loaded: dict[str, UnitEncoder] = {}
+
+
+def encoder(path: str) -> UnitEncoder:
+    """One encoder per Python worker."""
+    if path not in _loaded:
+        _loaded[path] = UnitEncoder(path)
     return _loaded[path]
 
 
-def encode_texts(texts: list[str], path: str, end_id: int = END_ID) -> list[bytes]:
-    """Ids of whole texts, as little-endian uint32.
+def pack(ids: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(ids)
 
-    The pre-tokenizer of this vocabulary never joins characters across a space (its pattern has no
-    white space, and neither composition nor lower-casing looks across one), so a text's ids are
-    those of its parts between spaces, in order. Parts are encoded once and kept in a cache.
-    """
-    tok, cache = _encoder(path)
-    end, out = struct.pack("<I", end_id), []
-    if len(cache) > CACHE_UNITS:
-        cache.clear()
-    parts = [t.split(" ") for t in texts]
-    new = list({u for p in parts for u in p} - cache.keys())
-    for i in range(0, len(new), 20_000):
-        some = new[i : i + 20_000]
-        for u, e in zip(some, tok.encode_batch_fast(some, add_special_tokens=False), strict=True):
-            cache[u] = np.array(e.ids, DTYPE).tobytes()
-    get = cache.__getitem__
-    for p in parts:
-        out.append(b"".join(map(get, p)) + end)
-    return out
+
+def unpack(data: bytes, dtype: np.dtype) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
 
 
 def _tokenize(path: str, end_id: int):
+    """(doc_id, width, ids): ids of `width` bytes each, packed for the way to where they are sorted."""
+
     def run(batches):
+        coder = encoder(path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             size, i = 0, 0
             for j in range(batch.num_rows):
                 size += len(texts[j].as_py() or "")
                 if size > 1 << 21 or j == batch.num_rows - 1:
-                    some = encode_texts([x or "" for x in texts.slice(i, j + 1 - i).to_pylist()], path, end_id)
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j + 1 - i), pa.array(some, pa.binary())], names=["doc_id", "ids"])
+                    some = [pack(x) for x in coder.encode([x or "" for x in texts.slice(i, j + 1 - i).to_pylist()], end_id)]
+                    yield pa.RecordBatch.from_arrays([ids.slice(i, j + 1 - i), pa.array([coder.dtype.itemsize] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["doc_id", "width", "ids"])
                     size, i = 0, j + 1
 
     return run
@@ -105,8 +182,9 @@ def _tokenize(path: str, end_id: int):
 def _count(batches):
     total = np.zeros(1 << 16, np.int64)
     for batch in batches:
-        for x in batch.column(0):
-            own = np.bincount(np.frombuffer(x.as_buffer(), DTYPE))
+        rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for i in range(0, len(rows), 500):
+            own = np.bincount(np.concatenate([unpack(x, np.dtype(f"<u{w}")) for w, x in rows[i : i + 500]]))
             if len(own) > len(total):
                 total = np.concatenate([total, np.zeros(len(own) - len(total), np.int64)])
             total[: len(own)] += own
@@ -223,9 +301,9 @@ def _write(shared: Broadcast):
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (number, pa.int32()), (first, pa.int64()), (size, pa.int64()), (len(ids), pa.int32()), (data, pa.binary()))], names=["shard", "segment", "first", "n_tokens", "n_docs", "data"])
 
         for batch in batches:
-            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for i, w, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(i)
-                docs.append(np.frombuffer(x.as_buffer(), DTYPE))
+                docs.append(unpack(x, np.dtype(f"<u{w}")))
                 size += len(docs[-1])
                 if size >= SEGMENT:
                     yield segment()
@@ -260,8 +338,8 @@ def _codebook(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def write_store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode docs and write the store below path."""
     spark = docs.sparkSession
-    encoded = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokenize(tokenizer or tokenizer_path(), end_id), "doc_id long, ids binary"), "ids")
-    counts = encoded.select("ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
+    encoded = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokenize(tokenizer or tokenizer_path(), end_id), "doc_id long, width int, ids binary"), "ids")
+    counts = encoded.select("width", "ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
     symbols = np.array([r.symbol for r in counts], np.int64)
     lengths = code_lengths(np.array([r.n for r in counts], np.int64))
     spark.createDataFrame(list(zip(symbols.tolist(), lengths.tolist(), strict=True)), "symbol long, length long").coalesce(1).write.parquet(f"{path}/codebook")
