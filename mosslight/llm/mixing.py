@@ -40,18 +40,21 @@ LIMIT = 3
 _ROUND = [(48271 * (r + 3) ** 7 % PRIME, 69621 * (r + 5) ** 5 % PRIME) for r in range(ROUNDS)]
 
 
-def permuted(x: Column, n: Column, key: Column) -> Column:
-    """x under the pseudorandom permutation of [0, n) that key selects, by swap-or-not rounds."""
-    rounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in _ROUND])
+def permuted(df: DataFrame, x: Column, n: Column, key: Column, name: str) -> DataFrame:
+    """df with x under the pseudorandom permutation of [0, n) that key selects, by swap-or-not rounds.
 
-    def step(at: Column, r: Column) -> Column:
-        turn = ((r["a"] * key + r["c"]) % PRIME) % n
-        other = (turn - at + n) % n
-        high = F.greatest(at, other)
-        bit = F.shiftright(((((high % PRIME) * 48271 + r["c"] * key) % PRIME) * 69621) % PRIME, 13) % 2
-        return F.when(bit == 1, other).otherwise(at)
-
-    return F.aggregate(rounds, x.cast("long"), step)
+    Each round is a projection of its own, which keeps them in generated code: Spark doesn't merge
+    projections where that would repeat work.
+    """
+    df = df.withColumn("_n", n.cast("long")).withColumn("_key", key.cast("long")).withColumn(name, x.cast("long"))
+    n, key, at = F.col("_n"), F.col("_key"), F.col(name)
+    for a, c in _ROUND:
+        turn = ((F.lit(a) * key + c) % PRIME) % n
+        df = df.withColumn("_other", (turn - at + n) % n)
+        high = F.greatest(at, F.col("_other"))
+        bit = F.shiftright(((((high % PRIME) * 48271 + F.lit(c) * key) % PRIME) * 69621) % PRIME, 13) % 2
+        df = df.withColumn(name, F.when(bit == 1, F.col("_other")).otherwise(at))
+    return df.drop("_n", "_key", "_other")
 
 
 def running(df: DataFrame, group: str, bucket: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -98,6 +101,8 @@ def draw_slots(sources: DataFrame) -> DataFrame:
     drawn = slots.withColumn("cell", F.floor(F.col("v") / width)).join(cells, "cell").where("lo <= v and v < hi")
     counts = written(drawn.groupBy("shard", "src").agg(F.count("*").alias("n")), "draws")
     counts = running(counts.withColumn("bucket", F.floor(F.col("shard") / SLOTS)), "src", "bucket", ["shard"], "n", "first").join(sources.select("src", "quota"), "src")
+    # few rows here, but many slots from each: all cores should have some
+    counts = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
     stop = F.least(F.col("first") + F.col("n"), F.col("quota"))
     kept = counts.where(F.col("first") < F.col("quota")).select("shard", "src", F.explode(F.sequence(F.col("first"), stop - 1)).alias("slot"))
     got = counts.groupBy("src").agg(F.sum("n").alias("got"))
@@ -111,7 +116,8 @@ def mixed_blocks(sources: DataFrame) -> DataFrame:
     """(shard, src, slot, pass, block): which block of which source every slot of the mix holds."""
     slots = draw_slots(sources).join(sources.select("src", "n_blocks"), "src")
     turn, at = F.floor(F.col("slot") / F.col("n_blocks")), F.col("slot") % F.col("n_blocks")
-    return slots.select("shard", "src", "slot", turn.alias("pass"), permuted(at, F.col("n_blocks"), F.col("src") * 4 + turn + 1).alias("block"))
+    slots = slots.withColumn("pass", turn).withColumn("at", at)
+    return permuted(slots, F.col("at"), F.col("n_blocks"), F.col("src") * 4 + F.col("pass") + 1, "block").select("shard", "src", "slot", "pass", "block")
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -153,10 +159,10 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     """
     rows, pieces = mix(docs)
     plan = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("_plan"), F.max("times").alias("_most"))
-    plan = rows.join(plan, "row").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "mark", "nth", "_plan", "_most")
+    plan = rows.join(plan, "row").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_for"), F.col("nth").alias("_turn"), "_plan", "_most")
     same = Window.partitionBy("doc_id", "source", "_mark").orderBy(F.lit(1))
     own = docs.withColumn("_mark", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same))
-    on = own.doc_id.eqNullSafe(F.col("_id")) & own.source.eqNullSafe(F.col("_source")) & (own["_mark"] == F.col("mark")) & (own["_nth"] == F.col("nth"))
+    on = own.doc_id.eqNullSafe(F.col("_id")) & own.source.eqNullSafe(F.col("_source")) & (own["_mark"] == F.col("_for")) & (own["_nth"] == F.col("_turn"))
     out = own.join(plan, on).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))))
     out = out.withColumn("_words", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
     chosen = F.filter("_plan", lambda p: p["times"] >= F.col("_use"))
