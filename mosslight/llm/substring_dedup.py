@@ -19,9 +19,14 @@ form a segment, `LENGTH` - 1 bytes longer than their number.
    the search. A segment that occurs twice is repeated as a whole.
 4. The repeated starts are joined back to all occurrences of the segments.
 
-An anchor with more than `GROUP` bytes of distinct segments is refined before step 2: its segments
-are cut by the start's distance to the anchor, and each piece gets the hash of the text that all
-its windows share as its anchor.
+An anchor with more than `GROUP` distinct segments is refined in step 2: its segments are cut by
+the starts' distance to the anchor, and each piece gets the hash of the text that all its windows
+share as its anchor. Pieces with other text around a common passage so come apart, and pieces
+within it are alike; a task keeps equal pieces once.
+
+Texts move only where they must: for step 2 those that hold an example, for step 4 those that lose
+bytes. Their keys are broadcast up to `BROADCAST_ROWS` of them, beyond that texts are joined by a
+shuffle.
 
 Edge cases: null counts as empty; texts shorter than `LENGTH` lose nothing; equal rows repeat each
 other; rows with equal or null doc_id are rows of their own; an empty table gives an empty result.
@@ -39,10 +44,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import written
+from .scratch import drop, written
 
 LENGTH, GRAM = 400, 32
-BATCH, GROUP, PIECES = 1 << 20, 8 << 20, 16
+BATCH, GROUP, PIECES = 1 << 20, 3_000, 4
+BROADCAST_ROWS = 1_000_000
 _SPAN = LENGTH - GRAM + 1
 
 
@@ -159,77 +165,69 @@ def _occurrences(batches):
 
 
 def suffixes(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
-    """Suffixes in the order of their first `depth` symbols at least; ties by position. Symbols fit 16 bits."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(4, text.dtype)]).astype(np.uint64)
-    key = (padded[:n] << np.uint64(27)) | (padded[1 : n + 1] << np.uint64(18)) | (padded[2 : n + 2] << np.uint64(9)) | padded[3 : n + 3]
-    order = np.argsort(key, kind="stable")
-    rank = _ranks(key[order], order, n)
-    width = 4
-    while width < depth:
-        ordered = rank[order]
-        tied = np.zeros(n, bool)
-        same = ordered[1:] == ordered[:-1]
-        tied[1:] |= same
-        tied[:-1] |= same
-        at = np.flatnonzero(tied)
-        if not len(at):
-            break
+    """Suffixes in the order of their first `depth` symbols at least. Symbols fit 9 bits.
+
+    Prefix doubling over what is still tied; the order of suffixes that share more than that is open.
+    """
+    n, width = len(text), 7
+    padded = np.concatenate([text, np.zeros(width, text.dtype)]).astype(np.uint64)
+    key = np.zeros(n, np.uint64)
+    for i in range(width):
+        key = (key << np.uint64(9)) | padded[i : i + n]
+    order = np.argsort(key).astype(np.int32)
+    key = key[order]
+    place = np.arange(n, dtype=np.int32)
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    # the rank of a class is the place of its first suffix
+    rank = np.empty(n + 1, np.int32)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(new, place, 0))
+    tied = ~(new & np.append(new[1:], True))
+    at = np.flatnonzero(tied).astype(np.int32)
+    while width < depth and len(at):
         who = order[at]
-        after = np.minimum(who + width, n)
-        follow = np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
-        key = (ordered[at].astype(np.uint64) << np.uint64(32)) | follow.astype(np.uint64)
-        by = np.argsort(key, kind="stable")
-        order[at] = who[by]
-        key = key[by]
+        own, follow = rank[who], rank[np.minimum(who + width, n)]
+        key = (own.astype(np.int64) << 32) | (follow + 1).astype(np.int64)
+        by = np.argsort(key)
+        who, key = who[by], key[by]
+        order[at] = who
         new = np.concatenate([[True], key[1:] != key[:-1]])
-        # the rank of a class is the place of its first suffix
-        rank[order[at]] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        rank[who] = at[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
+        at = at[~(new & np.append(new[1:], True))]
         width *= 2
     return order
 
 
-def _ranks(ordered: np.ndarray, order: np.ndarray, n: int) -> np.ndarray:
-    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-    rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    return rank
-
-
 def long_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether neighbours order[i - 1] and order[i] share `length` symbols, for i in 1 .. n - 1 (False at 0).
 
-    Breadth-first backward extension. At level L the intervals of all strings of L symbols that
-    split off at level L - 1 are extended by the symbols before them; the end of each new interval
-    gets L as its common prefix unless a smaller one is known, and is extended in turn.
+    Breadth-first backward extension. At level L the intervals of strings of L symbols that were
+    new are extended by the symbols before them. The end of an interval so found gets L as its
+    common prefix unless a smaller one is known; if it was not, the interval is extended in turn.
+    Intervals are kept in order, so a stable sort by one symbol puts their images in order.
     """
     n = len(text)
     before = text[order - 1]
-    by_symbol = np.argsort(before, kind="stable")
-    step = np.empty(n, np.int64)
-    step[by_symbol] = np.arange(n)
+    step = np.empty(n, np.int32)
+    step[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
     fixed = np.zeros(n + 1, bool)
     fixed[0] = fixed[n] = True
-    lo, hi = np.array([0]), np.array([n])
+    lo, hi = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(length):
-        size = hi - lo
-        total = int(size.sum())
-        if not total:
+        if not len(lo):
             break
+        size = hi - lo
         ends = np.cumsum(size)
-        member = np.repeat(np.arange(len(lo)), size)
-        at = np.arange(total) + np.repeat(lo - (ends - size), size)
-        to = step[at]
-        by = np.argsort(to, kind="stable")
-        to, member, symbol = to[by], member[by], before[at[by]]
-        new = np.concatenate([[True], (to[1:] != to[:-1] + 1) | (member[1:] != member[:-1]) | (symbol[1:] != symbol[:-1])])
-        first = np.flatnonzero(new)
+        total = int(ends[-1])
+        member = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        at = np.arange(total, dtype=np.int32) + np.repeat(lo - (ends - size), size).astype(np.int32)
+        symbol = before[at]
+        by = np.argsort(symbol, kind="stable")
+        member, symbol, to = member[by], symbol[by], step[at[by]]
+        first = np.flatnonzero(np.concatenate([[True], (member[1:] != member[:-1]) | (symbol[1:] != symbol[:-1])]))
         a, b = to[first], to[np.append(first[1:], total) - 1] + 1
         keep = ~fixed[b]
-        # an interval whose end is known may still begin anew; it is extended if either end is news
-        keep |= ~fixed[a]
         fixed[b] = True
-        fixed[a] = True
         lo, hi = a[keep], b[keep]
     return ~fixed[:n]
 
@@ -255,64 +253,72 @@ def repeated_starts(pieces: list[np.ndarray], twice: list[bool], length: int = L
 
 
 def _solve(batches):
-    """Repeated starts of each segment, as [from, to) pairs. Rows come sorted by anchor; an anchor lies in one partition."""
-    held: list[tuple[int, bytes, bool, np.ndarray]] = []
+    """Repeated starts of each segment, as [from, to) pairs. Rows come sorted by (group, content's digest); a group lies in one partition.
+
+    Equal contents of a group are held once, with the segments they are part of.
+    """
+    held: list[tuple[np.ndarray, bool, list[tuple[int, bytes, int]]]] = []
     size, last = 0, None
 
     def close():
-        marks = repeated_starts([h[3] for h in held], [h[2] for h in held])
+        # a group with one content that occurs once holds nothing repeated
+        marks = repeated_starts([h[0] for h in held], [h[1] or len(h[2]) > 1 for h in held])
         rows = []
-        for (anchor, key, _, _), m in zip(held, marks, strict=True):
+        for (_, _, parts), m in zip(held, marks, strict=True):
             edge = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]])))
             if len(edge):
-                rows.append((anchor, key, edge.tolist()))
+                rows += [(anchor, key, (edge + shift).tolist()) for anchor, key, shift in parts]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["anchor", "digest", "edges"])
 
     for batch in batches:
-        for anchor, key, many, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
-            if size > BATCH and anchor != last:
+        cols = [batch.column(c).to_pylist() for c in ("group", "name", "anchor", "digest", "shift", "many")]
+        for group, name, anchor, key, shift, many, content in zip(*cols, batch.column("content"), strict=True):
+            if last == (group, name):
+                held[-1][2].append((anchor, key, shift))
+                if many and not held[-1][1]:
+                    held[-1] = (held[-1][0], True, held[-1][2])
+                continue
+            if size > BATCH and (last is None or group != last[0]):
                 yield close()
                 held, size = [], 0
-            held.append((anchor, key, many, np.frombuffer(content.as_buffer(), np.uint8)))
-            size, last = size + len(held[-1][3]), anchor
+            held.append((np.frombuffer(content.as_buffer(), np.uint8), many, [(anchor, key, shift)]))
+            size, last = size + len(held[-1][0]), (group, name)
     if held:
         yield close()
 
 
-# --- refinement of large anchors --------------------------------------------------------------
+# --- the operator ------------------------------------------------------------------------------
 
 
-def _pieces(anchor: int, content: np.ndarray, starts: int, before: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(finer anchor, offset, content) of the parts of a segment, cut by the distance of a start to the anchor."""
+def pieces(content: np.ndarray, starts: int, before: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(group, first start, content) of the parts of a segment whose anchor lies `before` bytes after its first start."""
     width = -(-_SPAN // PIECES)
     for i in range(PIECES):
-        # starts at distances (i * width, (i + 1) * width] - 1 to the anchor, counted backward from it
-        far, near = min(before, (i + 1) * width - 1), max(before - starts + 1, i * width)
-        if far < near:
-            continue
-        s, e = before - far, before - near
-        # all windows of these distances hold the bytes from the nearest start to the farthest one's end
-        a, b = before - i * width, before - ((i + 1) * width - 1) + LENGTH
-        if a < 0 or b > len(content):
-            a, b = max(a, s), min(b, s + LENGTH)
-        yield e - s + 1, s, content[s : e + LENGTH]
+        # distances of a start to the anchor from near to far; all windows of these hold `common`
+        near, far = i * width, (i + 1) * width - 1
+        a, b = max(0, before - far), min(starts - 1, before - near)
+        if a <= b:
+            common = content[before - near : before - far + LENGTH]
+            yield int.from_bytes(hashlib.blake2b(common, digest_size=8, salt=bytes([i])).digest(), "little", signed=True), a, content[a : b + LENGTH]
 
 
-# --- the operator ------------------------------------------------------------------------------
+_PARTS = pa.schema([("group", pa.int64()), ("name", pa.binary()), ("anchor", pa.int64()), ("digest", pa.binary()), ("shift", pa.int32()), ("many", pa.bool_()), ("content", pa.binary())])
 
 
 def _fetch(batches):
-    """Content of the wanted segments of each row: (anchor, digest, many, content)."""
+    """Content of the wanted segments of each row, those of large anchors in pieces."""
     for batch in batches:
         data, offs = K.flat(batch.column(0))
-        out: list[list] = [[], [], [], []]
+        out: list[tuple] = []
         for r, wanted in enumerate(batch.column(1).to_pylist()):
             own = data[offs[r] : offs[r + 1]]
             for w in wanted:
-                for col, x in zip(out, (w["anchor"], w["digest"], w["many"], own[w["start"] : w["start"] + w["starts"] + LENGTH - 1].tobytes()), strict=True):
-                    col.append(x)
-        types = (pa.int64(), pa.binary(), pa.bool_(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["anchor", "digest", "many", "content"])
+                content = own[w["start"] : w["start"] + w["starts"] + LENGTH - 1]
+                if w["large"]:
+                    out += [(group, digest(part), w["anchor"], w["digest"], a, w["many"], part.tobytes()) for group, a, part in pieces(content, w["starts"], w["before"])]
+                else:
+                    out.append((w["anchor"], w["digest"], w["anchor"], w["digest"], 0, w["many"], content.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PARTS)], schema=_PARTS)
 
 
 def _cut(batches):
@@ -343,19 +349,37 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("row", F.unhex(F.md5("text")))
     found = written(marked.select("row", "text").mapInArrow(_occurrences, "row binary, start long, starts int, anchor long, digest binary, before int"), "anchors")
-    each = written(found.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("at"), F.first("starts").alias("starts")), "segments")
-    groups = each.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("all")).where("all > 1")
-    known = each.join(groups, "anchor")
+    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    again = written(found.join(shared, "anchor"), "shared")
+    drop(found)
+    each = written(again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("at"), F.first("starts").alias("starts"), F.first("before").alias("before")), "segments")
+    known = each.join(each.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
     same = known.where("kinds = 1").select("anchor", "digest", F.array(F.lit(0), F.col("starts")).alias("edges"))
-    wanted = known.where("kinds > 1").select(F.col("at.row").alias("row"), F.struct("anchor", "digest", (F.col("n") > 1).alias("many"), F.col("at.start").alias("start"), "starts").alias("w"))
-    wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
-    texts = marked.join(wanted, "row").dropDuplicates(["row"])
-    contents = texts.select("text", "wanted").mapInArrow(_fetch, "anchor long, digest binary, many boolean, content binary")
-    solved = contents.repartition(partitions, "anchor").sortWithinPartitions("anchor", "digest").mapInArrow(_solve, "anchor long, digest binary, edges array<int>")
+    wanted = known.where("kinds > 1").select(F.col("at.row").alias("row"), F.struct("anchor", "digest", (F.col("n") > 1).alias("many"), F.col("at.start").alias("start"), "starts", "before", (F.col("kinds") > GROUP).alias("large")).alias("w"))
+    wanted = written(wanted.groupBy("row").agg(F.collect_list("w").alias("wanted")), "wanted")
+    texts = _having(marked.select("row", "text"), wanted.select("row")).join(wanted, "row").dropDuplicates(["row"])
+    parts = texts.select("text", "wanted").mapInArrow(_fetch, "group long, name binary, anchor long, digest binary, shift int, many boolean, content binary")
+    solved = parts.repartition(partitions, "group").sortWithinPartitions("group", "name").mapInArrow(_solve, "anchor long, digest binary, edges array<int>")
     marks = written(solved.unionByName(same), "repeats")
-    hits = found.select("row", "start", "anchor", "digest").join(marks, ["anchor", "digest"])
-    hits = hits.select("row", "start", "edges").distinct().groupBy("row").agg(F.collect_list(F.struct("start", "edges")).alias("marks"))
-    return marked.join(hits, "row", "left").select("doc_id", "text", "marks").mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    drop(each)
+    drop(wanted)
+    hits = again.select("row", "start", "anchor", "digest").join(marks, ["anchor", "digest"])
+    hits = written(hits.groupBy("row").agg(F.collect_set(F.struct("start", "edges")).alias("marks")), "marks")
+    drop(again)
+    drop(marks)
+    columns = ["doc_id", "text", "marks"]
+    if hits.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(hits.select("row"))
+        touched = marked.join(keys, "row", "left_semi").join(hits, "row").select(*columns)
+        out = touched.unionByName(marked.join(keys, "row", "left_anti").withColumn("marks", F.lit(None).cast(hits.schema["marks"].dataType)).select(*columns))
+    else:
+        out = marked.join(hits, "row", "left").select(*columns)
+    return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+
+
+def _having(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """texts with a key among keys, as far as a broadcast can tell; beyond its bound all of them."""
+    return texts.join(F.broadcast(keys), "row", "left_semi") if keys.count() <= BROADCAST_ROWS else texts
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

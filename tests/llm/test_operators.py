@@ -160,7 +160,11 @@ def brute_spans(texts, n=400):
         yield len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()
 
 
-def test_substrings(spark, odd):
+@pytest.mark.parametrize("group", [3_000, 0])
+def test_substrings(spark, odd, group, monkeypatch):
+    """With anchors as they are, and with all of them refined."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ROWS", group)
     draw = random.Random(3)
     base = "".join(draw.choices("abcdef ", k=3000))
     texts = [*odd[:-1], "x" * 1500, "abcdefg" * 200, base, base[500:1500] + "Q" + base[1600:2100], "é" * 300 + base[10:420], base[:399], base[:400], base[:400], "zz" + base[100:480] + "zz", base[:1000] + base[:1000]]
