@@ -145,3 +145,13 @@ def chunk_stats(chunks: DataFrame, content: str = "content") -> DataFrame:
     n = F.length(content)
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return chunks.agg(F.count("*").alias("total_chunks"), zero(F.floor(F.avg(n) + 0.5)).alias("avg_size"), zero(F.min(n)).alias("min_size"), zero(F.max(n)).alias("max_size"), zero(F.sum(n)).alias("total_chars"))
+
+
+def section_counts(chunks: DataFrame) -> DataFrame:
+    """Chunks per section title; null for chunks without a heading."""
+    return chunks.groupBy("section_title").agg(F.count("*").alias("chunks"))
+
+
+def dump_json(chunks: DataFrame, path: str) -> None:
+    """Write chunks as JSON lines, to look at."""
+    chunks.write.mode("overwrite").json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +40,12 @@ def knn_batch(chunks: DataFrame, queries: DataFrame, k: int, *, metric: str = "c
     task holds one Arrow batch of vectors and one block, multiplies them as matrices and keeps
     its best k per query, so that what is shuffled is k rows per query and batch at most.
     """
-    rows = [(r[0], list(r[1])) for r in queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()]
     key_type = chunks.schema[key].dataType.simpleString()
     id_type = queries.schema[query_id].dataType.simpleString()
-    out = None
-    for i in range(0, len(rows), BATCH_QUERIES):
-        part = _knn_block(chunks, rows[i : i + BATCH_QUERIES], k, metric, key, embedding, f"query_id {id_type}, {key} {key_type}, distance double")
+    out, block = None, []
+    rows = queries.select(query_id, query_vector).where(F.col(query_vector).isNotNull()).toLocalIterator()
+    while block := [(r[0], list(r[1])) for r in itertools.islice(rows, BATCH_QUERIES)]:
+        part = _knn_block(chunks, block, k, metric, key, embedding, f"query_id {id_type}, {key} {key_type}, distance double")
         out = part if out is None else out.unionByName(part)
     if out is None:
         return chunks.sparkSession.createDataFrame([], f"query_id {id_type}, {key} {key_type}, distance double, rank int")

@@ -500,6 +500,40 @@ def metadata_whitelist(spark: SparkSession, sf: str) -> DataFrame:
     return compat_stored_metadata(rows)
 
 
+@query(rf"WITH c AS (SELECT {_HEADED} AS content FROM documents) SELECT nullif({trim_sql(chr(39).join(['regexp_extract(content, ', '(?m)^(#{1,6})' + chr(92) + 's+(.+)$', ', 2)']))}, '') AS section_title, count(*) AS chunks FROM c GROUP BY 1")
+def section_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return C.section_counts(_headed(spark, sf).select(X.heading_title(F.col("content")).alias("section_title")))
+
+
+@query("SELECT count(*) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents")
+def load_totals(spark: SparkSession, sf: str) -> DataFrame:
+    from .plans.ingest import counted
+
+    return counted(table(spark, sf, "documents"), "text")
+
+
+_SCALARS = ["./src/a b.py", "..\\x", "owner/repo.js", "a/b/c", "host.example", "y" * 1001]
+
+
+@query(r"SELECT i AS id, regexp_replace(x, '^[./\\]+', '') AS stripped, regexp_matches(x, '^[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+$') AS is_owner_repo, regexp_matches(x, '^[a-zA-Z0-9.-]+$') AS is_host, CASE WHEN length(x) > 1000 THEN left(x, 1000) || chr(10) || '... (truncated)' ELSE x END AS excerpt, regexp_replace(x, '[^a-zA-Z0-9]', '_', 'g') AS safe FROM (VALUES " + ", ".join("(CAST({} AS INTEGER), '{}')".format(i, x) for i, x in enumerate(_SCALARS)) + ") v(i, x)")
+def text_scalars(spark: SparkSession, sf: str) -> DataFrame:
+    x = F.col("x")
+    rows = spark.createDataFrame(list(enumerate(_SCALARS)), "id int, x string")
+    return rows.select("id", X.strip_leading_dots(x).alias("stripped"), x.rlike(U.OWNER_REPO).alias("is_owner_repo"), x.rlike(U.HOST).alias("is_host"), X.select_excerpt(x).alias("excerpt"), X.safe_file_name(x).alias("safe"))
+
+
+@query("SELECT CAST(v AS DOUBLE) AS v, floor(v * 100 + 0.5) / 100 AS two_places, printf('%.1f', floor(v * 1000 + 0.5) / 10) || '%' AS percent FROM (VALUES (0.0025), (0.1225), (-0.005), (0.5), (1.0), (0.98765)) t(v)")
+def rounding(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("v")
+    return spark.createDataFrame([(x,) for x in (0.0025, 0.1225, -0.005, 0.5, 1.0, 0.98765)], "v double").select("v", X.round2(v).alias("two_places"), X.percent(v).alias("percent"))
+
+
+@query(f"WITH {_BM} SELECT doc_id AS chunk_id, round({_BMS}, 6) AS score FROM po JOIN df USING (t), st WHERE t IN ('thatin', 'ononst', 'inoran', 'hehely', 'orantion') GROUP BY doc_id ORDER BY {_BMS} DESC, doc_id LIMIT 5")
+def bm25_compat_cap(spark: SparkSession, sf: str) -> DataFrame:
+    found = R.BM25(_doc_chunks(spark, sf)).search(spark.createDataFrame([(0, TEXT)], "query_id long, text string"), 20, compat_cap=5)
+    return found.select("chunk_id", rnd("score").alias("score"))
+
+
 # --- topics ---------------------------------------------------------------------------------------
 
 

@@ -248,4 +248,15 @@ def available_models(curated: DataFrame, local: DataFrame) -> DataFrame:
     return a.unionByName(b)
 
 
-
+def discover_models(spark: SparkSession, root: str) -> list[str]:
+    """Names of model folders below root: <model> or <owner>/<model>, known by a config or a model file."""
+    files = Files(spark)
+    marks = ("config.json", "model.onnx", "onnx/model.onnx")
+    has = lambda path: any(files.exists(f"{path}/{m}") for m in marks)
+    found = []
+    for owner in files.folders(root):
+        if has(f"{root}/{owner}"):
+            found.append(owner)
+        else:
+            found += [f"{owner}/{model}" for model in files.folders(f"{root}/{owner}") if has(f"{root}/{owner}/{model}")]
+    return sorted(found)
