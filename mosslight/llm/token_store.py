@@ -25,24 +25,25 @@ table gives an empty store. Other columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .kernels import row_slices
 from .scratch import new_path, written
 
 MAX_BITS, LANE, SEGMENT = 18, 64, 1 << 17
 END_ID = 2
-CACHE_UNITS = 400_000
+CACHE_UNITS, TEXT_SLICE = 400_000, 6 << 20
 MAGIC = b"MTK1"
 DTYPE = np.dtype("<u4")
 
@@ -67,7 +68,7 @@ class UnitEncoder:
     """
 
     MARK = "<|endoftext|>"
-    MARKED = re.compile(r"([a-z]+)([!-&(-/:;=-@\[-`{-~]+)").fullmatch
+    MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
     def __init__(self, path: str, limit: int = CACHE_UNITS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,9 +84,9 @@ class UnitEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def parts(self, text: str) -> list[str]:
-        text = text.replace("\n", " ")
-        return (text.lower() if text.isascii() and "<|" not in text else text).split(" ")
+    @staticmethod
+    def key(unit: str) -> str:
+        return unit.lower() if unit.isascii() and "<|" not in unit else unit
 
     def learn(self, units: set[str]) -> None:
         """Make sure that all units are known."""
@@ -98,12 +99,14 @@ class UnitEncoder:
                 continue
             if u in before:
                 now[u] = before[u]
-            elif u.isalpha() and (u.isascii() or max(u) < "\u0130"):
+                continue
+            core = u.rstrip(self.MARKS)
+            if not core.isalpha() or not (core.isascii() or max(core) < "\u0130"):
+                other.append(u)
+            elif core == u:
                 plain.add(u)
-            elif m := self.MARKED(u):
-                joined.append((u, *m.groups()))
             else:
-                other.append(u)
+                joined.append((u, core, u[len(core) :]))
         for _, core, tail in joined:
             if core not in now:
                 plain.add(core)
@@ -130,17 +133,33 @@ class UnitEncoder:
                 raise AssertionError("parts and ids don't match")
             self.now.update(zip(own, (raw[x:y] for x, y in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)), strict=True))
 
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        parts = [self.parts(t) for t in texts]
-        found = [list(map(self.now.get, p)) for p in parts]
-        gaps = [[i for i, x in enumerate(f) if x is None] for f in found]
-        self.learn({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
-        end, known = np.array([end_id], self.dtype).tobytes(), self.now
-        for p, f, g in zip(parts, found, gaps, strict=True):
-            for i in g:
-                f[i] = known[p[i]]
-            f.append(end)
-        return [b"".join(f) for f in found]
+    def known(self, units: list[str]) -> list[bytes]:
+        """Ids of parts."""
+        keys = [self.key(u) for u in units]
+        found = list(map(self.now.get, keys))
+        gaps = [i for i, x in enumerate(found) if x is None]
+        if gaps:
+            self.learn({keys[i] for i in gaps})
+            for i in gaps:
+                found[i] = self.now[keys[i]]
+        return found
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of whole texts, the end id after each. Distinct parts are found by Arrow, looked up once, and gathered."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        named = parts.flatten().dictionary_encode()
+        found = self.known(named.dictionary.to_pylist())
+        at = named.indices.to_numpy()
+        # a slice's ids are far fewer than 2 ** 31
+        size = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
+        begin = np.cumsum(size, dtype=np.int32) - size
+        n = size[at]
+        ends = np.cumsum(n, dtype=np.int32)
+        ids = np.frombuffer(b"".join(found), self.dtype)[np.repeat(begin[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)]
+        # every text has a part, if an empty one
+        cuts = [0, *ends[parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py() - 1].tolist()]
+        end = np.array([end_id], self.dtype).tobytes()
+        return [ids[i:j].tobytes() + end for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
 _loaded: dict[str, UnitEncoder] = {}
@@ -153,12 +172,15 @@ def encoder(path: str) -> UnitEncoder:
     return _loaded[path]
 
 
+_squeeze, _expand = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(ids: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(ids)
+    return _squeeze.compress(ids)
 
 
 def unpack(data: bytes, dtype: np.dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype)
+    return np.frombuffer(_expand.decompress(data), dtype)
 
 
 def _tokenize(path: str, end_id: int):
@@ -168,13 +190,9 @@ def _tokenize(path: str, end_id: int):
         coder = encoder(path)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            size, i = 0, 0
-            for j in range(batch.num_rows):
-                size += len(texts[j].as_py() or "")
-                if size > 1 << 21 or j == batch.num_rows - 1:
-                    some = [pack(x) for x in coder.encode([x or "" for x in texts.slice(i, j + 1 - i).to_pylist()], end_id)]
-                    yield pa.RecordBatch.from_arrays([ids.slice(i, j + 1 - i), pa.array([coder.dtype.itemsize] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["doc_id", "width", "ids"])
-                    size, i = 0, j + 1
+            for i, j in row_slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), TEXT_SLICE):
+                some = [pack(x) for x in coder.encode(texts.slice(i, j - i), end_id)]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([coder.dtype.itemsize] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["doc_id", "width", "ids"])
 
     return run
 
