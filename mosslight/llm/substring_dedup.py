@@ -47,7 +47,7 @@ from . import kernels as K
 from .scratch import drop, written
 
 LENGTH, GRAM = 400, 32
-BATCH, GROUP, PIECES = 1 << 20, 3_000, 4
+BATCH, GROUP, PIECES = 1 << 18, 3_000, 4
 BROADCAST_ROWS = 1_000_000
 _SPAN = LENGTH - GRAM + 1
 
@@ -349,11 +349,13 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("row", F.unhex(F.md5("text")))
     found = written(marked.select("row", "text").mapInArrow(_occurrences, "row binary, start long, starts int, anchor long, digest binary, before int"), "anchors")
-    shared = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # tables of one row for each anchor are written first: a join with them can then be split where an anchor is very common
+    shared = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "common")
     again = written(found.join(shared, "anchor"), "shared")
     drop(found)
     each = written(again.groupBy("anchor", "digest").agg(F.count("*").alias("n"), F.min(F.struct("row", "start")).alias("at"), F.first("starts").alias("starts"), F.first("before").alias("before")), "segments")
-    known = each.join(each.groupBy("anchor").agg(F.count("*").alias("kinds")), "anchor")
+    kinds = written(each.groupBy("anchor").agg(F.count("*").alias("kinds")), "kinds")
+    known = each.join(kinds, "anchor")
     same = known.where("kinds = 1").select("anchor", "digest", F.array(F.lit(0), F.col("starts")).alias("edges"))
     wanted = known.where("kinds > 1").select(F.col("at.row").alias("row"), F.struct("anchor", "digest", (F.col("n") > 1).alias("many"), F.col("at.start").alias("start"), "starts", "before", (F.col("kinds") > GROUP).alias("large")).alias("w"))
     wanted = written(wanted.groupBy("row").agg(F.collect_list("w").alias("wanted")), "wanted")
