@@ -40,21 +40,18 @@ LIMIT = 3
 _ROUND = [(48271 * (r + 3) ** 7 % PRIME, 69621 * (r + 5) ** 5 % PRIME) for r in range(ROUNDS)]
 
 
-def permuted(df: DataFrame, x: Column, n: Column, key: Column, name: str) -> DataFrame:
-    """df with x under the pseudorandom permutation of [0, n) that key selects, by swap-or-not rounds.
+def permuted(x: Column, n: Column, key: Column) -> Column:
+    """x under the pseudorandom permutation of [0, n) that key selects, by swap-or-not rounds."""
+    rounds = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(c).cast("long").alias("c")) for a, c in _ROUND])
 
-    Each round is a projection of its own, which keeps them in generated code: Spark doesn't merge
-    projections where that would repeat work.
-    """
-    df = df.withColumn("_n", n.cast("long")).withColumn("_key", key.cast("long")).withColumn(name, x.cast("long"))
-    n, key, at = F.col("_n"), F.col("_key"), F.col(name)
-    for a, c in _ROUND:
-        turn = ((F.lit(a) * key + c) % PRIME) % n
-        df = df.withColumn("_other", (turn - at + n) % n)
-        high = F.greatest(at, F.col("_other"))
-        bit = F.shiftright(((((high % PRIME) * 48271 + F.lit(c) * key) % PRIME) * 69621) % PRIME, 13) % 2
-        df = df.withColumn(name, F.when(bit == 1, F.col("_other")).otherwise(at))
-    return df.drop("_n", "_key", "_other")
+    def step(at: Column, r: Column) -> Column:
+        turn = ((r["a"] * key + r["c"]) % PRIME) % n
+        other = (turn - at + n) % n
+        high = F.greatest(at, other)
+        bit = F.shiftright(((((high % PRIME) * 48271 + r["c"] * key) % PRIME) * 69621) % PRIME, 13) % 2
+        return F.when(bit == 1, other).otherwise(at)
+
+    return F.aggregate(rounds, x.cast("long"), step)
 
 
 def running(df: DataFrame, group: str, bucket: str, order: list[str], value: str, name: str) -> DataFrame:
@@ -116,13 +113,12 @@ def mixed_blocks(sources: DataFrame) -> DataFrame:
     """(shard, src, slot, pass, block): which block of which source every slot of the mix holds."""
     slots = draw_slots(sources).join(sources.select("src", "n_blocks"), "src")
     turn, at = F.floor(F.col("slot") / F.col("n_blocks")), F.col("slot") % F.col("n_blocks")
-    slots = slots.withColumn("pass", turn).withColumn("at", at)
-    return permuted(slots, F.col("at"), F.col("n_blocks"), F.col("src") * 4 + F.col("pass") + 1, "block").select("shard", "src", "slot", "pass", "block")
+    return slots.select("shard", "src", "slot", turn.alias("pass"), permuted(at, F.col("n_blocks"), F.col("src") * 4 + turn + 1).alias("block"))
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     """(doc_id, source, size, mark) of every row."""
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("mark"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.col(text)).alias("mark"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -134,7 +130,8 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     known = sources.select(F.col("source").alias("_source"), "src", "source_size", "target")
     rows = rows.join(known, rows.source.eqNullSafe(F.col("_source"))).drop("_source")
     buckets = max(1, int(n**0.5))
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark", "nth"), F.lit(buckets)))
+    name = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "mark", F.col("nth").cast("string")))
+    rows = rows.withColumn("bucket", F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % buckets)
     rows = written(running(rows, "src", "bucket", ["doc_id", "mark", "nth"], "size", "start").drop("bucket"), "packed")
     taken = mixed_blocks(sources).groupBy("src", "block").agg(F.count("*").alias("times"))
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
@@ -161,8 +158,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     plan = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("_plan"), F.max("times").alias("_most"))
     plan = rows.join(plan, "row").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_for"), F.col("nth").alias("_turn"), "_plan", "_most")
     same = Window.partitionBy("doc_id", "source", "_mark").orderBy(F.lit(1))
-    own = docs.withColumn("_mark", F.xxhash64("text")).withColumn("_nth", F.row_number().over(same))
-    on = own.doc_id.eqNullSafe(F.col("_id")) & own.source.eqNullSafe(F.col("_source")) & (own["_mark"] == F.col("_for")) & (own["_nth"] == F.col("_turn"))
+    own = docs.withColumn("_mark", F.md5("text")).withColumn("_nth", F.row_number().over(same))
+    on = own.doc_id.eqNullSafe(F.col("_id")) & own.source.eqNullSafe(F.col("_source")) & own["_mark"].eqNullSafe(F.col("_for")) & (own["_nth"] == F.col("_turn"))
     out = own.join(plan, on).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))))
     out = out.withColumn("_words", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
     chosen = F.filter("_plan", lambda p: p["times"] >= F.col("_use"))
@@ -176,3 +173,35 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of the sources takes from every document."""
     return mix_report(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _sql_permuted(n: str, key: str) -> str:
+    """A subquery with column `pos` of `slots` permuted, one layer for each round."""
+    out = "slots"
+    for a, c in _ROUND:
+        out = f"(SELECT *, ((({a} * {key} + {c}) % {PRIME}) % {n} - pos + {n}) % {n} AS other FROM {out})"
+        bit = f"((((greatest(pos, other) % {PRIME}) * 48271 + {c} * {key}) % {PRIME} * 69621) % {PRIME} >> 13) % 2"
+        out = f"(SELECT * EXCLUDE (pos, other), CASE WHEN {bit} = 1 THEN other ELSE pos END AS pos FROM {out})"
+    return out
+
+
+#: What is taken follows from targets and permutations alone: the draw decides where in the mix, not how much.
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, md5(text) AS mark FROM documents),
+e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, mark ORDER BY size) AS nth FROM d),
+b AS (SELECT greatest(1, CAST(floor(sqrt(count(*))) AS BIGINT)) AS buckets FROM e),
+s1 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS src FROM e GROUP BY source),
+s2 AS (SELECT *, CASE src % 3 WHEN 1 THEN 5.0 WHEN 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS w, {LIMIT} * source_size AS lim FROM s1),
+s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lev FROM s2 WINDOW o AS (ORDER BY lim / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lv AS (SELECT lev AS level FROM s3 WHERE lev <= lim / w ORDER BY lim / w, src LIMIT 1),
+s4 AS (SELECT source, src, source_size, round(least(CAST(lim AS DOUBLE), w * level), 6) AS target, CAST(ceil(source_size / {BLOCK}.0) AS BIGINT) AS n FROM s3, lv),
+s5 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS f FROM s4),
+s6 AS (SELECT *, CASE WHEN f >= {LIMIT} THEN 0 ELSE least(n, CAST(floor((target - f * source_size) / {BLOCK}.0 + 0.5) AS BIGINT)) END AS part FROM s5),
+slots AS (SELECT src, n, src * 4 + f + 1 AS key, pos FROM (SELECT src, n, f, unnest(range(0, part)) AS pos FROM s6)),
+chosen AS (SELECT src, pos AS block FROM {_sql_permuted("n", "key")}),
+p AS (SELECT e.doc_id, e.size, e.mark, e.nth, s6.src, source_size, target, f, CAST('0x' || substr(md5(concat_ws('|', CAST(e.doc_id AS VARCHAR), e.mark, CAST(nth AS VARCHAR))), 1, 8) AS BIGINT) % buckets AS bucket FROM e JOIN s6 ON e.source IS NOT DISTINCT FROM s6.source, b),
+r AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id NULLS FIRST, mark NULLS FIRST, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER () AS row FROM p),
+x AS (SELECT row, src, start, size, f, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM r WHERE size > 0),
+t AS (SELECT row, sum((least(start + size, (x.block + 1) * {BLOCK}) - greatest(start, x.block * {BLOCK})) * (f + CASE WHEN c.block IS NULL THEN 0 ELSE 1 END)) AS taken FROM x LEFT JOIN chosen c ON x.src = c.src AND x.block = c.block GROUP BY row)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM r LEFT JOIN t USING (row)
+"""

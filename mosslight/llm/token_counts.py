@@ -39,10 +39,7 @@ def counter(path: str) -> Callable[[list[str]], list[int]]:
     coder = encoder(path)
 
     def count(units: list[str]) -> list[int]:
-        found, width = list(map(coder.now.get, units)), coder.dtype.itemsize
-        if None in found:
-            coder.learn({u for u, x in zip(units, found, strict=True) if x is None})
-        return [len(coder.now[u] if x is None else x) // width for u, x in zip(units, found, strict=True)]
+        return [len(x) // coder.dtype.itemsize for x in coder.known(units)]
 
     return count
 
