@@ -56,7 +56,11 @@ def split_text(text: str, size: int, overlap: int, separators: list[str]) -> lis
         end = atoms[j][1]
         body = text[start:end]
         if body.strip():
-            out.append((start + len(body) - len(body.lstrip()), start + len(body.rstrip())))
+            span = (start + len(body) - len(body.lstrip()), start + len(body.rstrip()))
+            # a chunk that only adds leading space to the next one's overlap is that one
+            if out and out[-1][0] == span[0]:
+                out.pop()
+            out.append(span)
         if j + 1 >= len(atoms):
             break
         i = j + 1

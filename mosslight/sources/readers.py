@@ -74,7 +74,7 @@ def read_repository(spark: SparkSession, paths: list[str], ignore: str = X.DEFAU
     """All text files of local checkouts, but for ignored paths. `branch` is recorded, not switched."""
     out = None
     for root in paths:
-        base = F.lit(root.rstrip("/") + "/")
+        base = root.rstrip("/") + "/"
         rows = _whole(spark, [root], recursive)
         relative = F.substring_index(F.col("file_path"), base, -1)
         rows = rows.withColumn("relative_path", relative).where(~X.ignored(F.col("relative_path"), [*X.ignore_patterns(ignore), ".git/**"]))
