@@ -125,7 +125,8 @@ def test_license(spark):
     texts = ["Copyright (c) 2020 A. Person\n" + mit.upper().replace(",", " ;"), "text\n// Licenced under the Apache Licence, version 2.0\nmore", None, "", "licensed under the apache license version 2 0 and more", "Copyright 2021 B"]
     got = {r.doc_id: r for r in license_scan.scan(table(spark, texts)).collect()}
     assert got[0].license == "MIT" and got[1].license is None
-    assert [got[i].notices for i in range(1, 6)] == ["", "", "", "", ""] or got[1].notices == ""
+    # a line is a text of its own; more words around a notice make another text
+    assert [got[i].notices for i in range(1, 6)] == ["Apache-2.0", "", "", "", ""]
     spelled = license_scan.scan(table(spark, ["Licensed under the Apache Licence, Version 2.0!!"])).first()
     assert spelled.license == spelled.notices == "Apache-2.0"
     assert license_scan.scan(table(spark, texts).limit(0)).count() == 0
