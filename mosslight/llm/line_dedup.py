@@ -77,7 +77,8 @@ def dedup_units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     own = own.withColumn("row", key)
     units = written(own.select("row", "doc_id", "text").mapInArrow(_units(separator), "row binary, doc_id long, place int, digest binary"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("row").alias("c"), F.col("place").alias("d"))
-    first = units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    # written first: a join with a plain table can be split where one unit is very common
+    first = written(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
     again = units.join(first, "digest").where(rank != F.col("first"))
     again = again.groupBy("row").agg(F.collect_set("place").alias("places"))
     nth = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(1)))
