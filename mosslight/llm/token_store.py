@@ -43,7 +43,7 @@ from .scratch import new_path, written
 
 MAX_BITS, LANE, SEGMENT = 18, 64, 1 << 17
 END_ID = 2
-CACHE_UNITS, TEXT_SLICE = 400_000, 6 << 20
+CACHE_UNITS, TEXT_SLICE = 400_000, 12 << 20
 MAGIC = b"MTK1"
 DTYPE = np.dtype("<u4")
 
@@ -84,19 +84,13 @@ class UnitEncoder:
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def key(unit: str) -> str:
-        return unit.lower() if unit.isascii() and "<|" not in unit else unit
-
     def learn(self, units: set[str]) -> None:
-        """Make sure that all units are known."""
+        """Encode units that aren't known yet."""
         if len(self.now) + len(units) > self.limit:
             self.before, self.now = self.now, {"": b""}
         now, before = self.now, self.before
         plain, other, joined = set(), [], []
         for u in units:
-            if u in now:
-                continue
             if u in before:
                 now[u] = before[u]
                 continue
@@ -134,8 +128,8 @@ class UnitEncoder:
             self.now.update(zip(own, (raw[x:y] for x, y in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)), strict=True))
 
     def known(self, units: list[str]) -> list[bytes]:
-        """Ids of parts."""
-        keys = [self.key(u) for u in units]
+        """Ids of parts; those of ASCII are looked up in lower case (but for what may name a special token)."""
+        keys = [u.lower() if u.isascii() and "<|" not in u else u for u in units]
         found = list(map(self.now.get, keys))
         gaps = [i for i, x in enumerate(found) if x is None]
         if gaps:
