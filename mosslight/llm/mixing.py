@@ -160,8 +160,9 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     same = Window.partitionBy("doc_id", "source", "_mark").orderBy(F.lit(1))
     own = docs.withColumn("_mark", F.md5("text")).withColumn("_nth", F.row_number().over(same))
     on = own.doc_id.eqNullSafe(F.col("_id")) & own.source.eqNullSafe(F.col("_source")) & own["_mark"].eqNullSafe(F.col("_for")) & (own["_nth"] == F.col("_turn"))
-    out = own.join(plan, on).withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))))
-    out = out.withColumn("_words", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    # words are cut below the generator: above it the expression would be repeated for every piece
+    out = own.join(plan, on).withColumn("_words", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
+    out = out.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))))
     chosen = F.filter("_plan", lambda p: p["times"] >= F.col("_use"))
     text = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice("_words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), "")
     out = out.withColumn("text", text)
