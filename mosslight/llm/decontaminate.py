@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .scratch import small_batches
 
 WINDOW, KGRAM = 10, 5
 BLOCK_WORDS = 200_000
@@ -185,6 +186,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
 
     `keep` names the input columns that the result carries (all of them by default).
     """
+    small_batches(spark)
     keep = list(docs.columns) if keep is None else list(keep)
     parts = list(blocks(benchmark, item_id, item_text, block_words)) or [[]]
     out = docs.select(*dict.fromkeys([*(c for c in keep if c not in RESULT), text]))

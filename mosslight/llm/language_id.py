@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .scratch import small_batches
 
 TRAIN_DOCS, TRAIN_BYTES = 4_000, 20_000
 BUCKET_BITS, ORDERS = 16, (1, 2, 3, 4)
@@ -258,6 +259,7 @@ def _has_letter(col: pa.Array) -> np.ndarray:
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (all by default) with lang_pred, score and ambiguous."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, (_, t) in RESULT.items())])
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_predict(shared, text, keep), schema)

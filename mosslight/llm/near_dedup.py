@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .scratch import drop, written
+from .scratch import small_batches, written
 
 SHINGLE, THRESHOLD = 5, 85
 COORDS, TREES, FIRST_TREES = 64, 12, 2
@@ -244,6 +244,7 @@ def _by_node(rows: DataFrame, solve, columns: tuple[str, ...], schema: pa.Schema
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; the mapping is over all pairs of rows."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = written(docs.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sig binary, roots array<long>"), "features")
     full = rows.where("digest is not null and doc_id is not null")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import drop, written
+from .scratch import drop, small_batches, written
 
 LENGTH, GRAM = 400, 32
 BATCH, GROUP, PIECES = 1 << 18, 3_000, 4
@@ -345,6 +345,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     """Per row of docs: doc_id, n_bytes, n_removed, spans ([first byte, byte after]) and kept (binary)."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(spark)
     # equal texts have equal spans, so a text's digest stands for its rows
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("row", F.unhex(F.md5("text")))

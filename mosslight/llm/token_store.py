@@ -39,11 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernels import row_slices
-from .scratch import new_path, written
+from .scratch import new_path, small_batches, written
 
 MAX_BITS, LANE, SEGMENT = 18, 64, 1 << 17
 END_ID = 2
-CACHE_UNITS, TEXT_SLICE = 400_000, 12 << 20
+CACHE_UNITS, TEXT_SLICE = 200_000, 12 << 20
 MAGIC = b"MTK1"
 DTYPE = np.dtype("<u4")
 
@@ -350,6 +350,7 @@ def _codebook(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def write_store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode docs and write the store below path."""
     spark = docs.sparkSession
+    small_batches(spark, 4_000)
     encoded = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokenize(tokenizer or tokenizer_path(), end_id), "doc_id long, width int, ids binary"), "ids")
     counts = encoded.select("width", "ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
     symbols = np.array([r.symbol for r in counts], np.int64)
