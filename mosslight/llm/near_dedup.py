@@ -15,9 +15,8 @@ Scale. Documents with equal sets are folded into one class first, by a digest. O
 similar signature go to the second walk, and only their sets are gathered; a group that several
 trees find alike is compared once. The first trees' links are turned into components; later trees
 drop every group that lies in one component, so that a group of copies costs links in proportion
-to its size and not to its square. Nodes too large for a task are branched by Spark before any
-task takes them; what still is too large after `DEPTH` levels is cut in blocks, and each pair of
-blocks compared. The ids of the gathered sets are broadcast up to `BROADCAST_ROWS` of them, and
+to its size and not to its square. Nodes too large for a task are cut in blocks, and each pair of
+blocks is compared, so that no pair is lost; that is quadratic in such a node's size. The ids of the gathered sets are broadcast up to `BROADCAST_ROWS` of them, and
 joined by a shuffle beyond.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with nothing,
@@ -204,37 +203,20 @@ def _verify(node: int, reps: list[int], sigs: list[bytes], sets: list[bytes], co
     return _Node(reps, sigs, sets, comps, seed=node & 0x7FFFFFFFFFFFFFFF).run()
 
 
-def _branch(members: DataFrame, sigs: DataFrame, level: int) -> DataFrame:
-    """Members of large nodes, dealt to child nodes by the coordinate that each node's path selects."""
-    coord = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(COORDS)).cast("int")
-    value = F.substring(F.col("sig"), coord * 2 + 1, F.lit(2))
-    return members.join(sigs, "digest").withColumn("node", F.xxhash64("node", F.lit(level), value)).select(*members.columns)
-
-
-def _bounded(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """members(node, digest, size, ...) with nodes that one task can hold: large ones are branched, then cut in block pairs."""
+def _bounded(members: DataFrame) -> DataFrame:
+    """members(node, digest, size, ...) with nodes that one task can hold: large ones are cut in blocks, and each pair of blocks is a node."""
     columns = members.columns
-
-    def sized(df):
-        total = df.groupBy("node").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("rows > 1")
-        return df.join(total, "node")
-
-    done, level = None, 0
+    total = members.groupBy("node").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("rows > 1")
+    now = members.join(total, "node")
     large = f"rows > {NODE_ROWS} or bytes > {NODE_BYTES}"
-    now = sized(members)
-    while True:
-        fits = now.where(f"not ({large})").select(*columns)
-        done = fits if done is None else done.unionByName(fits)
-        rest = now.where(large)
-        if rest.isEmpty():
-            return done
-        if level == DEPTH:
-            parts = F.greatest(F.ceil(F.col("rows") * 2 / NODE_ROWS), F.ceil(F.col("bytes") * 2 / NODE_BYTES)).cast("int")
-            block = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
-            block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            return done.unionByName(block.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select(*columns))
-        now = sized(written(_branch(rest.select(*columns), sigs, level), "branch"))
-        level += 1
+    fits, rest = now.where(f"not ({large})").select(*columns), now.where(large)
+    if rest.isEmpty():
+        return fits
+    parts = F.greatest(F.ceil(F.col("rows") * 2 / NODE_ROWS), F.ceil(F.col("bytes") * 2 / NODE_BYTES)).cast("int")
+    block = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    # a pair of blocks compares each of the two within itself as well
+    block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other")
+    return fits.unionByName(block.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select(*columns))
 
 
 def _by_node(rows: DataFrame, solve, columns: tuple[str, ...], schema: pa.Schema, ddl: str) -> DataFrame:
@@ -255,7 +237,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rooted = classes.select("digest", F.posexplode("roots").alias("tree", "node"))
     shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
     members = written(rooted.join(shared, "node").withColumn("size", F.lit(2 * COORDS)), "members")
-    near = _by_node(_bounded(members, sigs).join(sigs, "digest"), _similar, ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
+    near = _by_node(_bounded(members).join(sigs, "digest"), _similar, ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
     groups = written(near.groupBy("node", "digest").agg(F.min("tree").alias("tree")).join(classes.select("digest", "rep", (F.col("n") * 8).alias("size")), "digest"), "groups")
     # the sets of what is left
     active = written(groups.select("rep").distinct(), "active")
@@ -274,7 +256,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             part = part.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
             open_ = part.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("node")
             part = written(part.join(open_, "node", "left_semi"), "open")
-        pairs = _by_node(_bounded(part, sigs).join(sets, "digest"), _verify, ("rep", "sig", "items", "comp"), pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
+        pairs = _by_node(_bounded(part).join(sets, "digest"), _verify, ("rep", "sig", "items", "comp"), pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
         links = written(links.unionByName(pairs), "links")
         comp = written(connected_components(links), "components")
     final = rows.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")

@@ -383,6 +383,25 @@ def test_near_large_nodes(spark, monkeypatch):
     assert got == set(brute_components(texts, list(range(len(texts)))))
 
 
+def star_texts(n):
+    """A template, not the first, and n copies that are 0.858 to it and 0.73 to each other."""
+    draw, out = random.Random(21), []
+    base = [f"t{i}" for i in range(200)]
+    for k in range(n):
+        w = list(base)
+        for p in draw.sample(range(5, 195, 5), 3):
+            w[p] = f"copy{k}at{p}"
+        out.append(" ".join(w))
+    return [*out[: n // 2], " ".join(base), *out[n // 2 :]]
+
+
+def test_near_star_by_spark(spark, monkeypatch):
+    """A star far beyond a task's bound loses no link on the way to a task."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 10)
+    got = [r.component_id for r in near_dedup.near_duplicates(table(spark, star_texts(120))).collect()]
+    assert got == [0] * 121
+
+
 def test_components(spark):
     draw = random.Random(8)
     edges = [(draw.randrange(200), draw.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1)]
