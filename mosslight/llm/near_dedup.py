@@ -1,12 +1,12 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Method. Each distinct shingle set gets a signature of minwise values. A tree starts with all sets
-in one node and branches them by the values of selected coordinates, two levels at once from the
-root; nodes split further by coordinates that a hash of their path selects. Small nodes are
-compared exhaustively, a large node first compares its members with a few pivots, which joins the
-points that are similar to nearly all others at once. Independent trees are repeated for the
-target recall: a pair at the threshold meets below a root with probability 0.72, and misses twelve
-trees with less than 1e-6. Nodes are walked twice. The first walk compares signatures only and
+in one node and branches them by the values of two selected coordinates at once. Below that nothing
+is left to chance: every node is compared exhaustively, whatever its size. A large node takes its
+members in order of their likeness to the node's most common values, which joins the points that
+are similar to nearly all others at once, and counts what its sets share over an index of their
+shingles. Independent trees are repeated for the target recall: a pair at 0.85 meets below a root
+with probability 0.72, and misses twelve trees with less than 1e-6. Nodes are walked twice. The first walk compares signatures only and
 splits every node into groups of sets that may be linked (pairs five standard deviations below the
 threshold are left out). The second walk compares the full shingle sets within these groups; only
 that makes a link.
@@ -40,7 +40,8 @@ from .scratch import small_batches, written
 
 SHINGLE, THRESHOLD = 5, 85
 COORDS, TREES, FIRST_TREES = 64, 12, 2
-LEAF, PIVOTS, DEPTH = 1024, 4, 12
+LEAF, TILE = 1024, 64
+DEPTH = 0  # levels below a root: none, each lost pairs (the name is set by callers)
 NODE_ROWS, NODE_BYTES = 20_000, 48 << 20
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -107,8 +108,8 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 class _Node:
     """The members of one node in a task: branch, compare, and give the links that join components."""
 
-    def __init__(self, reps: list, sigs: list[bytes], sets: list[bytes] | None, comps: list, seed: int):
-        self.reps, self.seed = reps, seed
+    def __init__(self, reps: list, sigs: list[bytes], sets: list[bytes] | None, comps: list):
+        self.reps = reps
         self.sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS)
         self.sets = None if sets is None else [np.frombuffer(s, np.uint64) for s in sets]
         self.n = None if sets is None else np.array([len(s) for s in self.sets])
@@ -116,9 +117,13 @@ class _Node:
         self.root = np.array([first.setdefault(c, i) for i, c in enumerate(comps)])
         self.links: list[tuple[int, int]] = []
 
+    def least(self) -> float:
+        """Equal coordinates below which a pair is left out: five standard deviations below the threshold."""
+        return COORDS * (THRESHOLD / 100 - 5 * (0.85 * 0.15 / COORDS) ** 0.5)
+
     def compare(self, i: int, others: np.ndarray) -> None:
         """Link i with those of others that are in another component and similar (on full sets, where they are given)."""
-        least = COORDS * (THRESHOLD / 100 - 5 * (0.85 * 0.15 / COORDS) ** 0.5)
+        least = self.least()
         others = others[self.root[others] != self.root[i]]
         if not len(others):
             return
@@ -132,31 +137,70 @@ class _Node:
                 self.root[self.root == self.root[j]] = self.root[i]
 
     def run(self) -> list[tuple[int, int]]:
-        todo = [(np.arange(len(self.reps)), 0, self.seed)]
-        while todo:
-            at, depth, path = todo.pop()
-            if len(at) < 2 or (self.root[at] == self.root[at[0]]).all():
-                continue
-            if len(at) > LEAF and depth < DEPTH:
-                for _ in range(PIVOTS):
-                    left = at[self.root[at] != self.root[at[0]]] if _ else at
-                    if len(left):
-                        self.compare(int(left[0]), at)
-                if (self.root[at] == self.root[at[0]]).all():
-                    continue
-                draw = np.random.Generator(np.random.PCG64(path))
-                chosen = draw.permutation(COORDS)[: 1 + (draw.random() < 1 / 0.85 - 1)]
-                for c in chosen.tolist():
-                    values, inverse = np.unique(self.sig[at, c], return_inverse=True)
-                    order, cuts = np.argsort(inverse, kind="stable"), np.cumsum(np.bincount(inverse))[:-1]
-                    for v, part in zip(values.tolist(), np.split(at[order], cuts), strict=True):
-                        if len(part) > 1:
-                            todo.append((part, depth + 1, int(hashlib.blake2b(f"{path},{c},{v}".encode(), digest_size=8).hexdigest(), 16)))
-                continue
-            for k in range(len(at) - 1):
-                self.compare(int(at[k]), at[k + 1 :])
+        n = len(self.reps)
+        if n <= (LEAF if self.sets is None else TILE):
+            at = np.arange(n)
+            for k in range(n - 1):
+                self.compare(k, at[k + 1 :])
+        else:
+            # the members nearest to the most common values first: the centre of a star joins it at once
+            order = np.argsort(-self._central(), kind="stable")
+            (self._tiles if self.sets is None else self._indexed)(order)
         return self.links
 
+    def _central(self) -> np.ndarray:
+        """In how many coordinates each member has the node's most common value."""
+        out = np.zeros(len(self.sig), np.int64)
+        for col in self.sig.T:
+            out += col == np.bincount(col).argmax()
+        return out
+
+    def _join(self, i: int, others: np.ndarray) -> None:
+        """Link i with others, one of each component."""
+        _, first = np.unique(self.root[others], return_index=True)
+        self.links += [(self.reps[i], self.reps[j]) for j in others[first].tolist()]
+        self.root[np.isin(self.root, self.root[others])] = self.root[i]
+
+    def _tiles(self, order: np.ndarray) -> None:
+        """All pairs by signatures, TILE members with all later ones at a time."""
+        least = self.least()
+        for a in range(0, len(order), TILE):
+            own, rest = order[a : a + TILE], order[a:]
+            if (self.root[own] == self.root[own[0]]).all():
+                rest = rest[self.root[rest] != self.root[own[0]]]
+            if not len(rest):
+                continue
+            x, y = np.ascontiguousarray(self.sig[own].T), np.ascontiguousarray(self.sig[rest].T)
+            same = np.zeros((len(own), len(rest)), np.uint8)
+            for c in range(COORDS):
+                same += x[c, :, None] == y[c]
+            for i, near in zip(own.tolist(), same >= least, strict=True):
+                others = rest[near]
+                others = others[self.root[others] != self.root[i]]
+                if len(others):
+                    self._join(i, others)
+
+    def _indexed(self, order: np.ndarray) -> None:
+        """All pairs by full sets: what a member shares with every other one, counted over the members of each shingle."""
+        edges = np.concatenate([[0], np.cumsum(self.n)])
+        item = np.unique(np.concatenate(self.sets), return_inverse=True)[1].astype(np.int32)
+        by = np.argsort(item, kind="stable")
+        owner = np.repeat(np.arange(len(self.n), dtype=np.int32), self.n)[by]
+        del by
+        size = np.bincount(item)
+        first = np.cumsum(size) - size
+        for i in order.tolist():
+            if (self.root == self.root[i]).all():
+                break
+            own = item[edges[i] : edges[i + 1]]
+            own = own[size[own] > 1]
+            count = size[own]
+            at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            common = np.bincount(owner[at], minlength=len(self.n))
+            others = np.flatnonzero((100 * common >= THRESHOLD * (self.n[i] + self.n - common)) & (self.root != self.root[i]))
+            if len(others):
+                self._join(i, others)
+
 
 def _walk(columns: tuple[str, ...], solve, schema: pa.Schema):
     """solve(node, *columns) of each node with two members at least. Rows come sorted by node, and a node lies in one partition."""
@@ -186,7 +230,7 @@ def _walk(columns: tuple[str, ...], solve, schema: pa.Schema):
 
 def _similar(node: int, trees: list[int], digests: list[bytes], sigs: list[bytes]) -> list[tuple[int, int, bytes]]:
     """(tree, group, digest) of the classes that may be linked; equal groups of different trees get equal names."""
-    found = _Node(digests, sigs, None, digests, seed=node & 0x7FFFFFFFFFFFFFFF)
+    found = _Node(digests, sigs, None, digests)
     found.run()
     groups: dict[int, list[int]] = {}
     for i, r in enumerate(found.root.tolist()):
@@ -200,7 +244,7 @@ def _similar(node: int, trees: list[int], digests: list[bytes], sigs: list[bytes
 
 
 def _verify(node: int, reps: list[int], sigs: list[bytes], sets: list[bytes], comps: list[int]) -> list[tuple[int, int]]:
-    return _Node(reps, sigs, sets, comps, seed=node & 0x7FFFFFFFFFFFFFFF).run()
+    return _Node(reps, sigs, sets, comps).run()
 
 
 def _bounded(members: DataFrame) -> DataFrame:

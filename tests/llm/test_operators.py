@@ -402,6 +402,28 @@ def test_near_star_by_spark(spark, monkeypatch):
     assert got == [0] * 121
 
 
+def test_near_star_in_a_task():
+    """Nor does one beyond a leaf within a task, in either walk."""
+    import pyarrow as pa
+
+    sets = list(near_dedup.shingle_sets(pa.array(star_texts(1500))))
+    sigs = [near_dedup.signature(s).astype("<u2").tobytes() for s in sets]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near_dedup._verify(7, root[:], sigs, [s.tobytes() for s in sets], root[:]):
+        assert near_dedup.linked(sets[a], sets[b])
+        root[find(a)] = find(b)
+    assert len({find(x) for x in root}) == 1
+    digests = [b"%d" % i for i in range(len(sets))]
+    near = near_dedup._similar(7, [0] * len(sets), digests, sigs)
+    assert sorted(d for _, _, d in near) == sorted(digests) and len({g for _, g, _ in near}) == 1
+
+
 def test_components(spark):
     draw = random.Random(8)
     edges = [(draw.randrange(200), draw.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1)]
