@@ -2,7 +2,8 @@
 
 1. language_id: documents without a letter, and those whose two best languages lie too close
    together to tell, are rejected.
-2. near_dedup: of each group of linked near duplicates the document with the smallest doc_id stays.
+2. near_dedup: of each group of linked near duplicates (five-word shingles, similarity 0.8 or more)
+   the document with the smallest doc_id stays.
 3. decontaminate: documents that share a 10-word passage with a benchmark item go.
 4. mix_sources: what stays is mixed to the sources' target weights; a document used twice is two rows.
 5. token_store: the mix is encoded, written as a binary store and read back.
@@ -29,7 +30,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group, the one with the smallest doc_id (of equal rows, one)."""
-    groups = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    groups = near_dedup.near_duplicates(docs, threshold=near_dedup.THRESHOLD).where("not kept").select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_anti")
     twice = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
     # rows that share a doc_id are one vertex; the first text in order stands for them

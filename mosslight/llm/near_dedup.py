@@ -6,7 +6,7 @@ is left to chance: every node is compared exhaustively, whatever its size. A lar
 members in order of their likeness to the node's most common values, which joins the points that
 are similar to nearly all others at once, and counts what its sets share over an index of their
 shingles. Independent trees are repeated for the target recall: a pair at 0.85 meets below a root
-with probability 0.72, and misses twelve trees with less than 1e-6. Nodes are walked twice. The first walk compares signatures only and
+with probability 0.72 and misses twelve trees with less than 1e-6, one at 0.8 with 0.64 and 5e-6. Nodes are walked twice. The first walk compares signatures only and
 splits every node into groups of sets that may be linked (pairs five standard deviations below the
 threshold are left out). The second walk compares the full shingle sets within these groups; only
 that makes a link.
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,8 @@ from . import kernels as K
 from .components import connected_components
 from .scratch import small_batches, written
 
-SHINGLE, THRESHOLD = 5, 85
+#: Percent. Two texts are near duplicates from THRESHOLD on; the contract of the op7 query says OP7_THRESHOLD.
+SHINGLE, THRESHOLD, OP7_THRESHOLD = 5, 80, 85
 COORDS, TREES, FIRST_TREES = 64, 12, 2
 LEAF, TILE = 1024, 64
 DEPTH = 0  # levels below a root: none, each lost pairs (the name is set by callers)
@@ -108,8 +110,8 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 class _Node:
     """The members of one node in a task: branch, compare, and give the links that join components."""
 
-    def __init__(self, reps: list, sigs: list[bytes], sets: list[bytes] | None, comps: list):
-        self.reps = reps
+    def __init__(self, reps: list, sigs: list[bytes], sets: list[bytes] | None, comps: list, threshold: int = THRESHOLD):
+        self.reps, self.threshold = reps, threshold
         self.sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS)
         self.sets = None if sets is None else [np.frombuffer(s, np.uint64) for s in sets]
         self.n = None if sets is None else np.array([len(s) for s in self.sets])
@@ -119,7 +121,8 @@ class _Node:
 
     def least(self) -> float:
         """Equal coordinates below which a pair is left out: five standard deviations below the threshold."""
-        return COORDS * (THRESHOLD / 100 - 5 * (0.85 * 0.15 / COORDS) ** 0.5)
+        p = self.threshold / 100
+        return COORDS * (p - 5 * (p * (1 - p) / COORDS) ** 0.5)
 
     def compare(self, i: int, others: np.ndarray) -> None:
         """Link i with those of others that are in another component and similar (on full sets, where they are given)."""
@@ -130,9 +133,9 @@ class _Node:
         near = (self.sig[others] == self.sig[i]).sum(axis=1) >= least
         if self.sets is not None:
             n, m = self.n[i], self.n[others]
-            near &= 100 * np.minimum(n, m) >= THRESHOLD * np.maximum(n, m)
+            near &= 100 * np.minimum(n, m) >= self.threshold * np.maximum(n, m)
         for j in others[near].tolist():
-            if self.root[j] != self.root[i] and (self.sets is None or linked(self.sets[i], self.sets[j])):
+            if self.root[j] != self.root[i] and (self.sets is None or linked(self.sets[i], self.sets[j], self.threshold)):
                 self.links.append((self.reps[i], self.reps[j]))
                 self.root[self.root == self.root[j]] = self.root[i]
 
@@ -197,7 +200,7 @@ class _Node:
             count = size[own]
             at = np.repeat(first[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
             common = np.bincount(owner[at], minlength=len(self.n))
-            others = np.flatnonzero((100 * common >= THRESHOLD * (self.n[i] + self.n - common)) & (self.root != self.root[i]))
+            others = np.flatnonzero((100 * common >= self.threshold * (self.n[i] + self.n - common)) & (self.root != self.root[i]))
             if len(others):
                 self._join(i, others)
 
@@ -228,9 +231,9 @@ def _walk(columns: tuple[str, ...], solve, schema: pa.Schema):
     return run
 
 
-def _similar(node: int, trees: list[int], digests: list[bytes], sigs: list[bytes]) -> list[tuple[int, int, bytes]]:
+def _similar(node: int, trees: list[int], digests: list[bytes], sigs: list[bytes], threshold: int = THRESHOLD) -> list[tuple[int, int, bytes]]:
     """(tree, group, digest) of the classes that may be linked; equal groups of different trees get equal names."""
-    found = _Node(digests, sigs, None, digests)
+    found = _Node(digests, sigs, None, digests, threshold)
     found.run()
     groups: dict[int, list[int]] = {}
     for i, r in enumerate(found.root.tolist()):
@@ -243,8 +246,8 @@ def _similar(node: int, trees: list[int], digests: list[bytes], sigs: list[bytes
     return out
 
 
-def _verify(node: int, reps: list[int], sigs: list[bytes], sets: list[bytes], comps: list[int]) -> list[tuple[int, int]]:
-    return _Node(reps, sigs, sets, comps).run()
+def _verify(node: int, reps: list[int], sigs: list[bytes], sets: list[bytes], comps: list[int], threshold: int = THRESHOLD) -> list[tuple[int, int]]:
+    return _Node(reps, sigs, sets, comps, threshold).run()
 
 
 def _bounded(members: DataFrame) -> DataFrame:
@@ -268,8 +271,8 @@ def _by_node(rows: DataFrame, solve, columns: tuple[str, ...], schema: pa.Schema
     return rows.select("node", *columns).repartition(partitions, "node").sortWithinPartitions("node").mapInArrow(_walk(columns, solve, schema), ddl)
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs; the mapping is over all pairs of rows."""
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs; the mapping is over all pairs of rows with threshold percent in common."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = written(docs.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sig binary, roots array<long>"), "features")
@@ -281,7 +284,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     rooted = classes.select("digest", F.posexplode("roots").alias("tree", "node"))
     shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
     members = written(rooted.join(shared, "node").withColumn("size", F.lit(2 * COORDS)), "members")
-    near = _by_node(_bounded(members).join(sigs, "digest"), _similar, ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
+    near = _by_node(_bounded(members).join(sigs, "digest"), partial(_similar, threshold=threshold), ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
     groups = written(near.groupBy("node", "digest").agg(F.min("tree").alias("tree")).join(classes.select("digest", "rep", (F.col("n") * 8).alias("size")), "digest"), "groups")
     # the sets of what is left
     active = written(groups.select("rep").distinct(), "active")
@@ -300,7 +303,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             part = part.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
             open_ = part.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("node")
             part = written(part.join(open_, "node", "left_semi"), "open")
-        pairs = _by_node(_bounded(part).join(sets, "digest"), _verify, ("rep", "sig", "items", "comp"), pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
+        pairs = _by_node(_bounded(part).join(sets, "digest"), partial(_verify, threshold=threshold), ("rep", "sig", "items", "comp"), pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
         links = written(links.unionByName(pairs), "links")
         comp = written(connected_components(links), "components")
     final = rows.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
@@ -311,4 +314,4 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document."""
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=OP7_THRESHOLD)

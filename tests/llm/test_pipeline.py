@@ -51,6 +51,16 @@ def test_near_keeps_one_of_rows_with_one_id(spark):
     assert sorted(i for i in ids if i) == [1, 5, 6] and ids.count(None) == 2
 
 
+def test_near_links_from_80_percent(spark):
+    base = [f"t{i}" for i in range(104)]
+    texts = [base, [*base[:20], "x", *base[21:60], "y", *base[61:]], [f"u{i}" for i in range(104)]]
+    sets = [{tuple(w[k : k + 5]) for k in range(100)} for w in texts]
+    assert 80 <= 100 * len(sets[0] & sets[1]) / len(sets[0] | sets[1]) < 85
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in P.stage_near_dedup(spark, docs, "").collect()) == [0, 2]
+    assert near_dedup.near_duplicates(docs, threshold=near_dedup.OP7_THRESHOLD).where("kept").count() == 3
+
+
 def test_decontaminate(spark, sf, stages):
     _, before, after = stages[2]
     rows = before.select("doc_id", "text").collect()
