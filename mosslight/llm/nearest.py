@@ -3,14 +3,17 @@
 Method. Each hash function is a single random projection; its projected values are kept as a
 sorted array. A query opens a window around its own projection in every array and widens all
 windows round by round (virtual rehashing: a wider window is the union of the buckets of a
-coarser hash). A vector that lies in the windows of at least `THRESHOLD` of the functions is a
-candidate and is verified by its exact inner product. A query stops as soon as it has
-`CANDIDATES` candidates per array block, or when the windows reach their last width.
+coarser hash). The functions are an orthonormal basis, so the functions in whose windows a vector
+does not lie bound its squared distance from below: over the rounds, the sum of the misses times
+the growth of the squared width. In each round the `k` vectors of least bound are verified by their
+exact inner product; those whose bound is above the k-th best distance found are out. A query stops
+when `CANDIDATES` or fewer are left, or at the last width, and all that are left are verified:
+windows and widths decide the work, not the result.
 
 Largest inner product becomes nearest point by scaling vectors with the largest norm and adding
-one coordinate that completes them to norm 1; for unit vectors nothing changes. The functions
-are an orthonormal set, which makes the count follow the distance more closely than independent
-directions do.
+one coordinate that completes them to norm 1. That tells little where norms differ much, so a
+block is parted by norm: a range ends where norms fall below `NORMS` of its longest, and is scaled
+by that. Ranges are read longest first, until no vector of the next can reach the k-th best.
 
 Scale. The arrays are built for blocks of `BLOCK` vectors and read by blocks of `QUERIES`
 queries; every vector is indexed. A task holds one block of each. Per query and block only the
@@ -18,8 +21,8 @@ best k leave a task. The number of cells is (queries / QUERIES) * (vectors / BLO
 query set meets all rows in blocks.
 
 Edge cases: vectors that are null, empty, of a length other than the first valid one's by id, zero,
-or hold a null or non-finite component take no part. With fewer than k candidates all are returned
-that the index finds; blocks with no more than `CANDIDATES` vectors are verified whole. Repeated
+or hold a null or non-finite component take no part. With fewer than k others all are returned;
+ranges with no more than `CANDIDATES` vectors are verified whole. Repeated
 ids count as rows of their own (a query's own id is never its neighbour). Ties go to the smaller
 id.
 """
@@ -36,7 +39,8 @@ from .scratch import written
 
 K, EVERY = 20, 20
 BLOCK, QUERIES = 8192, 1024
-CANDIDATES, THRESHOLD = 400, 0.72
+CANDIDATES, NORMS = 400, 0.8
+#: For 65 functions; scaled by the root of their number.
 WIDTHS = (0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.25, 0.35, 0.6)
 SEED = 11
 
@@ -57,64 +61,105 @@ def functions(dim: int, seed: int = SEED) -> np.ndarray:
     return (q * np.sign(np.diag(r))).T
 
 
+class Best:
+    """The k best of what one query has met; least is the k-th score."""
+
+    def __init__(self, k: int):
+        self.k, self.ids, self.scores, self.least = k, np.empty(0, np.int64), np.empty(0), -np.inf
+
+    def put(self, vectors: np.ndarray, ids: np.ndarray, at: np.ndarray, query: np.ndarray) -> None:
+        if not len(at):
+            return
+        ids, scores = np.concatenate([self.ids, ids[at]]), np.concatenate([self.scores, (vectors[at] * query).sum(axis=1)])
+        order = np.lexsort((ids, -scores))[: self.k]
+        self.ids, self.scores = ids[order], scores[order]
+        if len(order) == self.k:
+            self.least = float(self.scores[-1])
+
+
 class Arrays:
-    """Sorted projection arrays over one block of vectors."""
+    """Sorted projection arrays over the vectors of one range of norms."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
-        self.ids, self.vectors = ids, vectors
+        self.ids, self.vectors, self.longest = ids, vectors, longest
+        if len(ids) <= CANDIDATES:
+            return
         unit = vectors / longest
         rest = np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))
         self.directions = functions(vectors.shape[1] + 1)
         values = np.column_stack([unit, rest]) @ self.directions.T
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.uint16 if len(ids) <= 1 << 16 else np.int64)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, np.argsort(values, axis=0, kind="stable"), axis=0).T)
-
-    def candidates(self, queries: np.ndarray) -> list[np.ndarray]:
-        """Positions of each query's candidates."""
-        n, m = len(self.ids), len(self.directions)
-        if n <= CANDIDATES:
-            return [np.arange(n)] * len(queries)
-        least = int(np.ceil(THRESHOLD * m))
+        order = np.argsort(values, axis=0, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
+        self.order = np.ascontiguousarray(order.T)
+        self.widths = np.array(WIDTHS) * (65 / len(self.directions)) ** 0.5
+
+    def windows(self, queries: np.ndarray) -> np.ndarray | None:
+        """Where the windows of each query end, from the widest left to the widest right; query x edge x function."""
+        if len(self.ids) <= CANDIDATES:
+            return None
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        at = np.column_stack([unit, np.zeros(len(unit))]) @ self.directions.T
-        counts = np.zeros((len(queries), n), np.uint8 if m < 256 else np.uint16)
-        lo = np.stack([np.searchsorted(s, x) for s, x in zip(self.sorted, at.T, strict=True)], axis=1)
-        hi, found, active = lo.copy(), [np.empty(0, np.int64)] * len(queries), np.arange(len(queries))
-        for width in WIDTHS:
-            left = np.stack([np.searchsorted(s, x - width, "left") for s, x in zip(self.sorted, at[active].T, strict=True)], axis=1)
-            right = np.stack([np.searchsorted(s, x + width, "right") for s, x in zip(self.sorted, at[active].T, strict=True)], axis=1)
-            still = []
-            for k, q in enumerate(active.tolist()):
-                parts = [self.order[j, a:b] for j in range(m) for a, b in ((left[k, j], lo[q, j]), (hi[q, j], right[k, j])) if b > a]
-                if parts:
-                    counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(counts.dtype)
-                reached = counts[q] >= least
-                if width == WIDTHS[-1] or int(np.count_nonzero(reached)) >= CANDIDATES:
-                    found[q] = np.flatnonzero(reached)
-                else:
-                    still.append(q)
-            lo[active], hi[active] = left, right
-            active = np.array(still, np.int64)
-            if not len(active):
+        at, w = unit @ self.directions[:, :-1].T, np.concatenate([-self.widths[::-1], [0.0], self.widths])
+        return np.stack([np.searchsorted(s, x[:, None] + w) for s, x in zip(self.sorted, at.T, strict=True)], axis=2).astype(np.int32)
+
+    def search(self, query: np.ndarray, own: int, best: Best, windows: np.ndarray | None) -> None:
+        """Put into best all vectors that belong there."""
+        length = float(np.sqrt(query @ query))
+        if self.longest * length * (1 + 1e-9) < best.least:
+            return
+        n = len(self.ids)
+        todo = self.ids != own
+        if n <= CANDIDATES:
+            best.put(self.vectors, self.ids, np.flatnonzero(todo), query)
+            return
+        m, last = len(self.directions), len(self.widths)
+        edges = windows.tolist()
+        order, seen, bound, width = list(self.order), np.zeros(n, np.int64), np.zeros(n), 0.0
+        for r, w in enumerate(self.widths.tolist(), 1):
+            parts = [o[a:b] for o, a, b in zip(order, edges[last - r], edges[last - r + 1], strict=True) if b > a]
+            parts += [o[a:b] for o, a, b in zip(order, edges[last + r - 1], edges[last + r], strict=True) if b > a]
+            if parts:
+                seen += np.bincount(np.concatenate(parts), minlength=n)
+            bound += (m - seen) * (w * w - width * width)
+            width = w
+            if m * w * w <= 2 - 2 * best.least / (length * self.longest) < np.inf:
+                continue  # no bound is above the k-th best yet
+            open_ = np.flatnonzero(todo)
+            some = open_ if len(open_) <= best.k else open_[np.argpartition(bound[open_], best.k)[: best.k]]
+            best.put(self.vectors, self.ids, some, query)
+            todo[some] = False
+            todo &= bound <= 2 - 2 * best.least / (length * self.longest) + 1e-9
+            if np.count_nonzero(todo) <= CANDIDATES:
                 break
-        return found
+        best.put(self.vectors, self.ids, np.flatnonzero(todo), query)
+
+
+def ranges(ids: np.ndarray, vectors: np.ndarray) -> list[Arrays]:
+    """The arrays of a block, by falling norm."""
+    norm = np.sqrt((vectors * vectors).sum(axis=1))
+    by = np.lexsort((ids, -norm))
+    norm, out, a = norm[by], [], 0
+    while a < len(by):
+        b = max(int(np.searchsorted(-norm, -NORMS * norm[a], "right")), min(a + CANDIDATES, len(by)))
+        out.append(Arrays(ids[by[a:b]], vectors[by[a:b]], float(norm[a])))
+        a = b
+    return out
 
 
-def _search(k: int, longest: float):
+def _search(k: int):
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not left.num_rows or not right.num_rows:
             return empty
         matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
         q_ids, ids, q, x = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy(), matrix(left), matrix(right)
-        by = np.argsort(ids, kind="stable")
-        arrays = Arrays(ids[by], x[by], longest)
+        block = ranges(ids, x)
         out: list[list[np.ndarray]] = [[], [], []]
-        for one, own, at in zip(q, q_ids.tolist(), arrays.candidates(q), strict=True):
-            at = at[arrays.ids[at] != own]
-            score = (arrays.vectors[at] * one).sum(axis=1)
-            best = np.lexsort((arrays.ids[at], -score))[:k]
-            for col, y in zip(out, (np.full(len(best), own), arrays.ids[at][best], score[best]), strict=True):
+        windows = [arrays.windows(q) for arrays in block]
+        for i, (one, own) in enumerate(zip(q, q_ids.tolist(), strict=True)):
+            best = Best(k)
+            for arrays, edges in zip(block, windows, strict=True):
+                arrays.search(one, own, best, None if edges is None else edges[i])
+            for col, y in zip(out, (np.full(len(best.ids), own), best.ids, best.scores), strict=True):
                 col.append(y)
         return pa.table(dict(zip(empty.column_names, (pa.array(np.concatenate(c)) for c in out), strict=True)))
 
@@ -123,7 +168,7 @@ def _search(k: int, longest: float):
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of vectors(vec_id, v, norm) for each of queries(vec_id, v)."""
-    first = vectors.agg(F.max("norm").alias("longest"), F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("v").alias("dim")))["dim"].alias("dim")).first()
+    first = vectors.agg(F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("v").alias("dim")))["dim"].alias("dim")).first()
     if not first.n:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     vectors, queries = vectors.where(F.size("v") == first.dim), queries.where(F.size("v") == first.dim)
@@ -133,7 +178,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     left = queries.select("vec_id", "v", block(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("vb"))
     right = vectors.select("vec_id", "v", block(n_blocks).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
     cells = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
-    hits = cells.applyInArrow(_search(k, first.longest), "query_id long, vec_id long, score double")
+    hits = cells.applyInArrow(_search(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -475,6 +475,26 @@ def test_nearest(spark, monkeypatch):
     assert nearest.nearest(nearest.valid(df.limit(0)), nearest.valid(df.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("norms", ["equal", "uniform", "lognormal", "outlier"])
+def test_nearest_in_a_full_block(norms):
+    """A whole block of unclustered vectors, where norms tell more than directions."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(nearest.BLOCK, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    size = {"equal": np.ones(len(x)), "uniform": draw.uniform(0.5, 1, len(x)), "lognormal": draw.lognormal(0, 0.3, len(x)), "outlier": np.where(np.arange(len(x)) == 5, 100.0, 1.0)}[norms]
+    x *= size[:, None]
+    part = lambda n: pa.table({"vec_id": np.arange(n), "v": pa.array(list(x[:n]))})
+    got = collections.defaultdict(set)
+    for r in nearest._search(20)(None, part(60), part(len(x))).to_pylist():
+        got[r["query_id"]].add(r["vec_id"])
+    for q in range(60):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert len(got[q] & set(np.argsort(-s)[:20].tolist())) >= 18
+
+
 # --- 10 -----------------------------------------------------------------------------------------
 
 
