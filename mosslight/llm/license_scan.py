@@ -72,13 +72,18 @@ SPELLINGS: list[tuple[str, str]] = [
     ("copyright owner", "copyright holder"),
     ("creative commons attribution", "cc by"),
 ]
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\n]*$"
+#: A line that states a copyright, or that all rights are reserved. A wrapped license may begin a line with "copyright notice" or "copyright holders".
+COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright(?![^\p{L}\p{N}]*(?:notice|holder|owner)s?(?![\p{L}\p{N}]))|\(c\)|©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\n]*$"
+#: The same in the SQL, which has no lookahead: there every line that begins with the word goes.
+SQL_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
+    # a spelling of several words may lie across a line break
+    out = F.regexp_replace(out, r"[ \t\r\n]+", " ")
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.trim(F.regexp_replace(out, NOT_WORD, " "))
@@ -113,7 +118,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
+    out = f"regexp_replace(lower({text}), '{SQL_COPYRIGHT_LINE}', ' ', 'g')"
     for old, new in SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return f"trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g'))"

@@ -134,6 +134,20 @@ def test_license(spark):
         license_scan.known(spark, [("x", "y")] * 10_001)
 
 
+def test_wrapped_licenses(spark):
+    """Every known text is found however its lines are broken, a line that states a copyright before it or not."""
+    import textwrap
+
+    known = {r.digest for r in license_scan.known(spark).collect()}
+    isc = dict(license_scan.LICENSES)["ISC"].replace("above copyright notice", "above\ncopyright notice")
+    texts = [isc, *("\n".join(textwrap.wrap(t, w, break_long_words=False, break_on_hyphens=False)) for _, t in license_scan.LICENSES for w in (12, 40, 64, 72, 78, 80))]
+    heads = ["", "Copyright 2020 A. Owner\n", "Copyright (c) Holders Ltd\n", "(c) 1999 B\n", "* Copyright by C\n"]
+    docs = table(spark, [h + t for h in heads for t in texts])
+    got = docs.select(F.unhex(F.sha2(license_scan.canonical(F.col("text")), 256)).alias("d"), "text").collect()
+    assert [r.text for r in got if r.d not in known] == []
+    assert license_scan.scan(table(spark, [isc])).first().license == "ISC"
+
+
 def test_lines(spark):
     texts = ["a b\nc\n\nc", "A  B\nd", None, "", "c", "A  B\nd", "x\n" * 3 + "y"]
     ids = [1, 2, 3, 4, None, 2, 6]
