@@ -29,7 +29,7 @@ def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group, the one with the smallest doc_id (of equal rows, one)."""
+    """Keep one document of each group, the one with the smallest doc_id (of rows with one doc_id, one, even where their texts differ)."""
     groups = near_dedup.near_duplicates(docs, threshold=near_dedup.THRESHOLD).where("not kept").select("doc_id").distinct()
     kept = docs.join(groups, "doc_id", "left_anti")
     twice = docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id")
