@@ -46,6 +46,15 @@ def row_slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         yield i, (i := max(j, i + 1))
 
 
+def portions(batches, rows: int = 2_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Record batches cut to about so many rows and bytes, without a copy: a worker holds a batch several times over."""
+    for batch in batches:
+        n = batch.num_rows
+        step = max(1, min(rows, n * size // max(1, batch.nbytes)))
+        for i in range(0, n, step):
+            yield batch.slice(i, step)
+
+
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     if not (pa.types.is_string(col.type) or pa.types.is_binary(col.type)):
@@ -82,6 +91,17 @@ def word_spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> tuple[n
     return starts, ends, np.searchsorted(offs, starts, "right") - 1
 
 
+def word_counts(data: np.ndarray, offs: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Number of words in each row."""
+    inside = table[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    cut = offs[:-1][np.diff(offs) > 0]
+    first[cut] = inside[cut]
+    sums = np.concatenate([[0], np.cumsum(first)])
+    return sums[offs[1:]] - sums[offs[:-1]]
+
+
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
