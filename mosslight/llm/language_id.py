@@ -8,19 +8,25 @@ lie close together.
 
 Training. Labelled rows only: those with a language, a text and crc32(doc_id as text) mod 5 other
 than 0. The classifiers are fitted on a bounded sample of them, at most `TRAIN_DOCS` whole texts
-in all, the same number for each language, of at most `TRAIN_BYTES` bytes each; the rows with the
-smallest hash of their doc_id are taken, so reruns agree. The bit weights are smoothed log odds of
-the n-grams, scaled by a logistic fit. Language, source and doc_id are no inputs of a prediction.
+of any length in all, the same number for each language; the rows with the smallest hash are taken,
+so reruns agree. The bit weights are smoothed log odds of the n-grams, scaled by a logistic fit.
+Language, source and doc_id are no inputs of a prediction. Texts stay with the executors: n-grams
+are counted in the tasks, in whole numbers, so that the order of tasks leaves no trace; what comes
+to the driver is a count per language and bucket, and one number per text and bit.
 
 Prediction is one pass over the table without a shuffle; the model has a fixed number of buckets.
 
 Edge cases: a null text, or one without any letter, is `und` with score 0. Without training rows
 everything is `und`. With one learned language every text with a letter gets it, with score 1.
-Repeated rows get equal results. A null doc_id counts as an empty text for the fold.
+Repeated rows get equal results. Languages that fit equally well: the first in code point order.
+A very long text is read whole, piece by piece. A null doc_id counts as an empty text for the fold.
+An empty table gives an empty result. Input columns are carried, but for those with the names of
+result columns, which are replaced; a caller that needs them renames them first.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,11 +36,13 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import kernels as K
-from .scratch import small_batches
+from .scratch import drop, written
 
-TRAIN_DOCS, TRAIN_BYTES = 4_000, 20_000
+#: Labelled texts that the classifiers are fitted on, at most; tasks that they are dealt to.
+TRAIN_DOCS, TASKS = 4_000, 32
 BUCKET_BITS, ORDERS = 16, (1, 2, 3, 4)
 SLICE = 1 << 18
 AMBIGUOUS = 0.6
@@ -111,6 +119,11 @@ class Model:
     scale: np.ndarray
     bias: np.ndarray
 
+    @functools.cached_property
+    def columns(self) -> np.ndarray:
+        """The weights bit by bit, each contiguous."""
+        return np.ascontiguousarray(self.weights.T)
+
     def margins(self, total: np.ndarray, count: np.ndarray) -> np.ndarray:
         return total / np.maximum(count, 1)[:, None] * self.scale + self.bias
 
@@ -126,7 +139,7 @@ class Model:
             for piece, off in _pieces(data, offs):
                 bucket, row = grams(piece, off)
                 for b in range(total.shape[1]):
-                    total[i:j, b] += np.bincount(row, self.weights[bucket, b], minlength=j - i)
+                    total[i:j, b] += np.bincount(row, self.columns[b][bucket], minlength=j - i)
                 count[i:j] += np.bincount(row, minlength=j - i)
         return total, count
 
@@ -146,37 +159,49 @@ def _pieces(data: np.ndarray, offs: np.ndarray):
         a = b
 
 
-def fit(rows: list[tuple[str, str]]) -> Model | None:
-    """Train on (language, text) pairs."""
-    languages = sorted({x for x, _ in rows}, key=lambda x: x.encode())
-    if not languages:
-        return None
-    codes, buckets = codewords(len(languages)), 1 << BUCKET_BITS
-    label = np.array([languages.index(x) for x, _ in rows])
-    counts = np.zeros((len(languages), buckets))
-    texts = pa.array([t for _, t in rows], pa.string())
+def gram_counts(labels: list[int], texts: pa.Array, n: int) -> np.ndarray:
+    """Shares of the buckets in the texts of each language, in units of 2 ** -40; language x bucket."""
+    counts, label = np.zeros((n, 1 << BUCKET_BITS), np.int64), np.array(labels, np.int64)
     for i, j, data, offs in _slices(texts):
         bucket, row = grams(data, offs)
         # each document counts alike, so that a few long ones don't decide
-        share = 1 / np.maximum(np.bincount(row, minlength=j - i), 1)
-        for lang in range(len(languages)):
+        share = (1 << 40) // np.maximum(np.bincount(row, minlength=j - i), 1)
+        for lang in np.unique(label[i:j]).tolist():
             own = label[i:j][row] == lang
-            counts[lang] += np.bincount(bucket[own], share[row[own]], minlength=buckets)
-    counts = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-9) + 1e-6
+            np.add.at(counts[lang], bucket[own], share[row[own]])
+    return counts
+
+
+def weigh(languages: list[str], counts: np.ndarray) -> Model:
+    """A model whose bits are the log odds of the counted shares, not scaled yet."""
+    codes = codewords(len(languages))
+    counts = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1) + 1e-6
     bits = codes.shape[1]
-    weights = np.zeros((buckets, bits))
+    weights = np.zeros((counts.shape[1], bits))
     for b in range(bits):
         yes, no = counts[codes[:, b] > 0], counts[codes[:, b] < 0]
         weights[:, b] = np.log(yes.mean(axis=0) / no.mean(axis=0)) if len(yes) and len(no) else 0
-    model = Model(languages, codes, weights, np.ones(bits), np.zeros(bits))
-    if len(languages) > 1:
-        total, count = model.totals(texts)
-        x = total / np.maximum(count, 1)[:, None]
-        for b in range(bits):
-            model.scale[b], model.bias[b] = _logistic(x[:, b], codes[label, b])
+    return Model(languages, codes, weights, np.ones(bits), np.zeros(bits))
+
+
+def scale(model: Model, labels: np.ndarray, x: np.ndarray) -> Model:
+    """Fit scale and bias of each bit to texts whose mean weights are x."""
+    for b in range(x.shape[1] if len(model.languages) > 1 else 0):
+        model.scale[b], model.bias[b] = _logistic(x[:, b], model.codes[labels, b])
     return model
 
 
+def fit(rows: list[tuple[str, str]]) -> Model | None:
+    """Train on (language, text) pairs in one place; train() does the same in the tasks."""
+    languages = sorted({x for x, _ in rows}, key=lambda x: x.encode())
+    if not languages:
+        return None
+    labels, texts = [languages.index(x) for x, _ in rows], pa.array([t for _, t in rows], pa.string())
+    model = weigh(languages, gram_counts(labels, texts, len(languages)))
+    total, count = model.totals(texts)
+    return scale(model, np.array(labels), total / np.maximum(count, 1)[:, None])
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Scale and bias of a one-variable logistic regression, by damped Newton steps."""
     a, b = 1.0, 0.0
@@ -197,23 +222,72 @@ def _fold(doc_id: str):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
 
 
+def _count(languages: list[str]):
+    def run(batches):
+        total, place = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64), {x: i for i, x in enumerate(languages)}
+        for batch in K.portions(batches):
+            total += gram_counts([place[x] for x in batch.column(0).to_pylist()], batch.column(1), len(languages))
+        for i in np.flatnonzero(total.any(axis=1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([total[i].tobytes()], pa.binary())], names=["l", "counts"])
+
+    return run
+
+
+def _sum(batches):
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sums[i] = sums.get(i, 0) + np.frombuffer(raw, np.int64)
+    for i, x in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([x.tobytes()], pa.binary())], names=["l", "counts"])
+
+
+def _means(shared: Broadcast):
+    def run(batches):
+        model: Model = shared.value
+        place = {x: i for i, x in enumerate(model.languages)}
+        for batch in K.portions(batches):
+            total, count = model.totals(batch.column(1))
+            x = (total / np.maximum(count, 1)[:, None]).astype("<f8")
+            yield pa.RecordBatch.from_arrays([pa.array([place[k] for k in batch.column(0).to_pylist()], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], names=["l", "x"])
+
+    return run
+
+
+def sample(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_DOCS) -> DataFrame:
+    """(l, t): the bounded sample that the module's text describes, with its languages."""
+    usable = docs.where((_fold(doc_id) != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("string").alias("i"), F.col(lang).alias("l"), F.col(text).alias("t"))
+    counts = {r[0]: r[1] for r in usable.groupBy("l").count().collect()}
+    each = max(1, limit // max(1, len(counts)))
+    space = 1_000_000_007
+    rank = F.pmod(F.xxhash64("i", "t"), F.lit(space))
+    # the hash threshold lets a few more through than asked for, so that few texts move to where they are ranked
+    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (each + 4 * each**0.5 + 10) / n) * space))]) if counts else F.create_map(F.lit(""), F.lit(0))
+    near = usable.withColumn("h", rank).where(F.col("h") <= bound[F.col("l")])
+    nth = F.row_number().over(Window.partitionBy("l").orderBy("h", "i", "t"))
+    return near.withColumn("nth", nth).where(F.col("nth") <= each).select("l", "t")
+
+
 def train(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", limit: int = TRAIN_DOCS) -> Model | None:
     """Fit on the bounded sample that the module's text describes."""
-    usable = docs.where((_fold(doc_id) != 0) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.octet_length(text) <= TRAIN_BYTES))
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
-    if not counts:
+    spark = docs.sparkSession
+    # dealt out again: the ranked rows of a language lie in one partition
+    rows = written(sample(docs, doc_id=doc_id, text=text, lang=lang, limit=limit).repartition(TASKS), "sample")
+    languages = sorted((r[0] for r in rows.select("l").distinct().collect()), key=lambda x: x.encode())
+    if not languages:
         return None
-    each = max(1, limit // len(counts))
-    rank = F.abs(F.xxhash64(F.col(doc_id).cast("string")) % 1_000_000_007)
-    # the hash threshold gives a few more than asked for; the driver cuts to the exact number
-    bound = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, (each + 4 * each**0.5 + 10) / n) * 1_000_000_007))])
-    rows = usable.where(rank <= bound[F.col(lang)]).select(rank.alias("h"), F.col(doc_id).cast("string").alias("i"), F.col(lang).alias("l"), F.col(text).alias("t")).collect()
-    kept: dict[str, list[tuple[str, str]]] = {}
-    for r in sorted(rows, key=lambda r: (r.h, r.i or "", r.t)):
-        own = kept.setdefault(r.l, [])
-        if len(own) < each:
-            own.append((r.l, r.t))
-    return fit([x for own in kept.values() for x in own])
+    counts = np.zeros((len(languages), 1 << BUCKET_BITS), np.int64)
+    summed = rows.mapInArrow(_count(languages), "l long, counts binary").repartition("l").mapInArrow(_sum, "l long, counts binary")
+    for r in summed.toLocalIterator():
+        counts[r.l] = np.frombuffer(r.counts, np.int64)
+    model = weigh(languages, counts)
+    shared = spark.sparkContext.broadcast(model)
+    means = rows.mapInArrow(_means(shared), "l long, x binary").toPandas()
+    shared.destroy()
+    drop(rows)
+    # the sums of a fit depend on the order of its rows
+    means = means.sort_values(["l", "x"])
+    return scale(model, means["l"].to_numpy(), np.frombuffer(b"".join(means["x"]), "<f8").reshape(len(means), -1))
 
 
 RESULT = {"lang_pred": (pa.string(), T.StringType()), "score": (pa.float64(), T.DoubleType()), "ambiguous": (pa.bool_(), T.BooleanType())}
@@ -222,7 +296,7 @@ RESULT = {"lang_pred": (pa.string(), T.StringType()), "score": (pa.float64(), T.
 def _predict(shared: Broadcast, text: str, keep: list[str]):
     def run(batches):
         model: Model | None = shared.value
-        for batch in batches:
+        for batch in K.portions(batches):
             col, n = batch.column(text), batch.num_rows
             pred: list[str] = [UNDETERMINED] * n
             score, doubt = np.zeros(n), np.zeros(n, bool)
@@ -259,7 +333,6 @@ def _has_letter(col: pa.Array) -> np.ndarray:
 def identify(docs: DataFrame, model: Model | None, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Columns `keep` of docs (all by default) with lang_pred, score and ambiguous."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*(docs.schema[c] for c in keep), *(T.StructField(c, t) for c, (_, t) in RESULT.items())])
     return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(_predict(shared, text, keep), schema)
