@@ -6,7 +6,8 @@ is left to chance: every node is compared exhaustively, whatever its size. A lar
 members in order of their likeness to the node's most common values, which joins the points that
 are similar to nearly all others at once, and counts what its sets share over an index of their
 shingles. Independent trees are repeated for the target recall: a pair at 0.85 meets below a root
-with probability 0.72 and misses twelve trees with less than 1e-6, one at 0.8 with 0.64 and 5e-6. Nodes are walked twice. The first walk compares signatures only and
+with probability 0.72 and misses twelve trees with less than 1e-6, one at 0.8 with 0.64 and 5e-6,
+whatever the size of the nodes. Nodes are walked twice. The first walk compares signatures only and
 splits every node into groups of sets that may be linked (pairs five standard deviations below the
 threshold are left out). The second walk compares the full shingle sets within these groups; only
 that makes a link.
@@ -20,8 +21,10 @@ blocks is compared, so that no pair is lost; that is quadratic in such a node's
 joined by a shuffle beyond.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with nothing,
-not even with each other. Rows with equal doc_id count as one vertex, whose links join. A null
-doc_id takes no part and keeps a null component and kept = true.
+not even with each other. Rows with equal doc_id count as one vertex, whose links join; repeated
+rows are in the result as often as in the input. A null doc_id takes no part and keeps a null
+component and kept = true. A pair at exactly the threshold is linked. A very long text is one set
+of all its shingles. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,13 +40,12 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .components import connected_components
-from .scratch import small_batches, written
+from .scratch import drop, written
 
 #: Percent. Two texts are near duplicates from THRESHOLD on; the contract of the op7 query says OP7_THRESHOLD.
 SHINGLE, THRESHOLD, OP7_THRESHOLD = 5, 80, 85
 COORDS, TREES, FIRST_TREES = 64, 12, 2
 LEAF, TILE = 1024, 64
-DEPTH = 0  # levels below a root: none, each lost pairs (the name is set by callers)
 NODE_ROWS, NODE_BYTES = 20_000, 48 << 20
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -78,7 +80,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _features(batches):
-    for batch in batches:
+    for batch in K.portions(batches):
         ids, n, digests, sigs, roots = batch.column(0), [], [], [], []
         for s in shingle_sets(batch.column(1)):
             n.append(len(s))
@@ -93,7 +95,7 @@ def _features(batches):
 
 
 def _sets(batches):
-    for batch in batches:
+    for batch in K.portions(batches):
         rows = [(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), s.tobytes()) for s in shingle_sets(batch.column(1)) if len(s)]
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.binary()), pa.array([s for _, s in rows], pa.binary())], names=["digest", "items"])
 
@@ -251,19 +253,15 @@ def _verify(node: int, reps: list[int], sigs: list[bytes], sets: list[bytes], co
 
 
 def _bounded(members: DataFrame) -> DataFrame:
-    """members(node, digest, size, ...) with nodes that one task can hold: large ones are cut in blocks, and each pair of blocks is a node."""
-    columns = members.columns
-    total = members.groupBy("node").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("rows > 1")
-    now = members.join(total, "node")
-    large = f"rows > {NODE_ROWS} or bytes > {NODE_BYTES}"
-    fits, rest = now.where(f"not ({large})").select(*columns), now.where(large)
-    if rest.isEmpty():
-        return fits
+    """members(node, digest, rows, bytes, ...), with the totals of their nodes, as nodes that one task can hold: large ones are cut in blocks, and each pair of blocks is a node."""
     parts = F.greatest(F.ceil(F.col("rows") * 2 / NODE_ROWS), F.ceil(F.col("bytes") * 2 / NODE_BYTES)).cast("int")
-    block = rest.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
+    parts = F.when((F.col("rows") > NODE_ROWS) | (F.col("bytes") > NODE_BYTES), parts).otherwise(1)
+    block = members.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("parts")).cast("int"))
     # a pair of blocks compares each of the two within itself as well
-    block = block.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("own <> other")
-    return fits.unionByName(block.withColumn("node", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))).select(*columns))
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: (x != F.col("own")) | (F.col("parts") == 1))
+    block = block.withColumn("other", F.explode(others))
+    pair = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+    return block.withColumn("node", F.when(F.col("parts") == 1, F.col("node")).otherwise(pair)).drop("parts", "own", "other", "rows", "bytes")
 
 
 def _by_node(rows: DataFrame, solve, columns: tuple[str, ...], schema: pa.Schema, ddl: str) -> DataFrame:
@@ -273,7 +271,6 @@ def _by_node(rows: DataFrame, solve, columns: tuple[str, ...], schema: pa.Schema
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs; the mapping is over all pairs of rows with threshold percent in common."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = written(docs.mapInArrow(_features, "doc_id long, n_shingles long, digest binary, sig binary, roots array<long>"), "features")
     full = rows.where("digest is not null and doc_id is not null")
@@ -282,30 +279,43 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sigs = classes.select("digest", "sig")
     # first walk: signatures
     rooted = classes.select("digest", F.posexplode("roots").alias("tree", "node"))
-    shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").drop("rows")
-    members = written(rooted.join(shared, "node").withColumn("size", F.lit(2 * COORDS)), "members")
-    near = _by_node(_bounded(members).join(sigs, "digest"), partial(_similar, threshold=threshold), ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
-    groups = written(near.groupBy("node", "digest").agg(F.min("tree").alias("tree")).join(classes.select("digest", "rep", (F.col("n") * 8).alias("size")), "digest"), "groups")
+    shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("bytes", F.col("rows") * 2 * COORDS)
+    members = written(_bounded(rooted.join(shared, "node")), "members")
+    near = _by_node(members.join(sigs, "digest"), partial(_similar, threshold=threshold), ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
+    near = written(near.groupBy("node", "digest").agg(F.min("tree").alias("tree")), "near")
+    drop(members)
+    groups = near.join(classes.select("digest", "rep", "n"), "digest")
+    total = groups.groupBy("node").agg(F.count("*").alias("rows"), (F.sum("n") * 8).alias("bytes"), F.min("tree").alias("tree"))
+    groups = written(groups.select("node", "digest", "rep").join(total, "node"), "groups")
+    drop(near)
     # the sets of what is left
     active = written(groups.select("rep").distinct(), "active")
     wanted = F.broadcast(active) if active.count() <= BROADCAST_ROWS else active
     sets = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").mapInArrow(_sets, "digest binary, items binary")
     sets = written(sets.dropDuplicates(["digest"]).join(sigs, "digest"), "sets")
+    drop(active)
     # second walk: full sets
     same_id = full.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
     links = full.join(same_id, "doc_id").join(classes.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     comp = None
     for some in (F.col("tree") < FIRST_TREES, F.col("tree") >= FIRST_TREES):
-        part = groups.where(some).drop("tree")
+        part, open_ = groups.where(some).drop("tree"), None
         if comp is None:
             part = part.withColumn("comp", F.col("rep"))
         else:
             part = part.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            open_ = part.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("node")
-            part = written(part.join(open_, "node", "left_semi"), "open")
+            apart = part.groupBy("node").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("node")
+            part = open_ = written(part.join(apart, "node", "left_semi"), "open")
         pairs = _by_node(_bounded(part).join(sets, "digest"), partial(_verify, threshold=threshold), ("rep", "sig", "items", "comp"), pa.schema([("u", pa.int64()), ("v", pa.int64())]), "u long, v long")
-        links = written(links.unionByName(pairs), "links")
-        comp = written(connected_components(links), "components")
+        # components known so far stand for the links that made them
+        before = links if comp is None else comp.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        found = written(before.unionByName(pairs), "links")
+        stars = connected_components(found)
+        known, comp = comp, written(stars, "components")
+        for table in (found, known, open_, stars):
+            drop(table)
+    drop(sets)
+    drop(groups)
     final = rows.select("doc_id", "n_shingles", "digest").join(classes.select("digest", "rep"), "digest", "left")
     final = final.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
     label = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
@@ -315,3 +325,17 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), threshold=OP7_THRESHOLD)
+
+
+OP7_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < {SHINGLE} THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - {SHINGLE} + 2), lambda i: array_to_string(ws[i : i + {SHINGLE - 1}], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * c >= {OP7_THRESHOLD} * (a.n + b.n - c)),
+e AS (SELECT u, v FROM l UNION ALL SELECT v, u FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, e.v FROM r JOIN e ON r.c = e.u),
+m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)
+"""
