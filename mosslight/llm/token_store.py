@@ -19,11 +19,13 @@ Scale. Texts are encoded once. Only encoded ids are sorted, by ranges of doc_id.
 
 Edge cases: a null or empty text is a document with the end id alone. Rows with equal doc_id stay
 rows of their own, next to each other, in an order that their ids set. A null doc_id sorts first. An empty
-table gives an empty store. Other columns are ignored.
+table gives an empty store. A very long text is one document of one segment. Other columns are ignored.
+Another tokenizer's file may be given: unless it splits words as this one does, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -39,11 +41,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .kernels import row_slices
-from .scratch import new_path, small_batches, written
+from .scratch import new_path, written
 
 MAX_BITS, LANE, SEGMENT = 18, 64, 1 << 17
 END_ID = 2
-CACHE_UNITS, TEXT_SLICE = 200_000, 12 << 20
+CACHE_BYTES, TEXT_SLICE, CALL = 40 << 20, 6 << 20, 32
 MAGIC = b"MTK1"
 DTYPE = np.dtype("<u4")
 
@@ -59,7 +61,7 @@ class UnitEncoder:
 
     The pre-tokenizer of this vocabulary never joins characters across white space (its pattern
     has none, and neither composition nor lower-casing looks across it), so a text's ids are those
-    of the parts between spaces and line ends, in order. ASCII is looked up in lower case.
+    of the parts between spaces and line ends, in order. ASCII letters are looked up in lower case.
     - A part of plain letters is one pre-token, whose last id is one that ends a word: many such
       parts go to the library as one text with spaces, and its ids are cut after those that end words.
     - Letters and then marks (no apostrophe) are two pre-tokens.
@@ -70,7 +72,7 @@ class UnitEncoder:
     MARK = "<|endoftext|>"
     MARKS = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
-    def __init__(self, path: str, limit: int = CACHE_UNITS):
+    def __init__(self, path: str, limit: int = CACHE_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -79,15 +81,15 @@ class UnitEncoder:
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.mark = self.tok.token_to_id(self.MARK)
         self.closes = np.array([(self.tok.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.limit, self.now, self.before = limit, {"": b""}, {}
+        self.limit, self.held, self.now, self.before = limit, 0, {"": b""}, {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, units: set[str]) -> None:
-        """Encode units that aren't known yet."""
-        if len(self.now) + len(units) > self.limit:
-            self.before, self.now = self.now, {"": b""}
+        """Encode units that aren't known yet. What is kept is bounded by its bytes, and by those of one slice's parts."""
+        if self.held > self.limit:
+            self.before, self.now, self.held = self.now, {"": b""}, 0
         now, before = self.now, self.before
         plain, other, joined = set(), [], []
         for u in units:
@@ -112,35 +114,43 @@ class UnitEncoder:
         self._learn([u for u in other if "<|" not in u], self.MARK)
         for u, core, tail in joined:
             now[u] = now[core] + now[tail]
+        # a part and its ids (no more than one of two bytes for each byte), two objects and their place in the table
+        self.held += 3 * sum(map(len, units)) + 180 * len(units)
 
     def _learn(self, units: list[str], between: str) -> None:
-        groups, width = [units[i : i + 512] for i in range(0, len(units), 512)], self.dtype.itemsize
-        for own, ids in zip(groups, self._ids([between.join(g) for g in groups]), strict=True):
-            raw = ids.tobytes()
-            if between == " ":
-                ends = np.flatnonzero(self.closes[ids]) + 1
-                starts = np.concatenate([[0], ends[:-1]])
-            else:
-                ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
-                starts = np.concatenate([[0], ends[:-1] + 1])
-            if len(ends) != len(own):
-                raise AssertionError("parts and ids don't match")
-            self.now.update(zip(own, (raw[x:y] for x, y in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)), strict=True))
+        width, step = self.dtype.itemsize, 512 * CALL
+        # the library's results are large: they live for one call
+        for k in range(0, len(units), step):
+            groups = [units[i : i + 512] for i in range(k, min(len(units), k + step), 512)]
+            for own, ids in zip(groups, self._ids([between.join(g) for g in groups]), strict=True):
+                raw = ids.tobytes()
+                if between == " ":
+                    ends = np.flatnonzero(self.closes[ids]) + 1
+                    starts = np.concatenate([[0], ends[:-1]])
+                else:
+                    ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
+                    starts = np.concatenate([[0], ends[:-1] + 1])
+                if len(ends) != len(own):
+                    raise AssertionError("parts and ids don't match")
+                self.now.update(zip(own, (raw[x:y] for x, y in zip((starts * width).tolist(), (ends * width).tolist(), strict=True)), strict=True))
 
     def known(self, units: list[str]) -> list[bytes]:
-        """Ids of parts; those of ASCII are looked up in lower case (but for what may name a special token)."""
-        keys = [u.lower() if u.isascii() and "<|" not in u else u for u in units]
-        found = list(map(self.now.get, keys))
+        """Ids of parts."""
+        found = list(map(self.now.get, units))
         gaps = [i for i, x in enumerate(found) if x is None]
         if gaps:
-            self.learn({keys[i] for i in gaps})
+            self.learn({units[i] for i in gaps})
             for i in gaps:
-                found[i] = self.now[keys[i]]
+                found[i] = self.now[units[i]]
         return found
 
     def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
         """Ids of whole texts, the end id after each. Distinct parts are found by Arrow, looked up once, and gathered."""
-        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        texts = pc.fill_null(texts, "")
+        # lower case ASCII letters don't change the ids, unless they are a special token's
+        special, texts = pc.match_substring(texts, "<|"), pc.replace_substring(texts, "\n", " ")
+        plain = pc.ascii_lower(texts)
+        parts = pc.split_pattern(pc.if_else(special, texts, plain) if pc.any(special).as_py() else plain, " ")
         named = parts.flatten().dictionary_encode()
         found = self.known(named.dictionary.to_pylist())
         at = named.indices.to_numpy()
@@ -156,13 +166,43 @@ class UnitEncoder:
         return [ids[i:j].tobytes() + end for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-_loaded: dict[str, UnitEncoder] = {}
+class WholeEncoder:
+    """Encodes whole texts, for tokenizers of which nothing is known."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        out, rows = [], [t or "" for t in texts.to_pylist()]
+        for i, j in row_slices(np.array([len(t) for t in rows], np.int64), 1 << 20):
+            out += [np.array([*e.ids, end_id], self.dtype).tobytes() for e in self.tok.encode_batch_fast(rows[i:j], add_special_tokens=False)]
+        return out
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file has the normaliser, pre-tokenizer and word ends that UnitEncoder counts on."""
+    with open(path, encoding="utf-8") as f:
+        c = json.load(f)
+    norm = [(n["type"], n.get("content")) for n in (c.get("normalizer") or {}).get("normalizers", ())]
+    pre = (c.get("pre_tokenizer") or {}).get("pretokenizers", ())
+    pattern = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+    split = len(pre) == 2 and pre[0].get("pattern") == {"Regex": pattern} and (pre[0].get("behavior"), pre[0].get("invert")) == ("Removed", True) and pre[1]["type"] == "ByteLevel" and not pre[1].get("add_prefix_space")
+    added = {t["content"] for t in c.get("added_tokens", ()) if not t["normalized"]}
+    words = c["model"].get("type") == "BPE" and c["model"].get("end_of_word_suffix") == "</w>"
+    return norm == [("NFC", None), ("Replace", " "), ("Lowercase", None)] and split and words and UnitEncoder.MARK in added and all(x.startswith("<|") for x in added)
+
+
+_loaded: dict[str, UnitEncoder | WholeEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> UnitEncoder | WholeEncoder:
     """One encoder per Python worker."""
     if path not in _loaded:
-        _loaded[path] = UnitEncoder(path)
+        _loaded[path] = UnitEncoder(path) if splits_at_spaces(path) else WholeEncoder(path)
     return _loaded[path]
 
 
@@ -350,7 +390,6 @@ def _codebook(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def write_store(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None, end_id: int = END_ID) -> None:
     """Encode docs and write the store below path."""
     spark = docs.sparkSession
-    small_batches(spark, 4_000)
     encoded = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_tokenize(tokenizer or tokenizer_path(), end_id), "doc_id long, width int, ids binary"), "ids")
     counts = encoded.select("width", "ids").mapInArrow(_count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).orderBy("symbol").collect()
     symbols = np.array([r.symbol for r in counts], np.int64)
