@@ -2,13 +2,16 @@
 
 Method. Each hash function is a single random projection; its projected values are kept as a
 sorted array. A query opens a window around its own projection in every array and widens all
-windows round by round (virtual rehashing: a wider window is the union of the buckets of a
-coarser hash). The functions are an orthonormal basis, so the functions in whose windows a vector
-does not lie bound its squared distance from below: over the rounds, the sum of the misses times
-the growth of the squared width. In each round the `k` vectors of least bound are verified by their
-exact inner product; those whose bound is above the k-th best distance found are out. A query stops
-when `CANDIDATES` or fewer are left, or at the last width, and all that are left are verified:
-windows and widths decide the work, not the result.
+windows together (virtual rehashing: a wider window is the union of the buckets of a coarser
+hash). A vector collides in the functions in whose windows it lies. The first window is narrow: the
+`k` vectors with most collisions are verified by their exact inner product. The wide windows that
+follow hold most of an array, so the functions in which a vector does not collide are counted:
+what lies outside, ring by ring. The functions are an orthonormal basis, so each miss adds the squared
+width to a lower bound of the vector's squared distance. Best bounds are verified first. Seen from
+random directions, a difference of a given length has normally distributed parts, so the bound that
+a vector at the k-th best distance found would have is known, with its spread: vectors beyond
+`SURE` spreads of it are out, all others are verified. A true neighbour is lost with a probability
+of about 0.001.
 
 Largest inner product becomes nearest point by scaling vectors with the largest norm and adding
 one coordinate that completes them to norm 1. That tells little where norms differ much, so a
@@ -20,15 +23,17 @@ queries; every vector is indexed. A task holds one block of each. Per query and
 best k leave a task. The number of cells is (queries / QUERIES) * (vectors / BLOCK): the stated
 query set meets all rows in blocks.
 
-Edge cases: vectors that are null, empty, of a length other than the first valid one's by id, zero,
-or hold a null or non-finite component take no part. With fewer than k others all are returned;
-ranges with no more than `CANDIDATES` vectors are verified whole. Repeated
-ids count as rows of their own (a query's own id is never its neighbour). Ties go to the smaller
-id.
+Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component take no
+part. An inner product needs equal lengths: a query's candidates are the vectors of its own length.
+With fewer than k others all are returned. Repeated ids count as rows of their own (a query's own
+id is never its neighbour). Ties go to the smaller id. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -38,10 +43,10 @@ from pyspark.sql.window import Window
 from .scratch import written
 
 K, EVERY = 20, 20
-BLOCK, QUERIES = 8192, 1024
-CANDIDATES, NORMS = 400, 0.8
-#: For 65 functions; scaled by the root of their number.
-WIDTHS = (0.06, 0.08, 0.1, 0.12, 0.14, 0.17, 0.2, 0.25, 0.35, 0.6)
+BLOCK, QUERIES = 16384, 1024
+NORMS, STEP, SURE = 0.8, 64, 3.0
+#: Half the widths of the windows, in spreads of a projection: the root of the functions' number, inverted.
+NARROW, WIDE = 0.12, (1.2, 1.6, 2.0, 2.5, 3.2)
 SEED = 11
 
 
@@ -49,9 +54,7 @@ def valid(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     """(vec_id, v array<double>, norm) of the vectors that take part."""
     v = F.col(embedding).cast("array<double>")
     ok = F.col(embedding).isNotNull() & F.col(vec_id).isNotNull() & (F.size(embedding) > 0)
-    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = vectors.where(ok).select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
-    del whole
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("norm > 0 and norm < double('infinity')")
 
 
@@ -82,55 +85,72 @@ class Arrays:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
         self.ids, self.vectors, self.longest = ids, vectors, longest
-        if len(ids) <= CANDIDATES:
-            return
         unit = vectors / longest
         rest = np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))
         self.directions = functions(vectors.shape[1] + 1)
         values = np.column_stack([unit, rest]) @ self.directions.T
         order = np.argsort(values, axis=0, kind="stable")
         self.sorted = np.ascontiguousarray(np.take_along_axis(values, order, axis=0).T)
-        self.order = np.ascontiguousarray(order.T)
-        self.widths = np.array(WIDTHS) * (65 / len(self.directions)) ** 0.5
+        self.order = list(np.ascontiguousarray(order.T))
+        self.widths = np.array([NARROW, *WIDE]) / len(self.directions) ** 0.5
 
-    def windows(self, queries: np.ndarray) -> np.ndarray | None:
+    def windows(self, queries: np.ndarray) -> np.ndarray:
         """Where the windows of each query end, from the widest left to the widest right; query x edge x function."""
-        if len(self.ids) <= CANDIDATES:
-            return None
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-        at, w = unit @ self.directions[:, :-1].T, np.concatenate([-self.widths[::-1], [0.0], self.widths])
+        at, w = unit @ self.directions[:, :-1].T, np.concatenate([-self.widths[::-1], self.widths])
         return np.stack([np.searchsorted(s, x[:, None] + w) for s, x in zip(self.sorted, at.T, strict=True)], axis=2).astype(np.int32)
 
-    def search(self, query: np.ndarray, own: int, best: Best, windows: np.ndarray | None) -> None:
-        """Put into best all vectors that belong there."""
+    def _count(self, starts: list[int], ends: list[int]) -> np.ndarray:
+        """In how many functions each vector lies between two places of the array."""
+        parts = [o[a:b] for o, a, b in zip(self.order, starts, ends, strict=True) if b > a]
+        return np.bincount(np.concatenate(parts), minlength=len(self.ids)) if parts else np.zeros(len(self.ids), np.int64)
+
+    def search(self, query: np.ndarray, own: int, best: Best, windows: np.ndarray) -> int:
+        """Put into best all vectors that belong there; the number verified."""
         length = float(np.sqrt(query @ query))
         if self.longest * length * (1 + 1e-9) < best.least:
-            return
-        n = len(self.ids)
+            return 0
+        n, last, edges = len(self.ids), len(self.widths), windows.tolist()
         todo = self.ids != own
-        if n <= CANDIDATES:
-            best.put(self.vectors, self.ids, np.flatnonzero(todo), query)
-            return
-        m, last = len(self.directions), len(self.widths)
-        edges = windows.tolist()
-        order, seen, bound, width = list(self.order), np.zeros(n, np.int64), np.zeros(n), 0.0
-        for r, w in enumerate(self.widths.tolist(), 1):
-            parts = [o[a:b] for o, a, b in zip(order, edges[last - r], edges[last - r + 1], strict=True) if b > a]
-            parts += [o[a:b] for o, a, b in zip(order, edges[last + r - 1], edges[last + r], strict=True) if b > a]
-            if parts:
-                seen += np.bincount(np.concatenate(parts), minlength=n)
-            bound += (m - seen) * (w * w - width * width)
-            width = w
-            if m * w * w <= 2 - 2 * best.least / (length * self.longest) < np.inf:
-                continue  # no bound is above the k-th best yet
-            open_ = np.flatnonzero(todo)
-            some = open_ if len(open_) <= best.k else open_[np.argpartition(bound[open_], best.k)[: best.k]]
-            best.put(self.vectors, self.ids, some, query)
-            todo[some] = False
-            todo &= bound <= 2 - 2 * best.least / (length * self.longest) + 1e-9
-            if np.count_nonzero(todo) <= CANDIDATES:
-                break
-        best.put(self.vectors, self.ids, np.flatnonzero(todo), query)
+        # the narrow window: most collisions first
+        open_ = np.flatnonzero(todo)
+        collisions = self._count(edges[last - 1], edges[last])[open_]
+        some = open_ if len(open_) <= best.k else open_[np.argpartition(-collisions, best.k)[: best.k]]
+        best.put(self.vectors, self.ids, some, query)
+        todo[some] = False
+        # the wide ones: what lies outside a window but inside the next, on both sides
+        bound = np.zeros(n)
+        for r in range(1, last):
+            outer = [(edges[last - 2 - r], edges[last - 1 - r]), (edges[last + r], edges[last + r + 1])] if r + 1 < last else [([0] * len(self.order), edges[0]), (edges[-1], [n] * len(self.order))]
+            for starts, ends in outer:
+                bound += self._count(starts, ends) * self.widths[r] ** 2
+        # best bounds first: they bring the k-th best close to what it will be
+        verified, open_ = len(some), np.flatnonzero(todo)
+        some = open_ if len(open_) <= STEP else open_[np.argpartition(bound[open_], STEP)[:STEP]]
+        best.put(self.vectors, self.ids, some, query)
+        todo[some] = False
+        rest = np.flatnonzero(todo & (bound <= self.threshold(2 - 2 * best.least / (length * self.longest))))
+        best.put(self.vectors, self.ids, rest, query)
+        return verified + len(some) + len(rest)
+
+    def threshold(self, square: float) -> float:
+        """Bound of a vector at such a squared distance, SURE spreads above the mean; never above the distance itself."""
+        if not 0 < square < 4:
+            return np.inf if square >= 4 else 1e-9
+        m = len(self.directions)
+        part, mean, second, mixed, below = square / m, 0.0, 0.0, 0.0, 0.0
+        for w in self.widths[1:].tolist():
+            # how often a normally distributed part misses this window, and the mean of its square there
+            t = w / part**0.5
+            miss = math.erfc(t / 2**0.5)
+            beyond = part * (miss + t * math.exp(-t * t / 2) * (2 / math.pi) ** 0.5)
+            mean += miss * (w**2 - below**2)
+            second += miss * (w**4 - below**4)
+            mixed += beyond * (w**2 - below**2)
+            below = w
+        # the squares of all parts sum to the distance: only what they don't tell of the bound is open
+        spread = second - mean**2 - (mixed - mean * part) ** 2 / (2 * part**2)
+        return min(square, m * mean + SURE * (m * max(spread, 0.0)) ** 0.5) + 1e-9
 
 
 def ranges(ids: np.ndarray, vectors: np.ndarray) -> list[Arrays]:
@@ -139,7 +159,7 @@ def ranges(ids: np.ndarray, vectors: np.ndarray) -> list[Arrays]:
     by = np.lexsort((ids, -norm))
     norm, out, a = norm[by], [], 0
     while a < len(by):
-        b = max(int(np.searchsorted(-norm, -NORMS * norm[a], "right")), min(a + CANDIDATES, len(by)))
+        b = int(np.searchsorted(-norm, -NORMS * norm[a], "right"))
         out.append(Arrays(ids[by[a:b]], vectors[by[a:b]], float(norm[a])))
         a = b
     return out
@@ -158,7 +178,7 @@ def _search(k: int):
         for i, (one, own) in enumerate(zip(q, q_ids.tolist(), strict=True)):
             best = Best(k)
             for arrays, edges in zip(block, windows, strict=True):
-                arrays.search(one, own, best, None if edges is None else edges[i])
+                arrays.search(one, own, best, edges[i])
             for col, y in zip(out, (np.full(len(best.ids), own), best.ids, best.scores), strict=True):
                 col.append(y)
         return pa.table(dict(zip(empty.column_names, (pa.array(np.concatenate(c)) for c in out), strict=True)))
@@ -168,16 +188,14 @@ def _search(k: int):
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of vectors(vec_id, v, norm) for each of queries(vec_id, v)."""
-    first = vectors.agg(F.count("*").alias("n"), F.min(F.struct("vec_id", F.size("v").alias("dim")))["dim"].alias("dim")).first()
-    if not first.n:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors, queries = vectors.where(F.size("v") == first.dim), queries.where(F.size("v") == first.dim)
-    n_blocks = -(-first.n // BLOCK)
-    q_blocks = max(1, -(-queries.count() // QUERIES))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    left = queries.select("vec_id", "v", block(q_blocks).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("vb"))
-    right = vectors.select("vec_id", "v", block(n_blocks).alias("vb"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("qb"))
-    cells = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb"))
+    # one row for each length of vectors
+    lengths = vectors.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    lengths = lengths.join(queries.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("q_blocks")), "dim")
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.withColumn("dim", F.size("v")).join(lengths, "dim").select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.col("dim").alias("dim"), block("q_blocks").alias("qb"), each("blocks").alias("vb"))
+    right = vectors.withColumn("dim", F.size("v")).join(lengths, "dim").select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.col("dim").alias("dim"), block("blocks").alias("vb"), each("q_blocks").alias("qb"))
+    cells = left.groupBy("dim", "qb", "vb").cogroup(right.groupBy("dim", "qb", "vb"))
     hits = cells.applyInArrow(_search(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
