@@ -3,38 +3,47 @@
 Method. Both sides are cut into words. From every window of W - K + 1 successive K-grams the
 smallest hash is kept as a fingerprint (all positions that hold it, so that both sides choose
 alike). A shared span of W words holds one whole window, so both sides keep the same fingerprint
-inside it: no shared span of W words is missed. Document fingerprints are joined with those of
-the benchmark and each match is extended to all W-word windows around it, which are compared
-word by word.
+inside it: no shared span of W words is missed. Document fingerprints that may be among those of
+the benchmark are extended to all W-word windows around them; these are joined with the
+benchmark's windows by hash and compared word by word.
 
 Items shorter than W words are one window of their own length; for these every n-gram of that
 length is a fingerprint (the winnowing window is then one K-gram wide).
 
-The benchmark is the stated query set. It is read in blocks of bounded size; each block's
-fingerprints are the build side of a hash join that the document scan probes, one block after
-another in one pass over the documents. Documents are never shuffled, gathered or cut.
+Scale. Both sides stay distributed: the benchmark's windows are a table. What goes to every task is
+a filter of fixed size at most (`FILTER_BITS`), built in pieces by the tasks, that tells which
+hashes can't be the benchmark's; a larger benchmark lets more through to the join, which decides.
+Documents are cut once, and only windows that pass the filter move. Equal texts have equal hits, so
+these are kept by a text's digest; texts move only where they have hits. The keys of these are
+broadcast up to `BROADCAST_ROWS` of them and joined by a shuffle beyond.
 
 Edge cases: null or empty texts have no words, no hits and an empty item list. Items with null
-id or without words take no part. Repeated items and repeated rows are each treated alike. Input
-columns whose names clash with result columns are replaced by them.
+id or without words take no part; an empty benchmark hits nothing. Repeated items and repeated rows
+are each treated alike. Items with equal windows are all named. A very long text is cut whole, and
+its windows are rows of their own. An empty table gives an empty result. Input columns whose names
+clash with result columns are replaced by them; a caller that needs them renames them first.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .scratch import small_batches
+from .scratch import drop, written
 
 WINDOW, KGRAM = 10, 5
-BLOCK_WORDS = 200_000
+#: Bits of the filter: FILTER_LOAD for each hash, FILTER_BITS at most (a power of two).
+FILTER_LOAD, FILTER_BITS, CHUNK_BITS = 64, 1 << 28, 1 << 16
+BROADCAST_ROWS = 1_000_000
 RESULT = {"n_words": T.LongType(), "n_hit": T.LongType(), "hit_spans": T.ArrayType(T.ArrayType(T.LongType())), "items": T.ArrayType(T.StringType())}
 _ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit_spans": pa.list_(pa.list_(pa.int64())), "items": pa.list_(pa.string())}
 
@@ -63,139 +72,199 @@ def winnow(words: np.ndarray, rows: np.ndarray, window: int = WINDOW, k: int = K
     return at, grams[at]
 
 
-class Index:
-    """Fingerprints and windows of one block of items."""
-
-    def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, k: int = KGRAM):
-        self.window, self.k, self.ids = window, k, [i for i, _ in items]
-        prints: list[np.ndarray] = []
-        spans: dict[int, dict[int, list[tuple[bytes, set[int]]]]] = {}
-        for n, (_, text) in enumerate(items):
-            for _, _, data, starts, ends, rows, words in _words(pa.array([text], pa.string())):
-                size = min(window, len(words))
-                if not size:
-                    continue
-                if size == window:
-                    prints.append(winnow(words, rows, window, k)[1])
+# --- the benchmark ---------------------------------------------------------------------------------
+
+
+def _windows(batches):
+    """(item, size, hash, what): every window of every item."""
+    for batch in K.portions(batches):
+        out: list[list] = [[], [], [], []]
+        names = batch.column(0).to_pylist()
+        for i, j, data, starts, ends, rows, words in _words(batch.column(1)):
+            base = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=j - i))]).tolist()
+            raw = data.tobytes()
+            for r in range(j - i):
+                own, size = words[base[r] : base[r + 1]], min(WINDOW, base[r + 1] - base[r])
+                if size:
+                    each = [raw[s:e] for s, e in zip(starts[base[r] : base[r + 1]].tolist(), ends[base[r] : base[r + 1]].tolist(), strict=True)]
+                    for at, h in enumerate(K.kgrams(own, size).view(np.int64).tolist()):
+                        for col, x in zip(out, (names[i + r], size, h, b" ".join(each[at : at + size])), strict=True):
+                            col.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["item", "size", "hash", "what"])
+
+
+def _prints(batches):
+    """The fingerprints of items that have a window of WINDOW words."""
+    for batch in K.portions(batches):
+        found = []
+        for _, _, _, _, _, rows, words in _words(batch.column(0)):
+            found.append(winnow(words, rows)[1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).view(np.int64) if found else [], pa.int64())], names=["hash"])
+
+
+class Filter:
+    """Which hashes can't be among those put in: two bits for each."""
+
+    def __init__(self, bits: int, data: np.ndarray | None = None):
+        self.bits, self.data = bits, np.zeros(bits // 8, np.uint8) if data is None else data
+
+    def places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mask = np.uint64(self.bits - 1)
+        return (hashes & mask).astype(np.int64), ((hashes >> np.uint64(32)) & mask).astype(np.int64)
+
+    def may_hold(self, hashes: np.ndarray) -> np.ndarray:
+        a, b = self.places(hashes)
+        return ((self.data[a >> 3] >> (a & 7).astype(np.uint8)) & (self.data[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+
+def _bits(bits: int):
+    """(chunk, place) of the bits that hashes set, each once in a task."""
+
+    def run(batches):
+        for batch in batches:
+            at = np.unique(np.concatenate(Filter(bits, np.empty(0, np.uint8)).places(batch.column(0).to_numpy().view(np.uint64))))
+            yield pa.RecordBatch.from_arrays([pa.array(at // CHUNK_BITS, pa.int64()), pa.array(at % CHUNK_BITS, pa.int32())], names=["chunk", "place"])
+
+    return run
+
+
+def _chunks(batches):
+    """Each chunk as bytes. Rows come sorted by chunk, and a chunk lies in one partition."""
+    key, bits = None, None
+
+    def out():
+        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], names=["chunk", "data"])
+
+    for batch in batches:
+        chunk, place = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        for a, b in zip(cut, cut[1:], strict=False):
+            if a == b:
+                continue
+            if chunk[a] != key:
+                if key is not None:
+                    yield out()
+                key, bits = int(chunk[a]), np.zeros(CHUNK_BITS, bool)
+            bits[place[a:b]] = True
+    if key is not None:
+        yield out()
+
+
+def build_filter(hashes: DataFrame) -> Filter:
+    """The filter of hashes(hash). The driver puts chunks of bytes together, FILTER_BITS / 8 of them at most."""
+    bits = CHUNK_BITS
+    n = hashes.agg(F.approx_count_distinct("hash")).first()[0]
+    while bits < min(FILTER_BITS, n * FILTER_LOAD):
+        bits *= 2
+    out = Filter(bits)
+    chunks = hashes.mapInArrow(_bits(bits), "chunk long, place int").distinct().repartition("chunk").sortWithinPartitions("chunk").mapInArrow(_chunks, "chunk long, data binary")
+    for r in chunks.toLocalIterator():
+        at = r.chunk * CHUNK_BITS // 8
+        out.data[at : at + CHUNK_BITS // 8] = np.frombuffer(r.data, np.uint8)
+    return out
+
+
+# --- the documents ---------------------------------------------------------------------------------
+
+
+def _candidates(shared: Broadcast, sizes: list[int]):
+    """(key, at, size, hash, what): windows of documents that may be among those of the benchmark."""
+    names = ["key", "at", "size", "hash", "what"]
+    types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
+    def run(batches):
+        known: Filter = shared.value
+        for batch in K.portions(batches):
+            texts, out = batch.column(0), [[] for _ in names]
+            for i, j, data, starts, ends, rows, words in _words(texts):
+                base = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=j - i))])
+                keys: dict[int, bytes] = {}
                 raw = data.tobytes()
-                each = [raw[s:e] for s, e in zip(starts, ends, strict=True)]
-                table = spans.setdefault(size, {})
-                for at, h in enumerate(K.kgrams(words, size).tolist()):
-                    what, entries = b" ".join(each[at : at + size]), table.setdefault(h, [])
-                    for known, who in entries:
-                        if known == what:
-                            who.add(n)
-                            break
+                for size in sizes:
+                    n = len(words) - size + 1
+                    if n <= 0:
+                        continue
+                    if size == WINDOW:
+                        at, grams = winnow(words, rows)
+                        at = at[known.may_hold(grams)]
+                        at = np.unique((at[:, None] - np.arange(WINDOW - KGRAM + 1)).ravel())
+                        at = at[(at >= 0) & (at < n)]
+                        around = words[at[:, None] + np.arange(size)]
+                        grams = np.full(len(at), size, np.uint64)
+                        for k in range(size):
+                            grams += around[:, k] * K._MULT[k]
+                        grams = K.mix64(grams)
                     else:
-                        entries.append((what, {n}))
-        self.prints = np.unique(np.concatenate(prints)) if prints else np.empty(0, np.uint64)
-        self.spans = spans
-        self.hashes = {size: np.sort(np.fromiter(table, np.uint64, len(table))) for size, table in spans.items()}
-
-    def _probe(self, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(values), bool)
-        return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values
-
-    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int, set[int]]]:
-        """(first word, words, items) of every window of an item that occurs in a slice of documents."""
-        for size in self.spans:
-            n = len(words) - size + 1
-            if n <= 0:
-                continue
-            if size == self.window:
-                at, grams = winnow(words, rows, self.window, self.k)
-                at = at[self._probe(self.prints, grams)]
-                at = np.unique((at[:, None] - np.arange(self.window - self.k + 1)).ravel())
-                at = at[(at >= 0) & (at < n)]
-                around = words[at[:, None] + np.arange(size)]
-                grams = np.full(len(at), size, np.uint64)
-                for i in range(size):
-                    grams += around[:, i] * K._MULT[i]
-                grams = K.mix64(grams)
-            else:
-                at, grams = np.arange(n), K.kgrams(words, size)
-            ok = self._probe(self.hashes[size], grams) & (rows[at] == rows[at + size - 1])
-            for j, h in zip(at[ok].tolist(), grams[ok].tolist(), strict=True):
-                what = b" ".join(data[s:e].tobytes() for s, e in zip(starts[j : j + size], ends[j : j + size], strict=True))
-                for known, who in self.spans[size][h]:
-                    if known == what:
-                        yield j, size, who
-
-
-def _scan(index: Broadcast, text: str, keep: list[str], first: bool):
+                        at, grams = np.arange(n), K.kgrams(words, size)
+                    ok = known.may_hold(grams) & (rows[at] == rows[at + size - 1])
+                    for p, h in zip(at[ok].tolist(), grams[ok].view(np.int64).tolist(), strict=True):
+                        r = int(rows[p])
+                        if r not in keys:
+                            keys[r] = hashlib.md5(texts[i + r].as_buffer()).digest()
+                        what = b" ".join(raw[s:e] for s, e in zip(starts[p : p + size].tolist(), ends[p : p + size].tolist(), strict=True))
+                        for col, x in zip(out, (keys[r], p - int(base[r]), size, h, what), strict=True):
+                            col.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    return run
+
+
+def _finish(text: str, keep: list[str]):
+    """Words, hits and items of each row."""
+
     def run(batches):
-        ix: Index = index.value
-        for batch in batches:
+        for batch in K.portions(batches):
             n = batch.num_rows
             n_words, n_hit = np.zeros(n, np.int64), np.zeros(n, np.int64)
-            spans: list[list[list[int]]] = [[] for _ in range(n)]
-            items: list[list[str]] = [[] for _ in range(n)]
-            if not first:
-                spans, items = batch.column("hit_spans").to_pylist(), batch.column("items").to_pylist()
-            for i, j, data, starts, ends, rows, words in _words(batch.column(text)):
-                count = np.bincount(rows, minlength=j - i)
-                n_words[i:j] = count
-                base = np.concatenate([[0], np.cumsum(count)])
-                edge = np.zeros(len(words) + 1, np.int64)
-                touched = set()
-                found: dict[int, set[int]] = {}
-                for at, size, who in ix.hits(data, starts, ends, rows, words):
-                    edge[at] += 1
-                    edge[at + size] -= 1
-                    found.setdefault(int(rows[at]), set()).update(who)
-                for r, who in found.items():
-                    touched.add(r)
-                    items[i + r] = sorted({*items[i + r], *(ix.ids[x] for x in who)}, key=lambda x: x.encode())
-                if not first:
-                    for r in range(j - i):
-                        for a, b in spans[i + r]:
-                            edge[base[r] + a] += 1
-                            edge[base[r] + b] -= 1
-                            touched.add(r)
-                hit = np.cumsum(edge[:-1]) > 0
-                for r in touched:
-                    own = np.concatenate([[False], hit[base[r] : base[r + 1]], [False]]).astype(np.int8)
-                    step = np.flatnonzero(np.diff(own))
-                    spans[i + r] = step.reshape(-1, 2).tolist()
-                    n_hit[i + r] = int(own.sum())
-            cols = {c: batch.column(c) for c in keep if c not in _ARROW}
+            for i, j, data, offs in K.text_slices(batch.column(text)):
+                n_words[i:j] = K.word_counts(K.LOWER[data], offs, K.ALNUM)
+            spans: list[list] = [[] for _ in range(n)]
+            items: list[list] = [[] for _ in range(n)]
+            for r in np.flatnonzero(pc.is_valid(batch.column("_windows")).to_numpy(zero_copy_only=False)).tolist():
+                edge = np.zeros(int(n_words[r]) + 1, np.int64)
+                for w in batch.column("_windows")[r].as_py():
+                    edge[w["at"]] += 1
+                    edge[w["at"] + w["size"]] -= 1
+                hit = np.concatenate([[0], (np.cumsum(edge[:-1]) > 0).astype(np.int8), [0]])
+                spans[r] = np.flatnonzero(np.diff(hit)).reshape(-1, 2).tolist()
+                n_hit[r] = int(hit.sum())
+                items[r] = sorted(batch.column("_items")[r].as_py(), key=lambda x: x.encode())
+            cols = {c: batch.column(c) for c in keep}
             cols |= {"n_words": pa.array(n_words), "n_hit": pa.array(n_hit), "hit_spans": pa.array(spans, _ARROW["hit_spans"]), "items": pa.array(items, _ARROW["items"])}
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
-def blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of a bounded number of words (one item at least)."""
-    rows = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where("i is not null and t is not null").dropDuplicates()
-    block, size = [], 0
-    for row in rows.toLocalIterator():
-        n = len(row.t) // 2 + 1
-        if block and size + n > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row.i, row.t))
-        size += n
-    if block:
-        yield block
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per row of docs: n_words, n_hit, hit_spans ([first word, word after]) and items (sorted ids).
 
     `keep` names the input columns that the result carries (all of them by default).
     """
-    small_batches(spark)
-    keep = list(docs.columns) if keep is None else list(keep)
-    parts = list(blocks(benchmark, item_id, item_text, block_words)) or [[]]
-    out = docs.select(*dict.fromkeys([*(c for c in keep if c not in RESULT), text]))
-    for n, part in enumerate(parts):
-        index = spark.sparkContext.broadcast(Index(part))
-        carried = [c for c in out.columns if c not in RESULT] if n < len(parts) - 1 else [c for c in keep if c not in RESULT]
-        schema = T.StructType([*(out.schema[c] for c in carried), *(T.StructField(c, t) for c, t in RESULT.items())])
-        out = out.mapInArrow(_scan(index, text, carried, n == 0), schema)
-    return out
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
+    windows = written(items.mapInArrow(_windows, "item string, size int, hash long, what binary").distinct(), "windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # 1 to WINDOW
+    known = build_filter(windows.select("hash").unionByName(items.select("t").mapInArrow(_prints, "hash long")))
+    shared = spark.sparkContext.broadcast(known)
+    found = written(docs.select(text).mapInArrow(_candidates(shared, sizes), "key binary, at long, size int, hash long, what binary").distinct(), "candidates")
+    shared.destroy()
+    hits = found.join(windows, ["hash", "size", "what"])
+    hits = written(hits.groupBy("key").agg(F.collect_set(F.struct("at", "size")).alias("_windows"), F.collect_set("item").alias("_items")), "hits")
+    for table in (windows, found):
+        drop(table)
+    rows = docs.select(*dict.fromkeys([*keep, text]))
+    key, columns = F.unhex(F.md5(F.col(text).cast("string"))), [*rows.columns, "_windows", "_items"]
+    rows = rows.withColumn("_key", key)
+    hits = hits.withColumnRenamed("key", "_key")
+    if hits.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(hits.select("_key"))
+        clean = rows.join(keys, "_key", "left_anti").withColumns({c: F.lit(None).cast(hits.schema[c].dataType) for c in ("_windows", "_items")})
+        rows = rows.join(keys, "_key", "left_semi").join(hits, "_key").select(*columns).unionByName(clean.select(*columns))
+    else:
+        rows = rows.join(hits, "_key", "left").select(*columns)
+    schema = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(c, t) for c, t in RESULT.items())])
+    return rows.mapInArrow(_finish(text, keep), schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
