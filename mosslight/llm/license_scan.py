@@ -4,14 +4,17 @@ Method. A text is brought into canonical form: lower case; lines that only state
 dropped; equivalent spellings become one; every run of characters other than letters and digits
 becomes one space. The SHA-256 digest of the whole canonical text is hash-joined to the digests of
 known license texts and notices, canonicalised by the same expressions. Entire texts are compared:
-the document as a whole, and every line as a text of its own (a notice in a document).
+the document as a whole, every line, and every paragraph of several lines (between blank ones) as a
+text of its own, as notices stand in a document.
 
-Scale. One pass; lines are rows of a digest and the place they came from. The known texts are a
-fixed list, far below any broadcast bound (`KNOWN_ROWS` is checked). Only matched lines are
+Scale. One pass; lines and paragraphs are rows of a digest and the place they came from. The known
+texts are broadcast up to `KNOWN_ROWS` of them, and joined by a shuffle beyond. Only matched parts are
 grouped back to their documents.
 
 Edge cases: null and empty texts, and texts that canonicalise to nothing, match nothing. Rows with
-equal doc_id and text are rows of their own. A null doc_id is carried. Other columns are ignored.
+equal doc_id and text are rows of their own. Of known texts with one canonical form the first name
+counts. A very long text is cut into its lines whole. A null doc_id is carried; an empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,6 +80,8 @@ COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright(?![^\p{L}\p{N}]*(?:notice|hol
 #: The same in the SQL, which has no lookahead: there every line that begins with the word goes.
 SQL_COPYRIGHT_LINE = r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©)[^\n]*$|^[^\p{L}\p{N}\n]*all rights reserved[^\n]*$"
 NOT_WORD = r"[^\p{L}\p{N}]+"
+#: What parts paragraphs: a line end and a blank line.
+PARAGRAPH = r"\n[ \t\r]*\n"
 
 
 def canonical(text: Column) -> Column:
@@ -92,18 +97,21 @@ def canonical(text: Column) -> Column:
 def known(spark: SparkSession, licenses: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license) of the known texts; the first name of equal texts counts."""
     licenses = LICENSES if licenses is None else licenses
-    if len(licenses) > KNOWN_ROWS:
-        raise ValueError(f"{len(licenses)} known texts are too many to broadcast")
     rows = spark.createDataFrame(licenses, "license string, text string")
     return rows.select(F.unhex(F.sha2(canonical(F.col("text")), 256)).alias("digest"), "license").groupBy("digest").agg(F.min("license").alias("license"))
 
 
 def scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, digest (of the whole text), license (of the whole text), notices (sorted names of line matches), n_notices."""
+    """Per row of docs: doc_id, digest (of the whole text), license (of the whole text), notices (sorted names of the matches of lines and paragraphs), n_notices."""
     spark = docs.sparkSession
-    table = F.broadcast(known(spark, licenses))
+    table = known(spark, licenses)
+    table = F.broadcast(table) if len(LICENSES if licenses is None else licenses) <= KNOWN_ROWS else table
     name = lambda x: F.unhex(F.sha2(x, 256))
-    lines = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: name(canonical(x)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # a line is a part, and so is a paragraph of several lines; a text of one paragraph is looked up as a whole
+    paragraphs = F.filter(F.split(whole, PARAGRAPH), lambda x: x.contains("\n"))
+    paragraphs = F.when(whole.rlike(PARAGRAPH), paragraphs).otherwise(F.array().cast("array<string>"))
+    lines = F.transform(F.concat(F.split(whole, "\n"), paragraphs), lambda x: name(canonical(x)))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), name(F.coalesce(canonical(F.col(text)), F.lit(""))).alias("digest"), lines.alias("lines"))
     rows = written(rows, "digests")
     named = rows.select("row", F.explode("lines").alias("digest")).join(table, "digest")
@@ -129,6 +137,6 @@ OP2_SQL = f"""
 WITH k AS (SELECT sha256({_sql_canonical("t")}) AS digest, min(l) AS license FROM (VALUES {_VALUES}) v(l, t) GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT r, doc_id, sha256({_sql_canonical("text")}) AS digest FROM d),
-n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM (SELECT r, sha256({_sql_canonical("x")}) AS digest FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d)) JOIN k USING (digest) GROUP BY r)
+n AS (SELECT r, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n FROM (SELECT r, sha256({_sql_canonical("x")}) AS digest FROM (SELECT r, unnest(list_concat(string_split(text, chr(10)), CASE WHEN regexp_matches(text, '{PARAGRAPH}') THEN list_filter(regexp_split_to_array(text, '{PARAGRAPH}'), lambda p: contains(p, chr(10))) ELSE [] END)) AS x FROM d)) JOIN k USING (digest) GROUP BY r)
 SELECT doc_id, digest, license, coalesce(notices, '') AS notices, CAST(coalesce(n, 0) AS BIGINT) AS n_notices FROM w LEFT JOIN k USING (digest) LEFT JOIN n USING (r)
 """
