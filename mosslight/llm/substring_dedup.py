@@ -24,11 +24,16 @@ the starts' distance to the anchor, and each piece gets the hash of the text tha
 share as its anchor. Pieces with other text around a common passage so come apart, and pieces
 within it are alike; a task keeps equal pieces once.
 
+Passages shorter than `LENGTH` lose nothing, but are told: `shares_passage` is true where bytes are
+removed, and where one of a few strings of `PASSAGE` bytes at fixed distances from an anchor also
+stands in another text. Shared strings of less than `LENGTH` bytes may have other anchors on both
+sides, so of these most are told and not all.
+
 Texts move only where they must: for step 2 those that hold an example, for step 4 those that lose
 bytes. Their keys are broadcast up to `BROADCAST_ROWS` of them, beyond that texts are joined by a
 shuffle.
 
-Edge cases: null counts as empty; texts shorter than `LENGTH` lose nothing; equal rows repeat each
+Other columns are ignored. Edge cases: null counts as empty; texts shorter than `LENGTH` lose nothing; equal rows repeat each
 other; rows with equal or null doc_id are rows of their own; an empty table gives an empty result.
 Strings are bytes: a removed span may begin or end inside a character, so kept text is binary.
 """
@@ -44,10 +49,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .scratch import drop, small_batches, written
+from .scratch import drop, written
 
 LENGTH, GRAM = 400, 32
 BATCH, GROUP, PIECES = 1 << 18, 3_000, 4
+PASSAGE, OFFSETS = 256, (208, 144, 80, 16)
 BROADCAST_ROWS = 1_000_000
 _SPAN = LENGTH - GRAM + 1
 
@@ -55,11 +61,23 @@ _SPAN = LENGTH - GRAM + 1
 # --- anchors and segments ------------------------------------------------------------------
 
 
-def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
-    """Hash of data[i : i + k] for every i."""
+def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums from which string_hashes() tells the hash of any string of data."""
     up, down = K._power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(K._BYTE[data] * up[: len(data)], out=total[1:])
+    return total, down
+
+
+def string_hashes(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k bytes at each place."""
+    total, down = sums
+    return K.mix64((total[at + k] - total[at]) * down[at])
+
+
+def gram_hashes(data: np.ndarray, k: int = GRAM, sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Hash of data[i : i + k] for every i."""
+    total, down = byte_sums(data) if sums is None else sums
     return K.mix64((total[k:] - total[:-k]) * down[: len(data) - k + 1])
 
 
@@ -115,26 +133,31 @@ def _is_least(hashes: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
     return most == hashes
 
 
-def segments(data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-    """(anchor hash, first start, number of starts, distance from the first start to the anchor)."""
+def segments(data: np.ndarray) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """(anchor hash, first start, number of starts, distance from the first start to the anchor, hashes of the strings of PASSAGE bytes around the anchor)."""
     step = 1 << 20
     for base in range(0, max(0, len(data) - LENGTH + 1), step):
         # windows that start in [base, base + step); a run that goes on is cut there, see runs()
         yield from runs(data, base, min(len(data) - LENGTH + 1, base + step))
 
 
-def runs(data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
+def runs(data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int, int, list[int]]]:
     """Segments of the windows that start in [a, b), whole ones even where they begin before a or end after b."""
     lo, hi = max(0, a - LENGTH), min(len(data), b + 2 * LENGTH)
-    hashes = gram_hashes(data[lo:hi])
+    sums = byte_sums(data[lo:hi])
+    hashes = gram_hashes(data[lo:hi], sums=sums)
     anchors = window_anchors(hashes)
     cut = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     ends = np.append(cut[1:], len(anchors))
-    for s, e in zip(cut.tolist(), ends.tolist(), strict=True):
+    at = anchors[cut][:, None] - np.array(OFFSETS)
+    whole = (at >= 0) & (at + PASSAGE <= hi - lo)
+    near = string_hashes(sums, np.where(whole, at, 0), PASSAGE).view(np.int64).tolist()
+    whole = whole.tolist()
+    for k, (s, e) in enumerate(zip(cut.tolist(), ends.tolist(), strict=True)):
         # a segment belongs to the stretch in which its first start lies
         if a <= s + lo < b and (s or not lo):
             p = int(anchors[s])
-            yield int(hashes[p]), s + lo, e - s, p - s
+            yield int(hashes[p]), s + lo, e - s, p - s, [x for x, ok in zip(near[k], whole[k], strict=True) if ok]
 
 
 def digest(data: np.ndarray) -> bytes:
@@ -146,19 +169,19 @@ def _signed(x: int) -> int:
 
 
 def _occurrences(batches):
-    """Each row's segments: (row, start, starts, anchor, digest, before)."""
-    for batch in batches:
+    """Each row's segments: (row, start, starts, anchor, digest, before, near)."""
+    for batch in K.portions(batches):
         data, offs = K.flat(batch.column(1))
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         for r, row in enumerate(batch.column(0).to_pylist()):
             own = data[offs[r] : offs[r + 1]]
             if len(own) < LENGTH:
                 continue
-            for anchor, start, n, before in segments(own):
-                for col, x in zip(out, (row, start, n, _signed(anchor), digest(own[start : start + n + LENGTH - 1]), before), strict=True):
+            for anchor, start, n, before, near in segments(own):
+                for col, x in zip(out, (row, start, n, _signed(anchor), digest(own[start : start + n + LENGTH - 1]), before, near), strict=True):
                     col.append(x)
-        types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row", "start", "starts", "anchor", "digest", "before"])
+        types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row", "start", "starts", "anchor", "digest", "before", "near"])
 
 
 # --- the transform and the search --------------------------------------------------------------
@@ -307,7 +330,7 @@ _PARTS = pa.schema([("group", pa.int64()), ("name", pa.binary()), ("anchor", pa.
 
 def _fetch(batches):
     """Content of the wanted segments of each row, those of large anchors in pieces."""
-    for batch in batches:
+    for batch in K.portions(batches):
         data, offs = K.flat(batch.column(0))
         out: list[tuple] = []
         for r, wanted in enumerate(batch.column(1).to_pylist()):
@@ -323,7 +346,7 @@ def _fetch(batches):
 
 def _cut(batches):
     """What stays of each row that loses bytes."""
-    for batch in batches:
+    for batch in K.portions(batches):
         data, offs = K.flat(batch.column(1))
         lost, spans, kept = [], [], []
         for r, marks in enumerate(batch.column(2).to_pylist()):
@@ -338,18 +361,18 @@ def _cut(batches):
             lost.append(int(gone.sum()))
             spans.append(turn.reshape(-1, 2).tolist())
             kept.append(own[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+        shares = pa.array([x is not None for x in batch.column(2).to_pylist()], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), shares], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "shares_passage"])
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of docs: doc_id, n_bytes, n_removed, spans ([first byte, byte after]) and kept (binary)."""
+    """Per row of docs: doc_id, n_bytes, n_removed, spans ([first byte, byte after]), kept (binary) and shares_passage."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small_batches(spark)
     # equal texts have equal spans, so a text's digest stands for its rows
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("row", F.unhex(F.md5("text")))
-    found = written(marked.select("row", "text").mapInArrow(_occurrences, "row binary, start long, starts int, anchor long, digest binary, before int"), "anchors")
+    found = written(marked.select("row", "text").mapInArrow(_occurrences, "row binary, start long, starts int, anchor long, digest binary, before int, near array<long>"), "anchors")
     # tables of one row for each anchor are written first: a join with them can then be split where an anchor is very common
     shared = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "common")
     again = written(found.join(shared, "anchor"), "shared")
@@ -367,8 +390,14 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     drop(each)
     drop(wanted)
     hits = again.select("row", "start", "anchor", "digest").join(marks, ["anchor", "digest"])
-    hits = written(hits.groupBy("row").agg(F.collect_set(F.struct("start", "edges")).alias("marks")), "marks")
+    # strings of PASSAGE bytes that stand in two texts at least; their rows get no marks for it, but an entry
+    strings = written(again.select("row", F.explode("near").alias("string")), "strings")
+    common = strings.groupBy("string").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("string")
+    told = strings.join(written(common, "strings"), "string").select("row", F.lit(None).cast("struct<start:bigint,edges:array<int>>").alias("mark")).distinct()
+    hits = hits.select("row", F.struct("start", "edges").alias("mark")).unionByName(told)
+    hits = written(hits.groupBy("row").agg(F.collect_set("mark").alias("marks")), "marks")
     drop(again)
+    drop(strings)
     drop(marks)
     columns = ["doc_id", "text", "marks"]
     if hits.count() <= BROADCAST_ROWS:
@@ -388,4 +417,4 @@ def _having(texts: DataFrame, keys: DataFrame) -> DataFrame:
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document loses and keeps."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
