@@ -3,16 +3,24 @@
 Method. For each document the counts of its pre-tokens (parts between spaces, which the tokenizer
 never joins) are the leaves of a segment tree, `LEAF` pre-tokens to a leaf, with the sum of every
 subtree. An edit replaces a range of characters. Only the leaves that an edit touches, with one
-character of context on both sides, are encoded again; the sums above them are updated. The root
-is the document's count.
-
-Scale. One pass; a document's tree lives in one task while it is worked on. Each pre-token is
-encoded once per worker and its count kept in a bounded cache.
-
-Edge cases: a null text counts 0 tokens and takes no edits; an empty text counts 0 and may be
-edited. Edits are in characters of the text before any edit; they are applied in order of
-position, those that overlap an earlier one, lie outside the text or hold a null are refused (and
-counted). An insertion is an edit of an empty range. Repeated rows are rows of their own.
+character of context on both sides, are encoded again, and cut into leaves anew; the sums above them
+are updated. The root is the document's count.
+
+Trees are kept: `with_trees` adds a document's leaves (their characters and tokens) to its row, as a
+column that is stored with the table; `apply_edits` takes stored rows, and gives the edited text with
+its tree, ready to be stored and edited again. Untouched leaves are never encoded a second time.
+
+Scale. One pass without a shuffle; a document's tree lives in one task while it is worked on, and is
+a few bytes for each leaf. Each pre-token is encoded once per worker and its count kept in a bounded
+cache.
+
+Edge cases: a null text counts 0 tokens, has a null tree and takes no edits (they are refused); an
+empty text counts 0 and may be edited. Edits are in characters of the text before any edit of their
+list; they are applied in order of position, equal ones in the list's order; those that overlap an
+earlier one, lie outside the text or hold a null are refused (and counted). An insertion is an edit
+of an empty range. Repeated rows, and rows with equal doc_id, are rows of their own. A very long text
+is one tree. An empty table gives an empty result. Input columns are carried; one that has the name
+of a result column is replaced.
 """
 
 from __future__ import annotations
@@ -25,45 +33,62 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .token_store import encoder, tokenizer_path
+from . import kernels as K
+from .scratch import written
+from .token_store import UnitEncoder, encoder, tokenizer_path
 
 LEAF = 16
 #: What the query redacts: e-mail addresses, and runs of digits with separators.
 MAIL, NUMBER = r"(?<![\w.+-])[\w.+-]+@[\w-]+\.[\w.-]+", r"\d[\d ().-]{7,}\d"
 REDACTED = "<redacted>"
+TREE = "struct<chars:array<int>,tokens:array<int>>"
+EDITS = "array<struct<start:int,end:int,text:string>>"
+COUNTS = ("n_tokens", "n_tokens_edited", "n_units", "n_recounted", "n_refused")
+_TREE = pa.struct([("chars", pa.list_(pa.int32())), ("tokens", pa.list_(pa.int32()))])
 
 
 def counter(path: str) -> Callable[[list[str]], list[int]]:
     """Counts of pre-tokens, with a bounded cache per worker."""
     coder = encoder(path)
+    if not isinstance(coder, UnitEncoder):
+        raise ValueError(f"{path} may join characters across spaces")
 
     def count(units: list[str]) -> list[int]:
-        return [len(x) // coder.dtype.itemsize for x in coder.known(units)]
+        return [len(x) // coder.dtype.itemsize for x in coder.known([u if "<|" in u else u.lower() if u.isascii() else u for u in units])]
 
     return count
 
 
 class TokenTree:
-    """Segment tree over the pre-tokens of one text."""
+    """Segment tree over the pre-tokens of one text. chars and tokens are those of its leaves; a leaf's last separator, or the text's end, counts as a character of it."""
 
-    def __init__(self, text: str, count: Callable[[list[str]], list[int]], leaf: int = LEAF):
-        self.text, self.count = text, count
+    def __init__(self, text: str, chars: np.ndarray, tokens: np.ndarray, count: Callable[[list[str]], list[int]], leaf: int = LEAF):
+        self.text, self.count, self.leaf = text, count, leaf
+        self.chars, self.tokens = np.asarray(chars, np.int64), np.asarray(tokens, np.int64)
+        self.recounted, self.refused = 0, 0
+        self._sum_up()
+
+    @classmethod
+    def build(cls, text: str, count: Callable[[list[str]], list[int]], leaf: int = LEAF) -> TokenTree:
         units = text.split(" ")
-        counts = np.array(count(units), np.int64)
-        sizes = np.array([len(u) + 1 for u in units], np.int64)
-        starts = np.concatenate([[0], np.cumsum(sizes)])
-        #: first character of each leaf, and the end of the last one (one past the text)
-        self.begins = np.append(starts[:-1:leaf], starts[-1])
-        n = len(self.begins) - 1
+        return cls(text, *cls.leaves(units, count(units), leaf), count, leaf)
+
+    @staticmethod
+    def leaves(units: list[str], counts: list[int], leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.arange(0, len(units), leaf)
+        return np.add.reduceat(np.array([len(u) + 1 for u in units], np.int64), at), np.add.reduceat(np.array(counts, np.int64), at)
+
+    def _sum_up(self) -> None:
+        n = len(self.tokens)
         self.width = 1 << max(0, (n - 1).bit_length())
         self.sums = np.zeros(2 * self.width, np.int64)
-        self.sums[self.width : self.width + n] = np.add.reduceat(counts, np.arange(0, len(units), leaf))
+        self.sums[self.width : self.width + n] = self.tokens
         level = self.width
         while level > 1:
             self.sums[level // 2 : level] = self.sums[level : 2 * level].reshape(-1, 2).sum(axis=1)
             level //= 2
-        self.units, self.recounted, self.refused = len(units), 0, 0
 
     @property
     def total(self) -> int:
@@ -77,7 +102,7 @@ class TokenTree:
             at >>= 1
 
     def apply(self, edits: Iterable[tuple[int, int, str]]) -> str:
-        """Apply edits (start, end, replacement); give the new text. Counts follow."""
+        """Apply edits (start, end, replacement) to text and tree; give the new text."""
         usable, last = [], 0
         for a, b, new in sorted((e for e in edits if None not in e), key=lambda e: (e[0], e[1])):
             if a < last or b < a or b > len(self.text):
@@ -85,20 +110,21 @@ class TokenTree:
                 continue
             usable.append((a, b, new))
             last = b
+        begins = np.concatenate([[0], np.cumsum(self.chars)])
         # touched leaves; edits whose leaves meet are counted together
         groups: list[list] = []
         for a, b, new in usable:
-            lo = int(np.searchsorted(self.begins, max(0, a - 1), "right")) - 1
-            hi = min(int(np.searchsorted(self.begins, b + 1, "right")) - 1, len(self.begins) - 2)
+            lo = int(np.searchsorted(begins, max(0, a - 1), "right")) - 1
+            hi = min(int(np.searchsorted(begins, b + 1, "right")) - 1, len(begins) - 2)
             lo = min(lo, hi)
             if groups and lo <= groups[-1][1]:
                 groups[-1][1] = max(hi, groups[-1][1])
                 groups[-1][2].append((a, b, new))
             else:
                 groups.append([lo, hi, [(a, b, new)]])
-        parts, at = [], 0
+        parts, at, fresh_leaves, moved = [], 0, [], False
         for lo, hi, own in groups:
-            begin, end = int(self.begins[lo]), int(self.begins[hi + 1]) - 1
+            begin, end = int(begins[lo]), int(begins[hi + 1]) - 1
             region, p = [], begin
             for a, b, new in own:
                 region += [self.text[p:a], new]
@@ -106,40 +132,90 @@ class TokenTree:
             fresh = "".join(region) + self.text[p:end]
             units = fresh.split(" ")
             self.recounted += len(units)
-            self._set(lo, sum(self.count(units)))
-            for leaf in range(lo + 1, hi + 1):
-                self._set(leaf, 0)
+            fresh_leaves.append((lo, hi, *self.leaves(units, self.count(units), self.leaf)))
+            moved |= len(fresh_leaves[-1][2]) != hi + 1 - lo
             parts += [self.text[at:begin], fresh]
             at = end
-        return "".join(parts) + self.text[at:]
+        self.text = "".join(parts) + self.text[at:]
+        if moved:
+            for k, col in enumerate(("chars", "tokens")):
+                old, pieces, at = getattr(self, col), [], 0
+                for lo, hi, *new in fresh_leaves:
+                    pieces += [old[at:lo], new[k]]
+                    at = hi + 1
+                setattr(self, col, np.concatenate([*pieces, old[at:]]))
+            self._sum_up()
+        else:
+            for lo, hi, chars, tokens in fresh_leaves:
+                self.chars[lo : hi + 1], self.tokens[lo : hi + 1] = chars, tokens
+                for leaf, value in zip(range(lo, hi + 1), tokens.tolist(), strict=True):
+                    self._set(leaf, value)
+        return self.text
+
+
+def _trees(path: str, text: str, tree: str, keep: list[str]):
+    def run(batches):
+        count = counter(path)
+        for batch in K.portions(batches):
+            out = []
+            for t in batch.column(text).to_pylist():
+                own = None if t is None else TokenTree.build(t, count)
+                out.append(None if own is None else {"chars": own.chars.tolist(), "tokens": own.tokens.tolist()})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, _TREE)], names=[*keep, tree])
+
+    return run
+
+
+def with_trees(docs: DataFrame, *, text: str = "text", tree: str = "tree", tokenizer: str | None = None) -> DataFrame:
+    """docs with the leaves of each text's tree, to be stored with it."""
+    keep = [c for c in docs.columns if c != tree]
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(tree, T._parse_datatype_string(TREE))])
+    return docs.select(*keep).mapInArrow(_trees(tokenizer or tokenizer_path(), text, tree, keep), schema)
 
 
-def _run(path: str):
+def _edited(path: str, text: str, edits: str, tree: str, keep: list[str]):
     def run(batches):
         count = counter(path)
-        for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for text, edits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if text is None:
-                    row = (0, 0, 0, 0, len(edits or ()))
+        for batch in K.portions(batches):
+            rows: list[list] = [[] for _ in COUNTS]
+            texts, trees = [], []
+            for t, changes, stored in zip(*(batch.column(c).to_pylist() for c in (text, edits, tree)), strict=True):
+                if t is None:
+                    row = (0, 0, 0, 0, len(changes or ()))
+                    texts.append(None)
+                    trees.append(None)
                 else:
-                    tree = TokenTree(text, count)
-                    before = tree.total
-                    if edits:
-                        tree.apply([(e["start"], e["end"], e["text"]) for e in edits])
-                    row = (before, tree.total, tree.units, tree.recounted, tree.refused + sum(None in e.values() for e in edits or ()))
-                for col, x in zip(out, row, strict=True):
+                    own = TokenTree(t, stored["chars"], stored["tokens"], count) if stored is not None else TokenTree.build(t, count)
+                    before = own.total
+                    if changes:
+                        own.apply([(e["start"], e["end"], e["text"]) for e in changes if e is not None])
+                    row = (before, own.total, t.count(" ") + 1, own.recounted, own.refused + sum(e is None or None in e.values() for e in changes or ()))
+                    texts.append(own.text)
+                    trees.append({"chars": own.chars.tolist(), "tokens": own.tokens.tolist()} if tree in keep else None)
+                for col, x in zip(rows, row, strict=True):
                     col.append(x)
-            names = ["doc_id", "n_tokens", "n_tokens_edited", "n_units", "n_recounted", "n_refused"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out)], names=names)
+            cols = {c: pa.array(texts, pa.string()) if c == text else pa.array(trees, _TREE) if c == tree else batch.column(c) for c in keep}
+            cols |= {c: pa.array(x, pa.int64()) for c, x in zip(COUNTS, rows, strict=True)}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
+def apply_edits(docs: DataFrame, *, text: str = "text", edits: str = "edits", tree: str = "tree", keep: list[str] | None = None, tokenizer: str | None = None) -> DataFrame:
+    """Rows with a text, its tree and `edits` (array<struct<start, end, text>>): text and tree after the edits, counts before and after, and how much was counted again.
+
+    `keep` names the columns that the result carries (all but the edits by default).
+    """
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (*COUNTS, edits)]
+    rows = docs.select(*dict.fromkeys([*keep, text, tree])).withColumn(edits, F.lit(None).cast(EDITS)) if edits not in docs.columns else docs.select(*dict.fromkeys([*keep, text, tree]), F.col(edits).cast(EDITS).alias(edits))
+    schema = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(c, T.LongType()) for c in COUNTS)])
+    return rows.mapInArrow(_edited(tokenizer or tokenizer_path(), text, edits, tree, keep), schema)
+
+
 def token_counts(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
-    """Per row of docs, whose `edits` are array<struct<start, end, text>>: counts before and after, and how much was counted again."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(edits).cast("array<struct<start:int,end:int,text:string>>").alias("edits"))
-    return rows.mapInArrow(_run(tokenizer or tokenizer_path()), "doc_id long, n_tokens long, n_tokens_edited long, n_units long, n_recounted long, n_refused long")
+    """Per row of docs, whose `edits` are array<struct<start, end, text>>: doc_id, counts before and after, and how much was counted again."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.col(edits).cast(EDITS).alias("edits"))
+    return apply_edits(with_trees(rows, tokenizer=tokenizer), keep=["doc_id"], tokenizer=tokenizer)
 
 
 _MAIL, _NUMBER = re.compile(MAIL), re.compile(NUMBER)
@@ -151,17 +227,18 @@ def redactions(text: str) -> list[dict]:
     return [{"start": m.start(), "end": m.end(), "text": REDACTED} for m in found]
 
 
-def with_redactions(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with `edits` from redactions()."""
+def with_redactions(docs: DataFrame, text: str = "text", edits: str = "edits") -> DataFrame:
+    """docs with the redactions as column `edits`; a column of that name is replaced."""
 
-    @F.pandas_udf("array<struct<start:int,end:int,text:string>>")
+    @F.pandas_udf(EDITS)
     def find(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else redactions(t) for t in texts])
 
-    return docs.withColumn("edits", find(text))
+    return docs.withColumn(edits, find(text))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts of all documents, and after redaction."""
+    """Token counts of all documents from their stored trees, and after redaction."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return token_counts(with_redactions(docs))
+    stored = written(with_trees(docs), "trees", "zstd")
+    return apply_edits(with_redactions(stored), keep=["doc_id"])
