@@ -7,9 +7,11 @@ through the shards; number j stands for the j-th block in the source's own order
 pseudorandom permutation of its block indices for each pass (swap-or-not rounds, a bijection on
 any range). Slots are joined with blocks by (source, index).
 
-A multinomial draw scatters around its mean, so the draw is settled: slots beyond a source's
-quota are given up, and sources below theirs get the missing ones. With that the words taken from
-a source differ from its target by about one block, and no block is used more than three times.
+The draw decides what every shard holds. Over all shards a multinomial draw scatters around its
+mean, so it is settled: slots beyond a source's quota are given up, and sources below theirs get the
+missing ones, in shards drawn for them. With that the words taken from a source differ from its target
+by about one block, and no block is used more than three times. Another `seed` deals the blocks to
+other shards; targets and quotas stay.
 
 Targets. Sources in code point order, null last, weigh 5, 2, 1 and so on, and share the total size
 of the table. A target stops at 3 times its source's size, the excess goes to the others by weight
@@ -21,8 +23,10 @@ source with a third of all rows is spread over many tasks. One row per source is
 a single task. Nothing is gathered in the driver.
 
 Edge cases: null and empty texts have size 0 and take 0; a null source is one source of its own;
-rows with equal doc_id are rows of their own; an empty table gives an empty result; columns of
-the input other than the named ones are carried or ignored and may have any name.
+rows with equal doc_id are rows of their own, equal rows in any order; a very long text is many blocks,
+which lie in many shards; sources of equal reach are taken in order of their names; an empty table gives
+an empty result; columns of the input other than the named ones are carried or ignored and may have any
+name.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .scratch import written
+from .scratch import drop, written
 
 WORD, TOKEN = r"[^\x20\x09-\x0D]+", r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"
 BLOCK, SLOTS, GRID = 64, 1024, 4096
@@ -84,7 +88,14 @@ def targets(sizes: DataFrame) -> DataFrame:
     return per.select("source", "src", "source_size", "target", blocks.alias("n_blocks"), full.alias("full"), part.alias("part")).withColumn("quota", F.col("full") * F.col("n_blocks") + F.col("part"))
 
 
-def draw_slots(sources: DataFrame) -> DataFrame:
+def drawn(x: Column, seed: int) -> tuple[Column, Column]:
+    """Two pseudorandom numbers below PRIME for each whole number."""
+    a = ((x % PRIME) * 48271 + F.floor(x / PRIME) * 16807 + F.lit(7919 * (seed + 1))) % PRIME
+    b = ((a * a) % PRIME * 69621 + a) % PRIME
+    return b, ((b * b) % PRIME * 16807 + a) % PRIME
+
+
+def draw_slots(sources: DataFrame, seed: int = 0) -> DataFrame:
     """(shard, src, slot) of the whole mix: multinomial counts per shard, settled to the quotas."""
     spark = sources.sparkSession
     total = sources.agg(F.sum("quota")).first()[0] or 0
@@ -94,9 +105,10 @@ def draw_slots(sources: DataFrame) -> DataFrame:
     edges = sources.where("quota > 0").withColumn("hi", F.sum("quota").over(share)).withColumn("lo", F.col("hi") - F.col("quota"))
     width = max(1, -(-total // GRID))
     cells = edges.select("src", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
-    slots = spark.range(total).select(F.floor(F.col("id") / SLOTS).alias("shard"), F.pmod(F.xxhash64("id", F.lit("slot")), F.lit(total)).alias("v"))
-    drawn = slots.withColumn("cell", F.floor(F.col("v") / width)).join(cells, "cell").where("lo <= v and v < hi")
-    counts = written(drawn.groupBy("shard", "src").agg(F.count("*").alias("n")), "draws")
+    high, low = drawn(F.col("id"), seed)
+    slots = spark.range(total).select(F.floor(F.col("id") / SLOTS).alias("shard"), ((high * (1 << 31) + low) % F.lit(total)).alias("v"))
+    hit = slots.withColumn("cell", F.floor(F.col("v") / width)).join(cells, "cell").where("lo <= v and v < hi")
+    counts = written(hit.groupBy("shard", "src").agg(F.count("*").alias("n")), "draws")
     counts = running(counts.withColumn("bucket", F.floor(F.col("shard") / SLOTS)), "src", "bucket", ["shard"], "n", "first").join(sources.select("src", "quota"), "src")
     # few rows here, but many slots from each: all cores should have some
     counts = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
@@ -106,12 +118,12 @@ def draw_slots(sources: DataFrame) -> DataFrame:
     short = sources.join(got, "src", "left").withColumn("got", F.coalesce("got", F.lit(0))).where("got < quota")
     more = short.select("src", F.explode(F.sequence(F.col("got"), F.col("quota") - 1)).alias("slot"))
     shards = -(-total // SLOTS)
-    return kept.unionByName(more.select(F.pmod(F.xxhash64("src", "slot"), F.lit(shards)).alias("shard"), "src", "slot"))
+    return kept.unionByName(more.select((drawn(F.col("slot") * 1009 + F.col("src"), seed)[1] % F.lit(shards)).alias("shard"), "src", "slot"))
 
 
-def mixed_blocks(sources: DataFrame) -> DataFrame:
+def mixed_blocks(sources: DataFrame, seed: int = 0) -> DataFrame:
     """(shard, src, slot, pass, block): which block of which source every slot of the mix holds."""
-    slots = draw_slots(sources).join(sources.select("src", "n_blocks"), "src")
+    slots = draw_slots(sources, seed).join(sources.select("src", "n_blocks"), "src")
     turn, at = F.floor(F.col("slot") / F.col("n_blocks")), F.col("slot") % F.col("n_blocks")
     return slots.select("shard", "src", "slot", turn.alias("pass"), permuted(at, F.col("n_blocks"), F.col("src") * 4 + turn + 1).alias("block"))
 
@@ -121,54 +133,62 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.col(text)).alias("mark"))
 
 
-def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, DataFrame]:
-    """(rows, pieces). rows: doc_id, source, mark, nth, row, size, source_size, target. pieces: row, from_word, words, times for what the mix takes of each row."""
+def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows, pieces). rows: doc_id, source, mark, nth, row, size, source_size, target. pieces: shard, slot, pass, row, from_word, words for every piece that a slot of the mix takes of a row."""
     same = Window.partitionBy("doc_id", "source", "mark").orderBy("size")
     rows = written(sized(docs, doc_id, text, source).withColumn("nth", F.row_number().over(same)).withColumn("row", F.monotonically_increasing_id()), "sizes")
     n = rows.count()
     sources = written(targets(rows), "targets")
     known = sources.select(F.col("source").alias("_source"), "src", "source_size", "target")
-    rows = rows.join(known, rows.source.eqNullSafe(F.col("_source"))).drop("_source")
+    packed = rows.join(known, rows.source.eqNullSafe(F.col("_source"))).drop("_source")
     buckets = max(1, int(n**0.5))
     name = F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), "mark", F.col("nth").cast("string")))
-    rows = rows.withColumn("bucket", F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % buckets)
-    rows = written(running(rows, "src", "bucket", ["doc_id", "mark", "nth"], "size", "start").drop("bucket"), "packed")
-    taken = mixed_blocks(sources).groupBy("src", "block").agg(F.count("*").alias("times"))
+    packed = packed.withColumn("bucket", F.conv(F.substring(name, 1, 8), 16, 10).cast("long") % buckets)
+    packed = written(running(packed, "src", "bucket", ["doc_id", "mark", "nth"], "size", "start").drop("bucket"), "packed")
+    drop(rows)
+    rows = packed
+    taken = mixed_blocks(sources, seed)
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     parts = rows.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     a, b = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
     parts = parts.select("row", "src", "block", (a - F.col("start")).alias("from_word"), (b - a).alias("words"))
-    return rows, parts.join(taken, ["src", "block"]).select("row", "from_word", "words", "times")
+    return rows, parts.join(taken, ["src", "block"]).select("shard", "slot", "pass", "row", "from_word", "words")
 
 
-def mix_report(docs: DataFrame, **names: str) -> DataFrame:
-    """Per row of docs: doc_id, size, source_size, target, taken."""
-    rows, pieces = mix(docs, **names)
-    taken = pieces.groupBy("row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+def mix_report(docs: DataFrame, **options) -> DataFrame:
+    """Per row of docs: doc_id, size, source_size, target, taken, and the shards that take from it: how many, and the first."""
+    rows, pieces = mix(docs, **options)
+    # first what each shard takes of a row
+    each = pieces.groupBy("row", "shard").agg(F.sum("words").alias("words"))
+    taken = each.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").alias("n_shards"), F.min("shard").alias("first_shard"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return rows.join(taken, "row", "left").select("doc_id", "size", "source_size", "target", zero("taken"), zero("n_shards"), "first_shard")
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, *, seed: int = 0) -> DataFrame:
     """The mix as rows with the columns of docs: for each use of a document, the text of the blocks taken.
 
     A document whose blocks are taken twice gives two rows with its doc_id. White space between
-    words is kept as it is; n_chars, if there, follows the new text.
+    words is kept as it is; n_chars, if there, follows the new text. Rows are dealt to files by their
+    document; a file holds its rows in the order of the mix, by the shard and slot of a row's first block.
     """
-    rows, pieces = mix(docs)
-    plan = pieces.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from_word", "words", "times"))).alias("_plan"), F.max("times").alias("_most"))
-    plan = rows.join(plan, "row").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("mark").alias("_for"), F.col("nth").alias("_turn"), "_plan", "_most")
-    same = Window.partitionBy("doc_id", "source", "_mark").orderBy(F.lit(1))
-    own = docs.withColumn("_mark", F.md5("text")).withColumn("_nth", F.row_number().over(same))
-    on = own.doc_id.eqNullSafe(F.col("_id")) & own.source.eqNullSafe(F.col("_source")) & own["_mark"].eqNullSafe(F.col("_for")) & (own["_nth"] == F.col("_turn"))
-    # words are cut below the generator: above it the expression would be repeated for every piece
-    out = own.join(plan, on).withColumn("_words", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)))
-    out = out.withColumn("_use", F.explode(F.sequence(F.lit(1), F.col("_most").cast("int"))))
-    chosen = F.filter("_plan", lambda p: p["times"] >= F.col("_use"))
-    text = F.array_join(F.flatten(F.transform(chosen, lambda p: F.slice("_words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), "")
-    out = out.withColumn("text", text)
+    place = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    own = docs.toDF(*place.values())
+    i, t, s = (place[c] for c in ("doc_id", "text", "source"))
+    rows, pieces = mix(own, doc_id=i, text=t, source=s, seed=seed)
+    uses = pieces.groupBy("row", "pass").agg(F.min(F.struct("shard", "slot")).alias("at"), F.sort_array(F.collect_list(F.struct("from_word", "words"))).alias("plan"))
+    uses = uses.groupBy("row").agg(F.collect_list(F.struct("at", "plan")).alias("uses"))
+    plan = rows.join(uses, "row").select("doc_id", "source", "mark", "nth", "uses")
+    same = Window.partitionBy(i, s, "own_mark").orderBy(F.lit(1))
+    own = own.withColumn("own_mark", F.md5(t)).withColumn("own_nth", F.row_number().over(same))
+    on = own[i].eqNullSafe(plan.doc_id) & own[s].eqNullSafe(plan.source) & own.own_mark.eqNullSafe(plan.mark) & (own.own_nth == plan.nth)
+    # words are cut below the generator: above it the expression would be repeated for every use
+    out = own.join(plan, on).withColumn("all_words", F.regexp_extract_all(t, F.lit(TOKEN), F.lit(0))).withColumn("use", F.explode("uses"))
+    text = F.array_join(F.flatten(F.transform("use.plan", lambda p: F.slice("all_words", (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), "")
+    out = out.withColumn(t, text).sortWithinPartitions("use.at")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        out = out.withColumn(place["n_chars"], F.length(t).cast(docs.schema["n_chars"].dataType))
+    return out.select(*(F.col(place[c]).alias(c) for c in docs.columns))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,7 +206,13 @@ def _sql_permuted(n: str, key: str) -> str:
     return out
 
 
-#: What is taken follows from targets and permutations alone: the draw decides where in the mix, not how much.
+def _sql_drawn(x: str, seed: int = 0) -> tuple[str, str]:
+    """The two numbers of drawn()."""
+    a = f"(({x} % {PRIME}) * 48271 + ({x} // {PRIME}) * 16807 + {7919 * (seed + 1)}) % {PRIME}"
+    b = f"((({a}) * ({a})) % {PRIME} * 69621 + ({a})) % {PRIME}"
+    return f"({b})", f"(((({b}) * ({b})) % {PRIME} * 16807 + ({a})) % {PRIME})"
+
+
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size, md5(text) AS mark FROM documents),
 e AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, mark ORDER BY size) AS nth FROM d),
@@ -197,12 +223,20 @@ s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0)) / (su
 lv AS (SELECT lev AS level FROM s3 WHERE lev <= lim / w ORDER BY lim / w, src LIMIT 1),
 s4 AS (SELECT source, src, source_size, round(least(CAST(lim AS DOUBLE), w * level), 6) AS target, CAST(ceil(source_size / {BLOCK}.0) AS BIGINT) AS n FROM s3, lv),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS f FROM s4),
-s6 AS (SELECT *, CASE WHEN f >= {LIMIT} THEN 0 ELSE least(n, CAST(floor((target - f * source_size) / {BLOCK}.0 + 0.5) AS BIGINT)) END AS part FROM s5),
-slots AS (SELECT src, n, src * 4 + f + 1 AS key, pos FROM (SELECT src, n, f, unnest(range(0, part)) AS pos FROM s6)),
-chosen AS (SELECT src, pos AS block FROM {_sql_permuted("n", "key")}),
-p AS (SELECT e.doc_id, e.size, e.mark, e.nth, s6.src, source_size, target, f, CAST('0x' || substr(md5(concat_ws('|', CAST(e.doc_id AS VARCHAR), e.mark, CAST(nth AS VARCHAR))), 1, 8) AS BIGINT) % buckets AS bucket FROM e JOIN s6 ON e.source IS NOT DISTINCT FROM s6.source, b),
+s6 AS (SELECT *, f * n + CASE WHEN f >= {LIMIT} THEN 0 ELSE least(n, CAST(floor((target - f * source_size) / {BLOCK}.0 + 0.5) AS BIGINT)) END AS quota FROM s5),
+q AS (SELECT src, n, quota, CAST(sum(quota) OVER (ORDER BY src) AS BIGINT) AS hi, CAST(sum(quota) OVER () AS BIGINT) AS total FROM s6 WHERE quota > 0),
+v AS (SELECT id // {SLOTS} AS shard, ({_sql_drawn("id")[0]} * 2147483648 + {_sql_drawn("id")[1]}) % total AS v FROM (SELECT max(total) AS total, unnest(range(0, max(total))) AS id FROM q)),
+c1 AS (SELECT shard, src, quota, count(*) AS n FROM v JOIN q ON v >= hi - quota AND v < hi GROUP BY shard, src, quota),
+c2 AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src ORDER BY shard) - n AS BIGINT) AS first FROM c1),
+c3 AS (SELECT shard, src, unnest(range(first, least(first + n, quota))) AS slot FROM c2),
+m1 AS (SELECT q.src, q.quota, total, coalesce(got, 0) AS got FROM q LEFT JOIN (SELECT src, CAST(sum(n) AS BIGINT) AS got FROM c1 GROUP BY src) g ON q.src = g.src),
+m2 AS (SELECT src, total, unnest(range(got, quota)) AS slot FROM m1 WHERE got < quota),
+m3 AS (SELECT {_sql_drawn("(slot * 1009 + src)")[1]} % ((total + {SLOTS} - 1) // {SLOTS}) AS shard, src, slot FROM m2),
+slots AS (SELECT shard, u.src, n, slot % n AS pos, u.src * 4 + slot // n + 1 AS key FROM (SELECT * FROM c3 UNION ALL SELECT shard, src, slot FROM m3) u JOIN q ON u.src = q.src),
+chosen AS (SELECT shard, src, pos AS block FROM {_sql_permuted("n", "key")}),
+p AS (SELECT e.doc_id, e.size, e.mark, e.nth, s6.src, source_size, target, CAST('0x' || substr(md5(concat_ws('|', CAST(e.doc_id AS VARCHAR), e.mark, CAST(nth AS VARCHAR))), 1, 8) AS BIGINT) % buckets AS bucket FROM e JOIN s6 ON e.source IS NOT DISTINCT FROM s6.source, b),
 r AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id NULLS FIRST, mark NULLS FIRST, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER () AS row FROM p),
-x AS (SELECT row, src, start, size, f, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM r WHERE size > 0),
-t AS (SELECT row, sum((least(start + size, (x.block + 1) * {BLOCK}) - greatest(start, x.block * {BLOCK})) * (f + CASE WHEN c.block IS NULL THEN 0 ELSE 1 END)) AS taken FROM x LEFT JOIN chosen c ON x.src = c.src AND x.block = c.block GROUP BY row)
-SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM r LEFT JOIN t USING (row)
+x AS (SELECT row, src, start, size, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM r WHERE size > 0),
+t AS (SELECT row, sum(least(start + size, (x.block + 1) * {BLOCK}) - greatest(start, x.block * {BLOCK})) AS taken, count(DISTINCT shard) AS n_shards, min(shard) AS first_shard FROM x JOIN chosen c ON x.src = c.src AND x.block = c.block GROUP BY row)
+SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(n_shards, 0) AS BIGINT) AS n_shards, first_shard FROM r LEFT JOIN t USING (row)
 """
