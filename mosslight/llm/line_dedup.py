@@ -3,7 +3,8 @@
 Method. Texts are cut into units (lines by default; any separator). Units are normalised (case
 folded, white space collapsed) and named by a digest; digests are grouped globally. The occurrence
 with the least (doc_id, text digest, place in the text) stays, the others are removed. The offsets
-of removed units in the original text are retained.
+of removed units in the original text are retained. The longest unit that occurs more than once,
+the occurrence that stays included, tells which documents share a passage: from `PASSAGE` words on.
 
 Scale. A unit is a row of a few bytes whatever its length. Grouping combines before the shuffle
 and keeps one minimum per digest; only units that occur again are joined back, in a join that
@@ -11,7 +12,8 @@ Spark may split when one unit is very common. Texts move once, at the end.
 
 Edge cases: a null text has no units and stays null; blank units never count as repeated and stay;
 rows equal in doc_id and text are ranked one after another, so all but one of them lose every
-unit that isn't blank; a null doc_id ranks last; an empty table gives an empty result. Input
+unit that isn't blank; a null doc_id ranks last; rows with one doc_id and other texts are ranked by
+a digest; a very long text is cut into units whole; an empty table gives an empty result. Input
 columns other than the named ones are ignored.
 """
 
@@ -24,9 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels as K
 from .scratch import written
 
 SEPARATOR = "\n"
+#: Words from which on a repeated unit counts as a shared passage.
+PASSAGE = 20
 
 
 def normalised(unit: str) -> str:
@@ -35,7 +40,7 @@ def normalised(unit: str) -> str:
 
 def _units(separator: str):
     def run(batches):
-        for batch in batches:
+        for batch in K.portions(batches):
             out: list[list] = [[], [], [], []]
             for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for i, unit in enumerate((text or "").split(separator)):
@@ -50,54 +55,62 @@ def _units(separator: str):
 
 def _apply(separator: str):
     def run(batches):
-        for batch in batches:
-            ids, counts, lost, spans, kept = batch.column(0), [], [], [], []
-            for text, places, nth in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
+        for batch in K.portions(batches):
+            ids, counts, lost, spans, kept, longest = batch.column(0), [], [], [], [], []
+            for text, marks, nth, copies in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
                 units = [] if text is None else text.split(separator)
-                gone, at, own, stay = set(places or ()), 0, [], []
+                again = {m["place"]: m["gone"] for m in marks or ()}
+                at, own, stay, most = 0, [], [], 0
                 for i, unit in enumerate(units):
-                    if (nth > 1 and normalised(unit)) or i in gone:
+                    plain = normalised(unit) if copies > 1 or i in again else ""
+                    if plain:
+                        most = max(most, plain.count(" ") + 1)
+                    if plain and (nth > 1 or again.get(i, False)):
                         own.append([at, at + len(unit)])
                     else:
                         stay.append(unit)
                     at += len(unit) + len(separator)
-                counts.append(len(units))
-                lost.append(len(own))
-                spans.append(own)
-                kept.append(None if text is None else separator.join(stay))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string())], names=["doc_id", "n_units", "n_removed", "spans", "kept"])
+                for col, x in zip((counts, lost, spans, kept, longest), (len(units), len(own), own, None if text is None else separator.join(stay), most), strict=True):
+                    col.append(x)
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array(counts, pa.int64()), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.string()), pa.array(longest, pa.int64())],
+                names=["doc_id", "n_units", "n_removed", "spans", "kept", "longest_repeated"],
+            )
 
     return run
 
 
 def dedup_units(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", separator: str = SEPARATOR) -> DataFrame:
-    """Per row of docs: doc_id, n_units, n_removed, spans ([first character, character after] of removed units) and kept."""
+    """Per row of docs: doc_id, n_units, n_removed, spans ([first character, character after] of removed units), kept, and longest_repeated (words of the longest unit that occurs more than once, here or elsewhere)."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    key = F.unhex(F.md5(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("text"))))
-    own = own.withColumn("row", key)
+    # a null is no text that a row could hold
+    key = F.concat(F.coalesce(F.concat(F.lit("i"), F.col("doc_id").cast("string")), F.lit("n")), F.lit("|"), F.coalesce(F.concat(F.lit("t"), F.col("text")), F.lit("n")))
+    own = own.withColumn("row", F.unhex(F.md5(key)))
     units = written(own.select("row", "doc_id", "text").mapInArrow(_units(separator), "row binary, doc_id long, place int, digest binary"), "units")
     rank = F.struct(F.col("doc_id").isNull().alias("a"), F.coalesce("doc_id", F.lit(0)).alias("b"), F.col("row").alias("c"), F.col("place").alias("d"))
     # written first: a join with a plain table can be split where one unit is very common
     first = written(units.groupBy("digest").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"), "first")
-    again = units.join(first, "digest").where(rank != F.col("first"))
-    again = again.groupBy("row").agg(F.collect_set("place").alias("places"))
-    nth = F.row_number().over(Window.partitionBy("row").orderBy(F.lit(1)))
-    return own.withColumn("nth", nth).join(again, "row", "left").select("doc_id", "text", "places", "nth").mapInArrow(_apply(separator), "doc_id long, n_units long, n_removed long, spans array<array<long>>, kept string")
+    again = units.join(first, "digest").select("row", F.struct("place", (rank != F.col("first")).alias("gone")).alias("mark"))
+    again = again.groupBy("row").agg(F.collect_set("mark").alias("marks"))
+    same = Window.partitionBy("row")
+    own = own.withColumn("nth", F.row_number().over(same.orderBy(F.lit(1)))).withColumn("copies", F.count("*").over(same))
+    return own.join(again, "row", "left").select("doc_id", "text", "marks", "nth", "copies").mapInArrow(_apply(separator), "doc_id long, n_units long, n_removed long, spans array<array<long>>, kept string, longest_repeated long")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated lines of all documents."""
     out = dedup_units(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string"))), ",")
-    return out.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_units", "n_removed", spans.alias("removed_spans"), F.sha2("kept", 256).alias("kept_sha256"), "longest_repeated", (F.col("longest_repeated") >= PASSAGE).alias("shares_passage"))
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 WITH d AS (SELECT row_number() OVER (ORDER BY doc_id, md5(text)) AS r, doc_id, string_split(text, chr(10)) AS u FROM documents),
 x AS (SELECT r, i, u[i] AS t, trim(regexp_replace(lower(u[i]), '[\s]+', ' ', 'g')) AS n, coalesce(list_sum(list_transform(u[1 : i - 1], lambda z: length(z) + 1)), 0) AS a FROM (SELECT r, u, unnest(range(1, len(u) + 1)) AS i FROM d)),
-f AS (SELECT *, n <> '' AND row_number() OVER (PARTITION BY n ORDER BY r, i) > 1 AS gone FROM x)
+f AS (SELECT *, n <> '' AND row_number() OVER (PARTITION BY n ORDER BY r, i) > 1 AS gone, CASE WHEN n <> '' AND count(*) OVER (PARTITION BY n) > 1 THEN len(string_split(n, ' ')) ELSE 0 END AS long FROM x)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_units, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
  coalesce(string_agg(CAST(a AS BIGINT) || ':' || CAST(a + length(t) AS BIGINT), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
- sha256(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+ sha256(coalesce(string_agg(t, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256,
+ CAST(max(long) AS BIGINT) AS longest_repeated, max(long) >= {PASSAGE} AS shares_passage
 FROM f JOIN d USING (r) GROUP BY r, doc_id
 """
