@@ -19,4 +19,4 @@ QUERIES = {
     "op10_language_id": language_id.op10_language_id,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op5_mix_sources": mixing.OP5_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op5_mix_sources": mixing.OP5_SQL, "op7_near_dedup": near_dedup.OP7_SQL, "op8_line_dedup": line_dedup.OP8_SQL}

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosslight.llm import components, decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, nearest, substring_dedup, token_counts, token_store
+from mosslight.llm import components, decontaminate, language_id, license_scan, line_dedup, mixing, near_dedup, nearest, scratch, substring_dedup, token_counts, token_store
 from mosslight.llm import kernels as K
 from mosslight.llm.queries import ORACLES, QUERIES
 
@@ -98,12 +98,14 @@ def brute_hits(texts, items):
     return out
 
 
-@pytest.mark.parametrize("block_words", [200_000, 8])
-def test_decontaminate(spark, odd, block_words):
+@pytest.mark.parametrize("bits, rows", [(1 << 28, 1_000_000), (1 << 16, 0)])
+def test_decontaminate(spark, odd, monkeypatch, bits, rows):
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
     long = odd[-1].split()
-    items = [(1, odd[0]), (2, " ".join(odd[1].split()[3:14])), (3, "w1 w2"), (3, "w1 w2"), (4, None), (5, ""), (None, odd[2]), (10, " ".join(long[20_000:20_011])), (11, odd[3]), (12, odd[3].upper() + "!!")]
+    items = [(1, odd[0]), (2, " ".join(odd[1].split()[3:14])), (3, "w1 w2"), (3, "w1 w2"), (4, None), (5, ""), (None, odd[2]), (10, " ".join(long[20_000:20_011])), (11, odd[3]), (12, odd[3].upper() + "!!"), (13, " ".join(long[5_000:15_000]))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontaminate.decontaminate(spark, table(spark, odd), bench, keep=["doc_id", "items", "source"], block_words=block_words).orderBy("doc_id").collect()
+    got = decontaminate.decontaminate(spark, table(spark, odd), bench, keep=["doc_id", "items", "source"]).orderBy("doc_id").collect()
     want = brute_hits(odd, items)
     assert [(r.n_words, r.n_hit, r["items"]) for r in got] == want
     assert all(sum(b - a for a, b in r.hit_spans) == r.n_hit for r in got) and got[0].source == "s0"
@@ -130,8 +132,8 @@ def test_license(spark):
     spelled = license_scan.scan(table(spark, ["Licensed under the Apache Licence, Version 2.0!!"])).first()
     assert spelled.license == spelled.notices == "Apache-2.0"
     assert license_scan.scan(table(spark, texts).limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        license_scan.known(spark, [("x", "y")] * 10_001)
+    many = [("X", f"text number {i}") for i in range(license_scan.KNOWN_ROWS)] + [("Y", "Sole text")]
+    assert license_scan.scan(table(spark, ["sole TEXT."]), many).first().license == "Y"
 
 
 def test_wrapped_licenses(spark):
@@ -158,6 +160,31 @@ def test_lines(spark):
         assert r.spans == [[2, 3], [4, 5]]
 
 
+def test_lines_odd_tables(spark):
+    rows = [(5, "abc def"), (None, "5|abc def"), (6, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = line_dedup.dedup_units(docs).collect()
+    assert all(r.n_removed == 0 and r.longest_repeated == 0 for r in got) and len(got) == 4
+    assert line_dedup.dedup_units(docs.limit(0)).count() == 0
+    long = "\n".join(f"line {i} " + "w " * 30 for i in range(20_000))
+    got = line_dedup.dedup_units(spark.createDataFrame([(1, long), (2, "line 7 " + "w " * 30), (3, "other")], docs.schema)).orderBy("doc_id").collect()
+    assert [(r.n_units, r.n_removed, r.longest_repeated) for r in got] == [(20_000, 0, 32), (1, 1, 32), (1, 0, 0)]
+
+
+def test_paragraph_licenses(spark):
+    """A notice of several lines inside a longer text, and known texts beyond the broadcast bound."""
+    mit = next(t for n, t in license_scan.LICENSES if n == "MIT" and len(t) > 300)
+    import textwrap
+
+    text = "Some words before.\n\n" + textwrap.fill(mit, 60) + "\n \nand after"
+    for bound in (10_000, 0):
+        license_scan.KNOWN_ROWS, before = bound, license_scan.KNOWN_ROWS
+        r = license_scan.scan(table(spark, [text, None])).orderBy("doc_id").first()
+        license_scan.KNOWN_ROWS = before
+        assert (r.license, r.notices, r.n_notices) == (None, "MIT", 1)
+    assert license_scan.scan(table(spark, [text]).limit(0)).count() == 0
+
+
 # --- 3 ------------------------------------------------------------------------------------------
 
 
@@ -226,18 +253,59 @@ def test_units(tokenizer, odd):
 
 
 def test_edits(tokenizer, odd):
+    """Several rounds of edits on one tree; each leaves the count of the whole text, encoded anew."""
     draw, count = random.Random(1), token_counts.counter(token_store.tokenizer_path())
     for text in HARD + [t for t in odd if t is not None]:
-        tree = token_counts.TokenTree(text, count, leaf=4)
-        edits = []
-        for _ in range(draw.randrange(6)):
-            a = draw.randrange(len(text) + 1)
-            edits.append((a, min(len(text), a + draw.randrange(30)), draw.choice(["", " ", "foo bar", "x", "é."])))
-        new = tree.apply(edits)
-        assert tree.total == len(tokenizer.encode(new, add_special_tokens=False).ids)
-        assert tree.sums[1] == tree.sums[tree.width :].sum()
-    tree = token_counts.TokenTree("a b c", count)
+        tree, plain = token_counts.TokenTree.build(text, count, leaf=4), text
+        for _ in range(3):
+            edits, last = [], 0
+            for _ in range(draw.randrange(6)):
+                a = min(len(plain), last + draw.randrange(20))
+                last = min(len(plain), a + draw.randrange(30))
+                edits.append((a, last, draw.choice(["", " ", "foo bar", "x", "é.", "a b c d e f g h i j"])))
+                if a == last:
+                    break
+            want = plain
+            for a, b, new in reversed(edits):
+                want = want[:a] + new + want[b:]
+            plain = tree.apply(edits)
+            assert plain == want == tree.text
+            assert tree.total == len(tokenizer.encode(plain, add_special_tokens=False).ids)
+            assert tree.sums[1] == tree.sums[tree.width :].sum() == tree.tokens.sum()
+            assert tree.chars.sum() == len(plain) + 1 and (tree.chars > 0).all()
+    tree = token_counts.TokenTree.build("a b c", count)
     assert tree.apply([(0, 1, "x"), (0, 1, "y"), (9, 9, "z"), (None, 1, "n")]) == "x b c" and tree.refused == 2
+    tree = token_counts.TokenTree.build("aa bb cc dd ee ff", count)
+    assert [tree.apply([(0, 2, "xxxxx")]), tree.apply([(0, 5, "y")])] == ["xxxxx bb cc dd ee ff", "y bb cc dd ee ff"]
+    long = " ".join(words(draw, 5_000))
+    tree = token_counts.TokenTree.build(long, count)
+    tree.apply([(10_000, 10_004, "new")])
+    assert tree.recounted <= 3 * token_counts.LEAF
+
+
+def test_stored_trees(spark, tokenizer, odd):
+    """Trees are stored with their rows, edited, stored and edited again."""
+    n = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    texts = [t if t is None else t[:2000] for t in [*odd, odd[0]]]
+    docs = table(spark, texts).withColumn("tree", F.lit("replaced"))
+    now, plain = token_counts.with_trees(docs), texts
+    for k in range(3):
+        edits = F.expr(f"array(named_struct('start', {3 * k}, 'end', {3 * k + 2}, 'text', 'new word'), named_struct('start', 40, 'end', 41, 'text', null), null, named_struct('start', 50, 'end', 50, 'text', '-'))")
+        path = scratch.written(now.withColumn("edits", edits), "trees")
+        now = token_counts.apply_edits(path)
+        rows = sorted(now.collect(), key=lambda r: r.doc_id)
+        after = []
+        for t in plain:
+            if t is not None:
+                t = t[:50] + "-" + t[50:] if len(t) >= 50 else t
+                t = t[: 3 * k] + "new word" + t[3 * k + 2 :] if len(t) >= 3 * k + 2 else t
+            after.append(t)
+        assert [r.text for r in rows] == after
+        assert [r.n_tokens_edited for r in rows] == [0 if t is None else n(t) for t in after]
+        assert [r.n_tokens for r in rows] == [0 if t is None else n(t) for t in plain]
+        assert all(r.mark == 1 and r.n_refused >= 2 for r in rows)
+        plain = after
+    assert token_counts.apply_edits(token_counts.with_trees(table(spark, texts).limit(0))).count() == 0
 
 
 def test_token_counts(spark, tokenizer):
@@ -248,6 +316,26 @@ def test_token_counts(spark, tokenizer):
     assert (rows[1].n_tokens, rows[2].n_tokens, rows[3].n_tokens_edited) == (0, 0, n("plain"))
 
 
+def test_other_tokenizers(tokenizer, tmp_path):
+    """A tokenizer that doesn't split words as ours encodes whole texts."""
+    import json
+
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    assert token_store.splits_at_spaces(token_store.tokenizer_path())
+    config = json.loads(open(token_store.tokenizer_path()).read())
+    config["normalizer"]["normalizers"].pop()
+    path = str(tmp_path / "other.json")
+    open(path, "w").write(json.dumps(config))
+    coder = token_store.encoder(path)
+    assert isinstance(coder, token_store.WholeEncoder)
+    want = [np.array([*e.ids, 2], coder.dtype).tobytes() for e in Tokenizer.from_file(path).encode_batch(HARD, add_special_tokens=False)]
+    assert coder.encode(pa.array([*HARD, None]), 2) == [*want, np.array([2], coder.dtype).tobytes()]
+    with pytest.raises(ValueError):
+        token_counts.counter(path)
+
+
 def test_store(spark, tokenizer, odd, tmp_path):
     texts = HARD + odd
     ids = [None if i == 3 else i // 2 * 7 - 20 for i in range(len(texts))]
@@ -323,6 +411,18 @@ def test_mix(spark):
     assert [r.taken for r in mixing.mix_report(table(spark, [None, ""])).collect()] == [0, 0]
 
 
+def test_another_seed_deals_other_shards(spark):
+    draw = random.Random(8)
+    docs = table(spark, [" ".join(words(draw, 900)) for _ in range(300)], sources=[draw.choice("aab") for _ in range(300)])
+    one, two, again = ({r.doc_id: r for r in mixing.mix_report(docs, seed=k).collect()} for k in (0, 1, 0))
+    assert one == again and max(r.first_shard for r in one.values() if r.taken) > 0
+    assert [one[i].target for i in one] == [two[i].target for i in one] and [one[i].taken for i in one] == [two[i].taken for i in one]
+    assert [(r.n_shards, r.first_shard) for r in one.values()] != [(two[i].n_shards, two[i].first_shard) for i in one]
+    _, pieces = mixing.mix(docs)
+    per = pieces.groupBy("shard").agg(F.countDistinct("slot", "row").alias("n")).collect()
+    assert len(per) > 1
+
+
 def test_mix_documents(spark):
     draw = random.Random(6)
     texts = [" ".join(words(draw, 150)) + "\n" for _ in range(30)] + [None, ""]
@@ -391,12 +491,27 @@ def test_near_large_nodes(spark, monkeypatch):
     """Nodes beyond every bound: branched by Spark, cut in blocks, and ids joined by a shuffle."""
     texts = near_texts()
     monkeypatch.setattr(near_dedup, "NODE_ROWS", 3)
-    monkeypatch.setattr(near_dedup, "DEPTH", 2)
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
     assert got == set(brute_components(texts, list(range(len(texts)))))
 
 
+def test_near_chain_beyond_every_bound(spark, monkeypatch):
+    """A chain in which only neighbours are linked: every link is needed, and every node is larger than its bounds."""
+    monkeypatch.setattr(near_dedup, "NODE_ROWS", 60)
+    monkeypatch.setattr(near_dedup, "LEAF", 32)
+    base = [f"c{i}" for i in range(3000)]
+    texts = [" ".join(base[6 * k : 6 * k + 100]) for k in range(480)]
+    got = {r.component_id for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
+    assert got == {0}
+    rare = [" ".join(f"r{k}x{i}" for i in range(50)) for k in range(300)]
+    pairs = [t for t in rare for _ in (0, 1)]
+    for k in range(0, 600, 2):
+        pairs[k] = pairs[k].replace("x3 ", "changed ")
+    found = collections.Counter(r.component_id for r in near_dedup.near_duplicates(table(spark, pairs)).collect())
+    assert sum(n == 2 for n in found.values()) >= 0.99 * 300
+
+
 def star_texts(n):
     """A template, not the first, and n copies that are 0.858 to it and 0.73 to each other."""
     draw, out = random.Random(21), []
@@ -489,6 +604,39 @@ def test_nearest(spark, monkeypatch):
     assert nearest.nearest(nearest.valid(df.limit(0)), nearest.valid(df.limit(0))).count() == 0
 
 
+def test_nearest_among_lengths(spark):
+    """A query is held against the vectors of its own length."""
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(size=8).tolist()) for i in range(100)] + [(-1, [1.0, 2.0])] + [(1000 + i, draw.normal(size=3).tolist()) for i in range(30)]
+    good = nearest.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("v", F.lit("x")))
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(good, good.where("vec_id % 20 = 0 or vec_id = -1")).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == [0, 20, 40, 60, 80, 1000, 1020]
+    vectors = dict(rows)
+    for q, found in got.items():
+        best = sorted((i for i in vectors if i != q and len(vectors[i]) == len(vectors[q])), key=lambda i: -np.dot(vectors[i], vectors[q]))[:20]
+        assert found == best
+
+
+def test_verified_part():
+    """Many dimensions, and norms of a wide spread: few vectors are verified, and little is missed."""
+    draw = np.random.default_rng(3)
+    for dim, spread in ((64, 0.3), (384, 0.0), (384, 0.3)):
+        x = draw.normal(size=(8000, dim))
+        x *= draw.lognormal(0, spread, (8000, 1)) / np.linalg.norm(x, axis=1, keepdims=True)
+        block = nearest.ranges(np.arange(8000), x)
+        windows, verified, found = [a.windows(x[:20]) for a in block], 0, 0
+        for i in range(20):
+            best = nearest.Best(20)
+            verified += sum(a.search(x[i], i, best, w[i]) for a, w in zip(block, windows))
+            s = x @ x[i]
+            s[i] = -np.inf
+            assert len(best.ids) == 20
+            found += len(set(np.argsort(-s)[:20].tolist()) & set(best.ids.tolist()))
+        assert verified < 0.25 * 20 * 8000 and found >= 0.95 * 400
+
+
 @pytest.mark.parametrize("norms", ["equal", "uniform", "lognormal", "outlier"])
 def test_nearest_in_a_full_block(norms):
     """A whole block of unclustered vectors, where norms tell more than directions."""
@@ -529,6 +677,24 @@ def test_language(spark, sf):
     assert language_id.identify(table(spark, ["other words"]), single).first().lang_pred == "en"
 
 
+def test_language_odd_tables(spark, monkeypatch):
+    """Empty tables, repeated rows, null doc_ids, long training texts, clashing names, and the same model as in one place."""
+    docs = spark.createDataFrame([], DOCS)
+    assert language_id.train(docs) is None and language_id.identify(docs, None).count() == 0
+    texts = ["uma ume umi umo"] * 30 + ["xor xar xir xur " * 4000] * 30 + ["uma xor"]
+    langs = ["a"] * 30 + ["b"] * 30 + [None]
+    ids = [None if i % 7 == 0 else i // 2 for i in range(61)]
+    docs = table(spark, texts, ids, langs).withColumn("score", F.lit(9.0)).withColumn("lang_pred", F.lit("x"))
+    model = language_id.train(docs)
+    assert model.languages == ["a", "b"]
+    rows = [(r.l, r.t) for r in language_id.sample(docs).collect()]
+    assert len(rows) < 60 and np.allclose(language_id.fit(rows).weights, model.weights)
+    assert len(language_id.sample(docs, limit=8).collect()) == 8
+    got = language_id.identify(docs, model).collect()
+    assert [r.lang_pred for r in got[:60]] == langs[:60] and all(r.mark == 1 and 0 <= r.score <= 1 for r in got)
+    assert model.scale.tolist() == language_id.train(docs.repartition(5)).scale.tolist()
+
+
 def test_codewords():
     for n in range(1, 40):
         codes = language_id.codewords(n)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from mosslight.llm import mixing, near_dedup, token_store
+from mosslight.llm.scratch import written
 
 from .test_operators import brute_hits
 
@@ -44,11 +45,36 @@ def test_near(stages):
     assert {r.doc_id for r in after.collect()} == kept and after.count() == len(kept)
 
 
-def test_near_keeps_one_of_rows_with_one_id(spark):
-    rows = [(1, "a b c d e f", "en", "s", 1), (1, "other text that is long enough", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1), (5, None, None, None, None), (6, "", "en", "s", 0)]
+def test_near_keeps_every_text_of_one_id(spark):
+    """Rows of one doc_id with unlinked texts are documents of their own; of linked rows one stays."""
+    rows = [(1, "a b c d e f", "en", "s", 1), (1, "other text that is long enough", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "A b c d e f", "en", "s", 1), (None, "x", "en", "s", 1), (None, "x", "en", "s", 1), (5, None, None, None, None), (6, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    ids = [r.doc_id for r in P.stage_near_dedup(spark, docs, "").collect()]
-    assert sorted(i for i in ids if i) == [1, 5, 6] and ids.count(None) == 2
+    got = P.stage_near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, (r.text or "").lower()) for r in got if r.doc_id) == [(1, "a b c d e f"), (1, "other text that is long enough"), (5, ""), (6, "")]
+    assert [r.doc_id for r in got].count(None) == 2
+    unique = [r for r in rows if r[0] != 1]
+    assert P.stage_near_dedup(spark, spark.createDataFrame(unique, docs.schema), "").count() == 5
+
+
+CLASH = "score double, lang_pred string, ambiguous int, n_words int, n_hit int, items string, hit_spans int, name string, own_mark int, use int, _plan int, c0 int, tree map<string,int>, kept string"
+
+
+def test_other_columns_stay(spark, sf):
+    """Columns that have the names of operators' own, and one of a map, come through every stage."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(200)
+    extra = {c.split()[0]: F.create_map(F.lit("k"), F.col("doc_id").cast("int")) if "map" in c else F.lit(-7).cast(c.split()[1]) for c in CLASH.split(", ")}
+    docs = written(docs.withColumns(extra), "docs")
+    for _, stage in P.STAGES[:-1]:
+        after = written(stage(spark, docs, sf), "docs")
+        assert after.columns == docs.columns and after.count() > 100
+        assert after.where("score <> -7 or lang_pred <> '-7' or use <> -7 or own_mark <> -7 or n_hit <> -7 or items <> '-7' or c0 <> -7 or name <> '-7' or tree['k'] <> doc_id").isEmpty()
+        docs = after
+
+
+def test_empty_table(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in P.STAGES:
+        assert stage(spark, docs, sf).count() == 0
 
 
 def test_near_links_from_80_percent(spark):
