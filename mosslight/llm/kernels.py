@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.Generator(np.random.PCG64(20240229))
@@ -53,6 +53,8 @@ def portions(batches, rows: int = 2_000, size: int = 8 << 20) -> Iterator[pa.Rec
         step = max(1, min(rows, n * size // max(1, batch.nbytes)))
         for i in range(0, n, step):
             yield batch.slice(i, step)
+    # a worker lives on after its task; what Arrow keeps for later goes back
+    pa.default_memory_pool().release_unused()
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

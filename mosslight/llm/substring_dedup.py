@@ -406,7 +406,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
         out = touched.unionByName(marked.join(keys, "row", "left_anti").withColumn("marks", F.lit(None).cast(hits.schema["marks"].dataType)).select(*columns))
     else:
         out = marked.join(hits, "row", "left").select(*columns)
-    return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, shares_passage boolean")
 
 
 def _having(texts: DataFrame, keys: DataFrame) -> DataFrame:

@@ -40,12 +40,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .kernels import row_slices
+from .kernels import portions, row_slices
 from .scratch import new_path, written
 
 MAX_BITS, LANE, SEGMENT = 18, 64, 1 << 17
 END_ID = 2
-CACHE_BYTES, TEXT_SLICE, CALL = 40 << 20, 6 << 20, 32
+CACHE_BYTES, TEXT_SLICE, CALL = 36 << 20, 4 << 20, 32
 MAGIC = b"MTK1"
 DTYPE = np.dtype("<u4")
 
@@ -222,7 +222,7 @@ def _tokenize(path: str, end_id: int):
 
     def run(batches):
         coder = encoder(path)
-        for batch in batches:
+        for batch in portions(batches):
             ids, texts = batch.column(0), batch.column(1)
             for i, j in row_slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), TEXT_SLICE):
                 some = [pack(x) for x in coder.encode(texts.slice(i, j - i), end_id)]
@@ -233,7 +233,7 @@ def _tokenize(path: str, end_id: int):
 
 def _count(batches):
     total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
+    for batch in portions(batches):
         rows = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for i in range(0, len(rows), 500):
             own = np.bincount(np.concatenate([unpack(x, np.dtype(f"<u{w}")) for w, x in rows[i : i + 500]]))
@@ -352,7 +352,7 @@ def _write(shared: Broadcast):
             data = pack_segment(code, ids, docs)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((shard, pa.int32()), (number, pa.int32()), (first, pa.int64()), (size, pa.int64()), (len(ids), pa.int32()), (data, pa.binary()))], names=["shard", "segment", "first", "n_tokens", "n_docs", "data"])
 
-        for batch in batches:
+        for batch in portions(batches, 200):
             for i, w, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids.append(i)
                 docs.append(unpack(x, np.dtype(f"<u{w}")))
@@ -370,7 +370,7 @@ def _write(shared: Broadcast):
 def _read(shared: Broadcast):
     def run(batches):
         code = Code(*shared.value)
-        for batch in batches:
+        for batch in portions(batches):
             for shard, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 doc_ids, sizes, ids = unpack_segment(code, data.as_py())
                 ends = np.cumsum(sizes)
