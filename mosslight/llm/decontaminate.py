@@ -43,7 +43,7 @@ from .scratch import drop, written
 WINDOW, KGRAM = 10, 5
 #: Bits of the filter: FILTER_LOAD for each hash, FILTER_BITS at most (a power of two).
 FILTER_LOAD, FILTER_BITS, CHUNK_BITS = 64, 1 << 28, 1 << 16
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 RESULT = {"n_words": T.LongType(), "n_hit": T.LongType(), "hit_spans": T.ArrayType(T.ArrayType(T.LongType())), "items": T.ArrayType(T.StringType())}
 _ARROW = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit_spans": pa.list_(pa.list_(pa.int64())), "items": pa.list_(pa.string())}
 

@@ -54,7 +54,7 @@ from .scratch import drop, written
 LENGTH, GRAM = 400, 32
 BATCH, GROUP, PIECES = 1 << 18, 3_000, 4
 PASSAGE, OFFSETS = 256, (208, 144, 80, 16)
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 _SPAN = LENGTH - GRAM + 1
 
 

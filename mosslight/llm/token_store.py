@@ -227,6 +227,9 @@ def _tokenize(path: str, end_id: int):
             for i, j in row_slices(pc.fill_null(pc.binary_length(texts), 0).to_numpy(), TEXT_SLICE):
                 some = [pack(x) for x in coder.encode(texts.slice(i, j - i), end_id)]
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([coder.dtype.itemsize] * len(some), pa.int32()), pa.array(some, pa.binary())], names=["doc_id", "width", "ids"])
+        # an idle worker keeps the newer half of what it knows
+        if isinstance(coder, UnitEncoder):
+            coder.before = {}
 
     return run
 
