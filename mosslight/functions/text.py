@@ -73,8 +73,11 @@ def whole_word(word: str | Column) -> str | Column:
     return F.concat(F.lit(ahead), word, F.lit(behind))
 
 
-def keyword_score(text: Column, words: Column, boosting: bool = True) -> Column:
-    """Score of a text for an array of keywords: damped term frequency, length normalisation, and a position boost.
+def keyword_score(text: Column, words: Column | list[str], boosting: bool = True) -> Column:
+    """Score of a text for keywords: damped term frequency, length normalisation, and a position boost.
+
+    Words given as a list become one expression for each, whose patterns are compiled once and whose
+    text is cut into words once a row; an array column is for words that differ from row to row.
 
     The boost compares an offset in characters with a length in words, so late hits count against
     a text; there is no lower limit, on purpose.
@@ -83,12 +86,18 @@ def keyword_score(text: Column, words: Column, boosting: bool = True) -> Column:
     n = F.size(tokens(low)).cast("double")
     norm = F.lit(1.0) / (F.lit(1.0) + F.log(F.lit(1.0) + n / 100.0))
 
-    def one(w: Column) -> Column:
-        tf = F.regexp_count(low, whole_word(w)).cast("double")
+    def one(w: Column | str) -> Column:
+        literal = isinstance(w, str)
+        tf = F.regexp_count(low, F.lit(whole_word(w)) if literal else whole_word(w)).cast("double")
         at = (F.instr(low, w) - 1).cast("double")
         boost = F.lit(1.0) + (F.lit(1.0) - at / n) if boosting else F.lit(1.0)
         return F.when(tf > 0, F.log(F.lit(1.0) + tf) * norm * boost).otherwise(0.0)
 
+    if isinstance(words, list):
+        total = F.lit(0.0)
+        for w in words:
+            total = total + one(w)
+        return F.least(F.lit(1.0), total / len(words)) if words else F.lit(0.0)
     return F.when(F.size(words) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(words, F.lit(0.0), lambda s, w: s + one(w)) / F.size(words)))
 
 

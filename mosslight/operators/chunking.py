@@ -17,6 +17,7 @@ RECURSIVE = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
 CODE = ["\n\n", "\nclass ", "\nfunction ", "\ndef ", "\n\n", "\n", ". ", " ", ""]
 MARKDOWN = ["\n# ", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", "\n\n", "\n", " ", ""]
 SAMPLE = 20
+RANGE = 4096
 
 
 def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[tuple[int, int]]:
@@ -134,8 +135,13 @@ def global_index(chunks: DataFrame, *, doc_id: str = "doc_id", index: str = "chu
     """global_index over all documents in order of (doc_id, index), without sorting chunks in one task.
 
     Documents are counted, their offsets summed within ranges of documents and then over ranges.
+    Ranges are as wide as it takes for about `RANGE` documents each, whatever the ids are (counted
+    from 0, or hashes).
     """
-    per = chunks.groupBy(doc_id).agg(F.count("*").alias("_n")).withColumn("_range", F.floor(F.col(doc_id) / 4096))
+    per = chunks.groupBy(doc_id).agg(F.count("*").alias("_n"))
+    ends = per.agg(F.count("*").alias("n"), F.min(doc_id).cast("double").alias("a"), F.max(doc_id).cast("double").alias("b")).first()
+    width = max(1.0, ((ends.b or 0.0) - (ends.a or 0.0)) * RANGE / max(1, ends.n))
+    per = per.withColumn("_range", F.floor((F.col(doc_id).cast("double") - F.lit(ends.a or 0.0)) / F.lit(width)))
     sums = per.groupBy("_range").agg(F.sum("_n").alias("_sum"))
     base = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_range").orderBy(doc_id).rowsBetween(Window.unboundedPreceding, -1)

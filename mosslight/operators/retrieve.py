@@ -26,8 +26,7 @@ def vector_search(chunks: DataFrame, query: list[float], k: int = 5, *, metric:
 
 def rescored(candidates: DataFrame, words: list[str], o: SearchOptions, content: str = "content") -> DataFrame:
     """vector_score, keyword_score and their weighted sum."""
-    kw = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
-    out = candidates.withColumn("vector_score", V.similarity(F.col("distance"))).withColumn("keyword_score", X.keyword_score(F.col(content), kw, o.keyword_boosting))
+    out = candidates.withColumn("vector_score", V.similarity(F.col("distance"))).withColumn("keyword_score", X.keyword_score(F.col(content), words, o.keyword_boosting))
     return out.withColumn("score", F.col("vector_score") * o.vector_weight + F.col("keyword_score") * o.keyword_weight)
 
 
@@ -70,7 +69,8 @@ class BM25:
     def __init__(self, chunks: DataFrame, *, key: str = "chunk_id", content: str = "content"):
         self.key = key
         self.docs = chunks.select(key, terms(F.col(content)).alias("terms"))
-        self.sizes = self.docs.select(key, F.size("terms").alias("dl"))
+        # lengths need a count of the terms only
+        self.sizes = chunks.select(key, F.regexp_count(F.lower(F.col(content)), F.lit(TERM)).alias("dl"))
         self.postings = self.docs.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
     def statistics(self) -> DataFrame:
@@ -90,7 +90,8 @@ class BM25:
         """
         wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
         own = self.postings.join(wanted.select("term").distinct(), "term", "left_semi")
-        df = own.groupBy("term").agg(F.count("*").alias("df"))
+        # summed from tf, so that both readers of the postings need the same columns and share one exchange
+        df = own.groupBy("term").agg(F.sum(F.least("tf", F.lit(1).cast("long"))).alias("df"))
         # one row of totals; the join is on a constant key
         totals = self.statistics().withColumn("one", F.lit(1))
         tf, dl, n, d = F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("n_docs").cast("double"), F.col("df").cast("double")
