@@ -24,6 +24,8 @@ class AgentResult:
     summary: DataFrame
     iterations: int
     seconds: float
+    #: all rows of all sub-queries, repeats included
+    found: DataFrame
 
 
 class Agent:
@@ -77,13 +79,14 @@ class Agent:
         o, began = o or AgentOptions(), time.time()
         strategy = check_strategy(o.retrieval_strategy)
         plan = create_plan(query, use_llm=o.use_llm, planner=o.planner, max_sub_queries=o.max_iterations, top_k=o.top_k, context=o.workspace_context)
-        # a few rows per sub-query; the summary and the ranking read them again
+        # top_k rows per sub-query at most: they come to the driver once, and summary, counts and ranking read them from there
         found = self.retrieve(plan, strategy, o.top_k).join(self.chunks.select(self.key, self.content), self.key)
+        found = self.spark.createDataFrame(found.collect(), found.schema)
         summary = R.confidence(found, o.confidence_threshold)
         unique = R.deduplicate(found.withColumn("query_id", F.lit(0)), F.coalesce(F.col(self.key).cast("string"), F.left(self.content, F.lit(100))), ["sub_idx", "rank"])
         results = unique.orderBy(F.col("score").desc(), "sub_idx", "rank").limit(o.top_k).drop("query_id")
         summary = summary.withColumn("sub_queries_executed", F.lit(len(plan["sub_queries"]))).withColumn("strategy", F.lit(strategy))
-        return AgentResult(query, plan, results, summary, 1, time.time() - began)
+        return AgentResult(query, plan, results, summary, 1, time.time() - began, found)
 
 
 def sub_query_counts(results: DataFrame) -> DataFrame:
@@ -119,23 +122,51 @@ def best_topic(catalog, requested: str, embed_query) -> tuple[dict, str]:
     return max(topics, key=near), "similar"
 
 
-def rag_query(spark: SparkSession, catalog, embed_query, *, topic: str, query: str, top_k: int = 5, retrieval_strategy: str = "hybrid", use_agentic_mode: bool = False, options: AgentOptions | None = None) -> str:
-    """The search tool: resolve the topic, search it, and give the answer as JSON text."""
+class Agents:
+    """One agent for each topic, with its keyword statistics, kept until the catalog drops or changes the topic."""
+
+    def __init__(self, spark: SparkSession, catalog, embed_query):
+        self.spark, self.catalog, self.embed_query = spark, catalog, embed_query
+        self.kept: dict[str, Agent] = {}
+        catalog.cleanup.append(self.forget)
+
+    def forget(self, topic_id: str | None = None) -> None:
+        """Drop a topic's agent, or all of them."""
+        if topic_id is None:
+            self.kept.clear()
+        self.kept.pop(topic_id, None)
+
+    def get(self, topic_id: str) -> Agent | None:
+        """The topic's agent, over its chunks as they are now; None if it has none."""
+        chunks = self.catalog.chunks(topic_id)
+        if chunks is None:
+            return None
+        agent = self.kept.get(topic_id)
+        if agent is None:
+            agent = self.kept[topic_id] = Agent(self.spark, chunks, self.embed_query)
+        elif agent.chunks is not chunks:
+            # the store gives another table after each write
+            agent.use_chunks(chunks)
+        return agent
+
+
+def rag_query(spark: SparkSession, catalog, embed_query, *, topic: str, query: str, top_k: int = 5, retrieval_strategy: str = "hybrid", use_agentic_mode: bool = False, options: AgentOptions | None = None, agents: Agents | None = None) -> str:
+    """The search tool: resolve the topic, search it, and give the answer as JSON text. `agents` keeps agents from call to call."""
     check_top_k(top_k), check_strategy(retrieval_strategy)
     found, how = best_topic(catalog, topic, embed_query)
     if not (catalog.stats(found["id"]) or {}).get("document_count"):
         raise ValueError(f"topic {found['name']!r} has no documents")
-    chunks = catalog.chunks(found["id"])
-    if chunks is None:
+    agent = (agents or Agents(spark, catalog, embed_query)).get(found["id"])
+    if agent is None:
         raise ValueError(f"topic {found['name']!r} has no chunks")
-    agent = Agent(spark, chunks, embed_query)
+    chunks = agent.chunks
     out: dict = {"query": query, "topicName": found["name"], "topicMatched": how}
     if how != "exact":
         out |= {"requestedTopic": topic, "availableTopics": [t["name"] for t in catalog.all()]}
     if use_agentic_mode:
         o = options or AgentOptions(retrieval_strategy=retrieval_strategy, top_k=top_k)
         r = agent.query(query, o)
-        rows, counts = r.results, {c.sub_idx: c.results for c in sub_query_counts(agent.retrieve(r.plan, o.retrieval_strategy, o.top_k)).collect()}
+        rows, counts = r.results, {c.sub_idx: c.results for c in sub_query_counts(r.found).collect()}
         s = r.summary.first()
         steps = [{"stepNumber": i + 1, "query": q["query"], "reasoning": q["reasoning"], "resultsCount": counts.get(i, 0)} for i, q in enumerate(r.plan["sub_queries"])]
         out["agenticMetadata"] = {"mode": "agentic", "queryComplexity": r.plan["complexity"], "steps": steps, "totalIterations": r.iterations, "confidence": s.avg_confidence, "confidenceMet": s.confidence_met}

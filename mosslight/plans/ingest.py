@@ -15,6 +15,8 @@ from ..operators.chunking import chunk_documents
 from ..sources.catalog import Catalog
 from ..sources.readers import load_documents
 
+#: Failures of single files that a report names.
+MAX_FAILURES = 1_000
 STAGES = ("loading", "chunking", "embedding", "storing", "complete")
 
 
@@ -41,7 +43,13 @@ def ingest(spark: SparkSession, catalog: Catalog, topic_id: str, paths: list[str
         return result
     result.seconds["loading"] = time.time() - began
     report("chunking", 25, "splitting")
-    chunks = embedder.embed_documents(chunk_documents(docs, options))
+    if "load_error" in docs.columns:
+        result.failures += [tuple(r) for r in docs.where("load_error is not null").select("file_path", "load_error").limit(MAX_FAILURES).collect()]
+        docs = docs.where("load_error is null").drop("load_error")
+    known = catalog.store.open(topic_id)
+    # a document that the topic holds stays as it is
+    fresh = docs if known is None else docs.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
+    chunks = embedder.embed_documents(chunk_documents(fresh, options))
     report("embedding", 50, "embedding and writing")
     began = time.time()
     catalog.store.append(topic_id, chunks, embedder.name)

@@ -35,8 +35,8 @@ def heuristic_plan(query: str, *, max_sub_queries: int | None = None, top_k: int
     if re.search(_any(COMPARING), query):
         parts = [p.strip() for p in re.split(_any(SPLITTING), query)]
         parts = [p for p in parts if len(p) > 3 and p.lower() not in (*SPLITTING, "and")]
-        plan = {"complexity": "complex", "strategy": "parallel", "explanation": "Comparison query broken into parallel searches for each concept"}
-        subs = [_sub(p, top_k, "high", f"Search for information about {p}") for p in parts]
+        plan = {"complexity": "complex", "strategy": "parallel", "explanation": "A comparison: one search for each side"}
+        subs = [_sub(p, top_k, "high", f"One side of the comparison: {p}") for p in parts]
     elif query.count("?") > 1 or len(re.split(CONCEPTS, query)) > 2:
         parts = [p.strip() for p in re.split(DELIMITERS, query)]
         parts = [p for p in parts if len(p) > 5][: max_sub_queries or 3]

@@ -53,7 +53,7 @@ def read_html(spark: SparkSession, paths: list[str], **_) -> DataFrame:
 
 @reader("pdf")
 def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], list[str]] | None = None, split_pages: bool = False, separator: str = "\n", **_) -> DataFrame:
-    """PDF files by a parser that gives the pages' texts; none is bundled."""
+    """PDF files by a parser that gives the pages' texts; none is bundled. A file at which it raises is a row with `load_error`."""
     if parser is None:
         raise RuntimeError("reading PDF files needs parser=: a function from bytes to the texts of the pages")
     raw = spark.read.format("binaryFile").load(paths).select("path", "content", "length")
@@ -62,11 +62,15 @@ def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], li
         for pdf in batches:
             rows = []
             for path, data, size in zip(pdf["path"], pdf["content"], pdf["length"], strict=True):
-                pages = parser(bytes(data))
-                rows += [(path, t, size, i + 1) for i, t in enumerate(pages)] if split_pages else [(path, separator.join(pages), size, None)]
-            yield pd.DataFrame(rows, columns=["file_path", "content", "file_size", "page"]).astype({"page": "Int32"})
-
-    return raw.mapInPandas(parse, "file_path string, content string, file_size long, page int")
+                try:
+                    pages = parser(bytes(data))
+                except Exception as e:  # noqa: BLE001  one bad file must not end the load
+                    rows.append((path, None, size, None, f"{type(e).__name__}: {e}"))
+                    continue
+                rows += [(path, t, size, i + 1, None) for i, t in enumerate(pages)] if split_pages else [(path, separator.join(pages), size, None, None)]
+            yield pd.DataFrame(rows, columns=["file_path", "content", "file_size", "page", "load_error"]).astype({"page": "Int32"})
+
+    return raw.mapInPandas(parse, "file_path string, content string, file_size long, page int, load_error string")
 
 
 @reader("github")
