@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .config import ChunkOptions, SearchOptions
+from .config import AgentOptions, ChunkOptions, SearchOptions
 from .functions import html as H
 from .functions import text as X
 from .functions import urls as U
@@ -163,12 +163,12 @@ _SCORED = ["thatin", "ononst", "and"]
 
 @query(f"SELECT doc_id, round({kw_sql(_SCORED, 'text')}, 6) AS score FROM documents")
 def keyword_score_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", rnd(X.keyword_score(F.col("text"), F.array(*map(F.lit, _SCORED)))).alias("score"))
+    return table(spark, sf, "documents").select("doc_id", rnd(X.keyword_score(F.col("text"), _SCORED)).alias("score"))
 
 
 @query(f"SELECT doc_id, round({kw_sql(_SCORED, 'text', False)}, 6) AS score FROM documents")
 def keyword_score_no_boost(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", rnd(X.keyword_score(F.col("text"), F.array(*map(F.lit, _SCORED)), False)).alias("score"))
+    return table(spark, sf, "documents").select("doc_id", rnd(X.keyword_score(F.col("text"), _SCORED, False)).alias("score"))
 
 
 @query(f"WITH {CH}, {q_sql()}, ca AS (SELECT chunk_id, content, {_COS} AS d FROM ch, q ORDER BY d, chunk_id LIMIT 50) SELECT chunk_id, round({kw_sql(KEYWORDS)}, 6) AS score FROM ca ORDER BY {kw_sql(KEYWORDS)} DESC, d, chunk_id LIMIT 10")
@@ -266,37 +266,32 @@ def _agent_sql(tail: str) -> str:
     return f"WITH a AS ({' UNION ALL '.join(parts)}), u AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY sub_idx, rank) = 1) {tail}"
 
 
-def _found(spark: SparkSession, sf: str) -> DataFrame:
-    """Results of all sub-queries; the n-th one's vector is that of row n."""
-    own = chunks(spark, sf)
-    parts = []
-    for i, s in enumerate(_SUBS):
-        hits = R.hybrid_search(own, s, vector(spark, sf, i), SearchOptions())
-        parts.append(R.ranked(hits, [F.col("score").desc(), F.col("distance"), F.col("chunk_id")], F.lit(0)).withColumn("sub_idx", F.lit(i)))
-    return functools.reduce(DataFrame.unionByName, parts)
+def _answer(spark: SparkSession, sf: str) -> A.AgentResult:
+    """The agent's answer; the n-th sub-query's vector is that of row n."""
+    agent = A.Agent(spark, chunks(spark, sf), lambda text: vector(spark, sf, _SUBS.index(text)))
+    return agent.query(_PLANNED, AgentOptions())
 
 
 @query(_agent_sql("SELECT chunk_id, sub_idx, round(score, 6) AS score FROM u ORDER BY u.score DESC, sub_idx, rank LIMIT 5"))
 def agentic_union_dedupe_rank(spark: SparkSession, sf: str) -> DataFrame:
-    unique = R.deduplicate(_found(spark, sf), F.col("chunk_id"), ["sub_idx", "rank"])
-    return unique.orderBy(F.col("score").desc(), "sub_idx", "rank").limit(5).select("chunk_id", "sub_idx", rnd("score").alias("score"))
+    return _answer(spark, sf).results.select("chunk_id", "sub_idx", rnd("score").alias("score"))
 
 
-@query(_agent_sql("SELECT count(*) AS total_results, (SELECT count(*) FROM u) AS unique_documents, round(avg(score), 6) AS avg_confidence, avg(score) >= 0.7 AS confidence_met FROM a"))
+@query(_agent_sql("SELECT count(*) AS total_results, (SELECT count(*) FROM u) AS unique_documents, round(avg(score), 6) AS avg_confidence, avg(score) >= 0.7 AS confidence_met, (SELECT count(DISTINCT sub_idx) FROM a) AS sub_queries_executed, 'hybrid' AS strategy FROM a"))
 def confidence_summary(spark: SparkSession, sf: str) -> DataFrame:
-    found = _found(spark, sf)
-    unique = found.agg(F.count_distinct("chunk_id").alias("unique_documents"), F.lit(1).alias("one"))
-    return R.confidence(found).withColumn("one", F.lit(1)).join(unique, "one").select("total_results", "unique_documents", rnd("avg_confidence").alias("avg_confidence"), "confidence_met")
+    r = _answer(spark, sf)
+    unique = r.found.agg(F.count_distinct("chunk_id").alias("unique_documents"), F.lit(1).alias("one"))
+    return r.summary.withColumn("one", F.lit(1)).join(unique, "one").select("total_results", "unique_documents", rnd("avg_confidence").alias("avg_confidence"), "confidence_met", F.col("sub_queries_executed").cast("long").alias("sub_queries_executed"), "strategy")
 
 
 @query(_agent_sql("SELECT sub_idx, count(*) AS results FROM a GROUP BY sub_idx"))
 def sub_query_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return A.sub_query_counts(_found(spark, sf))
+    return A.sub_query_counts(_answer(spark, sf).found)
 
 
 @query(_agent_sql("SELECT content AS text, 'Unknown' AS document_name, floor(score * 100 + 0.5) / 100 AS similarity, 'hybrid' AS retrieval_strategy, 0 AS chunk_index, 'chars 0-0' AS position, CAST(NULL AS VARCHAR) AS heading_path FROM a"))
 def tool_result_rows(spark: SparkSession, sf: str) -> DataFrame:
-    return A.tool_rows(_found(spark, sf).withColumn("strategy", F.lit("hybrid")))
+    return A.tool_rows(_answer(spark, sf).found)
 
 
 @query("WITH r AS (SELECT doc_id, left(text, 100) AS k, row_number() OVER (PARTITION BY left(text, 100) ORDER BY doc_id) AS n FROM documents) SELECT doc_id FROM r WHERE n = 1")
@@ -486,10 +481,38 @@ def chunk_global_index(spark: SparkSession, sf: str) -> DataFrame:
     return C.global_index(_windows(spark, sf)).select("doc_id", "chunk_index", "global_index")
 
 
-@query()
+def _joined(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
+    """Chunks without overlap put together again, without white space; and whether all keep to the size."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
+    parts = C.chunk_documents(docs, ChunkOptions(chunk_overlap=0), strategy=strategy).groupBy("doc_id")
+    parts = parts.agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("parts"), (F.max("chunk_size") <= 512).alias("fits"))
+    return parts.select("doc_id", F.md5(F.regexp_replace(F.array_join(F.col("parts.content"), ""), r"\s", "")).alias("body"), "fits")
+
+
+_JOINED = r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS body, true AS fits FROM documents WHERE regexp_matches(text, '\S')"
+
+
+@query(_JOINED)
 def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(spark, sf, "recursive")
+
+
+@query(_JOINED)
+def chunk_code(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(spark, sf, "code")
+
+
+@query(_JOINED)
+def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    return _joined(spark, sf, "markdown")
+
+
+@query(r"SELECT doc_id, true AS inside, true AS in_order FROM documents WHERE regexp_matches(text, '\S')")
+def chunk_overlapping(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks with overlap: each is a part of its text, and they are numbered from 0."""
     docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    return C.chunk_documents(docs, ChunkOptions(), strategy="recursive")
+    parts = C.chunk_documents(docs, ChunkOptions(), strategy="recursive").join(docs.withColumnRenamed("content", "whole"), "doc_id")
+    return parts.groupBy("doc_id").agg(F.min(F.col("whole").contains(F.col("content"))).alias("inside"), (F.max("chunk_index") + 1 == F.count("*")).alias("in_order"))
 
 
 @query("SELECT 'doc' || doc_id AS chunk_id, text AS content, source, CAST(0 AS INTEGER) AS chunk_index FROM documents")
@@ -585,23 +608,36 @@ def available_models(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
+    """A fresh folder that all executors share; a temporary one in local mode only."""
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mosslight-store-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="mosslight-store-")
     return f"{base.rstrip('/')}/catalog-{uuid.uuid4().hex}"
 
 
-@query()
+_STORED = "SELECT chunk_id, content, lang, source, CAST(len(v) AS INTEGER) AS dims, round(list_sum(v), 6) AS total FROM ch"
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    return rows.select("chunk_id", "content", "lang", "source", F.size("embedding").alias("dims"), rnd(F.aggregate(v, F.lit(0.0), lambda s, x: s + x)).alias("total"))
+
+
+@query(f"WITH {CH} {_STORED}")
 def store_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     from .sources.store import ChunkStore
 
     store = ChunkStore(spark, _scratch(spark))
     store.create("t", chunks(spark, sf), "precomputed")
-    return store.open("t")
+    return _stored(store.open("t"))
 
 
-@query()
+@query(f"WITH {CH} {_STORED}")
 def export_import_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     catalog = T.Catalog(spark, _scratch(spark), "precomputed")
     topic = catalog.create("Documents")
@@ -611,7 +647,7 @@ def export_import_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
         other = catalog.import_(catalog.export(topic["id"]))
     except zipfile.BadZipFile as e:  # an archive that can't be read back is an error of the export
         raise RuntimeError("export wrote a broken archive") from e
-    return catalog.chunks(other["id"])
+    return _stored(catalog.chunks(other["id"]))
 
 
 @query()
@@ -621,3 +657,6 @@ def hashing_embed_search(spark: SparkSession, sf: str) -> DataFrame:
     e = HashingEmbedder(64)
     docs = e.embed_documents(table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
     return R.vector_search(docs, e.embed_query(TEXT), 10).select("chunk_id", "score")
+
+
+from . import lifecycle as _lifecycle  # noqa: E402,F401  registers the queries of topics, files and tools

@@ -153,3 +153,54 @@ def test_stream(spark, folder, tmp_path):
     for _ in range(2):
         ingest_stream(spark, catalog, topic["id"], folder + "/c.txt", e, str(tmp_path / "cp")).awaitTermination()
     assert catalog.chunks(topic["id"]).select("doc_id").distinct().count() == 1
+
+
+def test_one_bad_pdf_does_not_end_a_load(spark, tmp_path):
+    from mosslight.operators.embed import HashingEmbedder
+    from mosslight.plans.ingest import ingest
+    from mosslight.sources.catalog import Catalog
+
+    for name, data in (("a.pdf", b"one two"), ("b.pdf", b"bad"), ("c.pdf", b"three")):
+        (tmp_path / name).write_bytes(data)
+
+    def parser(data):
+        if data == b"bad":
+            raise ValueError("not a PDF")
+        return [data.decode()]
+
+    e = HashingEmbedder(8)
+    catalog = Catalog(spark, str(tmp_path / "catalog"), e.name)
+    topic = catalog.create("Files")
+    r = ingest(spark, catalog, topic["id"], [str(tmp_path / x) for x in ("a.pdf", "b.pdf", "c.pdf")], e, parser=parser)
+    assert r.success and r.documents == 2 and len(r.failures) == 1 and "not a PDF" in r.failures[0][1]
+    assert sorted(x.content for x in catalog.chunks(topic["id"]).collect()) == ["one two", "three"]
+
+
+def test_agents_are_kept_until_their_topic_changes(spark, tmp_path):
+    from mosslight.plans.agent import Agents
+    from mosslight.sources.catalog import Catalog
+
+    catalog = Catalog(spark, str(tmp_path / "catalog"), "m")
+    t = catalog.create("T")["id"]
+    agents = Agents(spark, catalog, lambda _: [1.0, 0.0])
+    assert agents.get(t) is None
+    rows = spark.createDataFrame([("a", "x y", [1.0, 0.0])], "chunk_id string, content string, embedding array<double>")
+    catalog.store.create(t, rows, "m")
+    first = agents.get(t)
+    statistics = first.bm25
+    assert agents.get(t) is first and first.bm25 is statistics
+    catalog.store.append(t, rows.withColumn("chunk_id", rows.content), "m")
+    assert agents.get(t) is first and first.bm25 is not statistics and first.chunks.count() == 2
+    catalog.delete(t)
+    assert agents.get(t) is None and t not in agents.kept
+
+
+def test_global_index_of_hashed_ids(spark):
+    from pyspark.sql import functions as F
+
+    from mosslight.operators.chunking import global_index
+
+    rows = spark.range(3000).select(F.xxhash64("id").alias("doc_id")).withColumn("chunk_index", F.explode(F.array(F.lit(0), F.lit(1))))
+    got = [(r.doc_id, r.chunk_index) for r in global_index(rows).orderBy("global_index").collect()]
+    assert got == sorted(got) and len(got) == 6000
+    assert global_index(rows.limit(0)).count() == 0
