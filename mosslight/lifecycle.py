@@ -287,3 +287,22 @@ def search_defaults(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT turn, role, length(text) > 1000 AS cut, CASE WHEN length(text) > 1000 THEN left(text, 1000) || chr(10) || '... (truncated)' ELSE text END AS excerpt FROM conversations")
 def context_excerpts(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("turn", "role", (F.length("text") > 1000).alias("cut"), X.select_excerpt(F.col("text")).alias("excerpt"))
+
+
+@query(f"WITH {hybrid_sql(KEYWORDS, 5, 0.7, 0.3, 0.0, 20)} SELECT round(avg(score), 6) AS avg_score FROM hy")
+def hybrid_average_score(spark: SparkSession, sf: str) -> DataFrame:
+    return R.average_score(R.hybrid_search(chunks(spark, sf), TEXT, vector(spark, sf), SearchOptions())).select(rnd("avg_score").alias("avg_score"))
+
+
+@query("SELECT source AS configured, source AS below, true AS missing_refused, true AS blank FROM documents WHERE source IS NOT NULL GROUP BY source")
+def model_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """A model folder for each source, found by its relative path."""
+    base = f"{_scratch(spark)}/models"
+    names = table(spark, sf, "documents").where("source is not null").select("source").distinct()
+    names.withColumn("model", F.col("source")).write.partitionBy("model").json(base)
+    rows = []
+    for r in names.collect():
+        path = T.resolve_model_path(spark, f"model={r.source}", base)
+        missing = _refused(T.resolve_model_path, spark, f"{r.source}-missing", base, error=ValueError)
+        rows.append((r.source, path.rsplit("model=", 1)[1], missing, T.resolve_model_path(spark, " ") is None))
+    return spark.createDataFrame(rows, "configured string, below string, missing_refused boolean, blank boolean")

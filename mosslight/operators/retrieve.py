@@ -139,3 +139,9 @@ def confidence(results: DataFrame, threshold: float = 0.7, group: str | None = N
     """Mean score over all results (0 without any) and whether it meets the threshold."""
     own = results.groupBy(group) if group else results.groupBy()
     return own.agg(F.count("*").alias("total_results"), F.coalesce(F.avg(F.coalesce("score", F.lit(0.0))), F.lit(0.0)).alias("avg_confidence")).withColumn("confidence_met", F.col("avg_confidence") >= threshold)
+
+
+def average_score(results: DataFrame, group: str | None = None) -> DataFrame:
+    """Mean of the scores, per group if one is named; 0 without any."""
+    own = results.groupBy(group) if group else results.groupBy()
+    return own.agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("avg_score"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import os
 import posixpath
+import re
 import uuid
 import zipfile
 from datetime import UTC, datetime
@@ -260,3 +262,20 @@ def discover_models(spark: SparkSession, root: str) -> list[str]:
         else:
             found += [f"{owner}/{model}" for model in files.folders(f"{root}/{owner}") if has(f"{root}/{owner}/{model}")]
     return sorted(found)
+
+
+def resolve_model_path(spark: SparkSession, configured: str | None, base: str | None = None) -> str | None:
+    """The folder that a setting names: ~ is the home folder, other relative paths lie below base (the working folder).
+
+    None for a blank setting; a path that isn't there is an error. Paths with a scheme stay as they are.
+    """
+    given = (configured or "").strip()
+    if not given:
+        return None
+    path = given
+    if "://" not in given:
+        path = os.path.join(base or os.getcwd(), os.path.expanduser(given) if re.match("~(/|$)", given) else given)
+        path = path if "://" in path else os.path.normpath(path)
+    if not Files(spark).exists(path):
+        raise ValueError(f"model path {given!r} does not exist (resolved to {path!r})")
+    return path

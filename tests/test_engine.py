@@ -11,7 +11,8 @@ from mosslight.operators import knn as N
 from mosslight.operators.embed import FunctionEmbedder, HashingEmbedder, PrecomputedEmbedder
 from mosslight.plans.agent import Agent, best_topic, rag_query
 from mosslight.plans.ingest import ingest
-from mosslight.sources.catalog import Catalog, TopicError
+from mosslight.operators.retrieve import average_score
+from mosslight.sources.catalog import Catalog, TopicError, resolve_model_path
 from mosslight.sources.readers import load_documents, read_pdf
 from mosslight.sources.store import ModelMismatch
 from mosslight.streaming.ingest import ingest_stream
@@ -204,3 +205,23 @@ def test_global_index_of_hashed_ids(spark):
     got = [(r.doc_id, r.chunk_index) for r in global_index(rows).orderBy("global_index").collect()]
     assert got == sorted(got) and len(got) == 6000
     assert global_index(rows.limit(0)).count() == 0
+
+
+def test_model_path(spark, tmp_path, monkeypatch):
+    (tmp_path / "m").mkdir()
+    monkeypatch.setenv("HOME", str(tmp_path))
+    own = str(tmp_path / "m")
+    assert resolve_model_path(spark, "~/m") == resolve_model_path(spark, own) == resolve_model_path(spark, "./m", str(tmp_path)) == own
+    assert resolve_model_path(spark, "~") == str(tmp_path) and resolve_model_path(spark, f"file://{own}") == f"file://{own}"
+    assert resolve_model_path(spark, " ") is None and resolve_model_path(spark, None) is None
+    monkeypatch.chdir(tmp_path)
+    assert resolve_model_path(spark, "m") == own
+    for gone in ("~x", "none", "/no/such"):
+        with pytest.raises(ValueError, match="does not exist"):
+            resolve_model_path(spark, gone)
+
+
+def test_average_score(spark):
+    rows = spark.createDataFrame([(1, 0.5), (1, 1.0), (2, None)], "g int, score double")
+    assert average_score(rows).first().avg_score == 0.75 and average_score(rows.limit(0)).first().avg_score == 0.0
+    assert {r.g: r.avg_score for r in average_score(rows, "g").collect()} == {1: 0.75, 2: 0.0}
