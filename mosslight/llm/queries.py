@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, filter_audit, language_id, license_scan, line_dedup, manifest, mixing, near_dedup, nearest, substring_dedup, token_counts, token_store
+from . import decontaminate, embedding_dedup, filter_audit, language_id, license_scan, line_dedup, manifest, mixing, near_dedup, nearest, substring_dedup, token_counts, token_store
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -18,7 +18,8 @@ QUERIES = {
     "op9_nearest": nearest.op9_nearest,
     "op10_language_id": language_id.op10_language_id,
     "op11_manifest": manifest.op11_manifest,
+    "op12_embedding_dedup": embedding_dedup.op12_embedding_dedup,
     "op13_filter_audit": filter_audit.op13_filter_audit,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op5_mix_sources": mixing.OP5_SQL, "op7_near_dedup": near_dedup.OP7_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op11_manifest": manifest.OP11_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
+ORACLES = {"op1_decontaminate": decontaminate.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op5_mix_sources": mixing.OP5_SQL, "op7_near_dedup": near_dedup.OP7_SQL, "op8_line_dedup": line_dedup.OP8_SQL, "op11_manifest": manifest.OP11_SQL, "op12_embedding_dedup": embedding_dedup.OP12_SQL, "op13_filter_audit": filter_audit.OP13_SQL}
