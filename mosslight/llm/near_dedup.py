@@ -1,13 +1,17 @@
 """Near-duplicate documents by a chosen-path set similarity join.
 
 Method. Each distinct shingle set gets a signature of minwise values. A tree starts with all sets
-in one node and branches them by the values of two selected coordinates at once. Below that nothing
-is left to chance: every node is compared exhaustively, whatever its size. A large node takes its
-members in order of their likeness to the node's most common values, which joins the points that
-are similar to nearly all others at once, and counts what its sets share over an index of their
-shingles. Independent trees are repeated for the target recall: a pair at 0.85 meets below a root
-with probability 0.72 and misses twelve trees with less than 1e-6, one at 0.8 with 0.64 and 5e-6,
-whatever the size of the nodes. Nodes are walked twice. The first walk compares signatures only and
+in one node and branches them by the values of two selected coordinates at once. From there on a
+node of more than `LEAF` sets branches again: it selects `PATHS` coordinates that its path has not used
+and goes on with the sets that agree in one of them, so a set follows two paths and a pair of similarity s
+2s paths, more than one where s is above one half. Nodes of up to `LEAF` sets are compared
+exhaustively. Before a node branches, its most central sets (those with most of the node's common
+values) are compared with all others, and a node whose sets are all linked ends there: groups of near
+copies, which no coordinate would part, cost their size. A pair at 0.85 meets below a root with probability 0.72,
+one at 0.8 with 0.64, and both survive branching to any depth with 0.94 or more; twelve independent trees
+miss a pair at 0.8 with 2e-5 at most. Sets of similarity 0.5 share 1.3 times fewer
+sets at each level than they are cut into, so such a family costs less than its square.
+Nodes are walked twice. The first walk compares signatures only and
 splits every node into groups of sets that may be linked (pairs five standard deviations below the
 threshold are left out). The second walk compares the full shingle sets within these groups; only
 that makes a link.
@@ -16,8 +20,9 @@ Scale. Documents with equal sets are folded into one class first, by a digest. O
 similar signature go to the second walk, and only their sets are gathered; a group that several
 trees find alike is compared once. The first trees' links are turned into components; later trees
 drop every group that lies in one component, so that a group of copies costs links in proportion
-to its size and not to its square. Nodes too large for a task are cut in blocks, and each pair of
-blocks is compared, so that no pair is lost; that is quadratic in such a node's size. The ids of the gathered sets are broadcast up to `BROADCAST_ROWS` of them, and
+to its size and not to its square. Nodes too large for a task branch in the cluster, level by level, as
+long as that parts them; what can't be parted is cut in blocks, and each pair of blocks is compared, so
+that no pair is lost. The ids of the gathered sets are broadcast up to `BROADCAST_ROWS` of them, and
 joined by a shuffle beyond.
 
 Edge cases: null and empty texts and texts without words have no shingles and link with nothing,
@@ -45,7 +50,11 @@ from .scratch import drop, written
 #: Percent. Two texts are near duplicates from THRESHOLD on; the contract of the op7 query says OP7_THRESHOLD.
 SHINGLE, THRESHOLD, OP7_THRESHOLD = 5, 80, 85
 COORDS, TREES, FIRST_TREES = 64, 12, 2
-LEAF, TILE = 1024, 64
+LEAF, TILE, PATHS = 1024, 64, 2
+#: Levels that nodes beyond a task's bound branch in the cluster, at most.
+DEPTH = 12
+#: A child with this share of its node's members isn't parted further.
+HARDLY = 0.9
 NODE_ROWS, NODE_BYTES = 20_000, 48 << 20
 BROADCAST_ROWS = 1_000_000
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -109,10 +118,22 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     return 100 * common >= threshold * (len(a) + len(b) - common)
 
 
+def path_coordinates(node: int, used: list[int]) -> list[int]:
+    """The coordinates that a node branches by: selected at random for each node, other ones than its path has used."""
+    order = np.random.Generator(np.random.PCG64(node & (1 << 63) - 1)).permutation(COORDS).tolist()
+    return [c for c in order if c not in used][:PATHS]
+
+
+def child_key(node: int, coordinate: int, value: int) -> int:
+    """The name of the node that follows by one coordinate's value."""
+    return int(K.mix64(np.array([node & (1 << 64) - 1], np.uint64) * K._MULT[1] + np.uint64(coordinate << 16 | value)).view(np.int64)[0])
+
+
 class _Node:
     """The members of one node in a task: branch, compare, and give the links that join components."""
 
-    def __init__(self, reps: list, sigs: list[bytes], sets: list[bytes] | None, comps: list, threshold: int = THRESHOLD):
+    def __init__(self, reps: list, sigs: list[bytes], sets: list[bytes] | None, comps: list, threshold: int = THRESHOLD, key: int = 0, used: list[int] | None = None):
+        self.key, self.used = key, used or []
         self.reps, self.threshold = reps, threshold
         self.sig = np.frombuffer(b"".join(sigs), "<u2").reshape(-1, COORDS)
         self.sets = None if sets is None else [np.frombuffer(s, np.uint64) for s in sets]
@@ -149,16 +170,38 @@ class _Node:
                 self.compare(k, at[k + 1 :])
         else:
             # the members nearest to the most common values first: the centre of a star joins it at once
-            order = np.argsort(-self._central(), kind="stable")
-            (self._tiles if self.sets is None else self._indexed)(order)
+            if self.sets is None:
+                self._branch(np.arange(n), self.key, self.used)
+            else:
+                self._indexed(self._central(np.arange(n)))
         return self.links
 
-    def _central(self) -> np.ndarray:
-        """In how many coordinates each member has the node's most common value."""
-        out = np.zeros(len(self.sig), np.int64)
-        for col in self.sig.T:
-            out += col == np.bincount(col).argmax()
-        return out
+    def _central(self, own: np.ndarray) -> np.ndarray:
+        """Members of a node, those with its most common values first."""
+        sig = self.sig[own]
+        common = np.zeros(len(own), np.int64)
+        for col in sig.T:
+            common += col == np.bincount(col).argmax()
+        return own[np.argsort(-common, kind="stable")]
+
+    def _branch(self, own: np.ndarray, key: int, used: list[int]) -> None:
+        """Chosen paths: the node's centre with all its members, then the members that agree in a selected coordinate, until nodes are small."""
+        todo = [(own, key, used)]
+        while todo:
+            own, key, used = todo.pop()
+            next_ = [] if len(own) <= LEAF else path_coordinates(key, used)
+            if not next_:
+                self._tiles(own, len(own))
+                continue
+            self._tiles(self._central(own), TILE)
+            if (self.root[own] == self.root[own[0]]).all():
+                continue
+            for c in next_:
+                by = own[np.argsort(self.sig[own, c], kind="stable")]
+                edges = np.flatnonzero(np.diff(self.sig[by, c])) + 1
+                for child in np.split(by, edges):
+                    if len(child) > 1 and (self.root[child] != self.root[child[0]]).any():
+                        todo.append((child, child_key(key, c, int(self.sig[child[0], c])), [*used, *next_]))
 
     def _join(self, i: int, others: np.ndarray) -> None:
         """Link i with others, one of each component."""
@@ -166,10 +209,10 @@ class _Node:
         self.links += [(self.reps[i], self.reps[j]) for j in others[first].tolist()]
         self.root[np.isin(self.root, self.root[others])] = self.root[i]
 
-    def _tiles(self, order: np.ndarray) -> None:
-        """All pairs by signatures, TILE members with all later ones at a time."""
+    def _tiles(self, order: np.ndarray, first: int) -> None:
+        """Pairs by signatures of the first members with all later ones, TILE of them at a time."""
         least = self.least()
-        for a in range(0, len(order), TILE):
+        for a in range(0, min(first, len(order)), TILE):
             own, rest = order[a : a + TILE], order[a:]
             if (self.root[own] == self.root[own[0]]).all():
                 rest = rest[self.root[rest] != self.root[own[0]]]
@@ -235,7 +278,8 @@ def _walk(columns: tuple[str, ...], solve, schema: pa.Schema):
 
 def _similar(node: int, trees: list[int], digests: list[bytes], sigs: list[bytes], threshold: int = THRESHOLD) -> list[tuple[int, int, bytes]]:
     """(tree, group, digest) of the classes that may be linked; equal groups of different trees get equal names."""
-    found = _Node(digests, sigs, None, digests, threshold)
+    # the root's coordinates agree already
+    found = _Node(digests, sigs, None, digests, threshold, node, sorted({c for t in set(trees) for c in (2 * t, 2 * t + 1)}))
     found.run()
     groups: dict[int, list[int]] = {}
     for i, r in enumerate(found.root.tolist()):
@@ -264,6 +308,43 @@ def _bounded(members: DataFrame) -> DataFrame:
     return block.withColumn("node", F.when(F.col("parts") == 1, F.col("node")).otherwise(pair)).drop("parts", "own", "other", "rows", "bytes")
 
 
+def _children(batches):
+    """Members of a node under the nodes that follow it."""
+    names = ["tree", "node", "digest", "sig", "used", "rows"]
+    for batch in K.portions(batches):
+        out: list[list] = [[] for _ in names]
+        for tree, node, digest, sig, used, rows in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            values, chosen = np.frombuffer(sig, "<u2"), path_coordinates(node, used)
+            for c in chosen:
+                for col, x in zip(out, (tree, child_key(node, c, int(values[c])), digest, sig, [*used, *chosen], rows), strict=True):
+                    col.append(x)
+        types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+
+def _parted(members: DataFrame, sigs: DataFrame) -> DataFrame:
+    """members(tree, node, digest, rows) with the nodes beyond NODE_ROWS branched, level by level.
+
+    A child with nearly all members of its node isn't branched on: what its members share no coordinate parts.
+    """
+    columns = ["tree", "node", "digest", "rows"]
+    done, large = members.where(F.col("rows") <= NODE_ROWS).select(*columns), members.where(F.col("rows") > NODE_ROWS)
+    if large.isEmpty():
+        return done
+    root = F.transform(F.array(F.lit(0), F.lit(1)), lambda x: F.col("tree") * 2 + x)
+    large = large.select(*columns, root.alias("used")).join(sigs, "digest")
+    for _ in range(DEPTH):
+        child = written(large.mapInArrow(_children, "tree int, node long, digest binary, sig binary, used array<int>, rows long"), "children")
+        size = child.groupBy("node").agg(F.count("*").alias("own"), F.max("rows").alias("parent")).where("own > 1")
+        child = child.drop("rows").join(size, "node").withColumnRenamed("own", "rows")
+        on = (F.col("rows") > NODE_ROWS) & (F.col("rows") < F.col("parent") * HARDLY)
+        done = done.unionByName(child.where(~on).select(*columns))
+        large = child.where(on).drop("parent")
+        if large.isEmpty():
+            return done
+    return done.unionByName(large.select(*columns))
+
+
 def _by_node(rows: DataFrame, solve, columns: tuple[str, ...], schema: pa.Schema, ddl: str) -> DataFrame:
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.select("node", *columns).repartition(partitions, "node").sortWithinPartitions("node").mapInArrow(_walk(columns, solve, schema), ddl)
@@ -279,8 +360,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     sigs = classes.select("digest", "sig")
     # first walk: signatures
     rooted = classes.select("digest", F.posexplode("roots").alias("tree", "node"))
-    shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1").withColumn("bytes", F.col("rows") * 2 * COORDS)
-    members = written(_bounded(rooted.join(shared, "node")), "members")
+    shared = rooted.groupBy("node").agg(F.count("*").alias("rows")).where("rows > 1")
+    shared = written(rooted.join(shared, "node"), "shared")
+    members = written(_bounded(_parted(shared, sigs).withColumn("bytes", F.col("rows") * 2 * COORDS)), "members")
+    drop(shared)
     near = _by_node(members.join(sigs, "digest"), partial(_similar, threshold=threshold), ("tree", "digest", "sig"), pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("digest", pa.binary())]), "tree int, node long, digest binary")
     near = written(near.groupBy("node", "digest").agg(F.min("tree").alias("tree")), "near")
     drop(members)

@@ -553,6 +553,57 @@ def test_near_star_in_a_task():
     assert sorted(d for _, _, d in near) == sorted(digests) and len({g for _, g, _ in near}) == 1
 
 
+def signatures(n, template, seed):
+    """Signatures in which each value is the template's with this probability, and random otherwise."""
+    draw = np.random.default_rng(seed)
+    own = draw.integers(0, 1 << 16, (n, near_dedup.COORDS), dtype=np.uint16)
+    return np.where(draw.random(own.shape) < template, draw.integers(0, 1 << 16, near_dedup.COORDS, dtype=np.uint16), own)
+
+
+def groups_of(sigs, threshold=85):
+    digests = [b"%09d" % i for i in range(len(sigs))]
+    found = near_dedup._similar(7, [0] * len(sigs), digests, [s.astype("<u2").tobytes() for s in sigs], threshold)
+    return {int(d): g for _, g, d in found}
+
+
+def test_near_paths_find_pairs_in_a_large_node():
+    """A chain, a star and pairs within a family of unrelated texts from one template, in one large node."""
+    family, draw = signatures(6000, 0.66, 1), np.random.default_rng(2)
+    for k in range(0, 600, 2):  # pairs with 58 of 64 values in common
+        family[k + 1] = family[k]
+        at = draw.choice(near_dedup.COORDS, 6, replace=False)
+        family[k + 1, at] = draw.integers(0, 1 << 16, 6)
+    for k in range(1000, 1200):  # a chain: 58 of 64 with the one before
+        family[k] = family[k - 1]
+        family[k, (np.arange(6) + 6 * k) % near_dedup.COORDS] = draw.integers(0, 1 << 16, 6)
+    for k in range(2001, 2400):  # a star around 2000
+        family[k] = family[2000]
+        family[k, draw.choice(near_dedup.COORDS, 6, replace=False)] = draw.integers(0, 1 << 16, 6)
+    got = groups_of(family)
+    assert sum(k in got and got[k] == got.get(k + 1) for k in range(0, 600, 2)) >= 0.85 * 300  # one tree of twelve
+    assert sum(k in got and got[k] == got.get(k - 1) for k in range(1000, 1200)) >= 0.85 * 200
+    assert sum(k in got and got[k] == got.get(2000) for k in range(2001, 2400)) >= 0.85 * 399
+
+
+def test_near_paths_cost_less_than_the_square(monkeypatch):
+    """Families of similarity 0.5 and growing size: pairs compared."""
+    compared = []
+    plain = near_dedup._Node._tiles
+
+    def counted(self, order, first):
+        compared.append(min(first, len(order)) * len(order))
+        plain(self, order, first)
+
+    monkeypatch.setattr(near_dedup._Node, "_tiles", counted)
+    monkeypatch.setattr(near_dedup, "LEAF", 128)
+    cost = []
+    for n in (2000, 8000):
+        compared.clear()
+        groups_of(signatures(n, 0.667, n))
+        cost.append(sum(compared))
+    assert cost[1] < 0.8 * 16 * cost[0] and cost[1] < 8000**2 / 2
+
+
 def test_components(spark):
     draw = random.Random(8)
     edges = [(draw.randrange(200), draw.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 1)]
