@@ -50,7 +50,7 @@ from .scratch import drop, written
 #: Percent. Two texts are near duplicates from THRESHOLD on; the contract of the op7 query says OP7_THRESHOLD.
 SHINGLE, THRESHOLD, OP7_THRESHOLD = 5, 80, 85
 COORDS, TREES, FIRST_TREES = 64, 12, 2
-LEAF, TILE, PATHS = 1024, 64, 2
+LEAF, TILE, CENTRE, PATHS = 1024, 64, 16, 2
 #: Levels that nodes beyond a task's bound branch in the cluster, at most.
 DEPTH = 12
 #: A child with this share of its node's members isn't parted further.
@@ -193,7 +193,7 @@ class _Node:
             if not next_:
                 self._tiles(own, len(own))
                 continue
-            self._tiles(self._central(own), TILE)
+            self._tiles(self._central(own), CENTRE)
             if (self.root[own] == self.root[own[0]]).all():
                 continue
             for c in next_:
@@ -213,7 +213,7 @@ class _Node:
         """Pairs by signatures of the first members with all later ones, TILE of them at a time."""
         least = self.least()
         for a in range(0, min(first, len(order)), TILE):
-            own, rest = order[a : a + TILE], order[a:]
+            own, rest = order[a : min(a + TILE, first)], order[a:]
             if (self.root[own] == self.root[own[0]]).all():
                 rest = rest[self.root[rest] != self.root[own[0]]]
             if not len(rest):
