@@ -242,6 +242,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     `keep` names the input columns that the result carries (all of them by default).
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in RESULT]
+    # within, input columns have names that no other column has
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    docs, text = docs.toDF(*names.values()), names[text]
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null")
     windows = written(items.mapInArrow(_windows, "item string, size int, hash long, what binary").distinct(), "windows")
     sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # 1 to WINDOW
@@ -253,7 +256,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
     hits = written(hits.groupBy("key").agg(F.collect_set(F.struct("at", "size")).alias("_windows"), F.collect_set("item").alias("_items")), "hits")
     for table in (windows, found):
         drop(table)
-    rows = docs.select(*dict.fromkeys([*keep, text]))
+    own = [names[c] for c in keep]
+    rows = docs.select(*dict.fromkeys([*own, text]))
     key, columns = F.unhex(F.md5(F.col(text).cast("string"))), [*rows.columns, "_windows", "_items"]
     rows = rows.withColumn("_key", key)
     hits = hits.withColumnRenamed("key", "_key")
@@ -263,8 +267,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, *,
         rows = rows.join(keys, "_key", "left_semi").join(hits, "_key").select(*columns).unionByName(clean.select(*columns))
     else:
         rows = rows.join(hits, "_key", "left").select(*columns)
-    schema = T.StructType([*(rows.schema[c] for c in keep), *(T.StructField(c, t) for c, t in RESULT.items())])
-    return rows.mapInArrow(_finish(text, keep), schema)
+    schema = T.StructType([*(rows.schema[c] for c in own), *(T.StructField(c, t) for c, t in RESULT.items())])
+    return rows.mapInArrow(_finish(text, own), schema).toDF(*keep, *RESULT)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
