@@ -9,8 +9,10 @@ any range). Slots are joined with blocks by (source, index).
 
 The draw decides what every shard holds. Over all shards a multinomial draw scatters around its
 mean, so it is settled: slots beyond a source's quota are given up, and sources below theirs get the
-missing ones, in shards drawn for them. With that the words taken from a source differ from its target
-by about one block, and no block is used more than three times. Another `seed` deals the blocks to
+missing ones, in shards drawn for them. A source's last slot takes only as many words of its block as the target
+has left, so a source whose target is a few words gives these. With that the words taken from a source differ from its
+target by less than a block (by what the source's own last block is short of one, where it is drawn), and no block is used more
+than three times. Another `seed` deals the blocks to
 other shards; targets and quotas stay.
 
 Targets. Sources in code point order, null last, weigh 5, 2, 1 and so on, and share the total size
@@ -68,7 +70,7 @@ def running(df: DataFrame, group: str, bucket: str, order: list[str], value: str
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """(source, src, source_size, target, n_blocks, full, part) for rows (source, size); src is the source's place, part the blocks beyond `full` whole passes."""
+    """(source, src, source_size, target, n_blocks, full, part, last, quota) for rows (source, size); src is the source's place, part the blocks beyond `full` whole passes, last the words that the last of all takes."""
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     per = per.withColumn("src", place.cast("long")).withColumn("weight", F.element_at(F.array(F.lit(1), F.lit(5), F.lit(2)), (F.col("src") % 3 + 1).cast("int")).cast("double"))
@@ -84,8 +86,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     size = F.col("source_size")
     full = F.when(size > 0, F.floor(F.col("target") / size)).otherwise(0).cast("long")
     blocks = F.ceil(size / F.lit(BLOCK)).cast("long")
-    part = F.when(full >= LIMIT, 0).otherwise(F.least(blocks, F.floor((F.col("target") - full * size) / F.lit(float(BLOCK)) + 0.5))).cast("long")
-    return per.select("source", "src", "source_size", "target", blocks.alias("n_blocks"), full.alias("full"), part.alias("part")).withColumn("quota", F.col("full") * F.col("n_blocks") + F.col("part"))
+    words = F.when(full >= LIMIT, 0).otherwise(F.floor(F.col("target") - full * size + 0.5)).cast("long")
+    part = F.least(blocks, F.ceil(words / F.lit(BLOCK))).cast("long")
+    last = F.when(part > 0, F.least(F.lit(BLOCK), words - (part - 1) * BLOCK)).otherwise(BLOCK).cast("long")
+    return per.select("source", "src", "source_size", "target", blocks.alias("n_blocks"), full.alias("full"), part.alias("part"), last.alias("last")).withColumn("quota", F.col("full") * F.col("n_blocks") + F.col("part"))
 
 
 def drawn(x: Column, seed: int) -> tuple[Column, Column]:
@@ -122,10 +126,11 @@ def draw_slots(sources: DataFrame, seed: int = 0) -> DataFrame:
 
 
 def mixed_blocks(sources: DataFrame, seed: int = 0) -> DataFrame:
-    """(shard, src, slot, pass, block): which block of which source every slot of the mix holds."""
-    slots = draw_slots(sources, seed).join(sources.select("src", "n_blocks"), "src")
+    """(shard, src, slot, pass, block, room): which block of which source every slot of the mix holds, and how many of its words."""
+    slots = draw_slots(sources, seed).join(sources.select("src", "n_blocks", "quota", "last"), "src")
+    room = F.when(F.col("slot") == F.col("quota") - 1, F.col("last")).otherwise(BLOCK)
     turn, at = F.floor(F.col("slot") / F.col("n_blocks")), F.col("slot") % F.col("n_blocks")
-    return slots.select("shard", "src", "slot", turn.alias("pass"), permuted(at, F.col("n_blocks"), F.col("src") * 4 + turn + 1).alias("block"))
+    return slots.select("shard", "src", "slot", turn.alias("pass"), permuted(at, F.col("n_blocks"), F.col("src") * 4 + turn + 1).alias("block"), room.cast("long").alias("room"))
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -151,8 +156,9 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     first, last = F.floor(F.col("start") / BLOCK), F.floor((F.col("start") + F.col("size") - 1) / BLOCK)
     parts = rows.where("size > 0").select("row", "src", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     a, b = F.greatest("start", F.col("block") * BLOCK), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    parts = parts.select("row", "src", "block", (a - F.col("start")).alias("from_word"), (b - a).alias("words"))
-    return rows, parts.join(taken, ["src", "block"]).select("shard", "slot", "pass", "row", "from_word", "words")
+    parts = parts.select("row", "src", "start", "block", (a - F.col("start")).alias("from_word"), (b - a).alias("words"))
+    words = F.least("words", F.col("block") * BLOCK + F.col("room") - F.col("start") - F.col("from_word"))
+    return rows, parts.join(taken, ["src", "block"]).select("shard", "slot", "pass", "row", "from_word", words.alias("words")).where("words > 0")
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
@@ -223,8 +229,10 @@ s3 AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0)) / (su
 lv AS (SELECT lev AS level FROM s3 WHERE lev <= lim / w ORDER BY lim / w, src LIMIT 1),
 s4 AS (SELECT source, src, source_size, round(least(CAST(lim AS DOUBLE), w * level), 6) AS target, CAST(ceil(source_size / {BLOCK}.0) AS BIGINT) AS n FROM s3, lv),
 s5 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS f FROM s4),
-s6 AS (SELECT *, f * n + CASE WHEN f >= {LIMIT} THEN 0 ELSE least(n, CAST(floor((target - f * source_size) / {BLOCK}.0 + 0.5) AS BIGINT)) END AS quota FROM s5),
-q AS (SELECT src, n, quota, CAST(sum(quota) OVER (ORDER BY src) AS BIGINT) AS hi, CAST(sum(quota) OVER () AS BIGINT) AS total FROM s6 WHERE quota > 0),
+s6a AS (SELECT *, CASE WHEN f >= {LIMIT} THEN 0 ELSE CAST(floor(target - f * source_size + 0.5) AS BIGINT) END AS words FROM s5),
+s6b AS (SELECT *, least(n, (words + {BLOCK - 1}) // {BLOCK}) AS part FROM s6a),
+s6 AS (SELECT *, f * n + part AS quota, CASE WHEN part > 0 THEN least({BLOCK}, words - (part - 1) * {BLOCK}) ELSE {BLOCK} END AS last FROM s6b),
+q AS (SELECT src, n, quota, last, CAST(sum(quota) OVER (ORDER BY src) AS BIGINT) AS hi, CAST(sum(quota) OVER () AS BIGINT) AS total FROM s6 WHERE quota > 0),
 v AS (SELECT id // {SLOTS} AS shard, ({_sql_drawn("id")[0]} * 2147483648 + {_sql_drawn("id")[1]}) % total AS v FROM (SELECT max(total) AS total, unnest(range(0, max(total))) AS id FROM q)),
 c1 AS (SELECT shard, src, quota, count(*) AS n FROM v JOIN q ON v >= hi - quota AND v < hi GROUP BY shard, src, quota),
 c2 AS (SELECT *, CAST(sum(n) OVER (PARTITION BY src ORDER BY shard) - n AS BIGINT) AS first FROM c1),
@@ -232,11 +240,11 @@ c3 AS (SELECT shard, src, unnest(range(first, least(first + n, quota))) AS slot
 m1 AS (SELECT q.src, q.quota, total, coalesce(got, 0) AS got FROM q LEFT JOIN (SELECT src, CAST(sum(n) AS BIGINT) AS got FROM c1 GROUP BY src) g ON q.src = g.src),
 m2 AS (SELECT src, total, unnest(range(got, quota)) AS slot FROM m1 WHERE got < quota),
 m3 AS (SELECT {_sql_drawn("(slot * 1009 + src)")[1]} % ((total + {SLOTS} - 1) // {SLOTS}) AS shard, src, slot FROM m2),
-slots AS (SELECT shard, u.src, n, slot % n AS pos, u.src * 4 + slot // n + 1 AS key FROM (SELECT * FROM c3 UNION ALL SELECT shard, src, slot FROM m3) u JOIN q ON u.src = q.src),
-chosen AS (SELECT shard, src, pos AS block FROM {_sql_permuted("n", "key")}),
+slots AS (SELECT shard, u.src, n, slot % n AS pos, u.src * 4 + slot // n + 1 AS key, CASE WHEN slot = quota - 1 THEN last ELSE {BLOCK} END AS room FROM (SELECT * FROM c3 UNION ALL SELECT shard, src, slot FROM m3) u JOIN q ON u.src = q.src),
+chosen AS (SELECT shard, src, pos AS block, room FROM {_sql_permuted("n", "key")}),
 p AS (SELECT e.doc_id, e.size, e.mark, e.nth, s6.src, source_size, target, CAST('0x' || substr(md5(concat_ws('|', CAST(e.doc_id AS VARCHAR), e.mark, CAST(nth AS VARCHAR))), 1, 8) AS BIGINT) % buckets AS bucket FROM e JOIN s6 ON e.source IS NOT DISTINCT FROM s6.source, b),
 r AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY src ORDER BY bucket, doc_id NULLS FIRST, mark NULLS FIRST, nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, row_number() OVER () AS row FROM p),
 x AS (SELECT row, src, start, size, unnest(range(start // {BLOCK}, (start + size - 1) // {BLOCK} + 1)) AS block FROM r WHERE size > 0),
-t AS (SELECT row, sum(least(start + size, (x.block + 1) * {BLOCK}) - greatest(start, x.block * {BLOCK})) AS taken, count(DISTINCT shard) AS n_shards, min(shard) AS first_shard FROM x JOIN chosen c ON x.src = c.src AND x.block = c.block GROUP BY row)
+t AS (SELECT row, sum(least(start + size, x.block * {BLOCK} + room) - greatest(start, x.block * {BLOCK})) AS taken, count(DISTINCT shard) AS n_shards, min(shard) AS first_shard FROM x JOIN chosen c ON x.src = c.src AND x.block = c.block WHERE least(start + size, x.block * {BLOCK} + room) > greatest(start, x.block * {BLOCK}) GROUP BY row)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken, CAST(coalesce(n_shards, 0) AS BIGINT) AS n_shards, first_shard FROM r LEFT JOIN t USING (row)
 """
