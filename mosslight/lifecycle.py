@@ -14,7 +14,7 @@ from .operators import retrieve as R
 from .operators.embed import HashingEmbedder
 from .plans import agent as A
 from .plans import planner as P
-from .plans.ingest import ingest
+from .plans.ingest import ingest, ingest_documents
 from .queries import _FIXED, CH, KEYWORDS, ORACLES, TEXT, _scratch, _stored, _windows, chunks, hybrid_sql, query, rnd, table, vector
 from .sources import catalog as T
 from .sources import readers as L
@@ -31,14 +31,20 @@ def _refused(f, *args, error=T.TopicError, **named) -> bool:
     return False
 
 
+def _documents(spark: SparkSession, sf: str, topics: list[dict]) -> DataFrame:
+    """Every document under the topic of its source."""
+    names = spark.createDataFrame([(t["id"], t["name"]) for t in topics], "topic_id string, topic string")
+    docs = table(spark, sf, "documents").join(names, F.col("source") == F.col("topic"))
+    path = F.concat(F.lit("/docs/"), "doc_id", F.lit(".md"))
+    return docs.select("topic_id", "doc_id", F.concat(F.lit("d"), "doc_id").alias("name"), path.alias("file_path"), F.lit("markdown").alias("file_type"), F.lit(2).alias("chunk_count"))
+
+
 def _catalog(spark: SparkSession, sf: str) -> tuple[T.Catalog, list[dict]]:
-    """A topic for each source, with its documents."""
-    catalog, topics = T.Catalog(spark, _scratch(spark), "precomputed"), []
-    sources = table(spark, sf, "documents").where("source is not null").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).orderBy("source").collect()
-    for r in sources:
-        t = catalog.create(r.source, f"about {r.source}")
-        catalog.record_documents(t["id"], [{"name": f"d{i}", "file_path": f"/docs/{i}.md", "file_type": "markdown", "chunk_count": 2} for i in r.ids])
-        topics.append(t)
+    """A topic for each source, with its documents, written in one go."""
+    catalog = T.Catalog(spark, _scratch(spark), "precomputed")
+    names = [r.source for r in table(spark, sf, "documents").where("source is not null").select("source").distinct().orderBy("source").collect()]
+    topics = [catalog.create(n, f"about {n}") for n in names]
+    catalog.record(_documents(spark, sf, topics))
     return catalog, topics
 
 
@@ -56,9 +62,12 @@ def topic_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT source AS topic, 'd' || doc_id AS name, '/docs/' || doc_id || '.md' AS file_path, 'markdown' AS file_type, CAST(2 AS BIGINT) AS chunk_count FROM documents WHERE source IS NOT NULL")
 def topic_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """The documents of all topics; a path that is recorded again is replaced."""
+    """The documents of all topics; a path that is recorded again is replaced, one that goes and comes back is there once."""
     catalog, topics = _catalog(spark, sf)
-    catalog.record_documents(topics[0]["id"], [{k: d[k] for k in ("name", "file_path", "file_type", "chunk_count")} for d in catalog.documents(topics[0]["id"])])
+    first = catalog.documents(topics[0]["id"])
+    catalog.record_documents(topics[0]["id"], first.withColumn("chunk_count", F.lit(7)))
+    catalog.record_documents(topics[0]["id"], first.where("false"), gone=first.where("doc_id % 2 = 0"))
+    catalog.record_documents(topics[0]["id"], _documents(spark, sf, topics[:1]).drop("topic_id"))
     t, d = catalog.tables()
     return d.join(t.select(F.col("id").alias("topic_id"), F.col("name").alias("topic")), "topic_id").select("topic", "name", "file_path", "file_type", "chunk_count")
 
@@ -79,7 +88,8 @@ def shared_topics(spark: SparkSession, sf: str) -> DataFrame:
     other = T.Catalog(spark, _scratch(spark), "precomputed")
     other.create(topics[0]["name"].upper())
     clash = _refused(other.load_common, common.root)
-    rows = [(t["name"], t["source"], len(local.documents(t["id"])), _refused(local.update, t["id"], description="x") and local.is_common(t["id"]), clash) for t in local.all()]
+    count = {r.topic_id: r["count"] for r in local.tables()[1].groupBy("topic_id").count().collect()}
+    rows = [(t["name"], t["source"], count.get(t["id"], 0), _refused(local.update, t["id"], description="x") and local.is_common(t["id"]), clash) for t in local.all()]
     return spark.createDataFrame(rows, "name string, source string, documents long, read_only boolean, clash_refused boolean")
 
 
@@ -170,6 +180,28 @@ def ingest_folder(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r.documents, catalog.stats(topic["id"])["document_count"], rows.select("doc_id").distinct().count() if same else -1, r.success, len(seen) + 1, len(r.failures))], "documents long, topic_documents long, again long, success boolean, reports int, failures int")
 
 
+_BODY = r"md5(regexp_replace({}, '\s', '', 'g'))"
+
+
+@query("WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 5 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || ' changed' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 1) " + f"SELECT doc_id, {_BODY.format('text')} AS body, 'after' AS seen, 1 AS documents FROM b WHERE regexp_matches(text, '\\S') UNION ALL SELECT doc_id, {_BODY.format('text')}, 'before', 1 FROM a WHERE regexp_matches(text, '\\S')")
+def ingest_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """A second load with new, changed, unchanged and missing documents: the topic is what was loaded last, and a reader from before still sees what was."""
+    catalog, e = T.Catalog(spark, _scratch(spark), "hash"), HashingEmbedder(4)
+    topic, docs = catalog.create("Changes"), table(spark, sf, "documents").where("text is not null")
+    docs = docs.select("doc_id", F.concat(F.lit("/docs/"), "doc_id").alias("file_path"), F.concat(F.lit("d"), "doc_id").alias("file_name"), F.col("text").alias("content"))
+    options = ChunkOptions(strategy="recursive", chunk_size=10_000_000)
+    ingest_documents(spark, catalog, topic["id"], docs.where("doc_id % 5 <> 0"), e, options=options)
+    before = catalog.store.open(topic["id"])
+    later = docs.where("doc_id % 5 <> 1").withColumn("content", F.when(F.col("doc_id") % 7 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    ingest_documents(spark, catalog, topic["id"], later, e, options=options, folders=["/docs"])
+    after = catalog.store.open(topic["id"])
+    # the log names each document once
+    listed = catalog.documents(topic["id"]).groupBy("doc_id").agg(F.count("*").cast("int").alias("documents"))
+    body = F.md5(F.regexp_replace("content", r"\s", "")).alias("body")
+    now = after.select("doc_id", body, F.lit("after").alias("seen")).join(listed, "doc_id", "left")
+    return now.unionByName(before.select("doc_id", body, F.lit("before").alias("seen"), F.lit(1).alias("documents")))
+
+
 @query("SELECT doc_id FROM documents WHERE regexp_matches(text, '\\S')")
 def stream_folder(spark: SparkSession, sf: str) -> DataFrame:
     """A folder followed by a stream; what it stored names every document once."""

@@ -17,7 +17,7 @@ RECURSIVE = ["\n\n", "\n", ". ", "! ", "? ", "; ", ", ", " ", ""]
 CODE = ["\n\n", "\nclass ", "\nfunction ", "\ndef ", "\n\n", "\n", ". ", " ", ""]
 MARKDOWN = ["\n# ", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", "\n\n", "\n", " ", ""]
 SAMPLE = 20
-RANGE = 4096
+RANGES = 256
 
 
 def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[tuple[int, int]]:
@@ -134,20 +134,21 @@ def fixed_windows(docs: DataFrame, size: int = 512, overlap: int = 50, *, doc_id
 def global_index(chunks: DataFrame, *, doc_id: str = "doc_id", index: str = "chunk_index") -> DataFrame:
     """global_index over all documents in order of (doc_id, index), without sorting chunks in one task.
 
-    Documents are counted, their offsets summed within ranges of documents and then over ranges.
-    Ranges are as wide as it takes for about `RANGE` documents each, whatever the ids are (counted
-    from 0, or hashes).
+    Documents are counted, their offsets summed within ranges of documents and then over ranges. The
+    ranges end at some of the ids themselves, RANGES of them at most, those with the least hashes: they are as even for
+    ids of any type as a sample of that size is.
     """
     per = chunks.groupBy(doc_id).agg(F.count("*").alias("_n"))
-    ends = per.agg(F.count("*").alias("n"), F.min(doc_id).cast("double").alias("a"), F.max(doc_id).cast("double").alias("b")).first()
-    width = max(1.0, ((ends.b or 0.0) - (ends.a or 0.0)) * RANGE / max(1, ends.n))
-    per = per.withColumn("_range", F.floor((F.col(doc_id).cast("double") - F.lit(ends.a or 0.0)) / F.lit(width)))
+    ends = sorted(r[0] for r in per.where(F.col(doc_id).isNotNull()).orderBy(F.xxhash64(doc_id), doc_id).limit(RANGES).select(doc_id).collect())
+    below = F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col(doc_id)) if ends else F.array()
+    per = per.withColumn("_range", F.when(F.col(doc_id).isNull(), F.lit(-1)).otherwise(F.size(below)))
     sums = per.groupBy("_range").agg(F.sum("_n").alias("_sum"))
     base = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_range").orderBy(doc_id).rowsBetween(Window.unboundedPreceding, -1)
-    starts = per.withColumn("_start", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(base, "_range").select(doc_id, (F.col("_start") + F.col("_base")).alias("_start"))
+    starts = per.withColumn("_start", F.coalesce(F.sum("_n").over(within), F.lit(0))).join(base, "_range").select(F.col(doc_id).alias("_doc"), (F.col("_start") + F.col("_base")).alias("_start"))
     place = F.row_number().over(Window.partitionBy(doc_id).orderBy(index)) - 1
-    return chunks.withColumn("_place", place).join(starts, doc_id).withColumn("global_index", F.col("_start") + F.col("_place")).drop("_place", "_start")
+    out = chunks.withColumn("_place", place)
+    return out.join(starts, out[doc_id].eqNullSafe(starts["_doc"])).withColumn("global_index", F.col("_start") + F.col("_place")).drop("_place", "_start", "_doc")
 
 
 def chunk_stats(chunks: DataFrame, content: str = "content") -> DataFrame:

@@ -63,14 +63,21 @@ def terms(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
 
 
+def bm25_weight(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
+    """What one term adds to a chunk's score."""
+    tf, dl, df, n = (c.cast("double") for c in (tf, dl, df, n))
+    idf = F.log(F.lit(1.0) + (n - df + 0.5) / (df + 0.5))
+    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.try_divide(dl, avgdl)))
+
+
 class BM25:
-    """Okapi BM25 over a chunk table. Statistics are plain aggregates; nothing is gathered."""
+    """Okapi BM25 over a chunk table that has no index. Statistics are plain aggregates; nothing is gathered."""
 
     def __init__(self, chunks: DataFrame, *, key: str = "chunk_id", content: str = "content"):
         self.key = key
         self.docs = chunks.select(key, terms(F.col(content)).alias("terms"))
         # lengths need a count of the terms only
-        self.sizes = chunks.select(key, F.regexp_count(F.lower(F.col(content)), F.lit(TERM)).alias("dl"))
+        self.sizes = chunks.select(key, F.coalesce(F.regexp_count(F.lower(F.col(content)), F.lit(TERM)), F.lit(0)).alias("dl"))
         self.postings = self.docs.select(key, F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
     def statistics(self) -> DataFrame:
@@ -94,9 +101,7 @@ class BM25:
         df = own.groupBy("term").agg(F.sum(F.least("tf", F.lit(1).cast("long"))).alias("df"))
         # one row of totals; the join is on a constant key
         totals = self.statistics().withColumn("one", F.lit(1))
-        tf, dl, n, d = F.col("tf").cast("double"), F.col("dl").cast("double"), F.col("n_docs").cast("double"), F.col("df").cast("double")
-        idf = F.log(F.lit(1.0) + (n - d + 0.5) / (d + 0.5))
-        weight = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.try_divide(dl, F.col("avgdl"))))
+        weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.col("n_docs"), F.col("avgdl"))
         scored = own.join(df, "term").withColumn("one", F.lit(1)).join(F.broadcast(totals), "one").select(self.key, "term", weight.alias("w"))
         return wanted.join(scored, "term").groupBy("query_id", self.key).agg(F.sum("w").alias("score"))
 
@@ -120,10 +125,10 @@ def reciprocal_rank_fusion(vector: DataFrame, keyword: DataFrame, k: int = 5, *,
     return fused.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def ranked(hits: DataFrame, order: list[Column], query_id: Column | None = None) -> DataFrame:
+def ranked(hits: DataFrame, order: list[Column], query_id: Column | None = None, group: str = "query_id") -> DataFrame:
     """Add rank (from 1) within each query."""
-    hits = hits if query_id is None else hits.withColumn("query_id", query_id)
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    hits = hits if query_id is None else hits.withColumn(group, query_id)
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
 # --- results ------------------------------------------------------------------------------------

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..config import AgentOptions, SearchOptions, check_strategy, check_top_k
 from ..functions import text as X
+from ..functions import vector as V
 from ..operators import retrieve as R
+from ..operators.knn import knn_many
 from .planner import create_plan, simple_plan
 
 
@@ -31,48 +33,65 @@ class AgentResult:
 class Agent:
     """Searches over one topic's chunks(chunk_id, content, embedding, ...)."""
 
-    def __init__(self, spark: SparkSession, chunks: DataFrame, embed_query, *, key: str = "chunk_id", content: str = "content"):
-        self.spark, self.key, self.content, self.embed_query = spark, key, content, embed_query
+    def __init__(self, spark: SparkSession, chunks: DataFrame, embed_query, *, key: str = "chunk_id", content: str = "content", index=None):
+        """`index` gives the chunks' keyword index, or None; without it statistics are computed from the chunks."""
+        self.spark, self.key, self.content, self.embed_query, self._index = spark, key, content, embed_query, index
         self.use_chunks(chunks)
 
     def use_chunks(self, chunks: DataFrame) -> None:
-        """Go on with other chunks; keyword statistics are built again when they are needed."""
+        """Go on with other chunks; keyword statistics are looked up again when they are needed."""
         self.chunks = chunks
         self.__dict__.pop("bm25", None)
 
     @functools.cached_property
-    def bm25(self) -> R.BM25:
-        return R.BM25(self.chunks, key=self.key, content=self.content)
+    def bm25(self):
+        return (self._index and self._index()) or R.BM25(self.chunks, key=self.key, content=self.content)
 
-    def _search(self, text: str, k: int, strategy: str) -> DataFrame:
-        """(chunk_id, score, vector_score, keyword_score, explanation, rank) of one search."""
+    def _search(self, texts: list[str], ks: list[int], strategy: str) -> DataFrame:
+        """(sub_idx, chunk_id, content, score, vector_score, keyword_score, explanation, rank, strategy) of some searches, in one scan of the chunks."""
         none = F.lit(None)
+        each = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("sub_idx") + 1)
+        key, content = self.key, self.content
+        if strategy in ("vector", "hybrid", "ensemble"):
+            wide = {"vector": 1, "hybrid": 3, "ensemble": 3}[strategy]
+            pool = max(max(k * wide, 20 if strategy == "hybrid" else 0) for k in ks)
+            near = knn_many(self.chunks, [self.embed_query(t) for t in texts], pool, key=key, keep=(content,))
+            near = near.where(F.col("rank") <= each([max(k * wide, 20 if strategy == "hybrid" else 0) for k in ks]))
         if strategy in ("bm25", "ensemble"):
-            query = self.spark.createDataFrame([(0, text)], "query_id long, text string")
+            queries = self.spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "query_id int, text string")
+            words = self.bm25.search(queries, max(ks) * (3 if strategy == "ensemble" else 1))
+            words = words.withColumnRenamed("query_id", "sub_idx").where(F.col("rank") <= each([k * (3 if strategy == "ensemble" else 1) for k in ks]))
         if strategy == "hybrid":
-            hits = R.hybrid_search(self.chunks, text, self.embed_query(text), SearchOptions(k=k), key=self.key, content=self.content)
-            hits = hits.select(self.key, "score", "vector_score", "keyword_score", "explanation", "distance")
-            order = [F.col("score").desc(), F.col("distance"), F.col(self.key)]
+            hits = near.withColumn("vector_score", V.similarity(F.col("distance"))).withColumn("keyword_score", F.lit(None).cast("double")).withColumn("explanation", F.lit(None).cast("string"))
+            lists = [X.keyword_list(t, SearchOptions().custom_stop_words) for t in texts]
+            pick = lambda f: functools.reduce(lambda c, i: c.when(F.col("sub_idx") == i, f(lists[i])), range(1, len(lists)), F.when(F.col("sub_idx") == 0, f(lists[0])))
+            o = SearchOptions()
+            hits = hits.withColumn("keyword_score", pick(lambda w: X.keyword_score(F.col(content), w, o.keyword_boosting)))
+            hits = hits.withColumn("score", F.col("vector_score") * o.vector_weight + F.col("keyword_score") * o.keyword_weight).where(F.col("score") >= o.min_similarity)
+            order = [F.col("score").desc(), F.col("distance"), F.col(key)]
+            hits = R.ranked(hits.drop("rank"), order, group="sub_idx").where(F.col("rank") <= each(ks))
+            hits = hits.withColumn("explanation", pick(lambda w: R.explanation(w, F.col(content))))
         elif strategy == "vector":
-            hits = R.vector_search(self.chunks, self.embed_query(text), k, key=self.key).select(self.key, "score", F.col("score").alias("vector_score"), none.cast("double").alias("keyword_score"), none.cast("string").alias("explanation"), "distance")
-            order = [F.col("distance"), F.col(self.key)]
-        elif strategy == "bm25":
-            hits = self.bm25.search(query, k).select(self.key, "score", none.cast("double").alias("vector_score"), F.col("score").alias("keyword_score"), none.cast("string").alias("explanation"))
-            order = [F.col("score").desc(), F.col(self.key)]
+            hits = near.withColumn("score", V.similarity(F.col("distance"))).withColumns({"vector_score": F.col("score"), "keyword_score": none.cast("double"), "explanation": none.cast("string")})
         else:
-            v = R.ranked(R.vector_search(self.chunks, self.embed_query(text), 3 * k, key=self.key), [F.col("distance"), F.col(self.key)], F.lit(0).cast("long"))
-            hits = R.reciprocal_rank_fusion(v, self.bm25.search(query, 3 * k), k, key=self.key).select(self.key, "score", none.cast("double").alias("vector_score"), none.cast("double").alias("keyword_score"), none.cast("string").alias("explanation"), F.col("rank").alias("distance"))
-            order = [F.col("distance")]
-        return R.ranked(hits, order, F.lit(0)).select(self.key, "score", "vector_score", "keyword_score", "explanation", "rank").withColumn("strategy", F.lit(strategy))
+            if strategy == "bm25":
+                hits = words.withColumns({"vector_score": none.cast("double"), "keyword_score": F.col("score"), "explanation": none.cast("string")})
+            else:
+                fused = R.reciprocal_rank_fusion(near.withColumnRenamed("sub_idx", "query_id"), words.withColumnRenamed("sub_idx", "query_id"), max(ks), key=key)
+                hits = fused.withColumnRenamed("query_id", "sub_idx").where(F.col("rank") <= each(ks)).withColumns({"vector_score": none.cast("double"), "keyword_score": none.cast("double"), "explanation": none.cast("string")})
+            # keyword hits come from the index; their texts are looked up for the rows that are shown
+            hits = hits.join(self.chunks.select(key, content), key)
+        return hits.select("sub_idx", key, content, "score", "vector_score", "keyword_score", "explanation", "rank", F.lit(strategy).alias("strategy"))
 
     def simple_query(self, query: str, top_k: int = 5, strategy: str = "hybrid") -> DataFrame:
         """One search, without planning or removal of repeats."""
-        return self._search(query, top_k, check_strategy(strategy)).withColumn("sub_idx", F.lit(0)).orderBy("rank")
+        return self._search([query], [top_k], check_strategy(strategy)).orderBy("rank")
 
     def retrieve(self, plan: dict, strategy: str, top_k: int) -> DataFrame:
-        """Results of all sub-queries in one job, in order of arrival (sub_idx, rank)."""
-        parts = [self._search(s["query"], s.get("top_k") or top_k, strategy).withColumn("sub_idx", F.lit(i)).withColumn("sub_query", F.lit(s["query"])) for i, s in enumerate(plan["sub_queries"])]
-        return functools.reduce(lambda a, b: a.unionByName(b), parts)
+        """Results of all sub-queries from one scan, in order of arrival (sub_idx, rank)."""
+        subs = plan["sub_queries"]
+        hits = self._search([s["query"] for s in subs], [s.get("top_k") or top_k for s in subs], strategy)
+        return hits.withColumn("sub_query", F.element_at(F.array(*[F.lit(s["query"]) for s in subs]), F.col("sub_idx") + 1))
 
     def query(self, query: str, o: AgentOptions | None = None) -> AgentResult:
         """Plan and search. One pass: refinement needs a planner that asks for more, and stops after it."""
@@ -80,7 +99,7 @@ class Agent:
         strategy = check_strategy(o.retrieval_strategy)
         plan = create_plan(query, use_llm=o.use_llm, planner=o.planner, max_sub_queries=o.max_iterations, top_k=o.top_k, context=o.workspace_context)
         # top_k rows per sub-query at most: they come to the driver once, and summary, counts and ranking read them from there
-        found = self.retrieve(plan, strategy, o.top_k).join(self.chunks.select(self.key, self.content), self.key)
+        found = self.retrieve(plan, strategy, o.top_k)
         found = self.spark.createDataFrame(found.collect(), found.schema)
         summary = R.confidence(found, o.confidence_threshold)
         unique = R.deduplicate(found.withColumn("query_id", F.lit(0)), F.coalesce(F.col(self.key).cast("string"), F.left(self.content, F.lit(100))), ["sub_idx", "rank"])
@@ -143,7 +162,9 @@ class Agents:
             return None
         agent = self.kept.get(topic_id)
         if agent is None:
-            agent = self.kept[topic_id] = Agent(self.spark, chunks, self.embed_query)
+            # a shared topic is read-only: its index is used if it has one
+            index = functools.partial(self.catalog.keyword_index, topic_id)
+            agent = self.kept[topic_id] = Agent(self.spark, chunks, self.embed_query, index=index)
         elif agent.chunks is not chunks:
             # the store gives another table after each write
             agent.use_chunks(chunks)
@@ -171,7 +192,7 @@ def rag_query(spark: SparkSession, catalog, embed_query, *, topic: str, query: s
         steps = [{"stepNumber": i + 1, "query": q["query"], "reasoning": q["reasoning"], "resultsCount": counts.get(i, 0)} for i, q in enumerate(r.plan["sub_queries"])]
         out["agenticMetadata"] = {"mode": "agentic", "queryComplexity": r.plan["complexity"], "steps": steps, "totalIterations": r.iterations, "confidence": s.avg_confidence, "confidenceMet": s.confidence_met}
     else:
-        rows = agent.simple_query(query, top_k, retrieval_strategy).join(chunks.select("chunk_id", "content"), "chunk_id").orderBy("rank")
+        rows = agent.simple_query(query, top_k, retrieval_strategy)
         s = R.confidence(rows).first()
         out["agenticMetadata"] = {"mode": "simple", "queryComplexity": simple_plan(query)["complexity"], "confidence": s.avg_confidence}
     extra = [c for c in ("file_name", "chunk_index", "heading_path") if c in chunks.columns]

@@ -9,15 +9,22 @@ import posixpath
 import re
 import uuid
 import zipfile
+import zlib
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-
-from .store import ChunkStore, Files
+from .files import Files
+from .snapshots import BucketTable, bucket_of
+from .store import ChunkStore
 
 VERSION = "1.0"
+#: Columns of a topic's document. The log has `seq`, the number of the write, and `dropped` besides.
+DOCUMENT = "id string, topic_id string, name string, file_path string, file_type string, added_at string, chunk_count long, doc_id long, content_hash string, characters long"
+#: Folders of a bucket of the log beyond which it is written again.
+FOLDERS = 16
 
 
 def _now() -> str:
@@ -29,7 +36,11 @@ class TopicError(ValueError):
 
 
 class Catalog:
-    """A topics index, the documents of each topic and their chunk store."""
+    """A topics index, the log of the topics' documents, and their chunk store.
+
+    The index is one small file. Documents are a table: each change is a row of a log that only grows, the last
+    write to a path counts, and the log is compacted when it has many pieces. No document passes the driver.
+    """
 
     def __init__(self, spark: SparkSession, root: str, model: str, common_root: str | None = None):
         self.spark, self.root, self.model = spark, root.rstrip("/"), model
@@ -37,7 +48,8 @@ class Catalog:
         self.files.make(self.root)
         self.store = ChunkStore(spark, f"{self.root}/store")
         self.cleanup: list = []
-        self.common_root, self.common, self.common_documents = common_root, {}, {}
+        self.log = self._log(self.root)
+        self.common_root, self.common = common_root, {}
         self.refresh()
         if common_root:
             self.load_common(common_root)
@@ -56,8 +68,8 @@ class Catalog:
         self.index["last_updated"] = _now()
         self.files.write(f"{self.root}/topics.json", json.dumps(self.index))
 
-    def _documents_path(self, topic_id: str) -> str:
-        return f"{self.root}/documents-{topic_id}.json"
+    def _log(self, root: str) -> BucketTable:
+        return BucketTable(self.spark, f"{root.rstrip('/')}/documents", bucket_of("topic_id", 16), ("topic_id", "file_path"))
 
     def _check_name(self, name: str, own: str | None = None) -> None:
         if not name.strip():
@@ -70,7 +82,6 @@ class Catalog:
         topic = {"id": f"topic-{uuid.uuid4().hex}", "name": name, "description": description, "created_at": _now(), "updated_at": _now(), "document_count": 0, "source": "local"}
         self.index["topics"][topic["id"]] = topic
         self._save()
-        self.files.write(self._documents_path(topic["id"]), "[]")
         return topic
 
     def update(self, topic_id: str, name: str | None = None, description: str | None = None) -> dict:
@@ -87,7 +98,7 @@ class Catalog:
     def delete(self, topic_id: str) -> None:
         self._local(topic_id)
         self.store.delete(topic_id)
-        self.files.remove(self._documents_path(topic_id))
+        # ids are never used again: rows of a topic that is gone are no one's, and compaction drops them
         del self.index["topics"][topic_id]
         self._save()
         for f in self.cleanup:
@@ -109,35 +120,74 @@ class Catalog:
     def is_common(self, topic_id: str) -> bool:
         return topic_id in self.common
 
-    def documents(self, topic_id: str) -> list[dict]:
-        own = self.files.read(self._documents_path(topic_id))
-        return json.loads(own) if own is not None else self.common_documents.get(topic_id, [])
+    def _current(self, log: BucketTable, topics: list[str], snapshot: dict | None = None) -> DataFrame:
+        """The last write to each path of some topics."""
+        empty = self.spark.createDataFrame([], DOCUMENT)
+        snapshot = snapshot or log.snapshot()
+        if not topics or not snapshot["version"]:
+            return empty
+        buckets = {zlib.crc32(t.encode()) % 16 for t in topics}
+        last = Window.partitionBy("topic_id", "file_path").orderBy(F.col("seq").desc(), "id")
+        rows = log.read(list(buckets), snapshot).where(F.col("topic_id").isin(topics)).withColumn("_nth", F.row_number().over(last))
+        return rows.where("_nth = 1 and not dropped").select(*empty.columns)
+
+    def documents(self, topic_id: str) -> DataFrame:
+        """A topic's documents."""
+        if self.is_common(topic_id):
+            return self._current(self._log(self.common_root), [topic_id])
+        return self._current(self.log, [topic_id] if topic_id in self.index["topics"] else [])
 
     def tables(self) -> tuple[DataFrame, DataFrame]:
         """Topics and their documents as DataFrames."""
         fields = ("id", "name", "description", "created_at", "updated_at", "document_count", "source")
         topics = self.spark.createDataFrame([tuple(t.get(f) for f in fields) for t in self.all()], "id string, name string, description string, created_at string, updated_at string, document_count long, source string")
-        own = ("id", "topic_id", "name", "file_path", "file_type", "added_at", "chunk_count")
-        rows = [tuple(d.get(f) for f in own) for t in self.all() for d in self.documents(t["id"])]
-        return topics, self.spark.createDataFrame(rows, "id string, topic_id string, name string, file_path string, file_type string, added_at string, chunk_count long")
-
-    def record_documents(self, topic_id: str, documents: list[dict]) -> None:
-        """Add rows (name, file_path, file_type, chunk_count) to a topic; a path that is there is replaced."""
-        topic = self._local(topic_id)
-        known = {d["file_path"]: d for d in self.documents(topic_id)}
-        for d in documents:
-            known[d["file_path"]] = {"id": f"doc-{uuid.uuid4().hex}", "topic_id": topic_id, "added_at": _now(), **d}
-        self.files.write(self._documents_path(topic_id), json.dumps(list(known.values())))
-        topic["document_count"], topic["updated_at"] = len(known), _now()
+        documents = self._current(self.log, list(self.index["topics"]))
+        if self.common:
+            documents = documents.unionByName(self._current(self._log(self.common_root), list(self.common)))
+        return topics, documents
+
+    def record(self, rows: DataFrame, gone: DataFrame | None = None) -> None:
+        """Write documents (topic_id, name, file_path, file_type, chunk_count; doc_id, content_hash if known) to the log, and drop gone(topic_id, file_path).
+
+        A path that is there is replaced. Of the counts that follow, one row per topic reaches the driver.
+        """
+        seq, now = self.log.version() + 1, _now()
+        columns = [f.split(" ") for f in DOCUMENT.split(", ")]
+        name = F.concat(F.lit("doc-"), F.md5(F.concat_ws("|", "topic_id", "file_path", F.lit(f"{seq}"))))
+
+        def event(own: DataFrame, dropped: bool) -> DataFrame:
+            given = {"id": name, "added_at": F.lit(now)}
+            out = own.select(*(given.get(c, F.col(c) if c in own.columns else F.lit(None)).cast(t).alias(c) for c, t in columns))
+            return out.withColumn("seq", F.lit(seq).cast("long")).withColumn("dropped", F.lit(dropped))
+
+        events = event(rows, False) if gone is None else event(rows, False).unionByName(event(gone, True))
+        snapshot = self.log.write(events)
+        if max(map(len, snapshot["folders"].values()), default=0) > FOLDERS:
+            live = self._current(self.log, list(self.index["topics"]), snapshot)
+            snapshot = self.log.write(live.withColumn("seq", F.lit(seq).cast("long")).withColumn("dropped", F.lit(False)), fresh=True)
+        touched = [r[0] for r in events.select("topic_id").distinct().collect()]
+        counts = {r.topic_id: r for r in self._current(self.log, touched, snapshot).groupBy("topic_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks")).collect()}
+        for t in touched:
+            topic, own = self._local(t), counts.get(t)
+            topic["document_count"], topic["updated_at"] = (own.n if own else 0), now
+            self.store.save_metadata(t, document_count=topic["document_count"], chunk_count=own.chunks if own else 0)
         self._save()
-        self.store.save_metadata(topic_id, document_count=len(known), chunk_count=sum(d.get("chunk_count") or 0 for d in known.values()))
+
+    def record_documents(self, topic_id: str, documents: DataFrame | list[dict], gone: DataFrame | None = None) -> None:
+        """record() for one topic; a short list of rows will do as well."""
+        self._local(topic_id)
+        if isinstance(documents, list):
+            fields = ("name", "file_path", "file_type", "chunk_count", "doc_id", "content_hash", "characters")
+            documents = self.spark.createDataFrame([tuple(d.get(f) for f in fields) for d in documents], "name string, file_path string, file_type string, chunk_count long, doc_id long, content_hash string, characters long")
+        own = lambda rows: None if rows is None else rows.withColumn("topic_id", F.lit(topic_id))
+        self.record(own(documents), own(gone))
 
     def stats(self, topic_id: str) -> dict | None:
         topic = self.get(topic_id)
         if not topic:
             return None
-        meta, docs = self.store.metadata(topic_id) or {}, self.documents(topic_id)
-        return {"document_count": topic["document_count"], "chunk_count": meta.get("chunk_count", 0), "embedding_model": meta.get("embedding_model") or self.index["model_name"], "last_updated": topic["updated_at"], "documents": len(docs)}
+        meta = self.store.metadata(topic_id) or {}
+        return {"document_count": topic["document_count"], "chunk_count": meta.get("chunk_count", 0), "embedding_model": meta.get("embedding_model") or self.index["model_name"], "last_updated": topic["updated_at"]}
 
     def chunks(self, topic_id: str, available_models: list[str] | None = None) -> DataFrame | None:
         """A topic's chunks, if its model is the current one or available."""
@@ -146,6 +196,12 @@ class Catalog:
             raise TopicError(f"topic {topic_id} needs the model {known!r}")
         return self.store.open(topic_id) if not self.is_common(topic_id) else ChunkStore(self.spark, f"{self.common_root}/store").open(topic_id)
 
+    def keyword_index(self, topic_id: str):
+        """The keyword index of a topic, made if there is none that fits; of a shared topic only one that is there."""
+        if self.is_common(topic_id):
+            return ChunkStore(self.spark, f"{self.common_root}/store").index(topic_id)
+        return self.store.index(topic_id, build=True)
+
     def use_model(self, model: str) -> None:
         """Go on with another model: caches are dropped, the index names it."""
         self.model = self.index["model_name"] = model
@@ -165,8 +221,7 @@ class Catalog:
         clash = [t["name"] for t in topics.values() if t["name"].lower() in names]
         if clash:
             raise TopicError("shared topics clash with local ones: " + ", ".join(clash[:3]) + ("..." if len(clash) > 3 else ""))
-        self.common = topics
-        self.common_documents = {t: json.loads(self.files.read(f"{root.rstrip('/')}/documents-{t}.json") or "[]") for t in topics}
+        self.common, self.common_root = topics, root
 
     # archives -------------------------------------------------------------------------------
 
@@ -176,7 +231,7 @@ class Catalog:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
             model = (self.store.metadata(topic_id) or {}).get("embedding_model") or self.index["model_name"]
-            z.writestr("topic.json", json.dumps({"version": VERSION, "topic": topic, "documents": self.documents(topic_id), "embedding_model": model, "exported_at": _now()}))
+            z.writestr("topic.json", json.dumps({"version": VERSION, "topic": topic, "documents": [r.asDict() for r in self.documents(topic_id).toLocalIterator()], "embedding_model": model, "exported_at": _now()}))
             chunks = self.store.open(topic_id)
             if chunks is not None:
                 z.writestr("schema.json", chunks.drop("topic_id").schema.json())
@@ -206,7 +261,7 @@ class Catalog:
                 chunks = self.spark.read.schema(schema).json(f"{self.root}/import-{topic['id']}.jsonl")
                 self.store.create(topic["id"], chunks, info["embedding_model"])
                 self.files.remove(f"{self.root}/import-{topic['id']}.jsonl")
-        self.record_documents(topic["id"], [{k: d.get(k) for k in ("name", "file_path", "file_type", "chunk_count")} for d in info["documents"]])
+        self.record_documents(topic["id"], info["documents"])
         return topic
 
 

@@ -6,6 +6,7 @@ a query needs them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -28,35 +29,63 @@ def reader(name: str):
     return put
 
 
-def _whole(spark: SparkSession, paths: list[str], recursive: bool = False) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(paths)
+#: Bytes of a file that Spark reads as one value, at most.
+MAX_BYTES = 2**31 - 1 - 2**20
+
+
+def any_case(ext: str) -> str:
+    """A glob for file names with an extension, in lower or upper case."""
+    return "*" + "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in ext.lower())
+
+
+def plain_path(c: Column) -> Column:
+    """A path without the scheme of local files, which readers write in several ways."""
+    return F.regexp_replace(c, "^file:/+", "/")
+
+
+def _files(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """(path, length, content) of files; below folders those that a glob names. Spark lists them, in parallel where they are many."""
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    return (source.option("pathGlobFilter", glob) if glob else source).load([escaped(p) for p in paths])
+
+
+def escaped(path: str) -> str:
+    """A path whose characters mean themselves: Spark takes paths as globs."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
+def _whole(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """One row per file: (file_path, content, file_size, load_error). A file too large for one value is a row with an error."""
+    raw = _files(spark, paths, recursive, glob)
     # bytes are decoded as UTF-8; what isn't valid becomes U+FFFD instead of failing the load
-    return raw.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("file_size"))
+    good = raw.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("file_size"), F.lit(None).cast("string").alias("load_error"))
+    large = raw.where(F.col("length") > MAX_BYTES).select(F.col("path").alias("file_path"), F.lit(None).cast("string").alias("content"), F.col("length").alias("file_size"), F.concat(F.lit("file of "), "length", F.lit(" bytes is too large")).alias("load_error"))
+    return good.unionByName(large)
 
 
 @reader("text")
-def read_text(spark: SparkSession, paths: list[str], **_) -> DataFrame:
+def read_text(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = None, **_) -> DataFrame:
     """One row per file."""
-    return spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("file_size"))
+    return _whole(spark, paths, recursive, glob)
 
 
 @reader("markdown")
-def read_markdown(spark: SparkSession, paths: list[str], **_) -> DataFrame:
-    return read_text(spark, paths).withColumn("is_markdown", F.lit(True)).withColumn("preserve_structure", F.lit(True))
+def read_markdown(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    return read_text(spark, paths, **options).withColumn("is_markdown", F.lit(True)).withColumn("preserve_structure", F.lit(True))
 
 
 @reader("html")
-def read_html(spark: SparkSession, paths: list[str], **_) -> DataFrame:
-    raw = read_text(spark, paths)
+def read_html(spark: SparkSession, paths: list[str], **options) -> DataFrame:
+    raw = read_text(spark, paths, **options)
     return raw.withColumn("title", H.html_title(F.col("content"), F.col("file_path"))).withColumn("content", H.html_to_text(F.col("content"))).withColumn("is_html", F.lit(True))
 
 
 @reader("pdf")
-def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], list[str]] | None = None, split_pages: bool = False, separator: str = "\n", **_) -> DataFrame:
+def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], list[str]] | None = None, split_pages: bool = False, separator: str = "\n", recursive: bool = False, glob: str | None = None, **_) -> DataFrame:
     """PDF files by a parser that gives the pages' texts; none is bundled. A file at which it raises is a row with `load_error`."""
     if parser is None:
         raise RuntimeError("reading PDF files needs parser=: a function from bytes to the texts of the pages")
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content", "length")
+    raw = _files(spark, paths, recursive, glob).select("path", "content", "length")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -103,7 +132,7 @@ def web_pages(pages: DataFrame, *, url: str = "url", html: str = "html", status:
 
 def list_files(spark: SparkSession, directory: str, recursive: bool = True, extensions: list[str] | None = None) -> DataFrame:
     """Files below a directory with a supported extension, in lower or upper case."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
+    files = _files(spark, [directory], recursive)
     return files.select(F.col("path").alias("file_path"), F.col("length").alias("file_size")).where(X.extension(F.col("file_path")).isin(extensions or U.SUPPORTED))
 
 
@@ -119,8 +148,6 @@ def path_exists(spark: SparkSession, path: str) -> tuple[bool, bool]:
 
 def detect_type(path: str) -> str:
     """file_type() for one path, in the driver."""
-    import re
-
     if re.match(U.REPOSITORY_URL, path):
         return "github"
     if re.match(r"^https?://[^/\s]+", path):
@@ -144,45 +171,42 @@ def load_documents(spark: SparkSession, paths: list[str], *, file_type: str | No
     an error is raised when nothing is left.
     """
     failures: list[tuple[str, str]] = []
-    by_type: dict[str, list[str]] = {}
+    single: dict[str, list[str]] = {}
+    folders: list[tuple[str, str, str]] = []
+    kinds: dict[str, list[str]] = {}
+    for ext in U.SUPPORTED:
+        kinds.setdefault(file_type or detect_type(f"x{ext}"), []).append(ext)
     for path in paths:
         exists, is_dir = path_exists(spark, path)
         if not exists:
             failures.append((path, "file not found or not readable"))
         elif is_dir and file_type != "github":
-            for ext in U.SUPPORTED:
-                by_type.setdefault(file_type or detect_type(f"x{ext}"), []).append(f"{path.rstrip('/')}|{ext}")
+            if not _has(spark, path, U.SUPPORTED, recursive):
+                failures.append((path, "no supported file"))
+                continue
+            for kind, exts in kinds.items():
+                # only a folder that holds PDF files needs a parser
+                if kind != "pdf" or options.get("parser") or _has(spark, path, exts, recursive):
+                    folders.append((kind, path, "{" + ",".join(map(any_case, exts)) + "}"))
         else:
-            by_type.setdefault(file_type or detect_type(path), []).append(path)
+            single.setdefault(file_type or detect_type(path), []).append(path)
     out = None
-    for kind, own in by_type.items():
-        plain = [p for p in own if "|" not in p]
-        frames = [READERS[kind](spark, plain, **options)] if plain else []
-        for p in own:
-            if "|" in p:
-                root, ext = p.rsplit("|", 1)
-                found = _in_directory(spark, root, ext, recursive)
-                if found:
-                    frames.append(READERS[kind](spark, found, **options))
-        for rows in frames:
-            rows = stamped(rows, kind, metadata)
-            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    # a folder is read as one: its files are listed by Spark and never by name here
+    loads = [(kind, own, {"recursive": recursive} if kind == "github" else {}) for kind, own in single.items()]
+    loads += [(kind, [root], {"recursive": recursive, "glob": glob}) for kind, root, glob in folders]
+    for kind, own, more in loads:
+        rows = stamped(READERS[kind](spark, own, **options, **more), kind, metadata)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError("Failed to load documents: " + "; ".join(f"{p}: {e}" for p, e in failures))
     return out, failures
 
 
-def _in_directory(spark: SparkSession, root: str, ext: str, recursive: bool) -> list[str]:
-    """Paths below root with one extension; a listing, no file is read."""
-    sc = spark.sparkContext
-    p = sc._jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(sc._jsc.hadoopConfiguration())
-    found, todo = [], [p]
-    while todo:
-        for s in fs.listStatus(todo.pop()):
-            if s.isDirectory():
-                if recursive:
-                    todo.append(s.getPath())
-            elif s.getPath().getName().lower().endswith(ext):
-                found.append(s.getPath().toString())
-    return sorted(found)
+def _has(spark: SparkSession, root: str, exts: list[str], recursive: bool) -> bool:
+    """Whether there is a file with one of some extensions in a folder, or below it; the walk ends at the first."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, recursive)
+    while found.hasNext():
+        if found.next().getPath().getName().lower().endswith(tuple(exts)):
+            return True
+    return False

@@ -1,4 +1,4 @@
-"""The chunk store: one folder of Parquet per topic, with its metadata beside it."""
+"""The chunk store: a bucketed table per topic, with its metadata and keyword index beside it."""
 
 from __future__ import annotations
 
@@ -8,6 +8,9 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .files import Files
+from .snapshots import BucketTable, bucket_of
+
 #: Metadata columns that the stored form of a chunk keeps.
 STORED_METADATA = ["source", "file_name", "file_path", "file_type", "file_size", "loaded_at", "chunk_index", "total_chunks", "loc_lines_from", "loc_lines_to", "is_markdown", "preserve_structure"]
 
@@ -16,58 +19,27 @@ class ModelMismatch(ValueError):
     """A store's vectors were made by another model."""
 
 
-class Files:
-    """Small files and folders through Hadoop's file systems, so that any store path works."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.jvm = spark, spark.sparkContext._jvm
-
-    def at(self, path: str):
-        p = self.jvm.org.apache.hadoop.fs.Path(path)
-        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def exists(self, path: str) -> bool:
-        p, fs = self.at(path)
-        return bool(fs.exists(p))
-
-    def read(self, path: str) -> str | None:
-        if not self.exists(path):
-            return None
-        rows = self.spark.read.text(path, wholetext=True).collect()
-        return rows[0][0] if rows else None
-
-    def write(self, path: str, text: str) -> None:
-        p, fs = self.at(path)
-        out = fs.create(p, True)
-        out.write(bytearray(text.encode()))
-        out.close()
-
-    def remove(self, path: str) -> None:
-        p, fs = self.at(path)
-        fs.delete(p, True)
-
-    def folders(self, path: str) -> list[str]:
-        p, fs = self.at(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
-
-    def make(self, path: str) -> None:
-        p, fs = self.at(path)
-        fs.mkdirs(p)
-
-
 def compat_stored_metadata(chunks: DataFrame) -> DataFrame:
     """Chunks with the kept metadata columns only."""
     kept = ["chunk_id", "content", "embedding", *STORED_METADATA]
     return chunks.select(*[c for c in kept if c in chunks.columns])
 
 
+#: Buckets of a topic's chunks; a changed document costs its bucket.
+BUCKETS = 32
+
+
 class ChunkStore:
-    """Create, open, append, delete; metadata is a JSON file per topic."""
+    """Create, open, append, replace, delete; metadata is a JSON file per topic.
+
+    A topic's chunks lie in buckets by doc_id (chunk_id where there is none) and are read by snapshot: who has
+    opened a topic goes on with what it was, whatever is written meanwhile.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root, self.files = spark, root.rstrip("/"), Files(spark)
         self.files.make(self.root)
-        self._open: dict[str, DataFrame] = {}
+        self._open: dict[str, tuple[int, DataFrame]] = {}
 
     def _path(self, topic_id: str) -> str:
         if "/" in topic_id or topic_id.startswith("."):
@@ -77,22 +49,77 @@ class ChunkStore:
     def _metadata_path(self, topic_id: str) -> str:
         return f"{self.root}/{topic_id}-metadata.json"
 
+    def table(self, topic_id: str, key: str = "doc_id") -> BucketTable:
+        return BucketTable(self.spark, self._path(topic_id), bucket_of(key, BUCKETS))
+
+    def _own(self, topic_id: str) -> BucketTable:
+        return self.table(topic_id, self.table(topic_id).snapshot()["stats"].get("key", "doc_id"))
+
     def list(self) -> list[str]:
         return [n.removeprefix("topic_id=") for n in self.files.folders(self.root) if n.startswith("topic_id=")]
 
     def create(self, topic_id: str, chunks: DataFrame, model: str) -> None:
         """Write a topic's chunks, in place of any there."""
-        chunks.write.mode("overwrite").parquet(self._path(topic_id))
-        self._open.pop(topic_id, None)
+        key = "doc_id" if "doc_id" in chunks.columns else "chunk_id"
+        self.table(topic_id, key).write(chunks, fresh=True, stats={"key": key})
         self.save_metadata(topic_id, embedding_model=model)
 
-    def append(self, topic_id: str, chunks: DataFrame, model: str) -> None:
-        """Add chunks made with the store's own model; create the store if there is none."""
-        if not self.files.exists(self._path(topic_id)):
-            return self.create(topic_id, chunks, model)
+    def append(self, topic_id: str, chunks: DataFrame, model: str, batch: tuple[str, int] | None = None) -> None:
+        """Add chunks made with the store's own model; create the store if there is none. A stream's `batch` that is stored already adds nothing."""
+        self.replace(topic_id, chunks, model, batch=batch)
+
+    def replace(self, topic_id: str, chunks: DataFrame, model: str, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
+        """Drop the chunks of the documents gone(doc_id) and add others, in one step for readers. Only the buckets of those documents are written again."""
+        table = self._own(topic_id)
+        before = table.snapshot()
+        if not before["version"]:
+            table = self.table(topic_id, key := "doc_id" if "doc_id" in chunks.columns else "chunk_id")
+            table.write(chunks, batch=batch, stats={"key": key})
+            self.save_metadata(topic_id, embedding_model=model)
+            return
         self.check_model(topic_id, model)
-        chunks.write.mode("append").parquet(self._path(topic_id))
-        self._open.pop(topic_id, None)
+        key = before["stats"]["key"]
+        after = table.write(chunks, gone=gone, on=key, batch=batch)
+        index = self._index(topic_id)
+        if after["version"] > before["version"] and index.table.version():
+            # the chunks that this write has added, and those that it has dropped, as they were
+            self._follow(index, table, before, after, gone, key, chunks.select(key).distinct())
+
+    def _follow(self, index, table: BucketTable, before: dict, after: dict, gone: DataFrame | None, key: str, touched: DataFrame) -> None:
+        if index.table.snapshot()["stats"].get("of") != before["version"]:
+            return
+        new = {**after, "folders": {b: [f for f in own if f not in before["folders"].get(b, [])] for b, own in after["folders"].items()}}
+        added, removed = table.read(None, new).join(touched, key, "left_semi").select("chunk_id", "content"), None
+        if gone is not None:
+            buckets = [r[0] for r in gone.select(table.bucket.alias("b")).distinct().collect()]
+            removed = table.read(buckets, before).join(gone.select(key).distinct(), key, "left_semi").select("chunk_id", "content")
+        index.update(added, removed)
+        self._mark(index, after["version"])
+
+    def _index(self, topic_id: str):
+        from ..operators.keyword_index import KeywordIndex
+
+        return KeywordIndex(self.spark, f"{self.root}/{topic_id}-index")
+
+    @staticmethod
+    def _mark(index, version: int) -> None:
+        old = index.table.snapshot()
+        index.table._commit(old, stats=old["stats"] | {"of": version})
+
+    def index(self, topic_id: str, build: bool = False):
+        """The topic's keyword index, kept from query to query; None if there is none that fits its chunks and none is to be built."""
+        index, table = self._index(topic_id), self._own(topic_id)
+        snapshot = table.snapshot()
+        known = index.table.snapshot()
+        if known["version"] and known["stats"].get("of") == snapshot["version"]:
+            return index
+        if not build or not snapshot["version"]:
+            return None
+        if known["version"]:
+            self.files.remove(index.table.root)
+        index.add(table.read(None, snapshot).select("chunk_id", "content"))
+        self._mark(index, snapshot["version"])
+        return index
 
     def check_model(self, topic_id: str, model: str) -> None:
         known = (self.metadata(topic_id) or {}).get("embedding_model")
@@ -100,18 +127,21 @@ class ChunkStore:
             raise ModelMismatch(f"topic {topic_id} holds vectors of {known!r}, not of {model!r}")
 
     def open(self, topic_id: str) -> DataFrame | None:
-        """A topic's chunks, None if there are none."""
-        if topic_id not in self._open:
-            if not self.files.exists(self._path(topic_id)):
-                return None
-            self._open[topic_id] = self.spark.read.parquet(self._path(topic_id)).withColumn("topic_id", F.lit(topic_id))
-        return self._open[topic_id]
+        """A topic's chunks as they are now, None if there are none."""
+        table = self._own(topic_id)
+        version = table.version()
+        if not version:
+            self._open.pop(topic_id, None)
+            return None
+        if self._open.get(topic_id, (0,))[0] != version:
+            self._open[topic_id] = (version, table.read().withColumn("topic_id", F.lit(topic_id)))
+        return self._open[topic_id][1]
 
     def delete(self, topic_id: str) -> None:
         """Remove a topic; a missing one is no error."""
         self._open.pop(topic_id, None)
-        self.files.remove(self._path(topic_id))
-        self.files.remove(self._metadata_path(topic_id))
+        for path in (self._path(topic_id), self._metadata_path(topic_id), f"{self.root}/{topic_id}-index"):
+            self.files.remove(path)
 
     def metadata(self, topic_id: str) -> dict | None:
         """A topic's metadata, None if missing or broken."""
@@ -134,6 +164,5 @@ class ChunkStore:
         return self.spark.createDataFrame([tuple(m.get(c) for c in ("topic_id", "document_count", "chunk_count", "embedding_model", "created_at", "updated_at")) for m in rows], schema)
 
     def dispose(self) -> None:
-        for df in self._open.values():
-            df.unpersist()
+        """Forget opened tables; nothing is cached with them."""
         self._open.clear()

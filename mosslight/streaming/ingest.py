@@ -1,34 +1,68 @@
-"""Continuous ingest: new files of a folder become chunks of a topic, batch by batch.
+"""Continuous ingest: new files of a folder become chunks of a topic, batch by batch, each exactly once.
 
-The store takes appends, so a stream needs no state of its own; the checkpoint remembers which
-files were read. A batch that is run again after a failure first leaves out documents that the
-store holds already.
+The number of a stream's batch is part of the commit that stores it. A batch that ran before a failure,
+stored but not noted in the checkpoint, comes again with the same number and adds nothing. Files that
+the topic holds already are left out, so a stream that starts anew adds nothing either.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ChunkOptions
+from ..functions import html as H
 from ..functions import text as X
+from ..functions import urls as U
 from ..operators.chunking import chunk_documents
+from ..plans.ingest import content_hash, document_type
 from ..sources.catalog import Catalog
 
 
-def ingest_stream(spark: SparkSession, catalog: Catalog, topic_id: str, folder: str, embedder, checkpoint: str, *, options: ChunkOptions | None = None, available_now: bool = True) -> StreamingQuery:
-    """Follow a folder of text files. `available_now` stops after what is there."""
+def file_stream(spark: SparkSession, folder: str, *, within: str | None = None, **source) -> DataFrame:
+    """Files of a folder as a stream of documents: text, Markdown and HTML by their extensions, any other file as text.
+
+    `within` drops files whose content came before, under whatever name, as far as the watermark over
+    their times of change reaches back: the state holds a hash for each.
+    """
+    raw = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", "true").options(**source).load(folder)
+    ext = X.extension(F.col("path"))
+    body = F.decode("content", "UTF-8")
+    rows = raw.where(ext != ".pdf").select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("file_size"), body.alias("raw"))
+    kind = U.file_type(F.col("file_path"))
+    rows = rows.withColumn("file_type", kind).withColumn("content", F.when(kind == "html", H.html_to_text(F.col("raw"))).otherwise(F.col("raw"))).drop("raw")
+    rows = rows.withColumn("is_markdown", F.col("file_type") == "markdown").withColumn("file_name", X.base_name(F.col("file_path"))).withColumn("doc_id", F.xxhash64("file_path")).withColumn("content_hash", content_hash(F.col("content")))
+    return rows if within is None else rows.withWatermark("modified", within).dropDuplicatesWithinWatermark(["content_hash"])
+
+
+def stream_name(checkpoint: str) -> str:
+    return hashlib.md5(checkpoint.rstrip("/").encode()).hexdigest()
+
+
+def store_batch(catalog: Catalog, topic_id: str, embedder, options: ChunkOptions, stream: str, df: DataFrame, batch_id: int) -> None:
+    """What foreachBatch runs; again for a batch that came to its end only in part."""
+    known = catalog.documents(topic_id).select("doc_id")
+    table = catalog.store._own(topic_id)
+    if table.snapshot()["batches"].get(stream, -1) < batch_id:
+        fresh = df.drop("modified").join(known, "doc_id", "left_anti")
+        chunks = embedder.embed_documents(chunk_documents(fresh, options, strategy=options.strategy or "recursive"))
+        catalog.store.append(topic_id, chunks, embedder.name, batch=(stream, batch_id))
+    # the log follows what is stored, also where an earlier run stored a batch and no more
+    stored = catalog.store.open(topic_id).join(df.select("doc_id"), "doc_id", "left_semi").join(known, "doc_id", "left_anti")
+    per = stored.groupBy("doc_id", "file_path", "file_name", "content_hash").agg(F.count("*").alias("chunk_count"), F.sum("chunk_size").cast("long").alias("characters"))
+    catalog.record_documents(topic_id, per.select("doc_id", F.col("file_name").alias("name"), "file_path", document_type(F.col("file_path")).alias("file_type"), "chunk_count", "characters", F.md5("content_hash").alias("content_hash")))
+
+
+def ingest_stream(spark: SparkSession, catalog: Catalog, topic_id: str, folder: str, embedder, checkpoint: str, *, options: ChunkOptions | None = None, available_now: bool = True, within: str | None = None, **source) -> StreamingQuery:
+    """Follow a folder of files. `available_now` stops after what is there; other options go to the file source."""
     options = options or ChunkOptions(strategy="recursive")
-    files = spark.readStream.format("text").option("wholetext", "true").option("recursiveFileLookup", "true").load(folder)
-    rows = files.select(F.col("_metadata.file_path").alias("file_path"), F.col("value").alias("content"), F.col("_metadata.file_size").alias("file_size"))
-    rows = rows.withColumn("file_name", X.base_name(F.col("file_path"))).withColumn("doc_id", F.xxhash64("file_path"))
+    name = stream_name(checkpoint)
 
-    def batch(df: DataFrame, _: int) -> None:
-        known = catalog.store.open(topic_id)
-        if known is not None:
-            df = df.join(known.select("doc_id").distinct(), "doc_id", "left_anti")
-        catalog.store.append(topic_id, embedder.embed_documents(chunk_documents(df, options, strategy=options.strategy or "recursive")), embedder.name)
+    def batch(df: DataFrame, batch_id: int) -> None:
+        store_batch(catalog, topic_id, embedder, options, name, df, batch_id)
 
-    out = rows.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    out = file_stream(spark, folder, within=within, **source).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (out.trigger(availableNow=True) if available_now else out.trigger(processingTime="10 seconds")).start()
