@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels as K
 from .scratch import drop, written
 
 
@@ -45,6 +46,8 @@ def _contract(batches):
             held, size = [], 0
     if held:
         yield out()
+    held = []
+    K.give_back()
 
 
 #: Edges that a task contracts together.

@@ -6,6 +6,7 @@ bytes (one row at least), so memory follows the largest text and not the table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,6 +47,19 @@ def row_slices(lengths: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         yield i, (i := max(j, i + 1))
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError, TypeError):  # another C library, which has no such call
+    _trim = None
+
+
+def give_back() -> None:
+    """A worker lives on after its task, beside those of other stages: freed memory that Arrow and the C library keep for later goes back."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def portions(batches, rows: int = 2_000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut to about so many rows and bytes, without a copy: a worker holds a batch several times over."""
     for batch in batches:
@@ -53,8 +67,8 @@ def portions(batches, rows: int = 2_000, size: int = 8 << 20) -> Iterator[pa.Rec
         step = max(1, min(rows, n * size // max(1, batch.nbytes)))
         for i in range(0, n, step):
             yield batch.slice(i, step)
-    # a worker lives on after its task; what Arrow keeps for later goes back
-    pa.default_memory_pool().release_unused()
+        del batch
+    give_back()
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -272,6 +272,8 @@ def _walk(columns: tuple[str, ...], solve, schema: pa.Schema):
                     held[k].append(x)
             yield out(rows)
         yield out(close())
+        held = [[] for _ in columns]
+        K.give_back()
 
     return run
 
