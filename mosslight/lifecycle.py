@@ -15,7 +15,7 @@ from .operators.embed import HashingEmbedder
 from .plans import agent as A
 from .plans import planner as P
 from .plans.ingest import ingest, ingest_documents
-from .queries import _FIXED, CH, KEYWORDS, ORACLES, TEXT, _scratch, _stored, _windows, chunks, hybrid_sql, query, rnd, table, vector
+from .queries import _A, _B, _FIXED, _KIND, _TURNS, CH, KEYWORDS, ORACLES, TEXT, _scratch, _stored, _turns, _windows, chunks, hybrid_sql, query, rnd, table, vector
 from .sources import catalog as T
 from .sources import readers as L
 from .sources.store import ChunkStore, ModelMismatch
@@ -93,12 +93,11 @@ def shared_topics(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, source string, documents long, read_only boolean, clash_refused boolean")
 
 
-@query("WITH t(requested, name, matched) AS (VALUES ('ALPHA', 'alpha', 'exact'), ('beta', 'Beta', 'exact')) SELECT * FROM t")
+@query("SELECT DISTINCT upper(source) AS requested, source AS name, 'exact' AS matched FROM documents WHERE source IS NOT NULL")
 def topic_resolution(spark: SparkSession, sf: str) -> DataFrame:
-    catalog = T.Catalog(spark, _scratch(spark), "precomputed")
-    for name in ("alpha", "Beta"):
-        catalog.create(name)
-    rows = [(x, t["name"], how) for x in ("ALPHA", "beta") for t, how in [A.best_topic(catalog, x, HashingEmbedder(16).embed_query)]]
+    """Every source's topic, asked for in other case."""
+    catalog, topics = _catalog(spark, sf)
+    rows = [(x["name"].upper(), t["name"], how) for x in topics for t, how in [A.best_topic(catalog, x["name"].upper(), HashingEmbedder(16).embed_query)]]
     return spark.createDataFrame(rows, "requested string, name string, matched string")
 
 
@@ -264,35 +263,33 @@ def search_tool_agentic(spark: SparkSession, sf: str) -> DataFrame:
     return _tool_rows(spark, out, len(out["agenticMetadata"]["steps"]))
 
 
-@query("WITH o(k) AS (SELECT unnest(range(-1, 23))) SELECT CAST(k AS BIGINT) AS k, k BETWEEN 1 AND 20 AS accepted, true AS strategy_refused FROM o")
+@query("SELECT DISTINCT CAST(turn * 5 - 4 AS BIGINT) AS k, turn * 5 - 4 BETWEEN 1 AND 20 AS accepted, true AS strategy_refused FROM conversations")
 def tool_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of results, made from the numbers of turns."""
     refused = _refused(check_strategy, "other", error=ValueError)
-    return spark.createDataFrame([(k, not _refused(check_top_k, k, error=ValueError), refused) for k in range(-1, 23)], "k long, accepted boolean, strategy_refused boolean")
+    numbers = [r.k for r in table(spark, sf, "conversations").select((F.col("turn") * 5 - 4).alias("k")).distinct().collect()]
+    return spark.createDataFrame([(k, not _refused(check_top_k, k, error=ValueError), refused) for k in numbers], "k long, accepted boolean, strategy_refused boolean")
 
 
-_PLANS = [
-    ('```json\n{"complexity": "moderate", "strategy": "parallel", "sub_queries": [{"query": "one", "priority": "high"}, {"query": "two"}]}\n```', "llm", 2),
-    ('{"complexity": "simple", "strategy": "sequential", "subQueries": [{"query": "one", "topK": 3}]}', "llm", 1),
-    ('{"complexity": "odd", "strategy": "parallel", "sub_queries": [{"query": "one"}]}', "rules", 1),
-    ("no plan at all", "rules", 1),
-    (None, "rules", 1),
-]
+def _answers() -> Column:
+    """What a planner might say to a turn: plans in a fenced block, bare, with commas too many; what is no plan; nothing."""
+    one, pair = F.struct(F.col("text").alias("query"), F.lit("low").alias("priority")), F.struct(F.lit("two").alias("query"), F.lit("high").alias("priority"))
+    fenced = F.concat(F.lit("Here it is:\n```json\n"), F.to_json(F.struct(F.lit("moderate").alias("complexity"), F.lit("parallel").alias("strategy"), F.array(one, pair).alias("sub_queries"))), F.lit("\n```\nDone."))
+    camel = F.concat(F.lit("Plan "), F.to_json(F.struct(F.lit("complex").alias("complexity"), F.lit("sequential").alias("strategy"), F.array(F.struct(F.col("text").alias("query"), F.lit(3).alias("topK"))).alias("subQueries"))))
+    other = [F.lit('{"complexity": "simple", "strategy": "parallel", "sub_queries": [{"query": "fixed",},],}'), F.lit('{"complexity": "odd", "strategy": "parallel", "sub_queries": [{"query": "one"}]}'), F.lit('{"complexity": "simple", "strategy": "parallel", "sub_queries": [{"query": 7}]}'), F.lit("no plan at all"), F.lit(None).cast("string")]
+    return F.element_at(F.array(fenced, camel, *other), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(7)) + 1).cast("int"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{how}', {n}, true)" for i, (_, how, n) in enumerate(_PLANS)) + ") p(id, planned_by, sub_queries, valid) UNION ALL SELECT 9, 'rules', 1, true")
+@query(
+    f"WITH {_TURNS}, k AS (SELECT *, ((conv_id + turn) % 7 + 7) % 7 AS n, {_KIND} AS kind FROM t), s AS (SELECT *, CASE kind WHEN 'complex/parallel' THEN {_A} WHEN 'moderate/parallel' THEN {_B} ELSE [text] END AS subs FROM k), f AS (SELECT *, CASE WHEN len(subs) = 0 THEN [text] ELSE subs END AS own FROM s) "
+    "SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, CASE WHEN n < 3 THEN 'llm' ELSE 'rules' END AS planned_by, CASE n WHEN 0 THEN 'moderate' WHEN 1 THEN 'complex' WHEN 2 THEN 'simple' ELSE split_part(kind, '/', 1) END AS complexity, "
+    "CASE n WHEN 0 THEN 'low: ' || text || ' (5)|high: two (5)' WHEN 1 THEN 'high: ' || text || ' (3)' WHEN 2 THEN 'high: fixed (5)' ELSE array_to_string(list_transform(own, lambda q: CASE WHEN kind = 'moderate/parallel' THEN 'medium: ' ELSE 'high: ' END || q || ' (5)'), '|') END AS sub_queries FROM f"
+)
 def planner_answers(spark: SparkSession, sf: str) -> DataFrame:
-    """A planner's answers in all their forms; one that doesn't fit, or a planner that fails, falls back to the rules."""
-    rows = []
-    for i, (answer, _, _) in enumerate(_PLANS):
-        plan = P.create_plan(TEXT, planner=lambda _, a=answer: a)
-        rows.append((i, "llm" if plan["sub_queries"][0]["query"] == "one" else "rules", len(plan["sub_queries"]), P.valid_plan(plan)))
-
-    def broken(_):
-        raise RuntimeError("no model")
-
-    plan = P.create_plan(TEXT, planner=broken)
-    rows.append((9, "rules" if plan["sub_queries"][0]["query"] == TEXT else "llm", len(plan["sub_queries"]), P.valid_plan(plan)))
-    return spark.createDataFrame(rows, "id int, planned_by string, sub_queries int, valid boolean")
+    """A planner's answers to all turns, in all their forms; one that doesn't fit falls back to the rules."""
+    plan = _turns(spark, sf).select("conv_id", "turn", P.planned(F.col("text"), _answers()).alias("p"))
+    shown = F.transform("p.sub_queries", lambda s: F.concat(s["priority"], F.lit(": "), s["query"], F.lit(" ("), s["top_k"].cast("string"), F.lit(")")))
+    return plan.select("conv_id", "turn", "p.planned_by", "p.complexity", F.array_join(shown, "|").alias("sub_queries"))
 
 
 @query("SELECT count(*) AS rows, 0 AS cached, true AS other_model_refused FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -85,11 +85,23 @@ def parse_plan(answer: dict | str | None, query: str, *, max_sub_queries: int |
     return {"original_query": query, "complexity": answer["complexity"], "strategy": answer["strategy"], "explanation": answer.get("explanation", ""), "sub_queries": own}
 
 
-def create_plan(query: str, *, use_llm: bool = True, planner: Callable[[str], dict | str | None] | None = None, max_sub_queries: int | None = None, top_k: int = 5, context: str = "") -> dict:
-    """A plan by the given planner where there is one, else by rules; a failing planner gives the simple plan."""
+Planner = Callable[[str], "dict | str | None"]
+
+
+def create_plan(query: str, *, use_llm: bool = True, planner: Planner | Sequence[Planner] | None = None, max_sub_queries: int | None = None, top_k: int = 5, context: str = "") -> dict:
+    """A plan by the given planner where there is one, else by rules; a failing planner gives the simple plan.
+
+    Of several planners each is asked when those before it failed or gave no plan that fits.
+    """
     try:
-        if use_llm and planner is not None:
-            plan = parse_plan(planner(prompt(query, context)), query, max_sub_queries=max_sub_queries, top_k=top_k)
+        planners = [] if planner is None or not use_llm else [planner] if callable(planner) else list(planner)
+        for k, ask in enumerate(planners):
+            try:
+                plan = parse_plan(ask(prompt(query, context)), query, max_sub_queries=max_sub_queries, top_k=top_k)
+            except Exception:
+                if k + 1 == len(planners):
+                    raise
+                continue
             if plan:
                 return plan
         return heuristic_plan(query, max_sub_queries=max_sub_queries, top_k=top_k)
@@ -103,7 +115,39 @@ def prompt(query: str, context: str = "") -> str:
     return "\n".join(x for x in ("Break this search query into the sub-queries needed to answer it.", context and f"Context: {context}", f"Query: {query}", "Answer with JSON of this form:", json.dumps(form)) if x)
 
 
-# --- the same rules over a column ----------------------------------------------------------------
+# --- the same over columns -----------------------------------------------------------------------
+
+
+def parsed_answers(answer: Column, max_sub_queries: int | None = None, top_k: int = 5) -> Column:
+    """parse_plan() for a column of answers: a struct (complexity, strategy, sub_queries), null where an answer doesn't fit.
+
+    The JSON text is taken from a fenced block or from its outer braces and read as a variant; commas before a closing
+    bracket are forgiven.
+    """
+    some = lambda pattern: F.nullif(F.regexp_extract(answer, pattern, 1), F.lit(""))
+    text = F.coalesce(some(r"```(?:json)?\s*([\s\S]*?)```"), some(r"(\{[\s\S]*\})"), answer)
+    tree = F.coalesce(F.try_parse_json(text), F.try_parse_json(F.regexp_replace(text, r",(\s*[}\]])", "$1")))
+    get = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    is_text = lambda v, path: F.coalesce(F.schema_of_variant(get(v, path, "variant")) == "STRING", F.lit(False))
+    subs = F.coalesce(get(tree, "$.sub_queries", "array<variant>"), get(tree, "$.subQueries", "array<variant>"))
+    priority = lambda s: F.coalesce(get(s, "$.priority", "string"), F.lit("high"))
+    used = subs if max_sub_queries is None else F.slice(subs, 1, max_sub_queries)
+    fits = get(tree, "$.complexity", "string").isin(*_COMPLEXITY) & get(tree, "$.strategy", "string").isin(*_STRATEGY) & (F.size(subs) > 0) & F.forall(used, lambda s: is_text(s, "$.query") & priority(s).isin(*_PRIORITY))
+    number = lambda s: F.coalesce(get(s, "$.top_k", "int"), get(s, "$.topK", "int"), F.lit(top_k))
+    own = F.transform(used, lambda s: F.struct(get(s, "$.query", "string").alias("query"), number(s).alias("top_k"), priority(s).alias("priority")))
+    return F.when(fits, F.struct(get(tree, "$.complexity", "string").alias("complexity"), get(tree, "$.strategy", "string").alias("strategy"), own.alias("sub_queries")))
+
+
+def planned(query: Column, answer: Column, max_sub_queries: int | None = None, top_k: int = 5) -> Column:
+    """(planned_by, complexity, strategy, sub_queries): the answers that fit, rules for all other queries."""
+    given, kind = parsed_answers(answer, max_sub_queries, top_k), classify(query)
+    rules = F.transform(sub_queries(query, max_sub_queries), lambda q: F.struct(q.alias("query"), F.lit(top_k).alias("top_k"), F.when((kind["complexity"] == "moderate") & (kind["strategy"] == "parallel"), "medium").otherwise("high").alias("priority")))
+    return F.struct(
+        F.when(given.isNotNull(), "llm").otherwise("rules").alias("planned_by"),
+        F.coalesce(given["complexity"], kind["complexity"]).alias("complexity"),
+        F.coalesce(given["strategy"], kind["strategy"]).alias("strategy"),
+        F.coalesce(given["sub_queries"], rules).alias("sub_queries"),
+    )
 
 
 def classify(query: Column) -> Column:

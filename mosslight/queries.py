@@ -397,8 +397,19 @@ def html_title(spark: SparkSession, sf: str) -> DataFrame:
 
 _EXT = r"lower(regexp_extract(" + _BASE.format("{}") + r", '[^.](\.[^.]*)$', 1))"
 _TYPE = f"CASE WHEN regexp_matches({{0}}, '{U.REPOSITORY_URL}') THEN 'github' WHEN regexp_matches({{0}}, '^https?://[^/]') THEN 'web' WHEN {_EXT.format('{0}')} = '.pdf' THEN 'pdf' WHEN {_EXT.format('{0}')} IN ('.md', '.markdown') THEN 'markdown' WHEN {_EXT.format('{0}')} IN ('.html', '.htm') THEN 'html' ELSE 'text' END"
-_PATHS = ["/a/b.PDF", "/a/b.md", "c.markdown", "x.html", "x.HTM", "y.txt", "z.unknown", "noext", "/a/.hidden", "https://example.org/", "https://example.org/one", "https://code.example.org/owner/repo", "http://h/x/y.z"]
-_PATHS_SQL = "(VALUES " + ", ".join(f"('{p}')" for p in _PATHS) + ") p(path)"
+_NAMES = ["b.PDF", "b.md", "c.markdown", "x.html", "x.HTM", "y.txt", "z.unknown", "noext", ".hidden"]
+#: A path for every document, below its source, and every page's URL.
+_PATHS_SQL = f"(SELECT doc_id AS id, '/' || source || '/' || CAST(doc_id AS VARCHAR) || '/' || [{', '.join(repr(n) for n in _NAMES)}][doc_id % {len(_NAMES)} + 1] AS path FROM documents UNION ALL SELECT -1 - page_id, url FROM pages) p"
+
+
+def _of(values: list[str], number: str) -> Column:
+    """One of some texts, by the remainder of a column."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(number) % len(values) + 1).cast("int"))
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    own = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("/"), "source", F.lit("/"), "doc_id", F.lit("/"), _of(_NAMES, "doc_id")).alias("path"))
+    return own.unionByName(table(spark, sf, "pages").select((-1 - F.col("page_id")).alias("id"), F.col("url").alias("path")))
 
 
 @query(f"SELECT page_id, {_TYPE.format('url')} AS file_type, regexp_matches(url, '{U.REPOSITORY_URL}') AS is_repository, regexp_matches(url, '^https?://[^/]') AS is_web FROM pages")
@@ -422,23 +433,29 @@ def web_auth_gate(spark: SparkSession, sf: str) -> DataFrame:
     return pages.select("page_id", U.auth_gate(F.col("status"), F.col("url"), F.col("html")).alias("refused"))
 
 
-@query(f"SELECT path, {_TYPE.format('path')} AS file_type, {_EXT.format('path')} AS extension, {_BASE.format('path')} AS base_name, regexp_replace(path, '[^a-zA-Z0-9]', '_', 'g') AS safe_name FROM {_PATHS_SQL}")
+@query(f"SELECT id, path, {_TYPE.format('path')} AS file_type, {_EXT.format('path')} AS extension, {_BASE.format('path')} AS base_name, regexp_replace(path, '[^a-zA-Z0-9]', '_', 'g') AS safe_name FROM {_PATHS_SQL}")
 def file_type_by_extension(spark: SparkSession, sf: str) -> DataFrame:
     p = F.col("path")
-    return spark.createDataFrame([(x,) for x in _PATHS], "path string").select("path", U.file_type(p).alias("file_type"), X.extension(p).alias("extension"), X.base_name(p).alias("base_name"), X.safe_file_name(p).alias("safe_name"))
+    return _paths(spark, sf).select("id", "path", U.file_type(p).alias("file_type"), X.extension(p).alias("extension"), X.base_name(p).alias("base_name"), X.safe_file_name(p).alias("safe_name"))
+
 
+_EXTENSION = f"regexp_extract({_BASE.format('path')}, '[^.]\\.([^.]*)$', 1)"
 
-@query("SELECT ext, CASE lower(ext) WHEN 'pdf' THEN 'pdf' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' ELSE 'markdown' END AS document_type FROM (VALUES ('pdf'), ('PDF'), ('md'), ('markdown'), ('html'), ('HTM'), ('txt'), ('zip')) e(ext)")
+
+@query(f"SELECT id, {_EXTENSION} AS ext, CASE lower({_EXTENSION}) WHEN 'pdf' THEN 'pdf' WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' ELSE 'markdown' END AS document_type FROM {_PATHS_SQL}")
 def document_type_map(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in ("pdf", "PDF", "md", "markdown", "html", "HTM", "txt", "zip")], "ext string").select("ext", U.document_type(F.col("ext")).alias("document_type"))
+    ext = F.regexp_extract(X.base_name(F.col("path")), r"[^.]\.([^.]*)$", 1)
+    return _paths(spark, sf).select("id", ext.alias("ext"), U.document_type(ext).alias("document_type"))
 
 
 _TREE = ["README.md", ".github", "a/.github/x.yml", "src/TEST/a.py", "src/tst/b/c.py", "src/a.test.js", "node_modules/x/y.js", "lib/makefile", "src/main.py", "src/test/a.py"]
 
 
-@query("SELECT path FROM (VALUES " + ", ".join(f"('{p}')" for p in _TREE) + ") t(path) WHERE NOT (" + " OR ".join(f"regexp_matches(path, '{X.glob_pattern(g)}')" for g in X.ignore_patterns()) + ")")
+@query(f"SELECT doc_id, path FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source || '/' ELSE '' END || [{', '.join(repr(x) for x in _TREE)}][doc_id % {len(_TREE)} + 1] AS path FROM documents) t WHERE NOT (" + " OR ".join(f"regexp_matches(path, '{X.glob_pattern(g)}')" for g in X.ignore_patterns()) + ")")
 def ignore_pattern_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in _TREE], "path string").where(~X.ignored(F.col("path"), X.ignore_patterns()))
+    """A repository path for every document, a third of them below its source."""
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, F.concat("source", F.lit("/"))).otherwise(""), _of(_TREE, "doc_id"))
+    return table(spark, sf, "documents").select("doc_id", path.alias("path")).where(~X.ignored(F.col("path"), X.ignore_patterns()))
 
 
 _HEADED = "CASE WHEN doc_id % 3 = 0 THEN text ELSE repeat('#', CAST(doc_id % 7 AS INTEGER)) || ' ' || source || chr(10) || text END"
@@ -487,9 +504,15 @@ def truncate_for_embedding(spark: SparkSession, sf: str) -> DataFrame:
 _CODE_TEXTS = ["import x from 'react'; import './local'; const a = require(\"fs\")", "from numpy import array\nfrom .own import b", "using System.Text;\npackage main", "nothing here", "import 'a'; import 'a'; import 'b'"]
 
 
-@query("WITH s AS (SELECT i, t FROM (VALUES " + ", ".join("({}, '{}')".format(i, t.replace("'", "''")) for i, t in enumerate(_CODE_TEXTS)) + ") v(i, t)), f AS (SELECT i, list_filter(" + "list_concat(" * (len(X.IMPORT_PATTERNS) - 1) + "regexp_extract_all(t, '{}', 1)".format(X.IMPORT_PATTERNS[0].replace("'", "''")) + "".join(", regexp_extract_all(t, '{}', 1))".format(p.replace("'", "''")) for p in X.IMPORT_PATTERNS[1:]) + ", lambda x: x <> '' AND NOT starts_with(x, '.')) AS l FROM s) SELECT CAST(i AS INTEGER) AS id, array_to_string(list_reduce(l, lambda a, w: CASE WHEN list_contains(a, w) THEN a ELSE list_append(a, w) END, CAST([] AS VARCHAR[]))[1:10], ',') AS modules FROM f")
+_QUOTED = ", ".join("'" + t.replace("'", "''") + "'" for t in _CODE_TEXTS)
+_FOUND = "list_concat(" * (len(X.IMPORT_PATTERNS) - 1) + "regexp_extract_all(t, '{}', 1)".format(X.IMPORT_PATTERNS[0].replace("'", "''")) + "".join(", regexp_extract_all(t, '{}', 1))".format(p.replace("'", "''")) for p in X.IMPORT_PATTERNS[1:])
+
+
+@query(f"WITH s AS (SELECT doc_id, replace([{_QUOTED}][doc_id % {len(_CODE_TEXTS)} + 1], 'react', source) || ' ' || text AS t FROM documents), f AS (SELECT doc_id, list_filter({_FOUND}, lambda x: x <> '' AND NOT starts_with(x, '.')) AS l FROM s) SELECT doc_id, array_to_string(list_reduce(l, lambda a, w: CASE WHEN list_contains(a, w) THEN a ELSE list_append(a, w) END, CAST([] AS VARCHAR[]))[1:10], ',') AS modules FROM f")
 def import_statements(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(_CODE_TEXTS)), "id int, t string").select("id", F.array_join(X.imports(F.col("t")), ",").alias("modules"))
+    """Documents that begin with a line of code."""
+    t = F.concat(F.replace(_of(_CODE_TEXTS, "doc_id"), F.lit("react"), F.col("source")), F.lit(" "), "text")
+    return table(spark, sf, "documents").select("doc_id", F.array_join(X.imports(t), ",").alias("modules"))
 
 
 # --- chunks ---------------------------------------------------------------------------------------
@@ -516,38 +539,48 @@ def chunk_global_index(spark: SparkSession, sf: str) -> DataFrame:
     return C.global_index(_windows(spark, sf)).select("doc_id", "chunk_index", "global_index")
 
 
-def _joined(spark: SparkSession, sf: str, strategy: str) -> DataFrame:
-    """Chunks without overlap put together again, without white space; and whether all keep to the size."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    parts = C.chunk_documents(docs, ChunkOptions(chunk_overlap=0), strategy=strategy).groupBy("doc_id")
-    parts = parts.agg(F.sort_array(F.collect_list(F.struct("chunk_index", "content"))).alias("parts"), (F.max("chunk_size") <= 512).alias("fits"))
-    return parts.select("doc_id", F.md5(F.regexp_replace(F.array_join(F.col("parts.content"), ""), r"\s", "")).alias("body"), "fits")
+def _pieces_sql(separators: list[str], size: int, overlap: int) -> str:
+    """Chunk boundaries in SQL: pieces that are too long are cut after one separator after the other, then neighbours are joined greedily."""
+    ctes, quote = ["p0 AS (SELECT doc_id, text, [text] AS p FROM documents WHERE text IS NOT NULL)"], lambda x: "'" + x.replace("'", "''") + "'"
+    for k, sep in enumerate(x for x in separators if x):
+        text = quote(sep) if "\n" not in sep else " || chr(10) || ".join(quote(x) for x in sep.split("\n"))
+        cut = f"list_filter(string_split(replace(x, {text}, {text} || chr(1)), chr(1)), lambda y: y <> '')"
+        ctes.append(f"p{k + 1} AS (SELECT doc_id, text, flatten(list_transform(p, lambda x: CASE WHEN length(x) > {size} THEN {cut} ELSE [x] END)) AS p FROM p{k})")
+    last = len(ctes) - 1
+    # ends of the pieces, which are the starts of those that follow
+    ctes.append(f"u AS (SELECT doc_id, i, CAST(sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS e FROM (SELECT doc_id, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM p{last}))")
+    ctes.append("c AS (SELECT doc_id, any_value(text) AS text, any_value(length(text)) AS n, list(e ORDER BY i) AS c FROM u JOIN p0 USING (doc_id) GROUP BY doc_id)")
+    ctes.append(f"r(doc_id, s, e, k) AS (SELECT doc_id, CAST(0 AS BIGINT), list_max(list_filter(c, lambda x: x <= {size})), 0 FROM c UNION ALL SELECT doc_id, s, list_max(list_filter(c, lambda x: x <= s + {size})), k FROM (SELECT doc_id, c, list_min(list_filter(c, lambda x: x > s AND x <= e AND x >= e - {overlap} AND x >= ne - {size})) AS s, k + 1 AS k FROM (SELECT r.*, c.c, list_min(list_filter(c.c, lambda y: y > r.e)) AS ne FROM r JOIN c USING (doc_id) WHERE r.e < c.n)))")
+    ctes.append("b AS (SELECT doc_id, k, s, substring(text, s + 1, e - s) AS t FROM r JOIN c USING (doc_id))")
+    ctes.append(r"t AS (SELECT doc_id, k, s + length(t) - length(regexp_replace(t, '^\s+', '')) AS s, regexp_replace(t, '^\s+|\s+$', '', 'g') AS content FROM b WHERE regexp_matches(t, '\S'))")
+    ctes.append("w AS (SELECT *, lead(s) OVER (PARTITION BY doc_id ORDER BY k) AS next FROM t)")
+    return f"WITH RECURSIVE {', '.join(ctes)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, md5(content) AS body, CAST(length(content) AS INTEGER) AS chunk_size FROM w WHERE next IS NULL OR next <> s"
 
 
-_JOINED = r"SELECT doc_id, md5(regexp_replace(text, '\s', '', 'g')) AS body, true AS fits FROM documents WHERE regexp_matches(text, '\S')"
+def _chunked(spark: SparkSession, sf: str, strategy: str, o: ChunkOptions) -> DataFrame:
+    docs = table(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text").alias("content"))
+    return C.chunk_documents(docs, o, strategy=strategy).select("doc_id", "chunk_index", F.md5("content").alias("body"), "chunk_size")
 
 
-@query(_JOINED)
+@query(_pieces_sql(C.RECURSIVE, 512, 0))
 def chunk_recursive(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf, "recursive")
+    return _chunked(spark, sf, "recursive", ChunkOptions(chunk_overlap=0))
 
 
-@query(_JOINED)
+@query(_pieces_sql(C.CODE, 512, 0))
 def chunk_code(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf, "code")
+    return _chunked(spark, sf, "code", ChunkOptions(chunk_overlap=0))
 
 
-@query(_JOINED)
+@query(_pieces_sql(C.MARKDOWN, 300, 0))
 def chunk_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    return _joined(spark, sf, "markdown")
+    return _chunked(spark, sf, "markdown", ChunkOptions(chunk_size=300, chunk_overlap=0))
 
 
-@query(r"SELECT doc_id, true AS inside, true AS in_order FROM documents WHERE regexp_matches(text, '\S')")
+@query(_pieces_sql(C.RECURSIVE, 512, 50))
 def chunk_overlapping(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks with overlap: each is a part of its text, and they are numbered from 0."""
-    docs = table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"))
-    parts = C.chunk_documents(docs, ChunkOptions(), strategy="recursive").join(docs.withColumnRenamed("content", "whole"), "doc_id")
-    return parts.groupBy("doc_id").agg(F.min(F.col("whole").contains(F.col("content"))).alias("inside"), (F.max("chunk_index") + 1 == F.count("*")).alias("in_order"))
+    """Chunks of the default size that begin with the end of the one before."""
+    return _chunked(spark, sf, "recursive", ChunkOptions())
 
 
 @query("SELECT 'doc' || doc_id AS chunk_id, text AS content, source, CAST(0 AS INTEGER) AS chunk_index FROM documents")
@@ -573,17 +606,17 @@ def load_totals(spark: SparkSession, sf: str) -> DataFrame:
 _SCALARS = ["./src/a b.py", "..\\x", "owner/repo.js", "a/b/c", "host.example", "y" * 1001]
 
 
-@query(r"SELECT i AS id, regexp_replace(x, '^[./\\]+', '') AS stripped, regexp_matches(x, '^[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+$') AS is_owner_repo, regexp_matches(x, '^[a-zA-Z0-9.-]+$') AS is_host, CASE WHEN length(x) > 1000 THEN left(x, 1000) || chr(10) || '... (truncated)' ELSE x END AS excerpt, regexp_replace(x, '[^a-zA-Z0-9]', '_', 'g') AS safe FROM (VALUES " + ", ".join("(CAST({} AS INTEGER), '{}')".format(i, x) for i, x in enumerate(_SCALARS)) + ") v(i, x)")
+@query(rf"SELECT doc_id, regexp_replace(x, '^[./\\]+', '') AS stripped, regexp_matches(x, '^[A-Za-z0-9_-]+/[A-Za-z0-9_.-]+$') AS is_owner_repo, regexp_matches(x, '^[a-zA-Z0-9.-]+$') AS is_host, CASE WHEN length(x) > 1000 THEN left(x, 1000) || chr(10) || '... (truncated)' ELSE x END AS excerpt, regexp_replace(x, '[^a-zA-Z0-9]', '_', 'g') AS safe FROM (SELECT doc_id, [{', '.join(repr(v) if chr(92) not in v else chr(39) + v + chr(39) for v in _SCALARS)}][doc_id % {len(_SCALARS)} + 1] || CAST(doc_id AS VARCHAR) AS x FROM documents) v")
 def text_scalars(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("x")
-    rows = spark.createDataFrame(list(enumerate(_SCALARS)), "id int, x string")
-    return rows.select("id", X.strip_leading_dots(x).alias("stripped"), x.rlike(U.OWNER_REPO).alias("is_owner_repo"), x.rlike(U.HOST).alias("is_host"), X.select_excerpt(x).alias("excerpt"), X.safe_file_name(x).alias("safe"))
+    rows = table(spark, sf, "documents").select("doc_id", F.concat(_of(_SCALARS, "doc_id"), "doc_id").alias("x"))
+    return rows.select("doc_id", X.strip_leading_dots(x).alias("stripped"), x.rlike(U.OWNER_REPO).alias("is_owner_repo"), x.rlike(U.HOST).alias("is_host"), X.select_excerpt(x).alias("excerpt"), X.safe_file_name(x).alias("safe"))
 
 
-@query("SELECT CAST(v AS DOUBLE) AS v, floor(v * 100 + 0.5) / 100 AS two_places, printf('%.1f', floor(v * 1000 + 0.5) / 10) || '%' AS percent FROM (VALUES (0.0025), (0.1225), (-0.005), (0.5), (1.0), (0.98765)) t(v)")
+@query("SELECT event_id, floor(v * 100 + 0.5) / 100 AS two_places, printf('%.1f', floor(v * 1000 + 0.5) / 10) || '%' AS percent FROM (SELECT event_id, (event_id % 401 - 200) / 400.0::DOUBLE + value / 1000 AS v FROM events) t")
 def rounding(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("v")
-    return spark.createDataFrame([(x,) for x in (0.0025, 0.1225, -0.005, 0.5, 1.0, 0.98765)], "v double").select("v", X.round2(v).alias("two_places"), X.percent(v).alias("percent"))
+    v = (F.col("event_id") % 401 - 200) / F.lit(400.0) + F.col("value") / 1000
+    return table(spark, sf, "events").select("event_id", X.round2(v).alias("two_places"), X.percent(v).alias("percent"))
 
 
 @query(f"WITH {_BM} SELECT doc_id AS chunk_id, round({_BMS}, 6) AS score FROM po JOIN df USING (t), st WHERE t IN ('thatin', 'ononst', 'inoran', 'hehely', 'orantion') GROUP BY doc_id ORDER BY {_BMS} DESC, doc_id LIMIT 5")
@@ -633,10 +666,13 @@ def topics_union(spark: SparkSession, sf: str) -> DataFrame:
     return T.union_topics(_topics(spark, sf)[0], spark.createDataFrame([("c1", "Shared")], "id string, name string"))
 
 
-@query("WITH c(name) AS (VALUES ('m1'), ('m2'), ('m3')), l(name) AS (VALUES ('m2'), ('own'), ('m2')) SELECT name, 'curated' AS source, name IN (SELECT name FROM l) AS downloaded FROM c UNION ALL SELECT DISTINCT name, 'local', true FROM l WHERE name NOT IN (SELECT name FROM c)")
+@query("WITH c AS (SELECT DISTINCT source AS name FROM documents WHERE doc_id % 3 > 0 AND source IS NOT NULL), l AS (SELECT source AS name FROM documents WHERE doc_id % 7 = 0 AND source IS NOT NULL UNION ALL SELECT lang FROM documents WHERE lang IS NOT NULL) SELECT name, 'curated' AS source, name IN (SELECT name FROM l) AS downloaded FROM c UNION ALL SELECT DISTINCT name, 'local', true FROM l WHERE name NOT IN (SELECT name FROM c)")
 def available_models(spark: SparkSession, sf: str) -> DataFrame:
-    names = lambda *x: spark.createDataFrame([(y,) for y in x], "name string")
-    return T.available_models(names("m1", "m2", "m3"), names("m2", "own", "m2"))
+    """Sources stand for curated models, sources and languages for those that are there."""
+    docs = table(spark, sf, "documents")
+    curated = docs.where("doc_id % 3 > 0 and source is not null").select(F.col("source").alias("name"))
+    local = docs.where("doc_id % 7 = 0 and source is not null").select(F.col("source").alias("name")).unionByName(docs.where("lang is not null").select(F.col("lang").alias("name")))
+    return T.available_models(curated, local)
 
 
 # --- stores and embedders ---------------------------------------------------------------------------
