@@ -18,10 +18,11 @@ one coordinate that completes them to norm 1. That tells little where norms diff
 block is parted by norm: a range ends where norms fall below `NORMS` of its longest, and is scaled
 by that. Ranges are read longest first, until no vector of the next can reach the k-th best.
 
-Scale. The arrays are built for blocks of `BLOCK` vectors and read by blocks of `QUERIES`
-queries; every vector is indexed. A task holds one block of each. Per query and block only the
-best k leave a task. The number of cells is (queries / QUERIES) * (vectors / BLOCK): the stated
-query set meets all rows in blocks.
+Scale. The arrays are built once for each block of `BLOCK` vectors; every vector is indexed. A task holds a block and
+reads the queries after it, `QUERIES` at a time; only a table of few blocks is built several times, so that all
+cores have some of its queries. Per query and block only the best k leave a task. The stated query set meets
+all rows in blocks: queries are copied to each block, vectors are not. With `exact=True` nothing is left to chance: a vector is out only if its
+lower bound is above the k-th best distance.
 
 Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component take no
 part. An inner product needs equal lengths: a query's candidates are the vectors of its own length.
@@ -40,10 +41,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import kernels as K_
 from .scratch import written
 
 K, EVERY = 20, 20
 BLOCK, QUERIES = 16384, 1024
+#: Queries for which a block's arrays are worth building once more, on another core.
+LEAST = 256
 NORMS, STEP, SURE = 0.8, 64, 3.0
 #: Half the widths of the windows, in spreads of a projection: the root of the functions' number, inverted.
 NARROW, WIDE = 0.12, (1.2, 1.6, 2.0, 2.5, 3.2)
@@ -105,7 +109,7 @@ class Arrays:
         parts = [o[a:b] for o, a, b in zip(self.order, starts, ends, strict=True) if b > a]
         return np.bincount(np.concatenate(parts), minlength=len(self.ids)) if parts else np.zeros(len(self.ids), np.int64)
 
-    def search(self, query: np.ndarray, own: int, best: Best, windows: np.ndarray) -> int:
+    def search(self, query: np.ndarray, own: int, best: Best, windows: np.ndarray, exact: bool = False) -> int:
         """Put into best all vectors that belong there; the number verified."""
         length = float(np.sqrt(query @ query))
         if self.longest * length * (1 + 1e-9) < best.least:
@@ -129,7 +133,8 @@ class Arrays:
         some = open_ if len(open_) <= STEP else open_[np.argpartition(bound[open_], STEP)[:STEP]]
         best.put(self.vectors, self.ids, some, query)
         todo[some] = False
-        rest = np.flatnonzero(todo & (bound <= self.threshold(2 - 2 * best.least / (length * self.longest))))
+        square = 2 - 2 * best.least / (length * self.longest)
+        rest = np.flatnonzero(todo & (bound <= (square + 1e-9 if exact else self.threshold(square))))
         best.put(self.vectors, self.ids, rest, query)
         return verified + len(some) + len(rest)
 
@@ -165,38 +170,61 @@ def ranges(ids: np.ndarray, vectors: np.ndarray) -> list[Arrays]:
     return out
 
 
-def _search(k: int):
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        matrix = lambda t: t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(t.num_rows, -1)
-        q_ids, ids, q, x = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy(), matrix(left), matrix(right)
-        block = ranges(ids, x)
-        out: list[list[np.ndarray]] = [[], [], []]
-        windows = [arrays.windows(q) for arrays in block]
-        for i, (one, own) in enumerate(zip(q, q_ids.tolist(), strict=True)):
-            best = Best(k)
-            for arrays, edges in zip(block, windows, strict=True):
-                arrays.search(one, own, best, edges[i])
-            for col, y in zip(out, (np.full(len(best.ids), own), best.ids, best.scores), strict=True):
-                col.append(y)
-        return pa.table(dict(zip(empty.column_names, (pa.array(np.concatenate(c)) for c in out), strict=True)))
+def _search(k: int, exact: bool):
+    """Rows come sorted by cell, the vectors of its block before its queries. The arrays of a block are built once in a task, and queries are read batch by batch."""
+    names = ["query_id", "vec_id", "score"]
+
+    def run(batches):
+        key, ids, held, block = None, [], [], None
+        matrix = lambda col, n: col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        for batch in K_.portions(batches, QUERIES):
+            out: list[list[np.ndarray]] = [[np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]]
+            cells, kind = batch.column("cell").to_numpy(), batch.column("kind").to_numpy()
+            # runs of one cell and kind
+            edges = [0, *(np.flatnonzero((np.diff(cells) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(cells)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if cells[a] != key:
+                    key, ids, held, block = cells[a], [], [], None
+                own, x = batch.column("vec_id").slice(a, b - a).to_numpy(), matrix(batch.column("v").slice(a, b - a), b - a)
+                if kind[a] == 0:
+                    ids.append(own)
+                    held.append(x)
+                    continue
+                if block is None:
+                    block = ranges(np.concatenate(ids), np.concatenate(held)) if ids else []
+                    ids, held = [], []
+                windows = [arrays.windows(x) for arrays in block]
+                for i, (one, me) in enumerate(zip(x, own.tolist(), strict=True)):
+                    best = Best(k)
+                    for arrays, at in zip(block, windows, strict=True):
+                        arrays.search(one, me, best, at[i], exact)
+                    for col, y in zip(out, (np.full(len(best.ids), me), best.ids, best.scores), strict=True):
+                        col.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names=names)
 
     return run
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of vectors(vec_id, v, norm) for each of queries(vec_id, v)."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, *, exact: bool = False) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of vectors(vec_id, v, norm) for each of queries(vec_id, v).
+
+    `exact` verifies every vector whose lower bound doesn't rule it out, not only those that are likely to be near.
+    """
+    spark = vectors.sparkSession
     # one row for each length of vectors
     lengths = vectors.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    lengths = lengths.join(queries.groupBy(F.size("v").alias("dim")).agg(F.ceil(F.count("*") / F.lit(QUERIES)).cast("int").alias("q_blocks")), "dim")
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    # queries are parted only as far as a table of few blocks needs it to use all cores
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    lengths = lengths.withColumn("parts", F.ceil(F.lit(cores) / F.col("blocks")).cast("int"))
+    lengths = lengths.join(queries.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("asked")), "dim")
+    lengths = lengths.withColumn("parts", F.least("parts", F.ceil(F.col("asked") / F.lit(LEAST)).cast("int")))
+    deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = queries.withColumn("dim", F.size("v")).join(lengths, "dim").select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.col("dim").alias("dim"), block("q_blocks").alias("qb"), each("blocks").alias("vb"))
-    right = vectors.withColumn("dim", F.size("v")).join(lengths, "dim").select(F.col("vec_id").alias("vec_id"), F.col("v").alias("v"), F.col("dim").alias("dim"), block("blocks").alias("vb"), each("q_blocks").alias("qb"))
-    cells = left.groupBy("dim", "qb", "vb").cogroup(right.groupBy("dim", "qb", "vb"))
-    hits = cells.applyInArrow(_search(k), "query_id long, vec_id long, score double")
+    left = queries.withColumn("dim", F.size("v")).join(lengths, "dim").select("dim", deal("parts").alias("part"), each("blocks").alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
+    right = vectors.withColumn("dim", F.size("v")).join(lengths, "dim").select("dim", each("parts").alias("part"), deal("blocks").alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
+    cells = right.unionByName(left).withColumn("cell", F.xxhash64("dim", "block", "part"))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cores)
+    hits = cells.repartition(partitions, "cell").sortWithinPartitions("cell", "kind").select("cell", "kind", "vec_id", "v").mapInArrow(_search(k, exact), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

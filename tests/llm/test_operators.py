@@ -666,22 +666,23 @@ def test_nearest(spark, monkeypatch):
     good = nearest.valid(df)
     usable = [(i, np.array(v)) for i, v in rows if i is not None and v and len(v) == 16 and None not in v and np.isfinite(v).all() and any(v)]
     ids, x = np.array([i for i, _ in usable]), np.array([v for _, v in usable])
-    for block, least in ((8192, 0.9), (500, 0.9)):
+    monkeypatch.setattr(nearest, "LEAST", 8)
+    for block, least, exact in ((8192, 0.9, False), (500, 0.9, False), (500, 1.0, True), (8192, 1.0, True)):
         monkeypatch.setattr(nearest, "BLOCK", block)
         got = collections.defaultdict(list)
-        for r in nearest.nearest(good, good.where("vec_id % 20 = 0").dropDuplicates(["vec_id"])).orderBy("query_id", "rank").collect():
+        for r in nearest.nearest(good, good.where("vec_id % 20 = 0").dropDuplicates(["vec_id"]), exact=exact).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r.vec_id, r.score))
-        found = 0
+        found = total = 0
         queries = sorted({i for i in ids.tolist() if i % 20 == 0})
         for q in queries:
             s = x @ x[list(ids).index(q)]
             keep = ids != q
             order = np.lexsort((ids[keep], -s[keep]))[:20]
             want = ids[keep][order].tolist()
-            found += len(set(want) & {i for i, _ in got[q]})
+            found, total = found + len(set(want) & {i for i, _ in got[q]}), total + len(set(want))  # one id is there twice
             assert len(got[q]) == 20 and [t for _, t in got[q]] == sorted((t for _, t in got[q]), reverse=True)
             assert all(abs(t - float(x[list(ids).index(i)] @ x[list(ids).index(q)])) < 1e-9 for i, t in got[q])
-        assert found >= least * 20 * len(queries)
+        assert found >= least * total
     few = nearest.valid(df.where("vec_id < 4"))
     assert nearest.nearest(few, few).count() == 12
     assert nearest.nearest(nearest.valid(df.limit(0)), nearest.valid(df.limit(0))).count() == 0
@@ -730,10 +731,11 @@ def test_nearest_in_a_full_block(norms):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     size = {"equal": np.ones(len(x)), "uniform": draw.uniform(0.5, 1, len(x)), "lognormal": draw.lognormal(0, 0.3, len(x)), "outlier": np.where(np.arange(len(x)) == 5, 100.0, 1.0)}[norms]
     x *= size[:, None]
-    part = lambda n: pa.table({"vec_id": np.arange(n), "v": pa.array(list(x[:n]))})
+    part = lambda n, kind: pa.record_batch({"cell": np.zeros(n, np.int64), "kind": np.full(n, kind), "vec_id": np.arange(n), "v": pa.array(list(x[:n]))})
     got = collections.defaultdict(set)
-    for r in nearest._search(20)(None, part(60), part(len(x))).to_pylist():
-        got[r["query_id"]].add(r["vec_id"])
+    for batch in nearest._search(20, False)(iter([part(len(x), 0), part(60, 1)])):
+        for r in batch.to_pylist():
+            got[r["query_id"]].add(r["vec_id"])
     for q in range(60):
         s = x @ x[q]
         s[q] = -np.inf
