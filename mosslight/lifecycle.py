@@ -15,7 +15,7 @@ from .operators.embed import HashingEmbedder
 from .plans import agent as A
 from .plans import planner as P
 from .plans.ingest import ingest, ingest_documents
-from .queries import _A, _B, _FIXED, _KIND, _TURNS, CH, KEYWORDS, ORACLES, TEXT, _scratch, _stored, _turns, _windows, chunks, hybrid_sql, query, rnd, table, vector
+from .queries import _A, _B, _FIXED, _KIND, _TURNS, CH, KEYWORDS, ORACLES, TEXT, _html_sql, _scratch, _stored, _turns, _windows, chunks, hybrid_sql, query, rnd, table, vector
 from .sources import catalog as T
 from .sources import readers as L
 from .sources.store import ChunkStore, ModelMismatch
@@ -179,6 +179,19 @@ def ingest_folder(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r.documents, catalog.stats(topic["id"])["document_count"], rows.select("doc_id").distinct().count() if same else -1, r.success, len(seen) + 1, len(r.failures))], "documents long, topic_documents long, again long, success boolean, reports int, failures int")
 
 
+_PARTS = [("nav li > a", "(?s)<a [^>]*>(.*?)</a>"), ("div.ad, footer", "(?s)<div class=\"ad\">(.*?)</div>|<footer>(.*?)</footer>"), ("article > h1", "(?s)<h1>(.*?)</h1>"), ("html[lang=en] title", "(?s)<html lang=\"en\">.*?<title>(.*?)</title>")]
+
+
+@query(" UNION ALL ".join(f"SELECT url AS file_path, '{css}' AS selector, {_html_sql(f'array_to_string(regexp_extract_all(html, {chr(39)}{pattern}{chr(39)}, 0), {chr(39)} {chr(39)})' if 'lang' not in pattern else f'regexp_extract(html, {chr(39)}{pattern}{chr(39)}, 1)')} AS content FROM pages WHERE NOT (contains(url, 'login') OR contains(url, 'signin') OR contains(url, 'auth') OR contains(html, 'type=\"password\"'))" for css, pattern in _PARTS))
+def web_selectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The texts that some selectors name in every page."""
+    out = None
+    for css, _ in _PARTS:
+        own = L.web_pages(table(spark, sf, "pages"), selector=css).select("file_path", F.lit(css).alias("selector"), "content")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 _BODY = r"md5(regexp_replace({}, '\s', '', 'g'))"
 
 

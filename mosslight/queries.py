@@ -666,7 +666,7 @@ def topics_union(spark: SparkSession, sf: str) -> DataFrame:
     return T.union_topics(_topics(spark, sf)[0], spark.createDataFrame([("c1", "Shared")], "id string, name string"))
 
 
-@query("WITH c AS (SELECT DISTINCT source AS name FROM documents WHERE doc_id % 3 > 0 AND source IS NOT NULL), l AS (SELECT source AS name FROM documents WHERE doc_id % 7 = 0 AND source IS NOT NULL UNION ALL SELECT lang FROM documents WHERE lang IS NOT NULL) SELECT name, 'curated' AS source, name IN (SELECT name FROM l) AS downloaded FROM c UNION ALL SELECT DISTINCT name, 'local', true FROM l WHERE name NOT IN (SELECT name FROM c)")
+@query("WITH c AS (SELECT DISTINCT source AS name FROM documents WHERE doc_id % 3 > 0 AND source IS NOT NULL), l AS (SELECT source AS name FROM documents WHERE doc_id % 7 = 0 AND source IS NOT NULL UNION ALL SELECT lang FROM documents WHERE lang IS NOT NULL) SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY name) AS INTEGER) AS place FROM (SELECT name, 'curated' AS source, name IN (SELECT name FROM l) AS downloaded FROM c UNION ALL SELECT DISTINCT name, 'local', true FROM l WHERE name NOT IN (SELECT name FROM c))")
 def available_models(spark: SparkSession, sf: str) -> DataFrame:
     """Sources stand for curated models, sources and languages for those that are there."""
     docs = table(spark, sf, "documents")

@@ -12,7 +12,7 @@ import zipfile
 import zlib
 from datetime import UTC, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -268,14 +268,24 @@ class Catalog:
 # matching of names, as tables ---------------------------------------------------------------
 
 
+def folded(name: Column) -> Column:
+    """A name that equals others in whatever case, of any script."""
+    return F.collate(name, "UTF8_LCASE")
+
+
+def in_order(name: Column) -> Column:
+    """A name to sort by: accents and case after letters, as in the root locale of Unicode."""
+    return F.collate(name, "UNICODE")
+
+
 def exact_topic(topics: DataFrame, requested: DataFrame) -> DataFrame:
     """Requests with the topic of the same name, in whatever case."""
-    return requested.join(topics, F.lower(requested["requested"]) == F.lower(topics["name"]), "left")
+    return requested.join(topics, folded(requested["requested"]) == folded(topics["name"]), "left")
 
 
 def name_conflicts(a: DataFrame, b: DataFrame) -> DataFrame:
     """Topics of a whose name b has."""
-    return a.join(b.select(F.lower("name").alias("_n")), F.lower(a["name"]) == F.col("_n"), "left_semi")
+    return a.join(b.select(folded(F.col("name")).alias("_n")), folded(a["name"]) == F.col("_n"), "left_semi")
 
 
 def most_similar_topic(topics: DataFrame, vector: list[float]) -> DataFrame:
@@ -298,11 +308,12 @@ def topic_stats(topics: DataFrame, documents: DataFrame, metadata: DataFrame) ->
 
 
 def available_models(curated: DataFrame, local: DataFrame) -> DataFrame:
-    """Curated models with whether they are downloaded, then local ones that aren't curated, by name."""
+    """Curated models with whether they are downloaded, then local ones that aren't curated; `place` numbers each of both kinds by name."""
     have = local.select(F.col("name").alias("_n")).distinct().withColumn("downloaded", F.lit(True))
     a = curated.select("name").distinct().join(have, F.col("name") == F.col("_n"), "left").select("name", F.lit("curated").alias("source"), F.coalesce("downloaded", F.lit(False)).alias("downloaded"))
     b = local.select("name").distinct().join(curated, "name", "left_anti").select("name", F.lit("local").alias("source"), F.lit(True).alias("downloaded"))
-    return a.unionByName(b)
+    place = F.row_number().over(Window.partitionBy("source").orderBy(in_order(F.col("name")), "name"))
+    return a.unionByName(b).withColumn("place", place)
 
 
 def discover_models(spark: SparkSession, root: str) -> list[str]:

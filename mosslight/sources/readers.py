@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as X
 from ..functions import urls as U
+from ..functions.selector import selected_html
 
 #: content type -> reader(spark, paths, options) of (file_path, content, file_size, ...)
 READERS: dict[str, Callable[..., DataFrame]] = {}
@@ -117,17 +118,18 @@ def read_repository(spark: SparkSession, paths: list[str], ignore: str = X.DEFAU
 
 
 @reader("web")
-def read_pages(spark: SparkSession, paths: list[str], **_) -> DataFrame:
+def read_pages(spark: SparkSession, paths: list[str], selector: str | None = None, **_) -> DataFrame:
     """Parquet tables of fetched pages (url, html, and status where known)."""
-    return web_pages(spark.read.parquet(*paths))
+    return web_pages(spark.read.parquet(*paths), selector=selector)
 
 
-def web_pages(pages: DataFrame, *, url: str = "url", html: str = "html", status: str = "status") -> DataFrame:
-    """Usable pages as documents; pages behind a login or with an error are left out."""
+def web_pages(pages: DataFrame, *, url: str = "url", html: str = "html", status: str = "status", selector: str | None = None) -> DataFrame:
+    """Usable pages as documents; pages behind a login or with an error are left out. A CSS selector takes the text of the elements that it names."""
     code: Column = F.col(status) if status in pages.columns else F.lit(200)
     refused = U.auth_gate(code, F.col(url), F.col(html))
     rows = pages.where(refused.isNull())
-    return rows.select(F.col(url).alias("file_path"), H.html_to_text(F.col(html)).alias("content"), F.octet_length(F.col(html)).cast("long").alias("file_size"), H.html_title(F.col(html), F.col(url)).alias("title"))
+    body = F.col(html) if selector is None else selected_html(F.col(html), selector)
+    return rows.select(F.col(url).alias("file_path"), H.html_to_text(body).alias("content"), F.octet_length(F.col(html)).cast("long").alias("file_size"), H.html_title(F.col(html), F.col(url)).alias("title"))
 
 
 def list_files(spark: SparkSession, directory: str, recursive: bool = True, extensions: list[str] | None = None) -> DataFrame:

@@ -247,3 +247,15 @@ def test_many_vectors_in_one_scan(spark, tmp_path):
             assert [(r.chunk_id, r.score) for r in found.where(f"sub_idx = {i}").orderBy("rank").collect()] == one[i]
     assert N.knn_many(chunks.limit(0), queries, 3).count() == 0 and N.knn_batch(chunks.limit(0), table, 3).count() == 0
     assert AgentOptions().top_k == 5 and ChunkOptions().chunk_size == 512
+
+
+def test_names_in_any_case_and_order(spark):
+    from mosslight.sources import catalog as T
+
+    names = lambda *x: spark.createDataFrame([(y,) for y in x], "name string")
+    topics = names("ÉCOLE", "straße", "Ночь", "plain")
+    asked = spark.createDataFrame([("école",), ("STRASSE",), ("НОЧЬ",), ("Plain",)], "requested string")
+    assert {r.requested: r.name for r in T.exact_topic(topics, asked).collect()} == {"école": "ÉCOLE", "STRASSE": None, "НОЧЬ": "Ночь", "Plain": "plain"}
+    assert sorted(r.name for r in T.name_conflicts(topics, names("école", "PLAIN", "x")).collect()) == ["plain", "ÉCOLE"]
+    local = T.available_models(names("m"), names("Zeta", "alpha", "éclair", "Eclair", "echo", "m")).where("source = 'local'")
+    assert [r.name for r in local.orderBy("place").collect()] == ["alpha", "echo", "Eclair", "éclair", "Zeta"]
