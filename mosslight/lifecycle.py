@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import os
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,15 +129,46 @@ def store_metadata(spark: SparkSession, sf: str) -> DataFrame:
 # --- files ------------------------------------------------------------------------------------------
 
 
+#: Folders that hold a file for each document: few to list, and of few files each.
+FOLDERS = 64
+
+
+def _put(base: str):
+    """Each row a file named by its id, below the folder of its number; rows come sorted, and a repeated id gets a number more."""
+
+    def run(batches):
+        last, nth = None, 0
+        for batch in batches:
+            for folder, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                nth = nth + 1 if (folder, doc_id) == last else 0
+                last = (folder, doc_id)
+                os.makedirs(own := f"{base}/part={folder}", exist_ok=True)
+                with open(f"{own}/doc_id={doc_id}{f'-{nth}' if nth else ''}.txt", "wb") as f:
+                    f.write(text + b"\n")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    return run
+
+
 def _folder(spark: SparkSession, sf: str) -> str:
-    """Every document as a text file of its own, below a folder named by its id."""
+    """Every document as a text file of its own, named by its id.
+
+    In a shared folder that is mounted the tasks write the files: Hadoop's local file system starts a process for each
+    file to set its rights. Into other stores Spark writes them, a folder for each.
+    """
     path = f"{_scratch(spark)}/files"
-    table(spark, sf, "documents").where("text is not null").select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    docs = table(spark, sf, "documents").where("text is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)).alias("part"), "doc_id", "text")
+    local = re.fullmatch("(?:file:(?://)?)?(/.*)", path)
+    if local:
+        rows = docs.repartition("part").sortWithinPartitions("part", "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
+        rows.mapInArrow(_put(local[1]), "n long").agg(F.sum("n")).collect()
+    else:
+        docs.repartition("part").write.partitionBy("part", "doc_id").text(path)
     return path
 
 
 def _file_id() -> Column:
-    return F.regexp_extract("file_path", "doc_id=([0-9]+)", 1).cast("long").alias("doc_id")
+    return F.regexp_extract("file_path", "doc_id=(-?[0-9]+)", 1).try_cast("long").alias("doc_id")
 
 
 @query("SELECT doc_id, md5(text || chr(10)) AS content, CAST(strlen(text) + 1 AS BIGINT) AS file_size, kind AS file_type, kind = 'markdown' AS is_markdown, 'x' AS label, 1 AS failures FROM documents, (VALUES ('text'), ('markdown')) k(kind) WHERE text IS NOT NULL")
@@ -158,7 +192,7 @@ def listed_files(spark: SparkSession, sf: str) -> DataFrame:
 def load_repository(spark: SparkSession, sf: str) -> DataFrame:
     """A checkout without its ignored paths."""
     docs, _ = L.load_documents(spark, [_folder(spark, sf)], file_type="github", ignore="doc_id=1*, **/_SUCCESS", branch="b")
-    return docs.where("relative_path like 'doc_id=%' and relative_path not like '%.crc'").select(_file_id(), F.md5("content").alias("content"), "branch")
+    return docs.where("relative_path like 'part=%' and relative_path not like '%.crc'").select(_file_id(), F.md5("content").alias("content"), "branch")
 
 
 @query("SELECT url AS file_path, CAST(strlen(html) AS BIGINT) AS file_size FROM pages WHERE NOT (contains(url, 'login') OR contains(url, 'signin') OR contains(url, 'auth') OR contains(html, 'type=\"password\"') OR contains(html, 'type=' || chr(39) || 'password' || chr(39)))")

@@ -32,6 +32,8 @@ def reader(name: str):
 
 #: Bytes of a file that Spark reads as one value, at most.
 MAX_BYTES = 2**31 - 1 - 2**20
+#: Tasks per core that a scan of many small files is cut into.
+TASKS = 4
 
 
 def any_case(ext: str) -> str:
@@ -44,10 +46,15 @@ def plain_path(c: Column) -> Column:
     return F.regexp_replace(c, "^file:/+", "/")
 
 
+def in_tasks(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """A scan of files in TASKS tasks per core at most: Spark reckons 4 MB for opening a file, so small ones would be a task for every 32."""
+    return files.coalesce(TASKS * spark.sparkContext.defaultParallelism)
+
+
 def _files(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
     """(path, length, content) of files; below folders those that a glob names. Spark lists them, in parallel where they are many."""
     source = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return (source.option("pathGlobFilter", glob) if glob else source).load([escaped(p) for p in paths])
+    return in_tasks(spark, (source.option("pathGlobFilter", glob) if glob else source).load([escaped(p) for p in paths]))
 
 
 def escaped(path: str) -> str:
@@ -55,9 +62,9 @@ def escaped(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _whole(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
+def _whole(spark: SparkSession, paths: list[str], recursive: bool = False, files: DataFrame | None = None) -> DataFrame:
     """One row per file: (file_path, content, file_size, load_error). A file too large for one value is a row with an error."""
-    raw = _files(spark, paths, recursive, glob)
+    raw = _files(spark, paths, recursive) if files is None else files
     # bytes are decoded as UTF-8; what isn't valid becomes U+FFFD instead of failing the load
     good = raw.where(F.col("length") <= MAX_BYTES).select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("file_size"), F.lit(None).cast("string").alias("load_error"))
     large = raw.where(F.col("length") > MAX_BYTES).select(F.col("path").alias("file_path"), F.lit(None).cast("string").alias("content"), F.col("length").alias("file_size"), F.concat(F.lit("file of "), "length", F.lit(" bytes is too large")).alias("load_error"))
@@ -65,9 +72,9 @@ def _whole(spark: SparkSession, paths: list[str], recursive: bool = False, glob:
 
 
 @reader("text")
-def read_text(spark: SparkSession, paths: list[str], recursive: bool = False, glob: str | None = None, **_) -> DataFrame:
-    """One row per file."""
-    return _whole(spark, paths, recursive, glob)
+def read_text(spark: SparkSession, paths: list[str], recursive: bool = False, files: DataFrame | None = None, **_) -> DataFrame:
+    """One row per file; `files` are those of the paths, where they are listed already."""
+    return _whole(spark, paths, recursive, files)
 
 
 @reader("markdown")
@@ -82,11 +89,11 @@ def read_html(spark: SparkSession, paths: list[str], **options) -> DataFrame:
 
 
 @reader("pdf")
-def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], list[str]] | None = None, split_pages: bool = False, separator: str = "\n", recursive: bool = False, glob: str | None = None, **_) -> DataFrame:
+def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], list[str]] | None = None, split_pages: bool = False, separator: str = "\n", recursive: bool = False, files: DataFrame | None = None, **_) -> DataFrame:
     """PDF files by a parser that gives the pages' texts; none is bundled. A file at which it raises is a row with `load_error`."""
     if parser is None:
         raise RuntimeError("reading PDF files needs parser=: a function from bytes to the texts of the pages")
-    raw = _files(spark, paths, recursive, glob).select("path", "content", "length")
+    raw = (_files(spark, paths, recursive) if files is None else files).select("path", "content", "length")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -174,7 +181,7 @@ def load_documents(spark: SparkSession, paths: list[str], *, file_type: str | No
     """
     failures: list[tuple[str, str]] = []
     single: dict[str, list[str]] = {}
-    folders: list[tuple[str, str, str]] = []
+    folders: list[tuple[str, str, DataFrame]] = []
     kinds: dict[str, list[str]] = {}
     for ext in U.SUPPORTED:
         kinds.setdefault(file_type or detect_type(f"x{ext}"), []).append(ext)
@@ -183,32 +190,21 @@ def load_documents(spark: SparkSession, paths: list[str], *, file_type: str | No
         if not exists:
             failures.append((path, "file not found or not readable"))
         elif is_dir and file_type != "github":
-            if not _has(spark, path, U.SUPPORTED, recursive):
+            # listed once per kind; kinds that aren't there are not read, and only PDF files that are need a parser
+            listed = [(kind, path, _files(spark, [path], recursive, "{" + ",".join(map(any_case, exts)) + "}")) for kind, exts in kinds.items()]
+            own = [x for x in listed if not x[2].select("path").isEmpty()]
+            folders += own
+            if not own:
                 failures.append((path, "no supported file"))
-                continue
-            for kind, exts in kinds.items():
-                # only a folder that holds PDF files needs a parser
-                if kind != "pdf" or options.get("parser") or _has(spark, path, exts, recursive):
-                    folders.append((kind, path, "{" + ",".join(map(any_case, exts)) + "}"))
         else:
             single.setdefault(file_type or detect_type(path), []).append(path)
     out = None
     # a folder is read as one: its files are listed by Spark and never by name here
     loads = [(kind, own, {"recursive": recursive} if kind == "github" else {}) for kind, own in single.items()]
-    loads += [(kind, [root], {"recursive": recursive, "glob": glob}) for kind, root, glob in folders]
+    loads += [(kind, [root], {"recursive": recursive, "files": files}) for kind, root, files in folders]
     for kind, own, more in loads:
         rows = stamped(READERS[kind](spark, own, **options, **more), kind, metadata)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError("Failed to load documents: " + "; ".join(f"{p}: {e}" for p, e in failures))
     return out, failures
-
-
-def _has(spark: SparkSession, root: str, exts: list[str], recursive: bool) -> bool:
-    """Whether there is a file with one of some extensions in a folder, or below it; the walk ends at the first."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(p, recursive)
-    while found.hasNext():
-        if found.next().getPath().getName().lower().endswith(tuple(exts)):
-            return True
-    return False

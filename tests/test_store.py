@@ -17,6 +17,7 @@ from mosslight.operators.retrieve import BM25
 from mosslight.plans.agent import Agent
 from mosslight.plans.ingest import ingest
 from mosslight.sources.catalog import Catalog
+from mosslight.sources import readers as L
 from mosslight.sources.readers import load_documents
 from mosslight.sources.snapshots import BucketTable, Conflict, bucket_of
 from mosslight.streaming import ingest as S
@@ -259,3 +260,33 @@ def test_names_in_any_case_and_order(spark):
     assert sorted(r.name for r in T.name_conflicts(topics, names("école", "PLAIN", "x")).collect()) == ["plain", "ÉCOLE"]
     local = T.available_models(names("m"), names("Zeta", "alpha", "éclair", "Eclair", "echo", "m")).where("source = 'local'")
     assert [r.name for r in local.orderBy("place").collect()] == ["alpha", "echo", "Eclair", "éclair", "Zeta"]
+
+
+def test_a_load_lists_with_spark_and_scans_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Small files share tasks, no walk asks for each file by itself, and a stream's batch reads its files once."""
+    own = tmp_path / "many"
+    for i in range(80):
+        (own / f"part={i % 40}").mkdir(parents=True, exist_ok=True)
+        (own / f"part={i % 40}" / f"doc_id={i}.txt").write_text(f"text {i}\n")
+    monkeypatch.setattr(L, "TASKS", 1)
+    docs, failures = load_documents(spark, [str(own)])
+    assert not failures and docs.count() == 80
+    # two scans, by the size of the files, of one task per core each
+    assert docs.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism
+    assert not hasattr(L, "_has")
+
+
+def test_the_folder_of_documents_has_few_folders(spark, tmp_path):
+    import pathlib
+
+    from mosslight import lifecycle as Y
+
+    sf = tmp_path / "tables"
+    rows = [(i, f"text {i}", None, None, 0) for i in range(300)] + [(5, "again", None, None, 0), (None, "none", None, None, 0), (-7, "below", None, None, 0), (301, None, None, None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    path = pathlib.Path(Y._folder(spark, str(sf)))
+    files = list(path.rglob("*.txt"))
+    assert len(files) == 303 and len(list(path.iterdir())) <= Y.FOLDERS
+    assert sorted(f.read_bytes() for f in files) == sorted(f"{r[1]}\n".encode() for r in rows if r[1] is not None)
+    got = sorted(((r.doc_id, r.file_size) for r in Y.listed_files(spark, str(sf)).collect()), key=str)
+    assert got == sorted(((r[0], len(r[1]) + 1) for r in rows if r[1] is not None), key=str)
