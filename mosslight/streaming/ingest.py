@@ -8,6 +8,7 @@ the topic holds already are left out, so a stream that starts anew adds nothing
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,20 @@ from ..functions import urls as U
 from ..operators.chunking import chunk_documents
 from ..plans.ingest import content_hash, document_type
 from ..sources.catalog import Catalog
+from ..sources.readers import TASKS, in_tasks
+
+#: How many tasks may look at the files of a batch; Spark's default is a task per file up to 10,000.
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+def listing_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings whose jobs that look at a batch's files have a few tasks per core."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if own.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set(LISTING, str(min(int(spark.conf.get(LISTING)), TASKS * spark.sparkContext.defaultParallelism)))
+    return own
 
 
 def file_stream(spark: SparkSession, folder: str, *, within: str | None = None, **source) -> DataFrame:
@@ -28,7 +43,8 @@ def file_stream(spark: SparkSession, folder: str, *, within: str | None = None,
     `within` drops files whose content came before, under whatever name, as far as the watermark over
     their times of change reaches back: the state holds a hash for each.
     """
-    raw = spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", "true").options(**source).load(folder)
+    raw = listing_session(spark).readStream.schema("path string, modificationTime timestamp, length bigint, content binary").format("binaryFile").option("recursiveFileLookup", "true").options(**source).load(folder)
+    raw = in_tasks(spark, raw)
     ext = X.extension(F.col("path"))
     body = F.decode("content", "UTF-8")
     rows = raw.where(ext != ".pdf").select(F.col("path").alias("file_path"), F.col("modificationTime").alias("modified"), F.col("length").alias("file_size"), body.alias("raw"))
@@ -46,14 +62,18 @@ def store_batch(catalog: Catalog, topic_id: str, embedder, options: ChunkOptions
     """What foreachBatch runs; again for a batch that came to its end only in part."""
     known = catalog.documents(topic_id).select("doc_id")
     table = catalog.store._own(topic_id)
+    # what the log doesn't name is set aside: files are read once, whatever follows
+    scratch = f"{catalog.root}/staging/{uuid.uuid4().hex}"
+    df.drop("modified").join(known, "doc_id", "left_anti").write.parquet(scratch)
+    fresh = catalog.spark.read.schema(df.drop("modified").schema).parquet(scratch)
     if table.snapshot()["batches"].get(stream, -1) < batch_id:
-        fresh = df.drop("modified").join(known, "doc_id", "left_anti")
         chunks = embedder.embed_documents(chunk_documents(fresh, options, strategy=options.strategy or "recursive"))
         catalog.store.append(topic_id, chunks, embedder.name, batch=(stream, batch_id))
     # the log follows what is stored, also where an earlier run stored a batch and no more
-    stored = catalog.store.open(topic_id).join(df.select("doc_id"), "doc_id", "left_semi").join(known, "doc_id", "left_anti")
+    stored = catalog.store.open(topic_id).join(fresh.select("doc_id"), "doc_id", "left_semi")
     per = stored.groupBy("doc_id", "file_path", "file_name", "content_hash").agg(F.count("*").alias("chunk_count"), F.sum("chunk_size").cast("long").alias("characters"))
     catalog.record_documents(topic_id, per.select("doc_id", F.col("file_name").alias("name"), "file_path", document_type(F.col("file_path")).alias("file_type"), "chunk_count", "characters", F.md5("content_hash").alias("content_hash")))
+    catalog.files.remove(scratch)
 
 
 def ingest_stream(spark: SparkSession, catalog: Catalog, topic_id: str, folder: str, embedder, checkpoint: str, *, options: ChunkOptions | None = None, available_now: bool = True, within: str | None = None, **source) -> StreamingQuery:
