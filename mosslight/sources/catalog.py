@@ -225,8 +225,37 @@ class Catalog:
 
     # archives -------------------------------------------------------------------------------
 
+    def export_folder(self, topic_id: str, path: str) -> str:
+        """A topic as a folder: documents and chunks in Parquet, written by the tasks, then topic.json. No row passes the driver."""
+        topic, path = self._local(topic_id), path.rstrip("/")
+        model = (self.store.metadata(topic_id) or {}).get("embedding_model") or self.index["model_name"]
+        chunks = self.store.open(topic_id)
+        self.documents(topic_id).write.parquet(f"{path}/documents")
+        if chunks is not None:
+            chunks.drop("topic_id").write.parquet(f"{path}/chunks")
+        self.files.write(f"{path}/topic.json", json.dumps({"version": VERSION, "topic": topic, "chunks": chunks is not None, "embedding_model": model, "exported_at": _now()}))
+        return path
+
+    def import_folder(self, path: str) -> dict:
+        """A topic from a folder that export_folder wrote, under a new id; a name that is taken gets the suffix (imported)."""
+        text = self.files.read(f"{path.rstrip('/')}/topic.json")
+        if text is None:
+            raise TopicError("not a topic's folder: topic.json is missing")
+        info = json.loads(text)
+        topic = self._create_imported(info)
+        if info["chunks"]:
+            self.store.create(topic["id"], self.spark.read.parquet(f"{path.rstrip('/')}/chunks"), info["embedding_model"])
+        self.record_documents(topic["id"], self.spark.read.schema(DOCUMENT).parquet(f"{path.rstrip('/')}/documents"))
+        return topic
+
+    def _create_imported(self, info: dict) -> dict:
+        name = info["topic"]["name"]
+        while any(t["name"].lower() == name.lower() for t in self.all()):
+            name += " (imported)"
+        return self.create(name, info["topic"].get("description"))
+
     def export(self, topic_id: str) -> bytes:
-        """A topic as a ZIP archive: topic.json and its chunks as JSON lines, part by part."""
+        """A topic as a ZIP archive: topic.json and its chunks as JSON lines, part by part. One file of the driver's; export_folder() is for large topics."""
         topic = self._local(topic_id)
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=9) as z:
@@ -251,10 +280,7 @@ class Catalog:
             if "topic.json" not in z.namelist():
                 raise TopicError("not a topic archive: topic.json is missing")
             info = json.loads(z.read("topic.json"))
-            name = info["topic"]["name"]
-            while any(t["name"].lower() == name.lower() for t in self.all()):
-                name += " (imported)"
-            topic = self.create(name, info["topic"].get("description"))
+            topic = self._create_imported(info)
             if "chunks.jsonl" in z.namelist():
                 schema = StructType.fromJson(json.loads(z.read("schema.json")))
                 self.files.write(f"{self.root}/import-{topic['id']}.jsonl", z.read("chunks.jsonl").decode())
