@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..config import ChunkOptions
@@ -18,6 +19,8 @@ CODE = ["\n\n", "\nclass ", "\nfunction ", "\ndef ", "\n\n", "\n", ". ", " ", ""
 MARKDOWN = ["\n# ", "\n## ", "\n### ", "\n#### ", "\n##### ", "\n###### ", "```\n", "\n\n***\n\n", "\n\n---\n\n", "\n\n___\n\n", "\n\n", "\n", " ", ""]
 SAMPLE = 20
 RANGES = 256
+#: Texts, and their bytes, that are cut at a time.
+ROWS, BYTES = 256, 2 << 20
 
 
 def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[tuple[int, int]]:
@@ -90,26 +93,43 @@ def separators(strategy: str, o: ChunkOptions) -> list[str]:
     return list(o.custom_separators) or RECURSIVE
 
 
+def _pieces(size: int, overlap: int, seps: list[str], content: str):
+    """Batches whose last column is a text, as batches of its chunks; a worker holds the chunks of ROWS texts or BYTES at a time, or of one text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, min(ROWS, batch.num_rows * BYTES // max(1, batch.nbytes)))
+            for first in range(0, batch.num_rows, step):
+                part = batch.slice(first, step)
+                of: list[int] = []
+                out: tuple[list, ...] = ([], [], [], [])
+                for row, text in enumerate(part.columns[-1].to_pylist()):
+                    line, at = 1, 0
+                    for i, (a, b) in enumerate(split_text(text or "", size, overlap, seps)):
+                        line += text.count("\n", at, a) if a >= at else -text.count("\n", a, at)
+                        at = a
+                        of.append(row)
+                        for col, x in zip(out, (i, text[a:b], line, line + text.count("\n", a, b)), strict=True):
+                            col.append(x)
+                own = [c.take(pa.array(of, pa.int64())) for c in part.columns[:-1]]
+                types = (pa.int32(), pa.string(), pa.int32(), pa.int32())
+                cols = own + [pa.array(c, t) for c, t in zip(out, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, names=[*part.schema.names[:-1], "chunk_index", content, "loc_lines_from", "loc_lines_to"])
+
+    return run
+
+
 def chunk_documents(docs: DataFrame, o: ChunkOptions | None = None, *, doc_id: str = "doc_id", content: str = "content", strategy: str | None = None) -> DataFrame:
     """All columns of docs with one row per chunk: chunk_index (in its document), content, chunk_size, chunk_id, headings, lines."""
     o = o or ChunkOptions()
     strategy = strategy or choose_strategy(docs, o, content=content, order=doc_id)
     seps, size, overlap = separators(strategy, o), o.chunk_size, o.chunk_overlap
 
-    @F.pandas_udf("array<struct<chunk_index:int,content:string,loc_lines_from:int,loc_lines_to:int>>")
-    def pieces(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for series in texts:
-            out = []
-            for text in series:
-                own, line, at = [], 1, 0
-                for i, (a, b) in enumerate(split_text(text or "", size, overlap, seps)):
-                    line += text.count("\n", at, a) if a >= at else -text.count("\n", a, at)
-                    at = a
-                    own.append({"chunk_index": i, "content": text[a:b], "loc_lines_from": line, "loc_lines_to": line + text.count("\n", a, b)})
-                out.append(own)
-            yield pd.Series(out)
-
-    rows = docs.withColumn("_piece", F.explode(pieces(F.col(content)))).drop(content).select("*", "_piece.*").drop("_piece").withColumnRenamed("content", content)
+    others = [c for c in docs.columns if c != content]
+    piece = StructType.fromDDL("chunk_index int, content string, loc_lines_from int, loc_lines_to int")
+    piece.fields[1].name = piece.names[1] = content
+    schema = StructType([docs.schema[c] for c in others] + piece.fields)
+    rows = docs.select(*others, content).mapInArrow(_pieces(size, overlap, seps, content), schema)
     return enrich(rows, o, doc_id=doc_id, content=content)
 
 
