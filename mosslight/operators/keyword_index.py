@@ -25,6 +25,8 @@ from .retrieve import bm25_weight, terms
 BUCKETS = 64
 #: Distinct terms of a set of queries up to which they are literals of the scan; beyond, they are joined.
 LITERALS = 256
+#: Terms of all queries of a set up to which these go to every task.
+BROADCAST = 200_000
 _POSTING, _TERM, _GONE = 0, 1, 2
 
 
@@ -40,8 +42,12 @@ class KeywordIndex:
     # writing ---------------------------------------------------------------------------------
 
     def _counted(self, chunks: DataFrame) -> DataFrame:
-        own = chunks.where(F.col(self.content).isNotNull()).select(self.key, terms(F.col(self.content)).alias("_t"))
-        return own.select(self.key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("term")).groupBy(self.key, "dl", "term").agg(F.count("*").alias("tf"))
+        """(key, dl, term, tf). A chunk's terms are sorted and their runs counted where it lies: no posting is shuffled to be counted."""
+        own = chunks.where(F.col(self.content).isNotNull()).select(self.key, F.sort_array(terms(F.col(self.content))).alias("_t")).where(F.size("_t") > 0)
+        first = lambda i: (i == 0) | (F.get("_t", i) != F.get("_t", i - 1))
+        own = own.select(self.key, "_t", F.filter(F.sequence(F.lit(0), F.size("_t") - 1), first).alias("_at"))
+        run = lambda i, n: F.struct(F.get("_t", i).alias("term"), (F.coalesce(F.get("_at", n + 1), F.size("_t")) - i).cast("long").alias("tf"))
+        return own.select(self.key, F.size("_t").cast("long").alias("dl"), F.inline(F.transform("_at", run)))
 
     def _totals(self, chunks: DataFrame) -> tuple[int, int]:
         r = chunks.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.regexp_count(F.lower(self.content), F.lit(r"[a-z0-9_]+")), F.lit(0))).alias("total")).first()
@@ -50,24 +56,32 @@ class KeywordIndex:
     def update(self, added: DataFrame | None, removed: DataFrame | None = None, batch: tuple[str, int] | None = None) -> dict:
         """Add chunks and take others out, in one commit. `removed` holds the chunks as they were added."""
         old = self.table.snapshot()
+        if self.table._seen(old, batch):
+            return old
         seq = old["version"] + 1
         n, total = old["stats"].get("n_docs", 0), old["stats"].get("total_length", 0)
-        rows, none = None, lambda c, t: F.lit(None).cast(t).alias(c)
+        rows, more, none = None, [], lambda c, t: F.lit(None).cast(t).alias(c)
         key_type = (added if added is not None else removed).schema[self.key].dataType
         for chunks, sign in ((removed, -1), (added, 1)):
             if chunks is None:
                 continue
-            counted = self._counted(chunks)
-            df = counted.groupBy("term").agg((F.count("*") * sign).alias("df")).select("term", none(self.key, key_type), none("tf", "long"), none("dl", "long"), "df", F.lit(seq).alias("seq"))
             if sign > 0:
-                own = counted.select("term", self.key, "tf", "dl", none("df", "long"), F.lit(seq).alias("seq"))
+                # cut into words once: frequencies and lengths are counted from the postings that were written
+                own = self._counted(chunks).select("term", self.key, "tf", "dl", none("df", "long"), F.lit(seq).cast("long").alias("seq"))
+                more.append(self.table._write(own))
+                paths = self.table.paths(None, {"folders": {b: [more[-1][0]] for b in more[-1][1]}})
+                counted = self.spark.read.schema(own.schema).parquet(*paths) if paths else self.spark.createDataFrame([], own.schema)
+                n, total = n + chunks.count(), total + (counted.agg(F.sum("tf")).first()[0] or 0)
+                own = None
             else:
-                own = chunks.select(none("term", "string"), self.key, none("tf", "long"), none("dl", "long"), none("df", "long"), F.lit(seq).alias("seq"))
-            own = own.unionByName(df)
-            rows = own if rows is None else rows.unionByName(own)
-            more = self._totals(chunks)
-            n, total = n + sign * more[0], total + sign * more[1]
-        return self.table.write(rows, batch=batch, stats={"n_docs": n, "total_length": total})
+                counted = self._counted(chunks)
+                gone = self._totals(chunks)
+                n, total = n - gone[0], total - gone[1]
+                own = chunks.select(none("term", "string"), self.key, none("tf", "long"), none("dl", "long"), none("df", "long"), F.lit(seq).cast("long").alias("seq"))
+            df = counted.groupBy("term").agg((F.count("*") * sign).alias("df")).select("term", none(self.key, key_type), none("tf", "long"), none("dl", "long"), "df", F.lit(seq).cast("long").alias("seq"))
+            df = df if own is None else own.unionByName(df)
+            rows = df if rows is None else rows.unionByName(df)
+        return self.table.write(rows, batch=batch, stats={"n_docs": n, "total_length": total}, more=more)
 
     def add(self, chunks: DataFrame, batch: tuple[str, int] | None = None) -> dict:
         return self.update(chunks, batch=batch)
@@ -82,7 +96,7 @@ class KeywordIndex:
         none = lambda c, t: F.lit(None).cast(t).alias(c)
         key_type = live.schema[self.key].dataType
         rows = live.select("term", self.key, "tf", "dl", none("df", "long"), "seq")
-        rows = rows.unionByName(df.select("term", none(self.key, key_type), none("tf", "long"), none("dl", "long"), "df", F.lit(snapshot["version"]).alias("seq")))
+        rows = rows.unionByName(df.select("term", none(self.key, key_type), none("tf", "long"), none("dl", "long"), "df", F.lit(snapshot["version"]).cast("long").alias("seq")))
         return self.table.write(rows, fresh=True, stats=snapshot["stats"])
 
     # reading ---------------------------------------------------------------------------------
@@ -155,7 +169,13 @@ class KeywordIndex:
             df = self._in(_TERM, shards, snapshot).join(words, "term", "left_semi")
         weight = bm25_weight(F.col("tf"), F.col("dl"), F.col("df"), F.lit(float(n)), F.lit(total / n))
         # frequencies: one row for each term of the queries
-        scored = own.join(df, "term").select(self.key, "term", weight.alias("w"))
+        few = wanted.limit(BROADCAST + 1).count() <= BROADCAST
+        if not few:
+            scored = own.join(df, "term").select(self.key, "term", weight.alias("w"))
+            return wanted.join(scored, "term").groupBy("query_id", self.key).agg(F.sum("w").alias("score"))
+        # a chunk's weights meet once, by its key; the rows of queries and chunks are made, summed and ranked there
+        scored = own.join(F.broadcast(df), "term").select(self.key, "term", weight.alias("w")).repartition(self.key)
+        wanted = F.broadcast(wanted)
         return wanted.join(scored, "term").groupBy("query_id", self.key).agg(F.sum("w").alias("score"))
 
     def _in(self, kind: int, shards: list[int], snapshot: dict) -> DataFrame:

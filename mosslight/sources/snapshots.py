@@ -101,8 +101,8 @@ class BucketTable:
     def _seen(self, old: dict, batch: tuple[str, int] | None) -> bool:
         return batch is not None and old["batches"].get(batch[0], -1) >= batch[1]
 
-    def write(self, rows: DataFrame, *, gone: DataFrame | None = None, on: str = "", batch: tuple[str, int] | None = None, stats: dict | None = None, fresh: bool = False) -> dict:
-        """Add rows; first drop those whose `on` is in gone(on), by writing their buckets again. `fresh` leaves out all that was there.
+    def write(self, rows: DataFrame, *, gone: DataFrame | None = None, on: str = "", batch: tuple[str, int] | None = None, stats: dict | None = None, fresh: bool = False, more: list[tuple[str, list[str]]] | None = None) -> dict:
+        """Add rows, and the folders `more` that _write() has made, in one commit; first drop those whose `on` is in gone(on), by writing their buckets again. `fresh` leaves out all that was there.
 
         `on` must be what the bucket is made from. `stats` are kept with the snapshot. Returns the snapshot.
         """
@@ -119,8 +119,9 @@ class BucketTable:
                 rows = rows.unionByName(self.read(touched, old).join(gone.select(on).distinct(), on, "left_anti"), allowMissingColumns=True)
                 folders = {b: f for b, f in folders.items() if int(b) not in touched}
         name, buckets = self._write(rows)
-        for b in buckets:
-            folders.setdefault(b, []).append(name)
+        for one, own in [(name, buckets), *(more or [])]:
+            for b in own:
+                folders.setdefault(b, []).append(one)
         json_schema = StructType([type(f)(f.name, f.dataType, True) for f in schema]).json() if schema is not None else self._schema(old, rows)
         return self._commit(old, schema=json_schema, folders=folders, batches=batches, stats=old["stats"] | stats if stats else old["stats"])
 

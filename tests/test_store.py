@@ -290,3 +290,55 @@ def test_the_folder_of_documents_has_few_folders(spark, tmp_path):
     assert sorted(f.read_bytes() for f in files) == sorted(f"{r[1]}\n".encode() for r in rows if r[1] is not None)
     got = sorted(((r.doc_id, r.file_size) for r in Y.listed_files(spark, str(sf)).collect()), key=str)
     assert got == sorted(((r[0], len(r[1]) + 1) for r in rows if r[1] is not None), key=str)
+
+
+def test_a_topic_goes_out_and_in_as_a_folder(spark, tmp_path, monkeypatch):
+    """No row passes the driver, values stay as they are, and two imports are two topics."""
+    from pyspark.sql import DataFrame
+
+    catalog = Catalog(spark, str(tmp_path / "catalog"), "m")
+    topic = catalog.create("Topic", "about")
+    rows = [("a", "one\ntwo", [1.0, float("nan")]), ("b", None, None), ("c", "é", [float("-inf"), 0.1])]
+    catalog.store.create(topic["id"], spark.createDataFrame(rows, "chunk_id string, content string, embedding array<float>"), "m")
+    catalog.record_documents(topic["id"], [{"name": n, "file_path": f"/{n}", "file_type": "markdown", "chunk_count": 1} for n in "xyz"])
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *_: pytest.fail("rows pass the driver"))
+    path = catalog.export_folder(topic["id"], str(tmp_path / "out"))
+    names = []
+    for _ in range(2):
+        other = catalog.import_folder(path)
+        names.append(other["name"])
+        own = catalog.chunks(other["id"])
+        assert sorted(str(r) for r in own.drop("topic_id").collect()) == sorted(str(r) for r in catalog.chunks(topic["id"]).drop("topic_id").collect())
+        assert sorted(r.file_path for r in catalog.documents(other["id"]).collect()) == ["/x", "/y", "/z"]
+    assert names == ["Topic (imported)", "Topic (imported) (imported)"]
+    with pytest.raises(ValueError, match="topic.json"):
+        catalog.import_folder(str(tmp_path / "none"))
+
+
+def test_chunks_leave_a_worker_in_small_batches():
+    import pyarrow as pa
+
+    from mosslight.operators import chunking as C
+
+    texts = [f"{i} " + "word " * 400 for i in range(2_000)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "content"])
+    out = list(C._pieces(512, 50, C.RECURSIVE, "content")([batch]))
+    assert max(b.column(0).unique().__len__() for b in out) <= C.ROWS
+    assert max(b.nbytes for b in out) <= 2 * C.BYTES
+    got = [(r["doc_id"], r["chunk_index"], r["content"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, k, t[a:b]) for i, t in enumerate(texts) for k, (a, b) in enumerate(C.split_text(t or "", 512, 50, C.RECURSIVE))]
+
+
+def test_terms_are_counted_where_the_chunk_lies(spark, tmp_path):
+    """Counting shuffles nothing; a set of queries shuffles weights once, by chunk."""
+    docs = spark.createDataFrame([(1, "b a b"), (2, "A, b. c"), (3, None), (4, "..."), (5, "c" * 3)], "chunk_id long, content string")
+    index = KeywordIndex(spark, str(tmp_path / "index"))
+    counted = index._counted(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.chunk_id, r.dl, r.term, r.tf) for r in counted.collect()) == [(1, 3, "a", 1), (1, 3, "b", 2), (2, 3, "a", 1), (2, 3, "b", 1), (2, 3, "c", 1), (5, 1, "ccc", 1)]
+    index.add(docs)
+    queries = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "ccc b"), (4, "none")], "query_id long, text string")
+    plan = index.scores(queries)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    want = {(r.query_id, r.chunk_id): round(r.score, 9) for r in BM25(docs).scores(queries).collect()}
+    assert {(r.query_id, r.chunk_id): round(r.score, 9) for r in index.scores(queries).collect()} == want
