@@ -263,7 +263,7 @@ def test_names_in_any_case_and_order(spark):
 
 
 def test_a_load_lists_with_spark_and_scans_in_few_tasks(spark, tmp_path, monkeypatch):
-    """Small files share tasks, no walk asks for each file by itself, and a stream's batch reads its files once."""
+    """Small files share tasks, and no walk asks for each file by itself."""
     own = tmp_path / "many"
     for i in range(80):
         (own / f"part={i % 40}").mkdir(parents=True, exist_ok=True)
