@@ -24,10 +24,9 @@ the starts' distance to the anchor, and each piece gets the hash of the text tha
 share as its anchor. Pieces with other text around a common passage so come apart, and pieces
 within it are alike; a task keeps equal pieces once.
 
-Passages shorter than `LENGTH` lose nothing, but are told: `shares_passage` is true where bytes are
-removed, and where one of a few strings of `PASSAGE` bytes at fixed distances from an anchor also
-stands in another text. Shared strings of less than `LENGTH` bytes may have other anchors on both
-sides, so of these most are told and not all.
+Passages shorter than `LENGTH` lose nothing, but are told: `shares_passage` is true where a run of
+more than 50 words also stands in another row (passages.py). Bytes may be removed without that, where
+a text repeats itself or words are long.
 
 Texts move only where they must: for step 2 those that hold an example, for step 4 those that lose
 bytes. Their keys are broadcast up to `BROADCAST_ROWS` of them, beyond that texts are joined by a
@@ -49,11 +48,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .passages import WORDS, sharing
 from .scratch import drop, written
 
 LENGTH, GRAM = 400, 32
-BATCH, GROUP, PIECES = 1 << 18, 3_000, 4
-PASSAGE, OFFSETS = 256, (208, 144, 80, 16)
+BATCH, GROUP, PIECES, BANDS = 1 << 18, 3_000, 4, 8
 BROADCAST_ROWS = 250_000
 _SPAN = LENGTH - GRAM + 1
 
@@ -61,23 +60,11 @@ _SPAN = LENGTH - GRAM + 1
 # --- anchors and segments ------------------------------------------------------------------
 
 
-def byte_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Running sums from which string_hashes() tells the hash of any string of data."""
+def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
+    """Hash of data[i : i + k] for every i."""
     up, down = K._power(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(K._BYTE[data] * up[: len(data)], out=total[1:])
-    return total, down
-
-
-def string_hashes(sums: tuple[np.ndarray, np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the k bytes at each place."""
-    total, down = sums
-    return K.mix64((total[at + k] - total[at]) * down[at])
-
-
-def gram_hashes(data: np.ndarray, k: int = GRAM, sums: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-    """Hash of data[i : i + k] for every i."""
-    total, down = byte_sums(data) if sums is None else sums
     return K.mix64((total[k:] - total[:-k]) * down[: len(data) - k + 1])
 
 
@@ -86,13 +73,7 @@ def window_anchors(hashes: np.ndarray, span: int = _SPAN) -> np.ndarray:
     n = len(hashes)
     if n < span:
         return np.empty(0, np.int64)
-    blocks = -(-n // span)
-    padded = np.full(blocks * span, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[:n] = hashes
-    grid = padded.reshape(blocks, span)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[: n - span + 1], ahead[span - 1 : n])
+    least = K.window_minima(hashes, span)
     # leftmost position of that value: positions of each value that is a minimum, in order
     marks = np.flatnonzero(_is_least(hashes, least, span))
     values = hashes[marks]
@@ -133,31 +114,26 @@ def _is_least(hashes: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
     return most == hashes
 
 
-def segments(data: np.ndarray) -> Iterator[tuple[int, int, int, int, list[int]]]:
-    """(anchor hash, first start, number of starts, distance from the first start to the anchor, hashes of the strings of PASSAGE bytes around the anchor)."""
+def segments(data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(anchor hash, first start, number of starts, distance from the first start to the anchor)."""
     step = 1 << 20
     for base in range(0, max(0, len(data) - LENGTH + 1), step):
         # windows that start in [base, base + step); a run that goes on is cut there, see runs()
         yield from runs(data, base, min(len(data) - LENGTH + 1, base + step))
 
 
-def runs(data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int, int, list[int]]]:
+def runs(data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int, int]]:
     """Segments of the windows that start in [a, b), whole ones even where they begin before a or end after b."""
     lo, hi = max(0, a - LENGTH), min(len(data), b + 2 * LENGTH)
-    sums = byte_sums(data[lo:hi])
-    hashes = gram_hashes(data[lo:hi], sums=sums)
+    hashes = gram_hashes(data[lo:hi])
     anchors = window_anchors(hashes)
     cut = np.flatnonzero(np.concatenate([[True], anchors[1:] != anchors[:-1]]))
     ends = np.append(cut[1:], len(anchors))
-    at = anchors[cut][:, None] - np.array(OFFSETS)
-    whole = (at >= 0) & (at + PASSAGE <= hi - lo)
-    near = string_hashes(sums, np.where(whole, at, 0), PASSAGE).view(np.int64).tolist()
-    whole = whole.tolist()
-    for k, (s, e) in enumerate(zip(cut.tolist(), ends.tolist(), strict=True)):
+    for s, e in zip(cut.tolist(), ends.tolist(), strict=True):
         # a segment belongs to the stretch in which its first start lies
         if a <= s + lo < b and (s or not lo):
             p = int(anchors[s])
-            yield int(hashes[p]), s + lo, e - s, p - s, [x for x, ok in zip(near[k], whole[k], strict=True) if ok]
+            yield int(hashes[p]), s + lo, e - s, p - s
 
 
 def digest(data: np.ndarray) -> bytes:
@@ -169,19 +145,19 @@ def _signed(x: int) -> int:
 
 
 def _occurrences(batches):
-    """Each row's segments: (row, start, starts, anchor, digest, before, near)."""
+    """Each row's segments: (row, start, starts, anchor, digest, before)."""
     for batch in K.portions(batches):
         data, offs = K.flat(batch.column(1))
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], []]
         for r, row in enumerate(batch.column(0).to_pylist()):
             own = data[offs[r] : offs[r + 1]]
             if len(own) < LENGTH:
                 continue
-            for anchor, start, n, before, near in segments(own):
-                for col, x in zip(out, (row, start, n, _signed(anchor), digest(own[start : start + n + LENGTH - 1]), before, near), strict=True):
+            for anchor, start, n, before in segments(own):
+                for col, x in zip(out, (row, start, n, _signed(anchor), digest(own[start : start + n + LENGTH - 1]), before), strict=True):
                     col.append(x)
-        types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row", "start", "starts", "anchor", "digest", "before", "near"])
+        types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row", "start", "starts", "anchor", "digest", "before"])
 
 
 # --- the transform and the search --------------------------------------------------------------
@@ -275,36 +251,68 @@ def repeated_starts(pieces: list[np.ndarray], twice: list[bool], length: int = L
     return [np.ones(len(p) - length + 1, bool) if t else found[b : b + len(p) - length + 1] for p, t, b in zip(pieces, twice, begins.tolist(), strict=False)]
 
 
+def live_starts(contents: list[tuple[int, np.ndarray, int]]) -> list[tuple[int, int] | None]:
+    """For each (group, content, distance from its first start to the anchor), the range that holds all starts which another content of the group may share.
+
+    The starts within a band of distances to the anchor all have one string in common; where no other
+    content has that string, none of them is shared. Nothing is left out but such bands at either end.
+    """
+    width = -(-_SPAN // BANDS)
+    seen: dict[tuple[int, int, int], int] = {}
+    bands = []
+    for group, content, before in contents:
+        raw, own = content.tobytes(), []
+        last = len(raw) - LENGTH
+        for i in range((before - last) // width, before // width + 1):
+            near, far = i * width, (i + 1) * width - 1
+            name = group, i, hash(raw[before - near : before - far + LENGTH])
+            seen[name] = seen.get(name, 0) + 1
+            own.append((max(0, before - far), min(last, before - near) + 1, name))
+        bands.append(own)
+    out: list[tuple[int, int] | None] = []
+    for own in bands:
+        live = [(a, b) for a, b, name in own if seen[name] > 1]
+        out.append((min(live)[0], max(live)[1]) if live else None)
+    return out
+
+
 def _solve(batches):
     """Repeated starts of each segment, as [from, to) pairs. Rows come sorted by (group, content's digest); a group lies in one partition.
 
     Equal contents of a group are held once, with the segments they are part of.
     """
-    held: list[tuple[np.ndarray, bool, list[tuple[int, bytes, int]]]] = []
+    held: list[tuple[np.ndarray, bool, list[tuple[int, bytes, int]], int, int]] = []
     size, last = 0, None
 
     def close():
-        # a group with one content that occurs once holds nothing repeated
-        marks = repeated_starts([h[0] for h in held], [h[1] or len(h[2]) > 1 for h in held])
+        # a content that occurs twice is repeated as a whole
+        near = live_starts([(h[3], h[0], h[4]) for h in held])
+        some = [i for i, x in enumerate(near) if x]
+        marks = dict(zip(some, repeated_starts([held[i][0][near[i][0] : near[i][1] + LENGTH - 1] for i in some], [False] * len(some)), strict=True)) if some else {}
         rows = []
-        for (_, _, parts), m in zip(held, marks, strict=True):
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], m.astype(np.int8), [0]])))
+        for i, (content, many, parts, _, _) in enumerate(held):
+            if many or len(parts) > 1:
+                edge, begin = np.array([0, len(content) - LENGTH + 1]), 0
+            elif i in marks:
+                edge, begin = np.flatnonzero(np.diff(np.concatenate([[0], marks[i].astype(np.int8), [0]]))), near[i][0]
+            else:
+                continue
             if len(edge):
-                rows += [(anchor, key, (edge + shift).tolist()) for anchor, key, shift in parts]
+                rows += [(anchor, key, (edge + begin + shift).tolist()) for anchor, key, shift in parts]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=["anchor", "digest", "edges"])
 
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in ("group", "name", "anchor", "digest", "shift", "many")]
-        for group, name, anchor, key, shift, many, content in zip(*cols, batch.column("content"), strict=True):
+        cols = [batch.column(c).to_pylist() for c in ("group", "name", "anchor", "digest", "shift", "many", "before")]
+        for group, name, anchor, key, shift, many, before, content in zip(*cols, batch.column("content"), strict=True):
             if last == (group, name):
                 held[-1][2].append((anchor, key, shift))
                 if many and not held[-1][1]:
-                    held[-1] = (held[-1][0], True, held[-1][2])
+                    held[-1] = (held[-1][0], True, *held[-1][2:])
                 continue
             if size > BATCH and (last is None or group != last[0]):
                 yield close()
                 held, size = [], 0
-            held.append((np.frombuffer(content.as_buffer(), np.uint8), many, [(anchor, key, shift)]))
+            held.append((np.frombuffer(content.as_buffer(), np.uint8), many, [(anchor, key, shift)], group, before))
             size, last = size + len(held[-1][0]), (group, name)
     if held:
         yield close()
@@ -325,7 +333,7 @@ def pieces(content: np.ndarray, starts: int, before: int) -> Iterator[tuple[int,
             yield int.from_bytes(hashlib.blake2b(common, digest_size=8, salt=bytes([i])).digest(), "little", signed=True), a, content[a : b + LENGTH]
 
 
-_PARTS = pa.schema([("group", pa.int64()), ("name", pa.binary()), ("anchor", pa.int64()), ("digest", pa.binary()), ("shift", pa.int32()), ("many", pa.bool_()), ("content", pa.binary())])
+_PARTS = pa.schema([("group", pa.int64()), ("name", pa.binary()), ("anchor", pa.int64()), ("digest", pa.binary()), ("shift", pa.int32()), ("many", pa.bool_()), ("before", pa.int32()), ("content", pa.binary())])
 
 
 def _fetch(batches):
@@ -338,9 +346,9 @@ def _fetch(batches):
             for w in wanted:
                 content = own[w["start"] : w["start"] + w["starts"] + LENGTH - 1]
                 if w["large"]:
-                    out += [(group, digest(part), w["anchor"], w["digest"], a, w["many"], part.tobytes()) for group, a, part in pieces(content, w["starts"], w["before"])]
+                    out += [(group, digest(part), w["anchor"], w["digest"], a, w["many"], w["before"] - a, part.tobytes()) for group, a, part in pieces(content, w["starts"], w["before"])]
                 else:
-                    out.append((w["anchor"], w["digest"], w["anchor"], w["digest"], 0, w["many"], content.tobytes()))
+                    out.append((w["anchor"], w["digest"], w["anchor"], w["digest"], 0, w["many"], w["before"], content.tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PARTS)], schema=_PARTS)
 
 
@@ -361,7 +369,8 @@ def _cut(batches):
             lost.append(int(gone.sum()))
             spans.append(turn.reshape(-1, 2).tolist())
             kept.append(own[~gone].tobytes())
-        shares = pa.array([x is not None for x in batch.column(2).to_pylist()], pa.bool_())
+        # a copy shares a passage if it is long enough to hold one
+        shares = pa.array((K.word_counts(data, offs, K.SPACED) >= WORDS) & batch.column(3).fill_null(False).to_numpy(zero_copy_only=False), pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), shares], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "shares_passage"])
 
 
@@ -372,7 +381,7 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     # equal texts have equal spans, so a text's digest stands for its rows
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     marked = docs.withColumn("row", F.unhex(F.md5("text")))
-    found = written(marked.select("row", "text").mapInArrow(_occurrences, "row binary, start long, starts int, anchor long, digest binary, before int, near array<long>"), "anchors")
+    found = written(marked.select("row", "text").mapInArrow(_occurrences, "row binary, start long, starts int, anchor long, digest binary, before int"), "anchors")
     # tables of one row for each anchor are written first: a join with them can then be split where an anchor is very common
     shared = written(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "common")
     again = written(found.join(shared, "anchor"), "shared")
@@ -384,31 +393,34 @@ def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text
     wanted = known.where("kinds > 1").select(F.col("at.row").alias("row"), F.struct("anchor", "digest", (F.col("n") > 1).alias("many"), F.col("at.start").alias("start"), "starts", "before", (F.col("kinds") > GROUP).alias("large")).alias("w"))
     wanted = written(wanted.groupBy("row").agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = _having(marked.select("row", "text"), wanted.select("row")).join(wanted, "row").dropDuplicates(["row"])
-    parts = texts.select("text", "wanted").mapInArrow(_fetch, "group long, name binary, anchor long, digest binary, shift int, many boolean, content binary")
+    parts = texts.select("text", "wanted").mapInArrow(_fetch, "group long, name binary, anchor long, digest binary, shift int, many boolean, before int, content binary")
     solved = parts.repartition(partitions, "group").sortWithinPartitions("group", "name").mapInArrow(_solve, "anchor long, digest binary, edges array<int>")
     marks = written(solved.unionByName(same), "repeats")
     drop(each)
     drop(wanted)
     hits = again.select("row", "start", "anchor", "digest").join(marks, ["anchor", "digest"])
-    # strings of PASSAGE bytes that stand in two texts at least; their rows get no marks for it, but an entry
-    strings = written(again.select("row", F.explode("near").alias("string")), "strings")
-    common = strings.groupBy("string").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("string")
-    told = strings.join(written(common, "strings"), "string").select("row", F.lit(None).cast("struct<start:bigint,edges:array<int>>").alias("mark")).distinct()
-    hits = hits.select("row", F.struct("start", "edges").alias("mark")).unionByName(told)
-    hits = written(hits.groupBy("row").agg(F.collect_set("mark").alias("marks")), "marks")
+    hits = hits.select("row", F.struct("start", "edges").alias("mark"), F.lit(False).alias("shares")).unionByName(_sharing(marked))
+    hits = written(hits.groupBy("row").agg(F.collect_set("mark").alias("marks"), F.max("shares").alias("shares")), "marks")
     drop(again)
-    drop(strings)
     drop(marks)
-    columns = ["doc_id", "text", "marks"]
+    columns = ["doc_id", "text", "marks", "shares"]
     if hits.count() <= BROADCAST_ROWS:
         keys = F.broadcast(hits.select("row"))
         touched = marked.join(keys, "row", "left_semi").join(hits, "row").select(*columns)
-        out = touched.unionByName(marked.join(keys, "row", "left_anti").withColumn("marks", F.lit(None).cast(hits.schema["marks"].dataType)).select(*columns))
+        out = touched.unionByName(marked.join(keys, "row", "left_anti").withColumns({"marks": F.lit(None).cast(hits.schema["marks"].dataType), "shares": F.lit(False)}).select(*columns))
     else:
         out = marked.join(hits, "row", "left").select(*columns)
     return out.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, shares_passage boolean")
 
 
+def _sharing(marked: DataFrame) -> DataFrame:
+    """Rows of texts that stand in two rows, or have a passage of another text: without a mark."""
+    key = F.xxhash64("row").alias("key")
+    told = sharing(marked.select(key, "text"), words=WORDS).withColumn("other", F.lit(True))
+    names = marked.groupBy("row").agg(F.count("*").alias("n")).select("row", "n", key)
+    return names.join(told, "key", "left").where("n > 1 or other").select("row", F.lit(None).cast("struct<start:bigint,edges:array<int>>").alias("mark"), F.lit(True).alias("shares"))
+
+
 def _having(texts: DataFrame, keys: DataFrame) -> DataFrame:
     """texts with a key among keys, as far as a broadcast can tell; beyond its bound all of them."""
     return texts.join(F.broadcast(keys), "row", "left_semi") if keys.count() <= BROADCAST_ROWS else texts
