@@ -1,9 +1,9 @@
 """Removal of every byte covered by a string of `LENGTH` bytes that also starts elsewhere.
 
 Method. Threshold-bounded interval expansion on a Burrows-Wheeler transform: suffixes are sorted,
-and a breadth-first search extends intervals of the transform backward by one symbol at a time.
-Level by level it fixes the common prefix of neighbouring suffixes where it is shorter than
-`LENGTH`; it stops at that level. Suffixes between which no value was fixed share `LENGTH` bytes.
+and a breadth-first search extends intervals of the transform backward by `STRIDE` symbols at a time.
+Level by level it fixes which neighbouring suffixes have a common prefix shorter than `LENGTH`; it
+stops at that level. Suffixes between which nothing was fixed share `LENGTH` bytes.
 
 One transform over a whole corpus does not fit a machine, so the corpus is cut where equal strings
 must be cut alike: in every window of `LENGTH` bytes the smallest hash of its `GRAM`-byte strings
@@ -32,6 +32,8 @@ Texts move only where they must: for step 2 those that hold an example, for step
 bytes. Their keys are broadcast up to `BROADCAST_ROWS` of them, beyond that texts are joined by a
 shuffle.
 
+Anchors, spans and kept bytes are worked out for slices of many rows at once.
+
 Other columns are ignored. Edge cases: null counts as empty; texts shorter than `LENGTH` lose nothing; equal rows repeat each
 other; rows with equal or null doc_id are rows of their own; an empty table gives an empty result.
 Strings are bytes: a removed span may begin or end inside a character, so kept text is binary.
@@ -53,6 +55,7 @@ from .scratch import drop, written
 
 LENGTH, GRAM = 400, 32
 BATCH, GROUP, PIECES, BANDS = 1 << 18, 3_000, 4, 8
+SLICE, STRIDE = 128 << 10, 8
 BROADCAST_ROWS = 250_000
 _SPAN = LENGTH - GRAM + 1
 
@@ -73,45 +76,20 @@ def window_anchors(hashes: np.ndarray, span: int = _SPAN) -> np.ndarray:
     n = len(hashes)
     if n < span:
         return np.empty(0, np.int64)
-    least = K.window_minima(hashes, span)
-    # leftmost position of that value: positions of each value that is a minimum, in order
-    marks = np.flatnonzero(_is_least(hashes, least, span))
-    values = hashes[marks]
-    out = np.empty(len(least), np.int64)
-    at = 0
-    starts = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    ends = np.append(starts[1:], len(least))
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        # windows a .. b - 1 have one minimum; it may occur several times, the leftmost in each window counts
-        v = least[a]
-        while marks[at] < a or values[at] != v:
-            at += 1
-        i, w = at, a
-        while w < b:
-            p = int(marks[i])
-            stop = min(b, p + 1)
-            out[w:stop] = p
-            w = stop
-            if w < b:
-                i += 1
-                while values[i] != v:
-                    i += 1
-    return out
-
-
-def _is_least(hashes: np.ndarray, least: np.ndarray, span: int) -> np.ndarray:
-    """Positions whose hash is the minimum of a window that holds them."""
-    # the largest of the minima of the windows around a position equals its own hash iff it is one
-    n = len(hashes)
-    m = len(least)
-    size = m + 2 * (span - 1)
-    padded = np.zeros(-(-size // span) * span, np.uint64)
-    padded[span - 1 : span - 1 + m] = least
-    grid = padded.reshape(-1, span)
-    ahead = np.maximum.accumulate(grid, axis=1).ravel()
-    behind = np.maximum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    most = np.maximum(behind[:n], ahead[span - 1 : span - 1 + n])
-    return most == hashes
+    m, size = n - span + 1, -(-n // span) * span
+    padded = np.full(size, np.uint64(0xFFFFFFFFFFFFFFFF))
+    padded[:n] = hashes
+    grid, place, new = padded.reshape(-1, span), np.arange(size, dtype=np.int32), np.ones((size // span, span), bool)
+    # from a block's begin on: a position holds the minimum from where it is smaller than all before it
+    ahead = np.minimum.accumulate(grid, axis=1)
+    np.less(grid[:, 1:], ahead[:, :-1], out=new[:, 1:])
+    ahead_at = np.maximum.accumulate(np.where(new.ravel(), place, np.int32(0)))
+    # from a block's end on: of equal ones the left one
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]
+    new[:, -1] = True
+    np.less_equal(grid[:, :-1], behind[:, 1:], out=new[:, :-1])
+    behind_at = np.minimum.accumulate(np.where(new.ravel(), place, np.int32(size))[::-1])[::-1]
+    return np.where(behind.ravel()[:m] <= ahead.ravel()[span - 1 : n], behind_at[:m], ahead_at[span - 1 : n]).astype(np.int64)
 
 
 def segments(data: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
@@ -136,28 +114,43 @@ def runs(data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int, int, int]
             yield int(hashes[p]), s + lo, e - s, p - s
 
 
-def digest(data: np.ndarray) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
+def row_segments(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The segments of all rows of a slice: their rows, first starts in the row, numbers of starts, anchor hashes, distances to the anchor."""
+    count = np.maximum(np.diff(offs) - LENGTH + 1, 0)
+    ends = np.cumsum(count)
+    if not len(ends) or not ends[-1]:
+        return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64), np.empty(0, np.int64))
+    hashes = gram_hashes(data)
+    at = np.arange(ends[-1]) + np.repeat(offs[:-1] - (ends - count), count)
+    place = window_anchors(hashes)[at]
+    # the windows of two rows have no anchor in common
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+    begin, place = at[first], place[first]
+    rows = np.searchsorted(offs, begin, "right") - 1
+    return rows, begin - offs[rows], np.diff(first, append=len(at)), hashes[place], place - begin
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >= 1 << 63 else x
+def digest(data: np.ndarray | memoryview) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def _occurrences(batches):
     """Each row's segments: (row, start, starts, anchor, digest, before)."""
     for batch in K.portions(batches):
-        data, offs = K.flat(batch.column(1))
-        out: list[list] = [[], [], [], [], [], []]
-        for r, row in enumerate(batch.column(0).to_pylist()):
-            own = data[offs[r] : offs[r + 1]]
-            if len(own) < LENGTH:
-                continue
-            for anchor, start, n, before in segments(own):
-                for col, x in zip(out, (row, start, n, _signed(anchor), digest(own[start : start + n + LENGTH - 1]), before), strict=True):
-                    col.append(x)
-        types = (pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["row", "start", "starts", "anchor", "digest", "before"])
+        found, digests = [], []
+        for i, j, data, offs in K.text_slices(batch.column(1), SLICE):
+            if j - i == 1:  # it may be a long one
+                own = list(segments(data))
+                anchors, start, starts, before = (np.array([x[k] for x in own], np.int64 if k else np.uint64) for k in range(4))
+                rows = np.zeros(len(own), np.int64)
+            else:
+                rows, start, starts, anchors, before = row_segments(data, offs)
+            begin, raw = offs[rows] + start, memoryview(data)
+            digests += [digest(raw[a:b]) for a, b in zip(begin.tolist(), (begin + starts + LENGTH - 1).tolist(), strict=True)]
+            found.append((rows + i, start, starts.astype(np.int32), anchors.view(np.int64), before.astype(np.int32)))
+        if found:
+            rows, start, starts, anchors, before = (np.concatenate(x) for x in zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(start), pa.array(starts), pa.array(anchors), pa.array(digests, pa.binary()), pa.array(before)], names=["row", "start", "starts", "anchor", "digest", "before"])
 
 
 # --- the transform and the search --------------------------------------------------------------
@@ -200,34 +193,43 @@ def suffixes(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:
 def long_prefixes(text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> np.ndarray:
     """Whether neighbours order[i - 1] and order[i] share `length` symbols, for i in 1 .. n - 1 (False at 0).
 
-    Breadth-first backward extension. At level L the intervals of strings of L symbols that were
-    new are extended by the symbols before them. The end of an interval so found gets L as its
-    common prefix unless a smaller one is known; if it was not, the interval is extended in turn.
-    Intervals are kept in order, so a stable sort by one symbol puts their images in order.
+    Breadth-first backward extension, by `stride` symbols at a time, which divides the length. At
+    level L the intervals of strings of L symbols that were new are extended by the symbols before
+    them. The suffixes at the end of an interval so found and after it share fewer symbols than its
+    string has. If that was not known, the interval is extended in turn.
     """
     n = len(text)
-    before = text[order - 1]
-    step = np.empty(n, np.int32)
-    step[np.argsort(before, kind="stable")] = np.arange(n, dtype=np.int32)
+    stride = next(k for k in range(min(STRIDE, length), 0, -1) if length % k == 0)
+    rank = np.empty(n, np.int32)
+    rank[order] = np.arange(n, dtype=np.int32)
+    # of a suffix: the place of the one that begins `stride` symbols before; its class: which have the same first `stride` symbols
+    step = rank[(order - stride) % n]
+    padded = np.concatenate([text, np.zeros(stride, text.dtype)])
+    new = np.ones(n, bool)
+    new[1:] = False
+    for i in range(stride):
+        symbol = padded[order + i]
+        new[1:] |= symbol[1:] != symbol[:-1]
+    kind = np.cumsum(new, dtype=np.int32)
     fixed = np.zeros(n + 1, bool)
     fixed[0] = fixed[n] = True
     lo, hi = np.array([0], np.int32), np.array([n], np.int32)
-    for _ in range(length):
+    for _ in range(length // stride):
         if not len(lo):
             break
         size = hi - lo
         ends = np.cumsum(size)
         total = int(ends[-1])
-        member = np.repeat(np.arange(len(lo), dtype=np.int32), size)
+        member = np.repeat(np.arange(len(lo), dtype=np.int64), size)
         at = np.arange(total, dtype=np.int32) + np.repeat(lo - (ends - size), size).astype(np.int32)
-        symbol = before[at]
-        by = np.argsort(symbol, kind="stable")
-        member, symbol, to = member[by], symbol[by], step[at[by]]
+        image = np.sort(step[at].astype(np.int64) << 32 | member)
+        to, member = image >> 32, image & 0xFFFFFFFF
+        symbol = kind[to]
         first = np.flatnonzero(np.concatenate([[True], (member[1:] != member[:-1]) | (symbol[1:] != symbol[:-1])]))
         a, b = to[first], to[np.append(first[1:], total) - 1] + 1
         keep = ~fixed[b]
         fixed[b] = True
-        lo, hi = a[keep], b[keep]
+        lo, hi = a[keep].astype(np.int32), b[keep].astype(np.int32)
     return ~fixed[:n]
 
 
@@ -355,23 +357,32 @@ def _fetch(batches):
 def _cut(batches):
     """What stays of each row that loses bytes."""
     for batch in K.portions(batches):
-        data, offs = K.flat(batch.column(1))
-        lost, spans, kept = [], [], []
-        for r, marks in enumerate(batch.column(2).to_pylist()):
-            own = data[offs[r] : offs[r + 1]]
-            edge = np.zeros(len(own) + 1, np.int64)
-            for m in marks or ():
-                for a, b in zip(m["edges"][::2], m["edges"][1::2], strict=True):
-                    edge[m["start"] + a] += 1
-                    edge[m["start"] + b - 1 + LENGTH] -= 1
-            gone = np.cumsum(edge[:-1]) > 0
-            turn = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-            lost.append(int(gone.sum()))
-            spans.append(turn.reshape(-1, 2).tolist())
-            kept.append(own[~gone].tobytes())
-        # a copy shares a passage if it is long enough to hold one
-        shares = pa.array((K.word_counts(data, offs, K.SPACED) >= WORDS) & batch.column(3).fill_null(False).to_numpy(zero_copy_only=False), pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offs)), pa.array(lost, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(kept, pa.binary()), shares], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "shares_passage"])
+        for i, j, data, offs in K.text_slices(batch.column(1)):
+            own = batch.slice(i, j - i)
+            marks = own.column(2)
+            mark, number = marks.flatten(), marks.value_lengths().fill_null(0).to_numpy()
+            edges, begin = mark.field("edges"), np.repeat(offs[:-1], number) + mark.field("start").to_numpy()
+            at = edges.flatten().to_numpy() + np.repeat(begin, edges.value_lengths().to_numpy())
+            gone = np.zeros(len(data), bool)
+            if len(at):
+                size = len(data) + 1
+                gone = np.cumsum(np.bincount(at[::2], minlength=size) - np.bincount(at[1::2] - 1 + LENGTH, minlength=size))[:-1] > 0
+            # runs end with their row
+            turn = np.zeros(len(data) + 1, bool)
+            turn[:-1] = turn[1:] = gone
+            turn[1:-1] = gone[1:] != gone[:-1]
+            edge = offs[1:-1][(offs[1:-1] > 0) & (offs[1:-1] < len(data))]
+            both = np.unique(edge[gone[edge] & gone[edge - 1]])
+            turn = np.sort(np.concatenate([np.flatnonzero(turn), both, both])).astype(np.int64)
+            rows = np.searchsorted(offs, turn[::2], "right") - 1
+            lost = np.bincount(rows, weights=turn[1::2] - turn[::2], minlength=j - i).astype(np.int64)
+            pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * 2), pa.array(turn - np.repeat(offs[rows], 2)))
+            spans = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=j - i))]).astype(np.int32)), pairs)
+            cuts = (offs - np.concatenate([[0], np.cumsum(lost)])).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(data[~gone]))])
+            # a copy shares a passage if it is long enough to hold one
+            shares = pa.array((K.word_counts(data, offs, K.SPACED) >= WORDS) & own.column(3).fill_null(False).to_numpy(zero_copy_only=False), pa.bool_())
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(np.diff(offs)), pa.array(lost), spans, kept, shares], names=["doc_id", "n_bytes", "n_removed", "spans", "kept", "shares_passage"])
 
 
 def remove_repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
