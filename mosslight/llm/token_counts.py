@@ -12,7 +12,7 @@ its tree, ready to be stored and edited again. Untouched leaves are never encode
 
 Scale. One pass without a shuffle; a document's tree lives in one task while it is worked on, and is
 a few bytes for each leaf. Each pre-token is encoded once per worker and its count kept in a bounded
-cache.
+cache; the leaves of a slice of texts are counted at once, each distinct part looked up once.
 
 Edge cases: a null text counts 0 tokens, has a null tree and takes no edits (they are refused); an
 empty text counts 0 and may be edited. Edits are in characters of the text before any edit of their
@@ -31,13 +31,14 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
 from .scratch import written
-from .token_store import UnitEncoder, encoder, tokenizer_path
+from .token_store import TEXT_SLICE, UnitEncoder, encoder, tokenizer_path
 
 LEAF = 16
 #: What the query redacts: e-mail addresses, and runs of digits with separators.
@@ -153,15 +154,40 @@ class TokenTree:
         return self.text
 
 
+def leaves_of(texts: pa.Array, coder: UnitEncoder, leaf: int = LEAF) -> pa.StructArray:
+    """The leaves of the trees that TokenTree.build makes of texts, for all of them at once; null for null."""
+    known = texts.fill_null("")
+    # parts end at line ends too; those up to a space, or the text's end, are one pre-token
+    parts, at, found = coder.parts(known)
+    ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+    data, _ = K.flat(known)
+    closes = np.ones(len(at), bool)
+    inner = np.ones(len(at), bool)
+    inner[ends - 1] = False
+    closes[inner] = data[(data == 0x20) | (data == 0x0A)] == 0x20
+    unit = np.cumsum(closes) - closes
+    begins = np.concatenate([[0], ends[:-1]])
+    unit -= np.repeat(unit[begins], ends - begins)
+    # a leaf begins with each text, and after every `leaf` pre-tokens
+    first = np.zeros(len(at), bool)
+    first[1:] = closes[:-1] & (unit[1:] % leaf == 0)
+    first[begins] = True
+    first = np.flatnonzero(first)
+    size = np.fromiter(map(len, found), np.int32, len(found)) // coder.dtype.itemsize
+    chars = pc.utf8_length(parts.flatten()).to_numpy() + 1
+    offsets = pa.array(np.append(np.searchsorted(first, begins), len(first)).astype(np.int32))
+    sums = (np.add.reduceat(x, first).astype(np.int32) if len(first) else np.empty(0, np.int32) for x in (chars, size[at]))
+    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(x)) for x in sums], fields=list(_TREE), mask=texts.is_null())
+
+
 def _trees(path: str, text: str, tree: str, keep: list[str]):
     def run(batches):
-        count = counter(path)
+        counter(path)  # or refuses
+        coder = encoder(path)
         for batch in K.portions(batches):
-            out = []
-            for t in batch.column(text).to_pylist():
-                own = None if t is None else TokenTree.build(t, count)
-                out.append(None if own is None else {"chars": own.chars.tolist(), "tokens": own.tokens.tolist()})
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, _TREE)], names=[*keep, tree])
+            for i, j in K.row_slices(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(), TEXT_SLICE):
+                own = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in keep), leaves_of(own.column(text), coder)], names=[*keep, tree])
 
     return run
 

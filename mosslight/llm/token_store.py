@@ -149,16 +149,18 @@ class UnitEncoder:
                 found[i] = self.now[units[i]]
         return found
 
-    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
-        """Ids of whole texts, the end id after each. Distinct parts are found by Arrow, looked up once, and gathered."""
-        texts = pc.fill_null(texts, "")
+    def parts(self, texts: pa.Array) -> tuple[pa.ListArray, np.ndarray, list[bytes]]:
+        """The parts of texts (no nulls) between spaces and line ends, which distinct one each of them is, and the ids of the distinct ones, each looked up once."""
         # lower case ASCII letters don't change the ids, unless they are a special token's
         special, texts = pc.match_substring(texts, "<|"), pc.replace_substring(texts, "\n", " ")
         plain = pc.ascii_lower(texts)
         parts = pc.split_pattern(pc.if_else(special, texts, plain) if pc.any(special).as_py() else plain, " ")
         named = parts.flatten().dictionary_encode()
-        found = self.known(strings(named.dictionary))
-        at = named.indices.to_numpy()
+        return parts, named.indices.to_numpy(), self.known(strings(named.dictionary))
+
+    def encode(self, texts: pa.Array, end_id: int) -> list[bytes]:
+        """Ids of whole texts, the end id after each. Distinct parts are found by Arrow, looked up once, and gathered."""
+        parts, at, found = self.parts(pc.fill_null(texts, ""))
         # a slice's ids are far fewer than 2 ** 31
         size = np.fromiter(map(len, found), np.int32, len(found)) // self.dtype.itemsize
         begin = np.cumsum(size, dtype=np.int32) - size
