@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from mosslight.llm import passages, substring_dedup
+from mosslight.llm import line_dedup, passages, substring_dedup
 
 
 def words(draw, n, letters="abcdefghijklmnop"):
@@ -74,3 +74,17 @@ def test_starts_left_out_before_the_transform_are_not_shared():
         for s in range(len(c) - n + 1):
             if at[g, before - s, c[s : s + n].tobytes()] > 1:
                 assert found[0] <= s < found[1]
+
+
+def test_line_dedup_tells_passages_within_lines(spark):
+    """Before, only whole lines that repeat were told."""
+    texts = corpus()
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    docs = docs.unionByName(docs.where("doc_id = 1"))  # rows equal in doc_id and text
+    own = [(r.doc_id, r.text) for r in docs.collect()]
+    plain, told = line_dedup.dedup_units(docs), line_dedup.dedup_units(docs, passages=True)
+    kept = lambda rows: collections.Counter((r.doc_id, r.n_units, r.n_removed, str(r.spans), r.kept, r.longest_repeated) for r in rows)
+    rows = told.collect()
+    assert kept(rows) == kept(plain.collect()) and "shares_run" not in plain.columns
+    assert collections.Counter((r.doc_id, r.shares_run) for r in rows) == collections.Counter((i, x) for (i, _), x in zip(own, brute([t for _, t in own])))
+    assert any(r.shares_run and not r.longest_repeated for r in rows)
