@@ -2,11 +2,13 @@
 
 import collections
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from mosslight.llm import line_dedup, passages, substring_dedup
+from mosslight.llm.queries import QUERIES
 
 
 def words(draw, n, letters="abcdefghijklmnop"):
@@ -88,3 +90,33 @@ def test_line_dedup_tells_passages_within_lines(spark):
     assert kept(rows) == kept(plain.collect()) and "shares_run" not in plain.columns
     assert collections.Counter((r.doc_id, r.shares_run) for r in rows) == collections.Counter((i, x) for (i, _), x in zip(own, brute([t for _, t in own])))
     assert any(r.shares_run and not r.longest_repeated for r in rows)
+
+
+def test_registered_query_tells_passages_planted_within_lines(spark, tmp_path):
+    """Before, no registered query of line deduplication told them."""
+    draw = random.Random(11)
+    plain = [[" ".join(words(draw, 25)) for _ in range(8)] for _ in range(60)]
+    for i in range(0, 40, 2):  # in one line of either, with words of its own before and after; 60 words are over the bound, 50 are not
+        p = " ".join(words(draw, 60 if i < 20 else 50))
+        for own in plain[i : i + 2]:
+            at = draw.randrange(8)
+            own[at] = f"{own[at]} {p} {' '.join(words(draw, 5))}"
+    texts = ["\n".join(x) for x in plain]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["line_dedup_passages"](spark, str(tmp_path)).collect()}
+    assert [rows[i].shares_run for i in range(60)] == [i < 20 for i in range(60)] == brute(texts)
+    assert not any(r.longest_repeated for r in rows.values())
+
+
+def test_line_dedup_moves_texts_once_when_it_tells_passages(spark):
+    """Before, texts were dealt by key and by row again where the rows told were too many to broadcast."""
+    docs = spark.createDataFrame(list(enumerate(corpus())), "doc_id long, text string")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for told in (False, True):
+            plan = line_dedup.dedup_units(docs, passages=told)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+            moved = re.findall(r"^\(\d+\) Exchange\nInput \[\d+\]: (.*)$", plan, re.M)
+            assert sum("text#" in x for x in moved) == 1 < len(moved)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
