@@ -140,9 +140,11 @@ def _put(base: str):
         last, nth = None, 0
         for batch in batches:
             for folder, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = f"{base}/part={folder}"
+                if last is None or folder != last[0]:
+                    os.makedirs(own, exist_ok=True)
                 nth = nth + 1 if (folder, doc_id) == last else 0
                 last = (folder, doc_id)
-                os.makedirs(own := f"{base}/part={folder}", exist_ok=True)
                 with open(f"{own}/doc_id={doc_id}{f'-{nth}' if nth else ''}.txt", "wb") as f:
                     f.write(text + b"\n")
             yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])

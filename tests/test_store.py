@@ -342,3 +342,51 @@ def test_terms_are_counted_where_the_chunk_lies(spark, tmp_path):
     assert plan.count("RepartitionByExpression") == 1
     want = {(r.query_id, r.chunk_id): round(r.score, 9) for r in BM25(docs).scores(queries).collect()}
     assert {(r.query_id, r.chunk_id): round(r.score, 9) for r in index.scores(queries).collect()} == want
+
+
+def test_tasks_list_folders_as_spark_does(spark, tmp_path):
+    """No index of files in the driver: what tasks find and read is what Spark's own reader does."""
+    import os
+
+    own = tmp_path / "in"
+    for i, name in enumerate(["a.txt", "B.TXT", "x.md", "é ü.txt", "c[1].txt", "a|b.htm", "n.bin", "empty.txt", "_hidden.txt", ".dot.txt", "_k=1.txt", "t.txt._COPYING_", "_metadata.txt", "deep/a/b/c/d/e.txt", "deep/_no/f.txt", "deep/_k=v/f.txt", "deep/.no/f.txt", "y..txt"]):
+        (own / name).parent.mkdir(parents=True, exist_ok=True)
+        (own / name).write_bytes(b"" if "empty" in name else b"text \xff %d" % i)
+    (own / "nothing").mkdir()
+    os.symlink(own / "gone", own / "broken.txt")
+    os.symlink(own / "deep" / "a", own / "linked")
+    for root in (str(own), f"file://{own}", f"file:{own}/"):
+        whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        got = L._files(spark, [root], True)
+        columns = ["path", "modificationTime", "length", "content"]
+        assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, whole.select(columns).collect())) and got.where("load_error is not null").isEmpty()
+        flat = {r.path for r in L._files(spark, [root]).select("path").collect()}
+        assert flat == {r.path for r in whole.collect() if r.path.count("/") == str(own).count("/") + 1}
+        docs, failures = load_documents(spark, [root])
+        assert not failures and docs.count() == 11
+        for df in (docs, L.list_files(spark, root), load_documents(spark, [root], file_type="github")[0]):
+            assert "binaryFile" not in plan_of(df)
+
+
+def test_a_checkout_named_by_a_uri(spark, tmp_path):
+    own = tmp_path / "in"
+    (own / "src").mkdir(parents=True)
+    write(own, a="a", b="b")
+    write(own / "src", c="c")
+    for root in (str(own), f"file://{own}", f"file:{own}/"):
+        docs, _ = load_documents(spark, [root], file_type="github", ignore="b*")
+        assert sorted(r.relative_path for r in docs.collect()) == ["a.txt", "src/c.txt"]
+
+
+def test_a_file_that_goes_or_is_too_large_is_a_row_with_an_error(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(L, "MAX_BYTES", 5)
+    monkeypatch.setattr(L, "ROWS", 2)
+    write(tmp_path, a="12345", b="123456", d="x", e="y")
+    rows = [(f"file:{tmp_path}/{n}.txt", 0, size) for n, size in (("a", 5), ("b", 6), ("c", 1), ("d", 9), ("e", 1))]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.timestamp("us", "UTC"), pa.int64()), strict=True)], names=["path", "modificationTime", "length"])
+    out = [r for b in L._open([batch]) for r in b.to_pylist()]
+    assert [(r["content"], r["length"]) for r in out] == [(b"12345", 5), (None, 6), (None, 1), (None, 9), (b"y", 1)]
+    assert [r["load_error"] is None for r in out] == [True, False, False, False, True]
+    assert "FileNotFoundError" in out[2]["load_error"] and "too large" in out[1]["load_error"]
