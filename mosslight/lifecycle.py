@@ -134,15 +134,16 @@ FOLDERS = 64
 
 
 def _put(base: str):
-    """Each row a file named by its id, below the folder of its number; rows come sorted, and a repeated id gets a number more."""
+    """Each row a file named by its id, below the folder of its number; where ids are repeated rows come sorted, and a repeated id gets a number more."""
 
     def run(batches):
-        last, nth = None, 0
+        last, nth, made = None, 0, set()
         for batch in batches:
             for folder, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = f"{base}/part={folder}"
-                if last is None or folder != last[0]:
+                if folder not in made:
                     os.makedirs(own, exist_ok=True)
+                    made.add(folder)
                 nth = nth + 1 if (folder, doc_id) == last else 0
                 last = (folder, doc_id)
                 with open(f"{own}/doc_id={doc_id}{f'-{nth}' if nth else ''}.txt", "wb") as f:
@@ -162,8 +163,10 @@ def _folder(spark: SparkSession, sf: str) -> str:
     docs = table(spark, sf, "documents").where("text is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(FOLDERS)).alias("part"), "doc_id", "text")
     local = re.fullmatch("(?:file:(?://)?)?(/.*)", path)
     if local:
-        rows = docs.repartition("part").sortWithinPartitions("part", "doc_id", "text").withColumn("text", F.col("text").cast("binary"))
-        rows.mapInArrow(_put(local[1]), "n long").agg(F.sum("n")).collect()
+        # texts move only where an id is repeated, whose files are numbered
+        if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+            docs = docs.repartition("part").sortWithinPartitions("part", "doc_id", "text")
+        docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(_put(local[1]), "n long").agg(F.sum("n")).collect()
     else:
         docs.repartition("part").write.partitionBy("part", "doc_id").text(path)
     return path

@@ -8,6 +8,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.text import truncate
 
 LIMIT = 512
+#: Words whose hashes a worker keeps.
+WORDS = 1 << 17
 
 
 class Embedder(Protocol):
@@ -79,14 +82,18 @@ class FunctionEmbedder:
         return self._vectors([short])[0].tolist()
 
 
+@lru_cache(maxsize=WORDS)
+def _word_hash(word: str, seed: int) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{seed}:{word}".encode(), digest_size=8).digest(), "little")
+
+
 def hashed_features(texts: list[str], dim: int = 64, seed: int = 0) -> np.ndarray:
     """Signed feature hashing of lower-case words."""
-    out = np.zeros((len(texts), dim))
-    for i, t in enumerate(texts):
-        for w in re.findall(r"\w+", t.lower()):
-            h = int.from_bytes(hashlib.blake2b(f"{seed}:{w}".encode(), digest_size=8).digest(), "little")
-            out[i, h % dim] += 1 if h >> 63 else -1
-    return out
+    words = [re.findall(r"\w+", t.lower()) for t in texts]
+    h = np.fromiter((_word_hash(w, seed) for own in words for w in own), np.uint64)
+    at = np.repeat(np.arange(len(texts)), [len(own) for own in words]) * dim + (h % np.uint64(dim)).astype(np.int64)
+    sign = np.where(h >> np.uint64(63), 1.0, -1.0)
+    return np.bincount(at, sign, len(texts) * dim).reshape(len(texts), dim)
 
 
 class HashingEmbedder(FunctionEmbedder):

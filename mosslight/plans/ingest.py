@@ -76,14 +76,18 @@ def ingest(spark: SparkSession, catalog: Catalog, topic_id: str, paths: list[str
         return result
     folders = [plain_of(spark, p) for p in paths if path_exists(spark, p)[1]] if sync else None
     result.seconds["loading"] = time.time() - began
-    done = ingest_documents(spark, catalog, topic_id, docs, embedder, options=options, on_progress=report, folders=folders, result=result)
+    again = lambda ids: load_documents(spark, paths, only=ids, **load)[0]
+    done = ingest_documents(spark, catalog, topic_id, docs, embedder, options=options, on_progress=report, folders=folders, result=result, again=again)
     if compat_count:
         done.documents = 1
     return done
 
 
-def ingest_documents(spark: SparkSession, catalog: Catalog, topic_id: str, docs: DataFrame, embedder, *, options: ChunkOptions | None = None, on_progress: Callable[[str, int, str], None] | None = None, folders: list[str] | None = None, result: IngestResult | None = None) -> IngestResult:
-    """Documents (doc_id, file_path, file_name, content, ...) that are loaded already; `folders` are those that they are all of."""
+def ingest_documents(spark: SparkSession, catalog: Catalog, topic_id: str, docs: DataFrame, embedder, *, options: ChunkOptions | None = None, on_progress: Callable[[str, int, str], None] | None = None, folders: list[str] | None = None, result: IngestResult | None = None, again: Callable[[DataFrame], DataFrame] | None = None) -> IngestResult:
+    """Documents (doc_id, file_path, file_name, content, ...) that are loaded already; `folders` are those that they are all of.
+
+    `again` loads those of ids(doc_id) once more, without the others; documents without it are joined with the ids.
+    """
     report, result, began = on_progress or (lambda *_: None), result or IngestResult(False), time.time()
     scratch = f"{catalog.root}/staging/{uuid.uuid4().hex}"
     docs = docs.withColumn("content_hash", content_hash(F.col("content")))
@@ -101,22 +105,29 @@ def ingest_documents(spark: SparkSession, catalog: Catalog, topic_id: str, docs:
     change = spark.read.parquet(f"{scratch}/changes")
     result.seconds["loading"] = result.seconds.get("loading", 0.0) + time.time() - began
     report("chunking", 25, "splitting")
-    fresh = docs.join(change.where("change in ('new', 'changed')").select("doc_id"), "doc_id", "left_semi").where(~failed)
-    chunks = embedder.embed_documents(chunk_documents(fresh.drop("load_error", "content_hash"), options))
-    report("embedding", 50, "embedding and writing")
-    began = time.time()
-    # written aside: splitting and embedding run once, whatever reads them
-    chunks.write.parquet(f"{scratch}/chunks")
-    chunks = spark.read.parquet(f"{scratch}/chunks")
-    gone = change.where("change in ('changed', 'removed')").select("doc_id")
-    catalog.store.replace(topic_id, chunks, embedder.name, gone=gone)
-    per = chunks.groupBy("doc_id", "file_path", "file_name").agg(F.count("*").alias("chunk_count"), F.sum("chunk_size").cast("long").alias("characters"))
-    rows = per.join(one.select("doc_id", "content_hash"), "doc_id").select("doc_id", F.col("file_name").alias("name"), "file_path", document_type(F.col("file_path")).alias("file_type"), "chunk_count", "characters", "content_hash")
-    # what was there and has no chunk now
-    empty = known.join(gone, "doc_id", "left_semi").join(per.select("doc_id"), "doc_id", "left_anti").select("file_path")
-    catalog.record_documents(topic_id, rows, empty)
-    result.seconds["storing"] = time.time() - began
     result.changes = {r.change: r["count"] for r in change.groupBy("change").count().collect()}
+    if result.changes.keys() <= {"unchanged"} and catalog.store.open(topic_id) is not None:
+        catalog.store.check_model(topic_id, embedder.name)
+        report("embedding", 50, "nothing is new")
+        result.seconds["storing"] = 0.0
+    else:
+        ids = change.where("change in ('new', 'changed')").select("doc_id")
+        fresh = docs.join(ids, "doc_id", "left_semi").where(~failed) if again is None else again(ids)
+        if "load_error" in fresh.columns:
+            # one that could be read before and can't now ends the load: nothing is stored
+            fresh = fresh.withColumn("content", F.when(F.col("load_error").isNotNull(), F.raise_error(F.concat_ws(": ", "file_path", "load_error"))).otherwise(F.col("content")))
+        chunks = embedder.embed_documents(chunk_documents(fresh.drop("load_error", "content_hash"), options))
+        report("embedding", 50, "embedding and writing")
+        began = time.time()
+        gone = change.where("change in ('changed', 'removed')").select("doc_id")
+        # splitting and embedding run once, as the chunks are stored; what is counted is counted there
+        written = catalog.store.replace(topic_id, chunks, embedder.name, gone=gone, touched=ids)
+        per = written.join(ids, "doc_id", "left_semi").groupBy("doc_id", "file_path", "file_name").agg(F.count("*").alias("chunk_count"), F.sum("chunk_size").cast("long").alias("characters"))
+        rows = per.join(one.select("doc_id", "content_hash"), "doc_id").select("doc_id", F.col("file_name").alias("name"), "file_path", document_type(F.col("file_path")).alias("file_type"), "chunk_count", "characters", "content_hash")
+        # what was there and has no chunk now
+        empty = known.join(gone, "doc_id", "left_semi").join(per.select("doc_id"), "doc_id", "left_anti").select("file_path")
+        catalog.record_documents(topic_id, rows, empty)
+        result.seconds["storing"] = time.time() - began
     total = catalog.documents(topic_id).join(one.select("doc_id"), "doc_id", "left_semi").agg(F.count("*").alias("n"), F.sum("chunk_count").alias("chunks"), F.sum("characters").alias("characters")).first()
     catalog.files.remove(scratch)
     result.documents, result.chunks, result.characters = total.n, total.chunks or 0, total.characters or 0

@@ -161,11 +161,13 @@ class Catalog:
             return out.withColumn("seq", F.lit(seq).cast("long")).withColumn("dropped", F.lit(dropped))
 
         events = event(rows, False) if gone is None else event(rows, False).unionByName(event(gone, True))
+        before = self.log.snapshot()
         snapshot = self.log.write(events)
+        # from what was written: the documents are not made a second time
+        touched = [r[0] for r in self.log.read(None, self.log.added(before, snapshot)).select("topic_id").distinct().collect()]
         if max(map(len, snapshot["folders"].values()), default=0) > FOLDERS:
             live = self._current(self.log, list(self.index["topics"]), snapshot)
             snapshot = self.log.write(live.withColumn("seq", F.lit(seq).cast("long")).withColumn("dropped", F.lit(False)), fresh=True)
-        touched = [r[0] for r in events.select("topic_id").distinct().collect()]
         counts = {r.topic_id: r for r in self._current(self.log, touched, snapshot).groupBy("topic_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("chunks")).collect()}
         for t in touched:
             topic, own = self._local(t), counts.get(t)

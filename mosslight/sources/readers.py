@@ -123,16 +123,21 @@ def _listing(whole: bool):
     return run
 
 
+def dealt(files: DataFrame) -> DataFrame:
+    """Rows of a listing in TASKS tasks per core, by their paths."""
+    return files.repartition(TASKS * files.sparkSession.sparkContext.defaultParallelism, "path")
+
+
 def files_below(folders: DataFrame, recursive: bool = True) -> DataFrame:
     """(path, modificationTime, length) of the files below folders(path), which are mounted wherever tasks run.
 
     Tasks list the folders, level by level, and what lies in one is dealt out before it is listed in turn: neither the driver
     nor a single task holds a list of all files.
     """
-    n = TASKS * folders.sparkSession.sparkContext.defaultParallelism
     rows = folders.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(None).cast("long").alias("length"))
-    for whole in (False, False, True) if recursive else (False,):
-        rows = rows.mapInArrow(_listing(whole), LISTED).repartition(n, "path")
+    rows = rows.mapInArrow(_listing(False), LISTED)
+    for whole in (False, True) if recursive else ():
+        rows = dealt(rows).mapInArrow(_listing(whole), LISTED)
     # like Spark's readers, which leave out empty files
     return rows.where("length > 0")
 
@@ -163,8 +168,8 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def opened(files: DataFrame) -> DataFrame:
-    """files(path, modificationTime, length) with content and load_error, read by the tasks that have the rows."""
-    return files.select("path", "modificationTime", "length").mapInArrow(_open, f"{LISTED}, content binary, load_error string")
+    """files(path, modificationTime, length) with content and load_error, read by tasks that they are dealt out to."""
+    return dealt(files.select("path", "modificationTime", "length")).mapInArrow(_open, f"{LISTED}, content binary, load_error string")
 
 
 def _roots(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -181,20 +186,21 @@ def _scanned(spark: SparkSession, paths: list[str], recursive: bool, exts: list[
     return in_tasks(spark, (source.option("pathGlobFilter", "{" + ",".join(map(any_case, exts)) + "}") if exts else source).load([escaped(p) for p in paths]))
 
 
-def _files(spark: SparkSession, paths: list[str], recursive: bool = False, exts: list[str] | None = None, where: Column | None = None) -> DataFrame:
-    """(path, modificationTime, length, content, load_error) of files, and of those below folders that have one of some extensions and for which `where` holds.
+def _files(spark: SparkSession, paths: list[str], recursive: bool = False, exts: list[str] | None = None, where: Column | None = None, only: DataFrame | None = None) -> DataFrame:
+    """(path, modificationTime, length, content, load_error) of files, and of those below folders that have one of some extensions, for which `where` holds and whose id only(doc_id) has.
 
     Tasks list mounted folders and read their files. Files given by name, and other stores, are read by Spark.
     """
     own = [full for full in (qualified(spark, p) for p in paths) if is_mounted(full) and path_exists(spark, full)[1]]
     rest = [p for p in paths if qualified(spark, p) not in own]
     keep = F.lit(True) if where is None else where
+    wanted = lambda files: files if only is None else files.join(only.select("doc_id"), F.xxhash64("path") == F.col("doc_id"), "left_semi")
     out = None
     if own:
         files = files_below(_roots(spark, own), recursive)
-        out = opened(files.where(keep & _named(exts) if exts else keep))
+        out = opened(wanted(files.where(keep & _named(exts) if exts else keep)))
     if rest:
-        raw = _scanned(spark, rest, recursive, exts).where(keep)
+        raw = wanted(_scanned(spark, rest, recursive, exts).where(keep))
         # a value that is too large is never asked for
         none = lambda t: F.lit(None).cast(t)
         good = raw.where(F.col("length") <= MAX_BYTES).withColumn("load_error", none("string"))
@@ -208,17 +214,17 @@ def escaped(path: str) -> str:
     return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
-def _whole(spark: SparkSession, paths: list[str], recursive: bool = False, files: DataFrame | None = None) -> DataFrame:
+def _whole(spark: SparkSession, paths: list[str], recursive: bool = False, files: DataFrame | None = None, only: DataFrame | None = None) -> DataFrame:
     """One row per file: (file_path, content, file_size, load_error). A file too large for one value is a row with an error."""
-    raw = _files(spark, paths, recursive) if files is None else files
+    raw = _files(spark, paths, recursive, only=only) if files is None else files
     # bytes are decoded as UTF-8; what isn't valid becomes U+FFFD instead of failing the load
     return raw.select(F.col("path").alias("file_path"), F.decode("content", "UTF-8").alias("content"), F.col("length").alias("file_size"), "load_error")
 
 
 @reader("text")
-def read_text(spark: SparkSession, paths: list[str], recursive: bool = False, files: DataFrame | None = None, **_) -> DataFrame:
-    """One row per file; `files` are those of the paths, where they are listed already."""
-    return _whole(spark, paths, recursive, files)
+def read_text(spark: SparkSession, paths: list[str], recursive: bool = False, files: DataFrame | None = None, only: DataFrame | None = None, **_) -> DataFrame:
+    """One row per file; `files` are those of the paths, where they are listed already, only(doc_id) names those that are wanted."""
+    return _whole(spark, paths, recursive, files, only)
 
 
 @reader("markdown")
@@ -233,11 +239,11 @@ def read_html(spark: SparkSession, paths: list[str], **options) -> DataFrame:
 
 
 @reader("pdf")
-def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], list[str]] | None = None, split_pages: bool = False, separator: str = "\n", recursive: bool = False, files: DataFrame | None = None, **_) -> DataFrame:
+def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], list[str]] | None = None, split_pages: bool = False, separator: str = "\n", recursive: bool = False, files: DataFrame | None = None, only: DataFrame | None = None, **_) -> DataFrame:
     """PDF files by a parser that gives the pages' texts; none is bundled. A file at which it raises is a row with `load_error`."""
     if parser is None:
         raise RuntimeError("reading PDF files needs parser=: a function from bytes to the texts of the pages")
-    raw = (_files(spark, paths, recursive) if files is None else files).select("path", "content", "length", "load_error")
+    raw = (_files(spark, paths, recursive, only=only) if files is None else files).select("path", "content", "length", "load_error")
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -258,7 +264,7 @@ def read_pdf(spark: SparkSession, paths: list[str], parser: Callable[[bytes], li
 
 
 @reader("github")
-def read_repository(spark: SparkSession, paths: list[str], ignore: str = X.DEFAULT_IGNORE, recursive: bool = True, branch: str = "main", **_) -> DataFrame:
+def read_repository(spark: SparkSession, paths: list[str], ignore: str = X.DEFAULT_IGNORE, recursive: bool = True, branch: str = "main", only: DataFrame | None = None, **_) -> DataFrame:
     """All text files of local checkouts, but for ignored paths. `branch` is recorded, not switched."""
     out = None
     for root in paths:
@@ -266,16 +272,17 @@ def read_repository(spark: SparkSession, paths: list[str], ignore: str = X.DEFAU
         relative = lambda c: F.substring(F.col(c), F.lit(len(base) + 1), F.length(c))  # noqa: B023, E731
         # ignored files are not read
         kept = ~X.ignored(relative("path"), [*X.ignore_patterns(ignore), ".git/**"])
-        rows = _whole(spark, [root], files=_files(spark, [root], recursive, where=kept))
+        rows = _whole(spark, [root], files=_files(spark, [root], recursive, where=kept, only=only))
         rows = rows.withColumn("relative_path", relative("file_path")).withColumn("branch", F.lit(branch))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 @reader("web")
-def read_pages(spark: SparkSession, paths: list[str], selector: str | None = None, **_) -> DataFrame:
+def read_pages(spark: SparkSession, paths: list[str], selector: str | None = None, only: DataFrame | None = None, **_) -> DataFrame:
     """Parquet tables of fetched pages (url, html, and status where known)."""
-    return web_pages(spark.read.parquet(*paths), selector=selector)
+    pages = spark.read.parquet(*paths)
+    return web_pages(pages if only is None else pages.join(only.select("doc_id"), F.xxhash64("url") == F.col("doc_id"), "left_semi"), selector=selector)
 
 
 def web_pages(pages: DataFrame, *, url: str = "url", html: str = "html", status: str = "status", selector: str | None = None) -> DataFrame:
@@ -332,11 +339,11 @@ def _kinds(spark: SparkSession, path: str, recursive: bool, kinds: dict[str, lis
     return [k for k in kinds if k in found]
 
 
-def load_documents(spark: SparkSession, paths: list[str], *, file_type: str | None = None, metadata: dict[str, str] | None = None, recursive: bool = True, **options) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+def load_documents(spark: SparkSession, paths: list[str], *, file_type: str | None = None, metadata: dict[str, str] | None = None, recursive: bool = True, only: DataFrame | None = None, **options) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """(documents, failures) for files, directories and checkouts.
 
     Directories stand for the supported files below them. What can't be found fails by itself;
-    an error is raised when nothing is left.
+    an error is raised when nothing is left. only(doc_id) names the documents that are wanted, no other is read.
     """
     failures: list[tuple[str, str]] = []
     single: dict[str, list[str]] = {}
@@ -351,7 +358,7 @@ def load_documents(spark: SparkSession, paths: list[str], *, file_type: str | No
         elif is_dir and file_type != "github":
             # kinds that aren't there are not read, and only PDF files that are need a parser
             own = _kinds(spark, path, recursive, kinds)
-            folders += [(kind, path, _files(spark, [path], recursive, kinds[kind])) for kind in own]
+            folders += [(kind, path, _files(spark, [path], recursive, kinds[kind], only=only)) for kind in own]
             if not own:
                 failures.append((path, "no supported file"))
         else:
@@ -361,7 +368,7 @@ def load_documents(spark: SparkSession, paths: list[str], *, file_type: str | No
     loads = [(kind, own, {"recursive": recursive} if kind == "github" else {}) for kind, own in single.items()]
     loads += [(kind, [root], {"recursive": recursive, "files": files}) for kind, root, files in folders]
     for kind, own, more in loads:
-        rows = stamped(READERS[kind](spark, own, **options, **more), kind, metadata)
+        rows = stamped(READERS[kind](spark, own, only=only, **options, **more), kind, metadata)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError("Failed to load documents: " + "; ".join(f"{p}: {e}" for p, e in failures))

@@ -63,6 +63,11 @@ class BucketTable:
             raise Conflict(f"snapshot {now['version']} of {self.root} exists")
         return now
 
+    @staticmethod
+    def added(before: dict, after: dict) -> dict:
+        """A snapshot of the folders that a write has added: its rows, and what it wrote again."""
+        return {**after, "folders": {b: [f for f in own if f not in before["folders"].get(b, [])] for b, own in after["folders"].items()}}
+
     # reading ---------------------------------------------------------------------------------
 
     def paths(self, buckets: list[int] | None = None, snapshot: dict | None = None) -> list[str]:

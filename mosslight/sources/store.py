@@ -68,28 +68,34 @@ class ChunkStore:
         """Add chunks made with the store's own model; create the store if there is none. A stream's `batch` that is stored already adds nothing."""
         self.replace(topic_id, chunks, model, batch=batch)
 
-    def replace(self, topic_id: str, chunks: DataFrame, model: str, gone: DataFrame | None = None, batch: tuple[str, int] | None = None) -> None:
-        """Drop the chunks of the documents gone(doc_id) and add others, in one step for readers. Only the buckets of those documents are written again."""
+    def replace(self, topic_id: str, chunks: DataFrame, model: str, gone: DataFrame | None = None, batch: tuple[str, int] | None = None, touched: DataFrame | None = None) -> DataFrame | None:
+        """Drop the chunks of the documents gone(doc_id) and add others, in one step for readers. Only the buckets of those documents are written again.
+
+        touched(doc_id) names the documents of the chunks, where they are known; chunks are made once. Returns the rows that
+        were written, with those that were written again; None for a batch that was stored before.
+        """
         table = self._own(topic_id)
         before = table.snapshot()
         if not before["version"]:
             table = self.table(topic_id, key := "doc_id" if "doc_id" in chunks.columns else "chunk_id")
-            table.write(chunks, batch=batch, stats={"key": key})
+            after = table.write(chunks, batch=batch, stats={"key": key})
             self.save_metadata(topic_id, embedding_model=model)
-            return
+            return table.read(None, after)
         self.check_model(topic_id, model)
         key = before["stats"]["key"]
         after = table.write(chunks, gone=gone, on=key, batch=batch)
         index = self._index(topic_id)
-        if after["version"] > before["version"] and index.table.version():
+        if after["version"] == before["version"]:
+            return None
+        if index.table.version():
             # the chunks that this write has added, and those that it has dropped, as they were
-            self._follow(index, table, before, after, gone, key, chunks.select(key).distinct())
+            self._follow(index, table, before, after, gone, key, touched if touched is not None else chunks.select(key).distinct())
+        return table.read(None, table.added(before, after))
 
     def _follow(self, index, table: BucketTable, before: dict, after: dict, gone: DataFrame | None, key: str, touched: DataFrame) -> None:
         if index.table.snapshot()["stats"].get("of") != before["version"]:
             return
-        new = {**after, "folders": {b: [f for f in own if f not in before["folders"].get(b, [])] for b, own in after["folders"].items()}}
-        added, removed = table.read(None, new).join(touched, key, "left_semi").select("chunk_id", "content"), None
+        added, removed = table.read(None, table.added(before, after)).join(touched, key, "left_semi").select("chunk_id", "content"), None
         if gone is not None:
             buckets = [r[0] for r in gone.select(table.bucket.alias("b")).distinct().collect()]
             removed = table.read(buckets, before).join(gone.select(key).distinct(), key, "left_semi").select("chunk_id", "content")

@@ -390,3 +390,46 @@ def test_a_file_that_goes_or_is_too_large_is_a_row_with_an_error(spark, tmp_path
     assert [(r["content"], r["length"]) for r in out] == [(b"12345", 5), (None, 6), (None, 1), (None, 9), (b"y", 1)]
     assert [r["load_error"] is None for r in out] == [True, False, False, False, True]
     assert "FileNotFoundError" in out[2]["load_error"] and "too large" in out[1]["load_error"]
+
+
+def test_a_load_without_news_writes_nothing_and_reads_only_what_is_new(spark, tmp_path):
+    own = tmp_path / "in"
+    own.mkdir()
+    write(own, a="alpha one", b="beta two", c="gamma three")
+    e = HashingEmbedder(8)
+    catalog = Catalog(spark, str(tmp_path / "catalog"), e.name)
+    t = catalog.create("T")["id"]
+    first = ingest(spark, catalog, t, [str(own)], e)
+    index = catalog.keyword_index(t)
+    was = catalog.store.table(t).version(), catalog.log.version(), index.table.version()
+    again = ingest(spark, catalog, t, [str(own)], e)
+    assert again.success and again.changes == {"unchanged": 3} and (again.documents, again.chunks, again.characters) == (first.documents, first.chunks, first.characters)
+    assert (catalog.store.table(t).version(), catalog.log.version(), index.table.version()) == was
+    with pytest.raises(ValueError, match="vectors"):
+        ingest(spark, catalog, t, [str(own)], HashingEmbedder(9))
+    ids = catalog.documents(t).where("name = 'b.txt'").select("doc_id")
+    only, _ = load_documents(spark, [str(own), str(own / "a.txt")], only=ids)
+    assert [r.content for r in only.collect()] == ["beta two"]
+    # an index is brought up to date from the ids, and the chunks are made once
+    write(own, b="beta changed", d="delta")
+    assert ingest(spark, catalog, t, [str(own)], e).changes == {"new": 1, "changed": 1, "unchanged": 2}
+    assert catalog.store.index(t).document_count() == 4
+    assert sorted(r.content for r in catalog.store.open(t).collect()) == ["alpha one", "beta changed", "delta", "gamma three"]
+
+
+def test_words_are_hashed_once():
+    import hashlib
+    import re
+
+    from mosslight.operators import embed as E
+
+    texts = ["a b A", "", "é ü_1 word " * 50, "x", "  ", "b"]
+    for dim, seed in ((8, 0), (64, 3), (1, 0)):
+        E._word_hash.cache_clear()
+        want = np.zeros((len(texts), dim))
+        for i, t in enumerate(texts):
+            for w in re.findall(r"\w+", t.lower()):
+                h = int.from_bytes(hashlib.blake2b(f"{seed}:{w}".encode(), digest_size=8).digest(), "little")
+                want[i, h % dim] += 1 if h >> 63 else -1
+        assert np.array_equal(E.hashed_features(texts, dim, seed), want) and E._word_hash.cache_info().misses == 6
+    assert E.hashed_features([], 8).shape == (0, 8) and not E.hashed_features(["", " "], 8).any()
