@@ -109,7 +109,7 @@ class BucketTable:
     def write(self, rows: DataFrame, *, gone: DataFrame | None = None, on: str = "", batch: tuple[str, int] | None = None, stats: dict | None = None, fresh: bool = False, more: list[tuple[str, list[str]]] | None = None) -> dict:
         """Add rows, and the folders `more` that _write() has made, in one commit; first drop those whose `on` is in gone(on), by writing their buckets again. `fresh` leaves out all that was there.
 
-        `on` must be what the bucket is made from. `stats` are kept with the snapshot. Returns the snapshot.
+        `on` must be what the bucket is made from. `stats` are kept with the snapshot. Returns the snapshot; a write without rows that changes nothing makes none.
         """
         old = self.snapshot()
         if self._seen(old, batch):
@@ -124,6 +124,9 @@ class BucketTable:
                 rows = rows.unionByName(self.read(touched, old).join(gone.select(on).distinct(), on, "left_anti"), allowMissingColumns=True)
                 folders = {b: f for b, f in folders.items() if int(b) not in touched}
         name, buckets = self._write(rows)
+        if old["version"] and not (buckets or more or stats or fresh) and folders == old["folders"]:
+            self.files.remove(f"{self.root}/data/{name}")
+            return old
         for one, own in [(name, buckets), *(more or [])]:
             for b in own:
                 folders.setdefault(b, []).append(one)

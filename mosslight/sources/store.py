@@ -64,9 +64,9 @@ class ChunkStore:
         self.table(topic_id, key).write(chunks, fresh=True, stats={"key": key})
         self.save_metadata(topic_id, embedding_model=model)
 
-    def append(self, topic_id: str, chunks: DataFrame, model: str, batch: tuple[str, int] | None = None) -> None:
-        """Add chunks made with the store's own model; create the store if there is none. A stream's `batch` that is stored already adds nothing."""
-        self.replace(topic_id, chunks, model, batch=batch)
+    def append(self, topic_id: str, chunks: DataFrame, model: str, batch: tuple[str, int] | None = None) -> DataFrame | None:
+        """Add chunks made with the store's own model; create the store if there is none. A stream's `batch` that is stored already adds nothing. Returns what replace() does."""
+        return self.replace(topic_id, chunks, model, batch=batch)
 
     def replace(self, topic_id: str, chunks: DataFrame, model: str, gone: DataFrame | None = None, batch: tuple[str, int] | None = None, touched: DataFrame | None = None) -> DataFrame | None:
         """Drop the chunks of the documents gone(doc_id) and add others, in one step for readers. Only the buckets of those documents are written again.

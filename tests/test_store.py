@@ -433,3 +433,36 @@ def test_words_are_hashed_once():
                 want[i, h % dim] += 1 if h >> 63 else -1
         assert np.array_equal(E.hashed_features(texts, dim, seed), want) and E._word_hash.cache_info().misses == 6
     assert E.hashed_features([], 8).shape == (0, 8) and not E.hashed_features(["", " "], 8).any()
+
+
+def test_a_stream_lists_in_tasks_and_looks_again(spark, tmp_path):
+    """No file source that keeps paths in the driver; known files aren't stored again, a look without news writes nothing."""
+    own = tmp_path / "in"
+    (own / "deep" / "more").mkdir(parents=True)
+    write(own, a="alpha", blank=" ")
+    write(own / "deep" / "more", b="beta")
+    (own / "x.pdf").write_bytes(b"%PDF")
+    e = HashingEmbedder(8)
+    catalog = Catalog(spark, str(tmp_path / "catalog"), e.name)
+    t = catalog.create("T")["id"]
+    assert S.look_stream(spark, f"file://{own}").isStreaming
+    run = lambda k: S.ingest_stream(spark, catalog, t, f"file://{own}", e, str(tmp_path / f"cp{k}"))
+    versions = lambda: (catalog.store.table(t).version(), catalog.log.version())
+    query = run(1)
+    query.awaitTermination()
+    assert "FileStreamSource" not in query.lastProgress.json and len(query.recentProgress) == 1
+    assert sorted(r.content for r in catalog.store.open(t).collect()) == ["alpha", "beta"]
+    was = versions()
+    for k in (1, 2):
+        run(k).awaitTermination()
+    assert versions() == was
+    write(own, c="gamma")
+    # a moved file keeps its times
+    import os
+
+    write(tmp_path, d="delta")
+    os.utime(tmp_path / "d.txt", (1, 1))
+    os.rename(tmp_path / "d.txt", own / "deep" / "d.txt")
+    run(1).awaitTermination()
+    assert sorted(r.content for r in catalog.store.open(t).collect()) == ["alpha", "beta", "delta", "gamma"]
+    assert catalog.documents(t).count() == 4 and versions() == (was[0] + 1, was[1] + 1)
