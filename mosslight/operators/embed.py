@@ -12,15 +12,15 @@ from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate
 
 LIMIT = 512
-#: Words whose hashes a worker keeps.
-WORDS = 1 << 17
+#: Words whose hashes a worker keeps, and texts whose words it holds.
+WORDS, SLICE = 1 << 16, 256
 
 
 class Embedder(Protocol):
@@ -70,10 +70,12 @@ class FunctionEmbedder:
     def embed_documents(self, docs: DataFrame, content: str = "content") -> DataFrame:
         vectors = self._vectors
 
-        @F.pandas_udf("array<float>")
-        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for series in batches:
-                yield pd.Series(list(vectors(series.fillna("").tolist()).astype(np.float32))) if len(series) else pd.Series([], dtype=object)
+        @F.arrow_udf("array<float>")
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for texts in batches:
+                x = vectors(texts.fill_null("").to_pylist()).astype(np.float32) if len(texts) else np.zeros((0, 1), np.float32)
+                ends = np.arange(len(texts) + 1, dtype=np.int32) * x.shape[1]
+                yield pa.ListArray.from_arrays(pa.array(ends), pa.array(x.ravel(), pa.float32()))
 
         return docs.withColumn("embedding", embed(truncate(F.col(content), LIMIT)))
 
@@ -88,7 +90,11 @@ def _word_hash(word: str, seed: int) -> int:
 
 
 def hashed_features(texts: list[str], dim: int = 64, seed: int = 0) -> np.ndarray:
-    """Signed feature hashing of lower-case words."""
+    """Signed feature hashing of lower-case words, of SLICE texts at a time."""
+    return np.concatenate([_features(texts[i : i + SLICE], dim, seed) for i in range(0, len(texts), SLICE)] or [np.zeros((0, dim))])
+
+
+def _features(texts: list[str], dim: int, seed: int) -> np.ndarray:
     words = [re.findall(r"\w+", t.lower()) for t in texts]
     h = np.fromiter((_word_hash(w, seed) for own in words for w in own), np.uint64)
     at = np.repeat(np.arange(len(texts)), [len(own) for own in words]) * dim + (h % np.uint64(dim)).astype(np.int64)

@@ -8,6 +8,7 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .files import Files
 from .snapshots import BucketTable, bucket_of
 
@@ -78,12 +79,14 @@ class ChunkStore:
         before = table.snapshot()
         if not before["version"]:
             table = self.table(topic_id, key := "doc_id" if "doc_id" in chunks.columns else "chunk_id")
-            after = table.write(chunks, batch=batch, stats={"key": key})
+            with small_batches(chunks.sparkSession):
+                after = table.write(chunks, batch=batch, stats={"key": key})
             self.save_metadata(topic_id, embedding_model=model)
             return table.read(None, after)
         self.check_model(topic_id, model)
         key = before["stats"]["key"]
-        after = table.write(chunks, gone=gone, on=key, batch=batch)
+        with small_batches(chunks.sparkSession):
+            after = table.write(chunks, gone=gone, on=key, batch=batch)
         index = self._index(topic_id)
         if after["version"] == before["version"]:
             return None
